@@ -16,42 +16,39 @@ from .text import _col, strip
 def label_of(line: Column, labels: Mapping[str, Sequence[str]] = fv.LINE_LABELS) -> Column:
     """struct(field, value) of a line that starts with a known label, else null."""
     line = strip(line)
-    out = None
-    for field, words in labels.items():
-        for word in words:
-            value = strip(F.regexp_replace(F.substr(line, F.lit(len(word) + 1)), r"^[\s\p{Z}：:,，、]+", ""))
-            hit = F.struct(F.lit(field).alias("field"), value.alias("value"))
-            out = F.when(line.startswith(word), hit) if out is None else out.when(line.startswith(word), hit)
-    return out
+    words = [w for ws in labels.values() for w in ws]
+    fields = F.create_map(*[F.lit(x) for f, ws in labels.items() for w in ws for x in (w, f)])
+    label = F.regexp_extract(line, "^(?:" + "|".join(words) + ")", 0)
+    value = strip(F.regexp_replace(F.substr(line, F.length(label) + 1), r"^[\s\p{Z}：:,，、]+", ""))
+    return F.when(label != "", F.struct(fields[label].alias("field"), value.alias("value")))
+
 
+def parse_items(lines: DataFrame, line: str = "line", units: Sequence[str] = fv.COUNT_UNITS,
+                spec_markers: str = fv.SPEC_MARKERS) -> DataFrame:
+    """Rows whose line reads 'n [code] name… [spec…] qty unit', with product_code, product_name, spec, quantity and unit.
 
-def item_of(line: Column, units: Sequence[str] = fv.COUNT_UNITS, spec_markers: str = fv.SPEC_MARKERS) -> Column:
-    """struct(product_code, product_name, spec, quantity, unit) of a line 'n [code] name… [spec…] qty unit', else null."""
-    parts = F.filter(F.split(strip(line), r"[\s\p{Z}]+"), lambda t: t != "")
-    n = F.size(parts)
+    Step by step in columns, so that no step is computed twice.
+    """
+    keep = lines.columns
     number = r"^\d+(\.\d+)?$"
+    none = F.array().cast("array<string>")
+    d = lines.withColumn("_p", F.filter(F.split(strip(line), r"[\s\p{Z}]+"), lambda t: t != ""))
+    d = d.where((F.size("_p") >= 3) & F.regexp_replace(F.get("_p", F.lit(0)), r"[.、]+$", "").rlike(r"^\d+$"))
     # last numeric token, never the first token
-    numeric = F.filter(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.coalesce(F.get(parts, i - 1), F.lit("")).rlike(number))
-    at = F.when(F.size(numeric) > 0, F.array_max(numeric))
-    quantity = F.floor(F.get(parts, at - 1).try_cast("double")).cast("bigint")
-    after = F.get(parts, at)
-    unit = F.when(after.isin(*units), after).otherwise(fv.DEFAULT_UNIT)
-    has_code = F.get(parts, F.lit(1)).rlike(r"^[A-Za-z][A-Za-z0-9]{2,}$")
-    start = F.when(has_code, 3).otherwise(2)
-    middle = F.when(at > start, F.slice(parts, start, at - start)).otherwise(F.array().cast("array<string>"))
-    spec_from = F.filter(
-        F.transform(middle, lambda t, i: F.when(t.rlike(spec_markers), i + 1)), lambda i: i.isNotNull())
-    cut = F.when(F.size(spec_from) > 0, F.array_min(spec_from)).otherwise(F.size(middle) + 1)
-    name = F.array_join(F.slice(middle, F.lit(1), cut - 1), "")
-    spec = F.array_join(F.slice(middle, cut, F.greatest(F.size(middle) - cut + 1, F.lit(0))), " ")
-    ok = (
-        (n >= 3)
-        & F.regexp_replace(F.get(parts, F.lit(0)), r"[.、]+$", "").rlike(r"^\d+$")
-        & at.isNotNull() & (quantity > 0) & (name != "")
-    )
-    return F.when(ok, F.struct(
-        F.when(has_code, F.get(parts, F.lit(1))).otherwise("").alias("product_code"), name.alias("product_name"),
-        spec.alias("spec"), quantity.alias("quantity"), unit.alias("unit")))
+    d = d.withColumn("_at", F.array_max(F.filter(
+        F.transform("_p", lambda t, i: F.when((i > 0) & t.rlike(number), i)), lambda i: i.isNotNull())))
+    d = d.withColumn("quantity", F.floor(F.get("_p", F.col("_at")).try_cast("double")).cast("bigint")).where("quantity > 0")
+    d = d.withColumn("_code", F.get("_p", F.lit(1)).rlike(r"^[A-Za-z][A-Za-z0-9]{2,}$"))
+    d = d.withColumn("_from", F.when(F.col("_code"), 2).otherwise(1))
+    d = d.withColumn("_m", F.when(F.col("_at") > F.col("_from"), F.slice("_p", F.col("_from") + 1, F.col("_at") - F.col("_from"))).otherwise(none))
+    d = d.withColumn("_cut", F.coalesce(F.array_min(F.filter(
+        F.transform("_m", lambda t, i: F.when(t.rlike(spec_markers), i)), lambda i: i.isNotNull())), F.size("_m")))
+    d = d.withColumn("product_name", F.array_join(F.slice("_m", F.lit(1), F.col("_cut")), "")).where("product_name <> ''")
+    after = F.get("_p", F.col("_at") + 1)
+    return d.select(
+        *keep, F.when(F.col("_code"), F.get("_p", F.lit(1))).otherwise("").alias("product_code"), "product_name",
+        F.array_join(F.slice("_m", F.col("_cut") + 1, F.size("_m") - F.col("_cut")), " ").alias("spec"), "quantity",
+        F.when(after.isin(*units), after).otherwise(fv.DEFAULT_UNIT).alias("unit"))
 
 
 def explode_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -76,8 +73,7 @@ def item_lines(df: DataFrame, key: str, text_col: str = "text",
                labels: Mapping[str, Sequence[str]] = fv.LINE_LABELS) -> DataFrame:
     """Item lines of each document; labelled lines are never items."""
     lines = explode_lines(df.select(key, text_col), text_col)
-    parsed = lines.where(label_of(F.col("line"), labels).isNull()).withColumn("item", item_of(F.col("line")))
-    return parsed.where("item is not null").select(key, "line_no", "item.*")
+    return parse_items(lines.where(label_of(F.col("line"), labels).isNull())).drop("line")
 
 
 # --- structured payloads -----------------------------------------------------------

@@ -1,8 +1,7 @@
 """Sequence ratio (the one score Spark has no built-in for) and scores derived from it."""
 
-from __future__ import annotations
-
 from collections.abc import Sequence
+from typing import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -13,26 +12,32 @@ from . import text as tx
 
 # Above this length the sequence matcher drops popular characters, so closed forms no longer hold.
 PLAIN_LENGTH = 200
+# Pairs a task remembers before it starts afresh.
+KNOWN_PAIRS = 200_000
 
 
 @F.pandas_udf("double")
-def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def seq_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """2*M/(len a + len b), M from the longest-block recursion; not symmetric. Null in, null out."""
     known: dict[tuple[str, str], float] = {}
     matcher = SequenceMatcher(None)
     second = None
-    out: list[float | None] = [None] * len(a)
-    for i, pair in enumerate(zip(a, b)):
-        if pair[0] is None or pair[1] is None:
-            continue
-        if pair not in known:
-            if pair[1] != second:
-                second = pair[1]
-                matcher.set_seq2(second)
-            matcher.set_seq1(pair[0])
-            known[pair] = matcher.ratio()
-        out[i] = known[pair]
-    return pd.Series(out, dtype="float64")
+    for a, b in batches:
+        if len(known) > KNOWN_PAIRS:
+            known.clear()
+        out: list[float | None] = [None] * len(a)
+        for i, pair in enumerate(zip(a, b)):
+            if pair[0] is None or pair[1] is None:
+                continue
+            ratio = known.get(pair)
+            if ratio is None:
+                if pair[1] != second:
+                    second = pair[1]
+                    matcher.set_seq2(second)
+                matcher.set_seq1(pair[0])
+                ratio = known[pair] = matcher.ratio()
+            out[i] = ratio
+        yield pd.Series(out, dtype="float64")
 
 
 def register(spark) -> None:

@@ -36,15 +36,21 @@ def active_catalog(catalog: DataFrame, owner: str | None = None, status: str = "
     return out.select("owner_code", *SKU_FIELDS, "customer_code")
 
 
-def line_keys(lines: DataFrame) -> DataFrame:
-    """Distinct (owner, scrubbed name, unit) with the cleaned name and the specification found in the name."""
-    keys = with_key(lines).select(*KEY).where("name <> ''").distinct()
+def raw_keys(lines: DataFrame) -> DataFrame:
+    """Distinct (owner, name, unit) as written, with the scrubbed key. Text work runs on these, never on the lines."""
+    raw = lines.select("owner_code", "product_name", "unit").distinct()
+    return raw.withColumn("name", tx.scrub("product_name", all_zero_width=False)).withColumn(
+        "order_unit", F.coalesce("unit", F.lit(fv.DEFAULT_UNIT)))
+
+
+def keys_of(raw: DataFrame) -> DataFrame:
+    """Distinct scrubbed keys with the cleaned name and the specification found in the name."""
+    keys = raw.select(*KEY).where("name <> ''").distinct()
     return keys.withColumn("clean", tx.clean_name("name")).withColumn("order_spec", tx.spec_of("name"))
 
 
-def with_key(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("name", tx.scrub("product_name", all_zero_width=False)).withColumn(
-        "order_unit", F.coalesce("unit", F.lit(fv.DEFAULT_UNIT)))
+def line_keys(lines: DataFrame) -> DataFrame:
+    return keys_of(raw_keys(lines))
 
 
 def _sku(df: DataFrame) -> Column:
@@ -109,36 +115,53 @@ def alias_hits(keys: DataFrame, aliases: DataFrame) -> DataFrame:
     return keys.join(groups, ["owner_code", "name"]).withColumn("layer", F.lit("L0"))
 
 
+def _unit_totals(fits: Column | None = None) -> list[Column]:
+    """Row counts and first rows of a key: all, with the order's unit, and the same among rows that fit."""
+    unit = (F.col("order_unit") != "") & (F.col("sku_unit") == F.col("order_unit"))
+    out = []
+    for tag, which in (("all", None), ("fit", fits)):
+        if tag == "fit" and fits is None:
+            continue
+        n, sku = F.col("n"), F.col("sku")
+        if which is not None:
+            n, sku = F.when(which, n).otherwise(0), F.when(which, sku)
+        out += [F.sum(n).alias(f"n_{tag}"), F.sum(F.when(unit, n).otherwise(0)).alias(f"u_{tag}"),
+                F.min(sku).alias(f"b_{tag}"), F.min(F.when(unit, sku)).alias(f"bu_{tag}")]
+    return out
+
+
 def choose_by_unit(hits: DataFrame) -> DataFrame:
-    """One row per key and layer: a single row, else the only row with the order's unit, else candidates.
+    """One row per key and layer: a single row, else the only row with the order's unit, else candidates."""
+    agg = hits.groupBy(*KEY, "layer").agg(*_unit_totals())
+    return _pick(agg.select(*KEY, "layer", F.col("n_all").alias("n"), F.col("u_all").alias("u"), F.col("b_all").alias("b"),
+                            F.col("bu_all").alias("bu"), F.lit(False).alias("by_spec")))
 
-    For cleaned names with a specification, rows whose specification scores .5 or more come first, if there are any.
-    """
-    same_unit = (F.col("order_unit") != "") & (F.col("sku_unit") == F.col("order_unit"))
-    needs = tx.spec_needs_ratio(F.col("order_spec"), F.col("sku_spec")) & (F.col("layer") == "L1b") & (F.col("order_spec") != "")
+
+def with_spec_points(rows: DataFrame) -> DataFrame:
+    """Adds spec_points for (order_spec, sku_spec). Each distinct pair of specifications is scored once."""
+    both = rows.where("order_spec <> '' and sku_spec <> ''").select("order_spec", "sku_spec").distinct()
+    needs = tx.spec_needs_ratio(F.col("order_spec"), F.col("sku_spec"))
     ratio = sim.seq_ratio(F.when(needs, F.lower("order_spec")), F.when(needs, F.lower("sku_spec")))
-    scored = hits.withColumn("_fits", (F.col("layer") == "L1b") & (F.col("order_spec") != "") & (
-        F.coalesce(tx.spec_score(F.col("order_spec"), F.col("sku_spec"), ratio), F.lit(0.0)) >= 0.5))
-
-    def totals(which: Column, tag: str) -> list[Column]:
-        unit = which & same_unit
-        return [
-            F.sum(F.when(which, F.col("n")).otherwise(0)).alias(f"n_{tag}"),
-            F.sum(F.when(unit, F.col("n")).otherwise(0)).alias(f"u_{tag}"),
-            F.min(F.when(which, F.col("sku"))).alias(f"b_{tag}"),
-            F.min(F.when(unit, F.col("sku"))).alias(f"bu_{tag}"),
-        ]
-
-    agg = scored.groupBy(*KEY, "layer").agg(*totals(F.lit(True), "all"), *totals(F.col("_fits"), "fit"))
-    use_fit = (F.col("n_all") > 1) & (F.col("n_fit") > 0)
-    for p in ("n", "u", "b", "bu"):
-        agg = agg.withColumn(p, F.when(use_fit, F.col(f"{p}_fit")).otherwise(F.col(f"{p}_all")))
+    points = both.select("order_spec", "sku_spec", tx.spec_score(F.col("order_spec"), F.col("sku_spec"), ratio).alias("_p"))
+    return rows.join(points, ["order_spec", "sku_spec"], "left").withColumn(
+        "spec_points", F.coalesce("_p", F.lit(0.5))).drop("_p")
+
+
+def choose_by_spec_and_unit(hits: DataFrame) -> DataFrame:
+    """As choose_by_unit, but of several rows those whose specification scores .5 or more come first, if there are any."""
+    scored = with_spec_points(hits).withColumn("_fits", F.col("spec_points") >= 0.5)
+    agg = scored.groupBy(*KEY, "layer").agg(*_unit_totals(F.col("_fits")))
+    fit = (F.col("n_all") > 1) & (F.col("n_fit") > 0)
+    return _pick(agg.select(*KEY, "layer", *[
+        F.when(fit, F.col(f"{p}_fit")).otherwise(F.col(f"{p}_all")).alias(p) for p in ("n", "u", "b", "bu")], fit.alias("by_spec")))
+
+
+def _pick(agg: DataFrame) -> DataFrame:
     by_unit = (F.col("n") > 1) & (F.col("u") > 0)
     return agg.select(
-        *KEY, "layer",
-        F.when(by_unit, F.col("bu")).otherwise(F.col("b")).alias("sku"),
+        *KEY, "layer", F.when(by_unit, F.col("bu")).otherwise(F.col("b")).alias("sku"),
         F.when(by_unit, F.col("u")).otherwise(F.col("n")).cast("bigint").alias("n_candidates"),
-        by_unit.alias("by_unit"), use_fit.alias("by_spec"),
+        by_unit.alias("by_unit"), "by_spec",
     ).withColumn("need_confirm", F.col("n_candidates") > 1)
 
 
@@ -155,12 +178,15 @@ def first_layer(results: DataFrame) -> DataFrame:
 
 def resolve_equal(keys: DataFrame, catalog: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Layers L0 (alias), L1 (name or code) and L1b (cleaned name)."""
+    changed = keys.where("clean <> name and clean <> ''")
     hits = exact_hits(keys, catalog, "name", "L1").unionByName(
-        exact_hits(keys.where("clean <> name and clean <> ''"), catalog, "clean", "L1b"))
+        exact_hits(changed.where("order_spec = ''"), catalog, "clean", "L1b"))
     if aliases is not None:
         hits = hits.unionByName(alias_hits(keys, aliases))
+    with_spec = exact_hits(changed.where("order_spec <> ''"), catalog, "clean", "L1b")
     conf = F.create_map(*[F.lit(x) for kv in fv.EQUAL_LAYER_CONFIDENCE.items() for x in kv])
-    return first_layer(choose_by_unit(hits)).withColumn("confidence", conf[F.col("layer")])
+    return first_layer(choose_by_unit(hits).unionByName(choose_by_spec_and_unit(with_spec))).withColumn(
+        "confidence", conf[F.col("layer")])
 
 
 # --- layers of similar names -----------------------------------------------------------------
@@ -241,9 +267,7 @@ def score_layers(keys: DataFrame, scored_pairs: DataFrame, catalog: DataFrame, f
     groups = catalog_groups(active_catalog(catalog)).withColumnRenamed("hit_name", "sku_name")
     rows = keys.join(scored_pairs, ["owner_code", "clean"]).join(groups, ["owner_code", "sku_name"])
     spec, sku_spec = F.col("order_spec"), F.col("sku_spec")
-    needs = (spec != "") & tx.spec_needs_ratio(spec, sku_spec)
-    ratio = sim.seq_ratio(F.when(needs, F.lower(spec)), F.when(needs, F.lower(sku_spec)))
-    rows = rows.withColumn("spec_points", F.when(spec == "", 0.5).otherwise(tx.spec_score(spec, sku_spec, ratio)))
+    rows = with_spec_points(rows)
     boost = tx.containment_boost(F.col("clean"), F.col("sku_name"))
     raised = F.when(F.col("name_score") >= 0.7, F.greatest(boost, F.lit(0.25))).otherwise(boost)
     unit = (F.col("order_unit") != "") & (F.col("sku_unit") == F.col("order_unit"))
@@ -294,17 +318,18 @@ RESULT = ["layer", "confidence", "need_confirm", "n_candidates", "sku"]
 def resolve_keys(keys: DataFrame, catalog: DataFrame, aliases: DataFrame | None = None,
                  forms: Sequence[str] = fv.PRODUCT_FORMS, seasonings: Sequence[str] = fv.SEASONING_WORDS) -> DataFrame:
     """The cascade: keys an equal-name layer settles never reach the similar-name layers."""
-    keys = cut_lineage(keys, "keys")
     equal = cut_lineage(resolve_equal(keys, catalog, aliases).select(*KEY, *RESULT), "equal")
     rest = cut_lineage(keys.join(equal.select(*KEY), KEY, "left_anti"), "rest")
     similar = cut_lineage(resolve_similar(rest, catalog, forms, seasonings).select(*KEY, *RESULT), "similar")
     return equal.unionByName(similar)
 
 
-def attach(lines: DataFrame, results: DataFrame) -> DataFrame:
+def attach(lines: DataFrame, raw: DataFrame, results: DataFrame) -> DataFrame:
     """Lines with their result; unmatched lines keep null results and confidence 0."""
-    joined = with_key(lines).join(results, KEY, "left")
-    return joined.select(
+    by_raw = raw.join(results, KEY).select(
+        "owner_code", F.col("product_name").alias("_p"), F.col("unit").alias("_u"), *RESULT).withColumnRenamed("owner_code", "_o")
+    same = (F.col("owner_code") == F.col("_o")) & (F.col("product_name") == F.col("_p")) & F.col("unit").eqNullSafe(F.col("_u"))
+    return lines.join(by_raw, same, "left").select(
         *lines.columns, F.col("layer").alias("match_layer"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
         F.coalesce("need_confirm", F.lit(False)).alias("need_confirm"),
         F.coalesce("n_candidates", F.lit(0)).cast("bigint").alias("n_candidates"),
@@ -315,12 +340,15 @@ def attach(lines: DataFrame, results: DataFrame) -> DataFrame:
 
 def resolve_lines(lines: DataFrame, catalog: DataFrame, aliases: DataFrame | None = None,
                   forms: Sequence[str] = fv.PRODUCT_FORMS, seasonings: Sequence[str] = fv.SEASONING_WORDS) -> DataFrame:
-    return attach(lines, resolve_keys(line_keys(lines), catalog, aliases, forms, seasonings))
+    raw = cut_lineage(raw_keys(lines), "raw")
+    keys = cut_lineage(keys_of(raw), "keys")
+    return attach(lines, raw, resolve_keys(keys, catalog, aliases, forms, seasonings))
 
 
 def resolve_lines_equal(lines: DataFrame, catalog: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """The cascade up to the cleaned name."""
-    return attach(lines, resolve_equal(line_keys(lines), catalog, aliases).select(*KEY, *RESULT))
+    raw = cut_lineage(raw_keys(lines), "raw")
+    return attach(lines, raw, resolve_equal(keys_of(raw), catalog, aliases).select(*KEY, *RESULT))
 
 
 def equal_candidates(keys: DataFrame, catalog: DataFrame, aliases: DataFrame | None, results: DataFrame) -> DataFrame:
@@ -338,12 +366,9 @@ def equal_candidates(keys: DataFrame, catalog: DataFrame, aliases: DataFrame | N
     if aliases is not None:
         rows = rows.unionByName(
             k.where("layer = 'L0'").join(aliases, ["owner_code", "name"]), allowMissingColumns=True)
-    spec, sku_spec = F.col("order_spec"), F.coalesce("product_spec", F.lit(""))
-    needs = F.col("by_spec") & tx.spec_needs_ratio(spec, sku_spec)
-    ratio = sim.seq_ratio(F.when(needs, F.lower(spec)), F.when(needs, F.lower(sku_spec)))
-    return rows.where(~F.col("by_unit") | (F.col("unit") == F.col("order_unit"))).where(
-        ~F.col("by_spec") | (tx.spec_score(spec, sku_spec, ratio) >= 0.5)
-    ).select(*KEY, "layer", *SKU_FIELDS)
+    scored = with_spec_points(rows.withColumn("sku_spec", F.coalesce("product_spec", F.lit(""))))
+    return scored.where(~F.col("by_unit") | (F.col("unit") == F.col("order_unit"))).where(
+        "not by_spec or spec_points >= 0.5").select(*KEY, "layer", *SKU_FIELDS)
 
 
 # --- unit size class -----------------------------------------------------------------------------

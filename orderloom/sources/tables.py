@@ -103,9 +103,9 @@ VIEWS = {
           CASE WHEN coalesce(n, 0) = 0 THEN 0.0e0 ELSE cast(m AS double) / n END AS sku_match_rate,
           o_orderstatus = 'F' AS user_confirmed, o_orderkey % 5 = 0 AS user_modified,
           cast(floor(o_totalprice / 100) AS bigint) AS processing_time_ms,
-          CASE o_orderkey % 3 WHEN 0 THEN '[]' WHEN 1 THEN '[{"type":"sku","original_name":"a","corrected":"b","match_layer":"L1","match_score":0.5}]'
-            ELSE '[{"type":"store","original":"s","corrected":"t"},{"type":"sku","original_name":"c","match_score":0.25,"auto_matched":false}]' END AS corrections,
-          CASE WHEN o_orderkey % 6 = 0 THEN '[{"kind":"unmatched"}]' ELSE '[]' END AS alerts
+          CASE o_orderkey % 3 WHEN 0 THEN '[]' WHEN 1 THEN '[{{"type":"sku","original_name":"a","corrected":"b","match_layer":"L1","match_score":0.5}}]'
+            ELSE '[{{"type":"store","original":"s","corrected":"t"}},{{"type":"sku","original_name":"c","match_score":0.25,"auto_matched":false}}]' END AS corrections,
+          CASE WHEN o_orderkey % 6 = 0 THEN '[{{"kind":"unmatched"}}]' ELSE '[]' END AS alerts
         FROM {orders} LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) AS m
           FROM {lineitem} GROUP BY l_orderkey) l ON l_orderkey = o_orderkey""",
     "corrections": """
@@ -132,6 +132,29 @@ VIEWS = {
           concat('store', cast(o_custkey % 50 AS varchar(12))) AS store_id, o_orderkey % 9 AS item_count,
           cast(floor(o_totalprice) AS bigint) AS processing_time_ms
         FROM {orders}""",
+    "order_texts": """
+        SELECT o_orderkey AS doc_id, concat('订单编号：', cast(o_orderkey AS varchar(20)), chr(10), '门店名称 店', cast(o_custkey AS varchar(20)), chr(10),
+            CASE WHEN o_orderkey % 3 = 0 THEN concat('联系人: 张', cast(o_orderkey % 7 AS varchar(20)), chr(10)) ELSE '' END,
+            '电话:139', lpad(cast(o_custkey AS varchar(20)), 8, '0'), chr(10), CASE WHEN o_orderkey % 4 = 0 THEN concat('订单号 again', chr(10)) ELSE '' END,
+            '1 P', lpad(cast(o_orderkey AS varchar(20)), 6, '0'), ' 椰果 果粒 规格：2kg*10袋 ', cast(1 + o_orderkey % 9 AS varchar(20)), ' 件', chr(10),
+            '2、 红茶 ', cast(o_custkey % 5 AS varchar(20)), ' 箱', chr(10), '3. Black tea 500g x ', cast(2 + o_custkey % 3 AS varchar(20)), chr(10), 'no item 5') AS text
+        FROM {orders}""",
+    "messages": """
+        SELECT conv_id AS session_id, turn, role, CASE (conv_id + turn) % 8 WHEN 0 THEN concat('**思考 plan** ', text)
+            WHEN 1 THEN concat(substring(text, 1, 40), ' confirm') WHEN 2 THEN concat('第', cast(turn + 1 AS varchar(20)), '行数量改成', cast(conv_id AS varchar(20)))
+            WHEN 3 THEN '所有单位类型都改成large' WHEN 4 THEN '确认生成' WHEN 5 THEN concat('拒绝 ', text) WHEN 6 THEN concat('1. ', text, chr(10), '- second') ELSE text END AS content,
+          CASE WHEN role = 'assistant' AND turn % 3 = 1 THEN '[{{"name":"execute","arguments":"go"}},{{"name":"_match_store","arguments":"st"}}]'
+            WHEN role = 'assistant' THEN '[{{"name":"order_parser","arguments":"x"}}]' END AS tool_calls
+        FROM {conversations}""",
+    "snippets": """
+        SELECT doc_id, source, lang, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN concat(text, ' 联系人：李', cast(doc_id AS varchar(20)), '号 13', lpad(cast(doc_id AS varchar(20)), 9, '5'))
+            WHEN 2 THEN concat('mail Shop', cast(doc_id % 50 AS varchar(20)), '@example.com or x@qq.com 经理 Wang, 010)12345678 ', text) ELSE concat('a@qq.com ', text) END AS text
+        FROM {documents}""",
+    "records": """
+        SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN concat('2026-01-02 完成 ', text, ' 因为 a1b2c3d4') WHEN 1 THEN concat('修复 bug 原因 87% ', text) WHEN 2 THEN concat('2025-03-04 ', text)
+            WHEN 3 THEN concat('# Title ', cast(doc_id AS varchar(20)), chr(10), '- [x] done one', chr(10), '✅ done two', chr(10), '**决定** use it', chr(10), text, chr(10), 'Bug fixed 修复') ELSE text END AS text,
+          doc_id % 60 AS age_days
+        FROM {documents}""",
     "traces": """
         SELECT concat('agent', cast(user_id % 3 AS varchar(12))) AS agent_id, user_id AS session_id, event_id AS step_no, ts AS created_at,
           CASE event_type WHEN 'view' THEN 'reasoning' WHEN 'click' THEN 'tool_call' WHEN 'purchase' THEN 'tool_call' ELSE 'user_action' END AS step_type,
@@ -142,6 +165,26 @@ VIEWS = {
 }
 
 
+# Order sheets: ten part rows each; the header of a sheet follows from its number, every fourth sheet has no known layout.
+_BODY = ["cast(p_partkey AS varchar(20))", "CASE WHEN p_partkey % 4 = 0 THEN concat('店', cast(p_partkey AS varchar(20))) END", "p_name",
+         "cast(p_size AS varchar(20))", "'箱'", "concat(cast(p_size AS varchar(20)), 'KG')"]
+_HEADS = [["序号", "门店名称", "商品名称", "数量", "单位", "规格"], ["序号", "门店名称", "产品名称", "地址", "电话", "规格"],
+          ["序号", "客户名称*", "商品名称*", "出库数量*", "单位", "电话"], ["a", "b", "c", "d", "e", "f"]]
+
+
+def _sheet_cells() -> str:
+    parts = [f"SELECT p_partkey - p_partkey % 10 AS doc_id, 2 + p_partkey % 10 AS row, cast({i} AS bigint) AS col, {v} AS value FROM {{part}}"
+             for i, v in enumerate(_BODY)]
+    for i in range(6):
+        label = " ".join(f"WHEN {k} THEN '{h[i]}'" for k, h in enumerate(_HEADS))
+        parts.append(f"SELECT p_partkey AS doc_id, cast(1 AS bigint) AS row, cast({i} AS bigint) AS col, "
+                     f"CASE cast(floor(p_partkey / 10) AS bigint) % 4 {label} END AS value FROM {{part}} WHERE p_partkey % 10 = 0")
+    return " UNION ALL ".join(parts)
+
+
+VIEWS["sheet_cells"] = _sheet_cells()
+
+
 def tables_of(sql: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", sql)))
 
