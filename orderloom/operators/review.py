@@ -89,8 +89,9 @@ def apply_edits(review: DataFrame, edits: DataFrame, order_key: str, line_key: s
     """
     def spread(df: DataFrame, keys: Sequence[str], tag: str) -> DataFrame:
         return df.groupBy(*keys).agg(*[
-            F.max(F.when(F.col("field") == f, F.struct("seq", "new_value"))).alias(f"_{tag}_{f}") for f in fields])
+            F.max(F.when(F.col("field") == f, F.struct("_at", "new_value"))).alias(f"_{tag}_{f}") for f in fields])
 
+    edits = edits.withColumnRenamed("seq", "_at")
     own = spread(edits.where("row > 0").withColumnRenamed("row", line_key), [order_key, line_key], "own")
     every = spread(edits.where("row = 0"), [order_key], "all")
     joined = review.join(own, [order_key, line_key], "left").join(every, order_key, "left")
