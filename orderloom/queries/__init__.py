@@ -39,4 +39,4 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
 
 
 def load() -> None:
-    from . import analytics, evaluation, monitoring, normalise, scalars, sku, sources, store, stream, texts  # noqa: F401
+    from . import analytics, monitoring, normalise, scalars, sku, sources, store, stream, texts  # noqa: F401

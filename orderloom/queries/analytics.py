@@ -111,7 +111,7 @@ WRAP = ["orders_total", "distinct_owners", "auto_confirmed", "user_modified", "a
 def _wrap(where):
     return f"""WITH w AS (SELECT order_date, count(*)::DOUBLE AS orders_total, count(DISTINCT owner_code)::DOUBLE AS distinct_owners, count(CASE WHEN user_confirmed AND NOT user_modified THEN 1 END)::DOUBLE AS auto_confirmed, count(CASE WHEN user_modified THEN 1 END)::DOUBLE AS user_modified,
       {r('avg(CASE WHEN sku_count > 0 THEN sku_match_rate END)', 3)} AS avg_sku_match_rate, floor(avg(processing_time_ms) + 0.5 + 1e-9)::DOUBLE AS avg_processing_ms, sum(sku_count)::DOUBLE AS total_skus, sum(json_array_length(alerts))::DOUBLE AS total_alert_entries FROM feedback {where} GROUP BY order_date)
-      SELECT order_date, metric, value FROM (UNPIVOT INCLUDE NULLS w ON {', '.join(WRAP)} INTO NAME metric VALUE value) u"""
+      SELECT order_date, metric, value FROM w UNPIVOT INCLUDE NULLS (value FOR metric IN ({', '.join(WRAP)}))"""
 
 
 @query("a27_daily_wrap", _wrap(""), FB)

@@ -1 +1,99 @@
+"""Batch twins of the streams, and streams that run over the given events until they are used up."""
 
+from pyspark.sql import functions as F
+
+from ..operators import monitoring as mo
+from ..session import work_path
+from ..streaming import jobs, sessions
+from . import query
+
+EV = ("order_events",)
+KNOWN = "event_type IN ('store_confirm_needed', 'store_confirmed', 'sku_corrected', 'order_complete', 'order_cancelled', 'user_modified')"
+
+
+@query("s13_known_events", f"SELECT event_type, count(*) AS n, sum(cast(json_extract_string(props, '$.k') AS bigint))::BIGINT AS k_sum FROM order_events WHERE {KNOWN} GROUP BY ALL", EV)
+def _(t):
+    return jobs.known_events(t.order_events).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("k_sum"))
+
+
+SESSIONS = """WITH e AS (SELECT *, event_type = 'store_confirm_needed' AS st, event_type IN ('order_complete', 'order_cancelled') AS en FROM order_events),
+ s AS (SELECT *, sum(CASE WHEN st OR en THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - CASE WHEN en THEN 1 ELSE 0 END AS seg FROM e),
+ g AS (SELECT session_id, seg, bool_or(st) AS had_start, bool_or(event_type = 'store_confirmed') AS ok, count(CASE WHEN event_type = 'sku_corrected' THEN 1 END) AS c, bool_or(event_type = 'user_modified') AS m, max(CASE WHEN event_type = 'order_complete' THEN ts END) AS completed_at,
+   max(CASE WHEN event_type = 'order_complete' THEN event_id END) AS event_id, max(CASE WHEN event_type = 'order_complete' THEN value END) AS value FROM s GROUP BY ALL)
+ SELECT session_id, completed_at, event_id, had_start, had_start AND ok AS store_confirmed, CASE WHEN had_start THEN c ELSE 0 END AS n_corrections, had_start AND m AS user_modified, value FROM g WHERE completed_at IS NOT NULL"""
+
+
+@query("t01_order_sessions", SESSIONS, EV)
+def _(t):
+    return sessions.sessions_batch(t.order_events)
+
+
+@query("t02_layer_statistics", """SELECT CASE WHEN starts_with(event_type, 'store') THEN 'store' ELSE 'sku' END AS entity_type, concat('layer_', cast(cast(json_extract_string(props, '$.k') AS bigint) % 5 AS varchar)) AS layer_name, count(*) AS total_attempts,
+  count(CASE WHEN event_type = 'store_confirmed' THEN 1 END) AS success_count, count(CASE WHEN event_type <> 'store_confirmed' THEN 1 END) AS user_corrected_count, sum(floor(value))::BIGINT AS score_sum FROM order_events WHERE event_type IN ('store_confirmed', 'sku_corrected') GROUP BY ALL""", EV)
+def _(t):
+    return jobs.layer_statistics(t.order_events)
+
+
+@query("t02_layer_statistics_stream")
+def _(t):
+    return drain(t, lambda e: jobs.layer_statistics(e), "complete")
+
+
+def drain(t, build, mode):
+    """Write the events as files below the shared folder and run the stream over them until they are used up."""
+    spark = t.spark
+    path, out, state = work_path(spark, "events"), work_path(spark, "out"), work_path(spark, "state")
+    t.order_events.withColumn("ts", F.col("ts").cast("timestamp")).repartition(4).write.parquet(path)
+
+    def keep(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{out}/result")
+
+    stream = build(jobs.event_source(spark, path))
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/result")
+
+
+@query("t03_rejections", "SELECT user_id AS session_id, count(CASE WHEN event_id % 3 = 0 THEN 1 END) AS reject_count, 'high' AS severity FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(CASE WHEN event_id % 3 = 0 THEN 1 END) >= 2")
+def _(t):
+    acts = t.events.where("event_type = 'error'").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("session_id"), F.when(F.col("event_id") % 3 == 0, "reject").otherwise("modify").alias("action"))
+    return jobs.rejection_stream(acts)
+
+
+@query("t04_stalled_sessions", """WITH g AS (SELECT session_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS brk FROM order_events WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)),
+  s AS (SELECT session_id, ts, sum(brk) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS seg FROM g) SELECT session_id, max(ts) AS last_ts, max(ts) + INTERVAL 30 MINUTE AS stalled_at, count(*) AS n_events FROM s GROUP BY session_id, seg""", EV)
+def _(t):
+    out = jobs.stalled_sessions(t.order_events.withColumn("ts", F.col("ts").cast("timestamp")))
+    return out.select("session_id", F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), F.col("stalled_at").cast("timestamp_ntz").alias("stalled_at"), "n_events")
+
+
+@query("t05_active_sessions", "SELECT session_id, max(ts) AS last_ts, count(*) AS n_events FROM order_events GROUP BY session_id HAVING max(ts) >= TIMESTAMP '2024-01-30 22:00:00' - INTERVAL 60 MINUTE", EV)
+def _(t):
+    return mo.active_sessions(t.order_events, "2024-01-30 22:00:00", 60)
+
+
+@query("t06_daily_metrics", "SELECT cast(ts AS date) AS day, event_type, count(*) AS n, sum(floor(value * 100))::BIGINT AS value_cents FROM order_events GROUP BY ALL", EV)
+def _(t):
+    return jobs.daily_metrics(t.order_events.withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+@query("x01_event_handlers", f"SELECT event_type, count(*) AS n FROM order_events WHERE event_type IN ('order_complete', 'order_cancelled') GROUP BY ALL", EV)
+def _(t):
+    path = work_path(t.spark, "handlers")
+
+    def keep(rows, epoch):
+        rows.select("event_id", "event_type").write.mode("append").parquet(path)
+
+    def broken(rows, epoch):
+        raise ValueError("a failing handler")
+
+    jobs.dispatch({"order_complete": [broken, keep], "order_cancelled": [keep]})(t.order_events, 0)
+    return t.spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("x02_ratio_from_sql", "SELECT n_name, r_name, 0.0e0 AS floor FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _(t):
+    from ..functions.similarity import register
+
+    register(t.spark)
+    return t.spark.sql("SELECT n_name, r_name, floor(seq_ratio(n_name, r_name) * 0) + 0.0D AS floor FROM {n} JOIN {r} ON n_regionkey = r_regionkey", n=t.nation, r=t.region)

@@ -102,9 +102,9 @@ def _(t):
     return an.keep_first(by_url, [key], [F.col("page_id")]).select("page_id", "url", key.alias("name_key"))
 
 
-@query("u03_index_difference", "SELECT doc_id, 'new' AS state FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'removed' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 9 <> 0) AND doc_id % 9 = 0 AND 1 = 0")
+@query("u03_index_difference", "SELECT doc_id, 'new' AS state FROM documents WHERE doc_id NOT IN (SELECT doc_id * 2 FROM labels) UNION ALL SELECT doc_id * 2, 'removed' FROM labels WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)")
 def _(t):
-    return an.index_difference(t.documents, t.labels, "doc_id")
+    return an.index_difference(t.documents, t.labels.select((F.col("doc_id") * 2).alias("doc_id")), "doc_id")
 
 
 @query("u04_search_index", f"WITH {TOKENS} SELECT d.doc_id, octet_length(encode(text)) AS size FROM (SELECT DISTINCT doc_id FROM tokens WHERE contains(lower(token), 'thing')) h JOIN documents d ON d.doc_id = h.doc_id ORDER BY size DESC, d.doc_id LIMIT 10")
