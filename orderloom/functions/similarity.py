@@ -5,7 +5,7 @@ from typing import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -40,6 +40,10 @@ def seq_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
         yield pd.Series(out, dtype="float64")
 
 
+# Marked so that the optimizer neither moves the call into a join condition nor computes it twice.
+seq_ratio = seq_ratio.asNondeterministic()
+
+
 def register(spark) -> None:
     """Make the ratio usable from SQL as seq_ratio(a, b)."""
     spark.udf.register("seq_ratio", seq_ratio)
@@ -77,11 +81,21 @@ def shared_char_bound(a: Column, b: Column) -> Column:
     return F.lit(2.0) * shared / (F.length(a) + F.length(b))
 
 
-def bounded_ratio(a: Column, b: Column, floor: float) -> Column:
-    """The ratio where it can reach `floor`, else null; Python sees only undecided pairs."""
+def plain_ratio(a: Column, b: Column) -> Column:
+    """The ratio: closed form where one text contains the other, Python for the other pairs."""
     exact = contained_ratio(a, b)
-    open_pair = exact.isNull() & (length_bound(a, b) >= floor) & (shared_char_bound(a, b) >= floor)
-    return F.coalesce(exact, seq_ratio(F.when(open_pair, a), F.when(open_pair, b)))
+    return F.coalesce(exact, seq_ratio(F.when(exact.isNull(), a), b))
+
+
+def with_ratio(pairs: DataFrame, a: str, b: str, floor: float, out: str, also: Column | None = None) -> DataFrame:
+    """Pairs whose ratio can reach `floor` (or that `also` keeps), with the ratio. Python sees only undecided pairs."""
+    x, y = F.col(a), F.col(b)
+    exact = contained_ratio(x, y)
+    near = (length_bound(x, y) >= floor) & (shared_char_bound(x, y) >= floor)
+    near = near if also is None else (also | near)
+    decided = pairs.withColumn(out, exact).where(F.col(out).isNotNull())
+    undecided = pairs.where(exact.isNull() & near).withColumn(out, seq_ratio(x, y))
+    return decided.unionByName(undecided)
 
 
 def store_similarity(a: Column, b: Column, ratio: Column, brand_prefixes: Sequence[str] = (),

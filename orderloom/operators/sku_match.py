@@ -255,11 +255,7 @@ def name_scores(pairs: DataFrame, forms: Sequence[str] = fv.PRODUCT_FORMS,
     """Sequence ratio of gated pairs; Python sees only pairs no closed form or bound decides."""
     a, b = F.col("clean"), F.col("sku_name")
     gated = pairs.where(tx.core_word_gate(a, b, forms, seasonings)).withColumn("edge", shares_edge(a, b))
-    exact = sim.contained_ratio(a, b)
-    open_pair = exact.isNull() & (
-        F.col("edge") | ((sim.length_bound(a, b) >= floor) & (sim.shared_char_bound(a, b) >= floor)))
-    return gated.withColumn("name_score", F.coalesce(
-        exact, sim.seq_ratio(F.when(open_pair, a), F.when(open_pair, b)))).where("name_score is not null")
+    return sim.with_ratio(gated, "clean", "sku_name", floor, "name_score", also=F.col("edge"))
 
 
 def score_layers(keys: DataFrame, scored_pairs: DataFrame, catalog: DataFrame, floor: float = 0.5) -> DataFrame:

@@ -59,12 +59,15 @@ def phone_candidates(requests: DataFrame, stores: DataFrame, brand_prefixes: Seq
             bare.join(asked.withColumn("x", tx.strip_first_prefix("a", brand_prefixes, True)), ["phone", "x"])
             .join(known.select("phone", "b").distinct().withColumn("y", tx.strip_first_prefix("b", brand_prefixes, True)), ["phone", "y"])
             .select("phone", "a", "b")).distinct()
-    ratio = sim.bounded_ratio(F.col("a"), F.col("b"), floor)
-    scored = pairs.withColumn("sim", F.coalesce(ratio, F.lit(0.0)))
+    pairs = cut_lineage(pairs, "phone-pairs")
+    scored = sim.with_ratio(pairs, "a", "b", floor, "sim")
     if brand_prefixes:
-        bare_ratio = sim.bounded_ratio(
-            tx.strip_first_prefix("a", brand_prefixes, True), tx.strip_first_prefix("b", brand_prefixes, True), floor)
-        scored = scored.withColumn("sim", F.when(F.col("sim") < 0.6, F.greatest("sim", F.coalesce(bare_ratio, F.lit(0.0)))).otherwise(F.col("sim")))
+        stripped = pairs.withColumn("x", tx.strip_first_prefix("a", brand_prefixes, True)).withColumn(
+            "y", tx.strip_first_prefix("b", brand_prefixes, True))
+        bare_scores = sim.with_ratio(stripped, "x", "y", floor, "sim2").drop("x", "y")
+        s1, s2 = F.coalesce("sim", F.lit(0.0)), F.coalesce("sim2", F.lit(0.0))
+        scored = scored.join(bare_scores, ["phone", "a", "b"], "full_outer").select(
+            "phone", "a", "b", F.when(s1 < 0.6, F.greatest(s1, s2)).otherwise(s1).alias("sim"))
     named = scored.where(F.col("sim") >= floor).join(known, ["phone", "b"]).join(counts, "phone")
     return requests.select("request_id", "phone", F.col("store_name").alias("a")).join(named, ["phone", "a"]).select(
         "request_id", "store_code", F.col("sim").alias("similarity"), "n_phone")
@@ -104,7 +107,8 @@ def by_contained_name(requests: DataFrame, stores: DataFrame) -> DataFrame:
 def similar_names(requests: DataFrame, stores: DataFrame, accept: float = 0.75, suggest: float = 0.5, k: int = 5) -> DataFrame:
     """Extension, off by default: best similar name (>= accept), else up to k candidates (>= suggest) to choose from."""
     pairs = similar_pairs(requests.select(F.col("store_name").alias("a")), stores.select(F.col("store_name").alias("b")), [], "a", "b", suggest)
-    scored = pairs.withColumn("score", sim.bounded_ratio(F.col("a"), F.col("b"), suggest)).where(F.col("score") >= suggest)
+    pairs = cut_lineage(pairs, "similar-pairs")
+    scored = sim.with_ratio(pairs, "a", "b", suggest, "score").where(F.col("score") >= suggest)
     rows = requests.select("request_id", F.col("store_name").alias("a")).join(scored, "a").join(
         stores.select(F.col("store_name").alias("b"), "store_code"), "b")
     top = top_k(rows, ["request_id"], [F.col("score").desc(), F.col("store_code")], k)
@@ -135,8 +139,7 @@ def by_company(requests: DataFrame, stores: DataFrame, owners: DataFrame) -> Dat
 def by_contact(requests: DataFrame, stores: DataFrame, floor: float = 0.6) -> DataFrame:
     """Store name contains the contact name and is at least `floor` like it."""
     pairs = containment_join(requests.select(F.col("contact_person").alias("needle")), stores.select(F.col("store_name").alias("hay")))
-    ratio = F.coalesce(sim.contained_ratio(F.col("needle"), F.col("hay")), sim.seq_ratio(
-        F.when(sim.contained_ratio(F.col("needle"), F.col("hay")).isNull(), F.col("needle")), F.col("hay")))
+    ratio = sim.plain_ratio(F.col("needle"), F.col("hay"))
     scored = pairs.withColumn("score", ratio).where(F.col("score") >= floor).join(
         stores.select(F.col("store_name").alias("hay"), "store_code"), "hay").select(F.col("needle").alias("request_id"), "store_code", "score")
     best = _best(scored).withColumnRenamed("request_id", "contact_person")
@@ -159,8 +162,7 @@ def by_address(requests: DataFrame, stores: DataFrame, preferred: Sequence[str]
     hits = hits.groupBy("word", "store_address").agg(
         F.min("store_code").alias("store_code"), F.min(F.when(liked, F.col("store_code"))).alias("liked_code"))
     joined = salted_join(hits, first, ["word"], F.col("store_address"))
-    scored = joined.withColumn("score", F.coalesce(
-        sim.contained_ratio(F.col("address"), F.col("store_address")), sim.seq_ratio(F.col("address"), F.col("store_address"))))
+    scored = joined.withColumn("score", sim.plain_ratio(F.col("address"), F.col("store_address")))
     best = scored.groupBy("address").agg(
         F.min("liked_code").alias("_liked"), F.min(F.struct((-F.col("score")).alias("neg"), "store_code")).alias("_b"))
     best = best.select("address", F.coalesce("_liked", F.col("_b.store_code")).alias("store_code"), (-F.col("_b.neg")).alias("score"))
@@ -206,10 +208,10 @@ def by_cross_keywords(requests: DataFrame, stores: DataFrame, brand_words: Seque
     left = words.select("word", F.col("store_name").alias("a"))
     pairs = coverage_pairs(left, right, ["word"], "a", "b", floor, char_class).unionByName(
         similar_pairs(left, right, ["word"], "a", "b", floor)).select("a", "b").distinct()
+    pairs = cut_lineage(pairs, "cross-pairs")
     a, b = F.col("a"), F.col("b")
-    exact = sim.contained_ratio(a, b)
-    ratio = F.coalesce(exact, sim.seq_ratio(F.when(exact.isNull(), a), b))
-    scored = pairs.withColumn("score", tx.bigram_coverage(a, b, char_class) * 0.5 + ratio * 0.5).where(F.col("score") >= floor)
+    scored = pairs.withColumn("_ratio", sim.plain_ratio(a, b)).withColumn(
+        "score", tx.bigram_coverage(a, b, char_class) * 0.5 + F.col("_ratio") * 0.5).where(F.col("score") >= floor)
     best = _best(scored.join(stores.select(F.col("store_name").alias("b"), "store_code"), "b").select(
         F.col("a").alias("request_id"), "store_code", "score")).withColumnRenamed("request_id", "store_name")
     return _hit(requests.select("request_id", "store_name").join(best, "store_name"), "keyword_cross", F.col("score"))
@@ -224,8 +226,8 @@ def by_contact_phone(requests: DataFrame, stores: DataFrame) -> DataFrame:
     many = base.where("n_phone > 1").select("request_id", "phone", F.col("store_name").alias("a"), "n_phone", "only")
     b = stores.select("phone", F.col("store_name").alias("b"), "store_code")
     # any shared character can win; names that share none score 0 and leave the smallest code
-    pairs = similar_pairs(many.where("a <> ''"), b, ["phone"], "a", "b", 0.01)
-    scored = many.join(pairs.withColumn("score", sim.bounded_ratio(F.col("a"), F.col("b"), 0.01)), ["phone", "a"]).join(
+    pairs = cut_lineage(similar_pairs(many.where("a <> ''"), b, ["phone"], "a", "b", 0.01), "fallback-pairs")
+    scored = many.join(sim.with_ratio(pairs, "a", "b", 0.01, "score"), ["phone", "a"]).join(
         b, ["phone", "b"]).select("request_id", "store_code", F.coalesce("score", F.lit(0.0)).alias("score"))
     near = scored.groupBy("request_id").agg(F.count_if(F.col("score") >= 0.5).alias("n"))
     best = many.select("request_id", "only").join(_best(scored), "request_id", "left").join(near, "request_id", "left").select(

@@ -114,7 +114,7 @@ def _(t):
     brands = ["BUILDING-"]
     pairs = t.stores.select(F.col("store_name").alias("a")).withColumn("b", F.left("a", F.length("a") - 3))
     x, y = tx.strip_first_prefix("a", brands), tx.strip_first_prefix("b", brands)
-    ratio = sim.bounded_ratio(x, y, 0.0)
+    ratio = sim.plain_ratio(x, y)
     return pairs.select("a", "b", F.round(sim.store_similarity(F.col("a"), F.col("b"), ratio, brands), 6).alias("similarity"))
 
 

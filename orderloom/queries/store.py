@@ -84,14 +84,16 @@ def _(t):
     return st.by_cross_keywords(t.store_requests.where("store_name like 'ZZ%'"), t.stores, char_class=LETTERS)
 
 
-@query("j13_brand_and_warehouse", """WITH n AS (SELECT DISTINCT store_name, concat('NATION_', cast(c_nationkey AS varchar)) AS warehouse, concat('Supplier#0000', lpad(cast(c_custkey % 100 AS varchar), 5, '0')) AS brand FROM (SELECT *, concat('Supplier#0000', lpad(cast(c_custkey % 100 AS varchar), 5, '0'), 'NATION_', cast(c_nationkey AS varchar)) AS store_name FROM customer WHERE c_nationkey >= 10) x),
-  h AS (SELECT warehouse, owner_code, min(store_code) AS store_code FROM stores GROUP BY ALL), b AS (SELECT n.store_name, min(o.customer_id) AS owner_code FROM n JOIN owners o ON contains(o.customer_name, n.brand) AND o.status = 'ACTIVE' GROUP BY ALL),
+@query("j13_brand_and_warehouse", """WITH n AS (SELECT DISTINCT concat(brand, lpad(cast(c_nationkey AS varchar), 4, 'N'), '仓') AS store_name, concat(lpad(cast(c_nationkey AS varchar), 4, 'N'), '仓') AS warehouse, brand
+    FROM (SELECT c_nationkey, concat('Supplier#0000', lpad(cast(c_custkey % 100 AS varchar), 5, '0')) AS brand FROM customer) x),
+  h AS (SELECT concat(lpad(replace(warehouse, 'NATION_', ''), 4, 'N'), '仓') AS warehouse, owner_code, min(store_code) AS store_code FROM stores GROUP BY ALL), b AS (SELECT n.store_name, min(o.customer_id) AS owner_code FROM n JOIN owners o ON contains(o.customer_name, n.brand) AND o.status = 'ACTIVE' GROUP BY ALL),
   t AS (SELECT h.warehouse, min(h.owner_code) AS other FROM h WHERE h.owner_code IN (SELECT customer_id FROM owners WHERE status = 'ACTIVE') GROUP BY ALL)
   SELECT n.store_name, h.store_code FROM n LEFT JOIN b USING (store_name) LEFT JOIN t USING (warehouse) JOIN h ON h.warehouse = n.warehouse AND h.owner_code = coalesce(b.owner_code, t.other)""", ("stores", "owners"))
 def _(t):
-    names = t.customer.where("c_nationkey >= 10").select(F.concat(F.lit("Supplier#0000"), F.lpad((F.col("c_custkey") % 100).cast("string"), 5, "0"), F.lit("NATION_"), F.col("c_nationkey").cast("string")).alias("store_name")).distinct()
-    suffixes = [str(k) for k in range(24, 9, -1)]
-    hits = st.by_brand_and_warehouse(names.withColumn("request_id", F.col("store_name")), t.stores, t.owners, suffixes, 7)
+    house = F.concat(F.lpad(F.col("c_nationkey").cast("string"), 4, "N"), F.lit("仓"))
+    names = t.customer.select(F.concat(F.lit("Supplier#0000"), F.lpad((F.col("c_custkey") % 100).cast("string"), 5, "0"), house).alias("store_name")).distinct()
+    stores = t.stores.withColumn("warehouse", F.concat(F.lpad(F.replace("warehouse", F.lit("NATION_"), F.lit("")), 4, "N"), F.lit("仓")))
+    hits = st.by_brand_and_warehouse(names.withColumn("request_id", F.col("store_name")), stores, t.owners)
     return hits.select(F.col("request_id").alias("store_name"), "store_code")
 
 
