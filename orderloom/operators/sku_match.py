@@ -101,40 +101,28 @@ def resolve_aliases(table_aliases: DataFrame, file_aliases: DataFrame, catalog:
 
 # --- layers of equal names --------------------------------------------------------------
 
-def exact_hits(keys: DataFrame, catalog: DataFrame, name_col: str, layer: str) -> DataFrame:
-    """Catalog groups whose name or customer code equals the key's name: two equi-joins, no OR."""
+def lookup_table(catalog: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Catalog groups by the texts that name them: SKU name, customer code (kind 'sku') and alias (kind 'alias')."""
     active = active_catalog(catalog)
-    by_name = catalog_groups(active)
-    by_code = catalog_groups(active.where("customer_code <> sku_name"), "customer_code")
-    groups = by_name.unionByName(by_code).withColumnRenamed("hit_name", name_col)
-    return keys.join(groups, ["owner_code", name_col]).withColumn("layer", F.lit(layer))
-
-
-def alias_hits(keys: DataFrame, aliases: DataFrame) -> DataFrame:
-    groups = catalog_groups(aliases, "name").withColumnRenamed("hit_name", "name")
-    return keys.join(groups, ["owner_code", "name"]).withColumn("layer", F.lit("L0"))
+    out = catalog_groups(active).unionByName(
+        catalog_groups(active.where("customer_code <> sku_name"), "customer_code")).withColumn("kind", F.lit("sku"))
+    if aliases is not None:
+        out = out.unionByName(catalog_groups(aliases, "name").withColumn("kind", F.lit("alias")))
+    return out
 
 
-def _unit_totals(fits: Column | None = None) -> list[Column]:
-    """Row counts and first rows of a key: all, with the order's unit, and the same among rows that fit."""
-    unit = (F.col("order_unit") != "") & (F.col("sku_unit") == F.col("order_unit"))
-    out = []
-    for tag, which in (("all", None), ("fit", fits)):
-        if tag == "fit" and fits is None:
-            continue
-        n, sku = F.col("n"), F.col("sku")
-        if which is not None:
-            n, sku = F.when(which, n).otherwise(0), F.when(which, sku)
-        out += [F.sum(n).alias(f"n_{tag}"), F.sum(F.when(unit, n).otherwise(0)).alias(f"u_{tag}"),
-                F.min(sku).alias(f"b_{tag}"), F.min(F.when(unit, sku)).alias(f"bu_{tag}")]
-    return out
+def equal_hits(keys: DataFrame, catalog: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Groups whose name, code or alias equals the key's name (L0, L1) or cleaned name (L1b): one equi-join for all."""
+    changed = (F.col("clean") != F.col("name")) & (F.col("clean") != "")
 
+    def ask(layer: str, kind: str, text: str) -> Column:
+        return F.struct(F.lit(layer).alias("layer"), F.lit(kind).alias("kind"), F.col(text).alias("hit_name"))
 
-def choose_by_unit(hits: DataFrame) -> DataFrame:
-    """One row per key and layer: a single row, else the only row with the order's unit, else candidates."""
-    agg = hits.groupBy(*KEY, "layer").agg(*_unit_totals())
-    return _pick(agg.select(*KEY, "layer", F.col("n_all").alias("n"), F.col("u_all").alias("u"), F.col("b_all").alias("b"),
-                            F.col("bu_all").alias("bu"), F.lit(False).alias("by_spec")))
+    asked = [ask("L1", "sku", "name"), F.when(changed, ask("L1b", "sku", "clean"))]
+    if aliases is not None:
+        asked.append(ask("L0", "alias", "name"))
+    rows = keys.withColumn("_a", F.explode(F.array_compact(F.array(*asked)))).select(*keys.columns, "_a.*")
+    return rows.join(lookup_table(catalog, aliases), ["owner_code", "kind", "hit_name"]).drop("kind", "hit_name")
 
 
 def with_spec_points(rows: DataFrame) -> DataFrame:
@@ -147,18 +135,32 @@ def with_spec_points(rows: DataFrame) -> DataFrame:
         "spec_points", F.coalesce("_p", F.lit(0.5))).drop("_p")
 
 
-def choose_by_spec_and_unit(hits: DataFrame) -> DataFrame:
-    """As choose_by_unit, but of several rows those whose specification scores .5 or more come first, if there are any."""
-    scored = with_spec_points(hits).withColumn("_fits", F.col("spec_points") >= 0.5)
-    agg = scored.groupBy(*KEY, "layer").agg(*_unit_totals(F.col("_fits")))
-    fit = (F.col("n_all") > 1) & (F.col("n_fit") > 0)
-    return _pick(agg.select(*KEY, "layer", *[
-        F.when(fit, F.col(f"{p}_fit")).otherwise(F.col(f"{p}_all")).alias(p) for p in ("n", "u", "b", "bu")], fit.alias("by_spec")))
+def _unit_totals(tag: str, which: Column | None = None) -> list[Column]:
+    """Row counts and first rows of a key, of all its rows or of some: all of them, and those with the order's unit."""
+    unit = (F.col("order_unit") != "") & (F.col("sku_unit") == F.col("order_unit"))
+    n, sku = F.col("n"), F.col("sku")
+    if which is not None:
+        n, sku = F.when(which, n).otherwise(0), F.when(which, sku)
+    return [F.sum(n).alias(f"n_{tag}"), F.sum(F.when(unit, n).otherwise(0)).alias(f"u_{tag}"),
+            F.min(sku).alias(f"b_{tag}"), F.min(F.when(unit, sku)).alias(f"bu_{tag}")]
 
 
-def _pick(agg: DataFrame) -> DataFrame:
+def choose_by_unit(hits: DataFrame) -> DataFrame:
+    """One row per key and layer: a single row, else the only row with the order's unit, else candidates.
+
+    For cleaned names with a specification, of several rows those whose specification scores .5 or more come first,
+    if there are any.
+    """
+    by_spec = (F.col("layer") == "L1b") & (F.col("order_spec") != "")
+    plain = hits.where(~by_spec).groupBy(*KEY, "layer").agg(*_unit_totals("all"))
+    plain = plain.select(*KEY, "layer", *[F.col(f"{p}_all").alias(p) for p in ("n", "u", "b", "bu")], F.lit(False).alias("by_spec"))
+    scored = with_spec_points(hits.where(by_spec))
+    agg = scored.groupBy(*KEY, "layer").agg(*_unit_totals("all"), *_unit_totals("fit", F.col("spec_points") >= 0.5))
+    fit = (F.col("n_all") > 1) & (F.col("n_fit") > 0)
+    spec = agg.select(*KEY, "layer", *[
+        F.when(fit, F.col(f"{p}_fit")).otherwise(F.col(f"{p}_all")).alias(p) for p in ("n", "u", "b", "bu")], fit.alias("by_spec"))
     by_unit = (F.col("n") > 1) & (F.col("u") > 0)
-    return agg.select(
+    return plain.unionByName(spec).select(
         *KEY, "layer", F.when(by_unit, F.col("bu")).otherwise(F.col("b")).alias("sku"),
         F.when(by_unit, F.col("u")).otherwise(F.col("n")).cast("bigint").alias("n_candidates"),
         by_unit.alias("by_unit"), "by_spec",
@@ -178,15 +180,9 @@ def first_layer(results: DataFrame) -> DataFrame:
 
 def resolve_equal(keys: DataFrame, catalog: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Layers L0 (alias), L1 (name or code) and L1b (cleaned name)."""
-    changed = keys.where("clean <> name and clean <> ''")
-    hits = exact_hits(keys, catalog, "name", "L1").unionByName(
-        exact_hits(changed.where("order_spec = ''"), catalog, "clean", "L1b"))
-    if aliases is not None:
-        hits = hits.unionByName(alias_hits(keys, aliases))
-    with_spec = exact_hits(changed.where("order_spec <> ''"), catalog, "clean", "L1b")
+    hits = cut_lineage(equal_hits(keys, catalog, aliases), "hits")
     conf = F.create_map(*[F.lit(x) for kv in fv.EQUAL_LAYER_CONFIDENCE.items() for x in kv])
-    return first_layer(choose_by_unit(hits).unionByName(choose_by_spec_and_unit(with_spec))).withColumn(
-        "confidence", conf[F.col("layer")])
+    return first_layer(choose_by_unit(hits)).withColumn("confidence", conf[F.col("layer")])
 
 
 # --- layers of similar names -----------------------------------------------------------------
@@ -205,24 +201,24 @@ def candidate_pairs(names: DataFrame, sku_names: DataFrame, forms: Sequence[str]
     product-form word, or an empty core. The last two kinds also need a ratio that can reach `floor` (prefix
     filter) or a shared name edge (equi-join on the edge 2-gram). No pair that any layer could accept is lost.
     """
-    names = names.select("owner_code", "clean").distinct().withColumn("core", tx.name_core("clean"))
-    skus = sku_names.select("owner_code", "sku_name").distinct().withColumn("core", tx.name_core("sku_name"))
-
-    def kinds(df: DataFrame, full: str) -> DataFrame:
-        return df.select("owner_code", full, F.explode(F.array(
-            F.struct(F.lit("full").alias("kind"), F.col(full).alias("t")),
-            F.struct(F.lit("core").alias("kind"), F.col("core").alias("t")))).alias("_k")).select("owner_code", full, "_k.kind", "_k.t")
-
-    a, b = kinds(names, "clean"), kinds(skus, "sku_name")
-    by = ["owner_code", "kind"]
-    inside = containment_join(a.withColumnRenamed("t", "needle"), b.withColumnRenamed("t", "hay"), by)
-    around = containment_join(b.withColumnRenamed("t", "needle"), a.withColumnRenamed("t", "hay"), by)
-    texts = inside.select(*by, F.col("needle").alias("at"), F.col("hay").alias("bt")).unionByName(
-        around.select(*by, F.col("hay").alias("at"), F.col("needle").alias("bt"))).distinct()
-    contained = (
-        texts.join(a.withColumnRenamed("t", "at"), [*by, "at"]).join(b.withColumnRenamed("t", "bt"), [*by, "bt"])
-        .select("owner_code", "clean", "sku_name")
-    )
+    names = cut_lineage(names.select("owner_code", "clean").distinct().withColumn("core", tx.name_core("clean")), "names")
+    skus = cut_lineage(sku_names.select("owner_code", "sku_name").distinct().withColumn("core", tx.name_core("sku_name")), "sku-names")
+
+    def both_ways(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """(keys, at, bt) where one text contains the other."""
+        inside = containment_join(a.withColumnRenamed("t", "needle"), b.withColumnRenamed("t", "hay"), keys)
+        around = containment_join(b.withColumnRenamed("t", "needle"), a.withColumnRenamed("t", "hay"), keys)
+        return inside.select(*keys, F.col("needle").alias("at"), F.col("hay").alias("bt")).unionByName(
+            around.select(*keys, F.col("hay").alias("at"), F.col("needle").alias("bt"))).distinct()
+
+    own = ["owner_code"]
+    contained = both_ways(names.select(*own, F.col("clean").alias("t")), skus.select(*own, F.col("sku_name").alias("t")), own).select(
+        "owner_code", F.col("at").alias("clean"), F.col("bt").alias("sku_name"))
+    if not (names.where("core <> clean").isEmpty() and skus.where("core <> sku_name").isEmpty()):
+        cores = both_ways(names.select(*own, F.col("core").alias("t")), skus.select(*own, F.col("core").alias("t")), own)
+        contained = contained.unionByName(
+            cores.join(names.withColumnRenamed("core", "at"), [*own, "at"]).join(skus.withColumnRenamed("core", "bt"), [*own, "bt"])
+            .select("owner_code", "clean", "sku_name"))
 
     empty = F.col("core") == ""
     left = names.withColumn("gate", F.explode(F.concat(
@@ -263,7 +259,7 @@ def score_layers(keys: DataFrame, scored_pairs: DataFrame, catalog: DataFrame, f
     groups = catalog_groups(active_catalog(catalog)).withColumnRenamed("hit_name", "sku_name")
     rows = keys.join(scored_pairs, ["owner_code", "clean"]).join(groups, ["owner_code", "sku_name"])
     spec, sku_spec = F.col("order_spec"), F.col("sku_spec")
-    rows = with_spec_points(rows)
+    rows = with_spec_points(cut_lineage(rows, "pair-rows"))
     boost = tx.containment_boost(F.col("clean"), F.col("sku_name"))
     raised = F.when(F.col("name_score") >= 0.7, F.greatest(boost, F.lit(0.25))).otherwise(boost)
     unit = (F.col("order_unit") != "") & (F.col("sku_unit") == F.col("order_unit"))
