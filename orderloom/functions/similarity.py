@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import text as tx
 
@@ -16,7 +17,7 @@ PLAIN_LENGTH = 200
 KNOWN_PAIRS = 200_000
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def seq_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """2*M/(len a + len b), M from the longest-block recursion; not symmetric. Null in, null out."""
     known: dict[tuple[str, str], float] = {}
