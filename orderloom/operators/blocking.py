@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import length_bound, numbered_chars
 from ..functions.text import grams
+from ..session import cut_lineage
 
 ROWS_PER_SALT = 50_000
 
@@ -26,28 +27,36 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id:
 
 
 def containment_join(needles: DataFrame, hays: DataFrame, keys: Sequence[str] = (), needle: str = "needle",
-                     hay: str = "hay") -> DataFrame:
+                     hay: str = "hay", stored: bool = False) -> DataFrame:
     """All (needle, hay) with the needle inside the hay, within equal keys.
 
     A contained needle has all its 2-grams in the hay, so meeting on one of them, the rarest among the hays, finds
     every pair. A gram that no hay has ends the search for its needle. Needles of one character meet on that
     character; empty needles match nothing. The hay side of a gram is salted by its measured size.
+    Both sides are read more than once, so they are stored first, unless they are `stored` tables already.
     """
     keys = list(keys)
     hays = hays.select(*keys, hay).distinct()
     needles = needles.select(*keys, needle).where(F.length(needle) > 0).distinct()
-    hay_grams = hays.select(*keys, hay, F.explode(F.array_union(grams(hay, 2), grams(hay, 1))).alias("_gram"))
-    sizes = hay_grams.groupBy(*keys, "_gram").agg(F.count(F.lit(1)).alias("_df"))
-    needle_grams = needles.withColumn(
-        "_grams", F.when(F.length(needle) == 1, F.array(F.col(needle))).otherwise(grams(needle, 2))
-    ).select(*keys, needle, F.size("_grams").alias("_need"), F.explode("_grams").alias("_gram"))
+    if not stored:
+        hays, needles = cut_lineage(hays, "hays"), cut_lineage(needles, "needles")
+
+    # Grams travel as short hashes: a chance collision only adds a pair that `contains` then drops. With them the
+    # rarest gram is the smallest whole number count * 2^39 + hash, which Spark aggregates without sorting.
+    def hashed(grams_of: Column) -> Column:
+        return F.explode(F.transform(grams_of, lambda g: F.pmod(F.xxhash64(g), F.lit(2 ** 39)))).alias("_gram")
+
+    hay_grams = hays.select(*keys, hay, hashed(F.array_union(grams(hay, 2), grams(hay, 1))))
+    sizes = hay_grams.groupBy(*keys, "_gram").agg(F.least(F.count(F.lit(1)), F.lit(2 ** 23)).alias("_df"))
+    wanted = F.when(F.length(needle) == 1, F.array(F.col(needle))).otherwise(grams(needle, 2))
+    needle_grams = needles.withColumn("_grams", wanted).select(*keys, needle, F.size("_grams").alias("_need"), hashed(F.col("_grams")))
     rarest = (
         needle_grams.join(sizes, [*keys, "_gram"])
         .groupBy(*keys, needle, "_need")
-        .agg(F.count(F.lit(1)).alias("_have"), F.min(F.struct("_df", "_gram")).alias("_r"))
+        .agg(F.count(F.lit(1)).alias("_have"), F.min(F.col("_df") * (2 ** 39) + F.col("_gram")).alias("_r"))
         .where("_have = _need")
-        .select(*keys, needle, F.col("_r._gram").alias("_gram"),
-                F.ceil(F.col("_r._df") / ROWS_PER_SALT).cast("int").alias("_salts"))
+        .select(*keys, needle, F.pmod(F.col("_r"), F.lit(2 ** 39)).alias("_gram"),
+                F.ceil(F.shiftright("_r", 39) / ROWS_PER_SALT).cast("int").alias("_salts"))
     )
     left = rarest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     salted = sizes.where(F.col("_df") > ROWS_PER_SALT).select(
@@ -58,6 +67,7 @@ def containment_join(needles: DataFrame, hays: DataFrame, keys: Sequence[str] =
         left.join(right, [*keys, "_gram", "_salt"])
         .where(F.col(hay).contains(F.col(needle)))
         .select(*keys, needle, hay)
+        .distinct()
     )
 
 
@@ -69,8 +79,8 @@ def similar_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str
     overlap is large enough must share one of them. Lengths are checked in the join, characters afterwards.
     """
     keys = list(keys)
-    right = right.select(*keys, b).distinct()
-    left = left.select(*keys, a).distinct()
+    right = cut_lineage(right.select(*keys, b).distinct(), "right")
+    left = cut_lineage(left.select(*keys, a).distinct(), "left")
     chars = right.select(*keys, F.explode(numbered_chars(F.col(b))).alias("_t"))
     freq = chars.groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_df"))
 

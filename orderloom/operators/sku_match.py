@@ -206,8 +206,8 @@ def candidate_pairs(names: DataFrame, sku_names: DataFrame, forms: Sequence[str]
 
     def both_ways(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
         """(keys, at, bt) where one text contains the other."""
-        inside = containment_join(a.withColumnRenamed("t", "needle"), b.withColumnRenamed("t", "hay"), keys)
-        around = containment_join(b.withColumnRenamed("t", "needle"), a.withColumnRenamed("t", "hay"), keys)
+        inside = containment_join(a.withColumnRenamed("t", "needle"), b.withColumnRenamed("t", "hay"), keys, stored=True)
+        around = containment_join(b.withColumnRenamed("t", "needle"), a.withColumnRenamed("t", "hay"), keys, stored=True)
         return inside.select(*keys, F.col("needle").alias("at"), F.col("hay").alias("bt")).unionByName(
             around.select(*keys, F.col("hay").alias("at"), F.col("needle").alias("bt"))).distinct()
 
@@ -310,6 +310,7 @@ RESULT = ["layer", "confidence", "need_confirm", "n_candidates", "sku"]
 def resolve_keys(keys: DataFrame, catalog: DataFrame, aliases: DataFrame | None = None,
                  forms: Sequence[str] = fv.PRODUCT_FORMS, seasonings: Sequence[str] = fv.SEASONING_WORDS) -> DataFrame:
     """The cascade: keys an equal-name layer settles never reach the similar-name layers."""
+    keys = cut_lineage(keys, "keys")
     equal = cut_lineage(resolve_equal(keys, catalog, aliases).select(*KEY, *RESULT), "equal")
     rest = cut_lineage(keys.join(equal.select(*KEY), KEY, "left_anti"), "rest")
     similar = cut_lineage(resolve_similar(rest, catalog, forms, seasonings).select(*KEY, *RESULT), "similar")
@@ -333,8 +334,7 @@ def attach(lines: DataFrame, raw: DataFrame, results: DataFrame) -> DataFrame:
 def resolve_lines(lines: DataFrame, catalog: DataFrame, aliases: DataFrame | None = None,
                   forms: Sequence[str] = fv.PRODUCT_FORMS, seasonings: Sequence[str] = fv.SEASONING_WORDS) -> DataFrame:
     raw = cut_lineage(raw_keys(lines), "raw")
-    keys = cut_lineage(keys_of(raw), "keys")
-    return attach(lines, raw, resolve_keys(keys, catalog, aliases, forms, seasonings))
+    return attach(lines, raw, resolve_keys(keys_of(raw), catalog, aliases, forms, seasonings))
 
 
 def resolve_lines_equal(lines: DataFrame, catalog: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -387,14 +387,17 @@ def match_ladder(lines: DataFrame, mapping: DataFrame) -> DataFrame:
     mapped name inside the name, name inside the mapped name. Per step the largest ratio wins, then the smallest code.
     """
     names = lines.select("owner_code", "product_name").distinct().withColumn("clean", tx.clean_name_hard("product_name"))
+    names = cut_lineage(names, "names")
     best = mapping.groupBy("owner_code", "mapped_name").agg(F.min(F.struct(
         (-F.coalesce("ratio", F.lit(0.0))).alias("neg_ratio"), F.col("sku_code").alias("sku_code"))).alias("pick"))
+    best = cut_lineage(best, "mapping")
     exact = names.join(best.withColumnRenamed("mapped_name", "product_name"), ["owner_code", "product_name"]).withColumn("step", F.lit(1))
     cleaned = names.where("clean <> product_name and clean <> ''").join(
         best.withColumnRenamed("mapped_name", "clean"), ["owner_code", "clean"]).withColumn("step", F.lit(2))
     found = exact.select("owner_code", "product_name", "step", "pick").unionByName(
         cleaned.select("owner_code", "product_name", "step", "pick"))
     rest = names.where("clean <> ''").join(found.select("owner_code", "product_name"), ["owner_code", "product_name"], "left_anti")
+    rest = cut_lineage(rest, "rest")
     needles, mapped = rest.select("owner_code", F.col("clean").alias("t")), best.select("owner_code", "mapped_name")
     inside = containment_join(needles.withColumnRenamed("t", "needle"), mapped.withColumnRenamed("mapped_name", "hay"), ["owner_code"])
     around = containment_join(mapped.withColumnRenamed("mapped_name", "needle"), needles.withColumnRenamed("t", "hay"), ["owner_code"])
