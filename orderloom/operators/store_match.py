@@ -159,14 +159,30 @@ def by_address(requests: DataFrame, stores: DataFrame, preferred: Sequence[str]
     hits = pairs.select(F.col("needle").alias("word"), "hay").join(
         stores.select(F.col("store_name").alias("hay"), F.col("address").alias("store_address"), "store_code"), "hay")
     # one row per word and store address: stores at one address are alike here
-    hits = hits.groupBy("word", "store_address").agg(
-        F.min("store_code").alias("store_code"), F.min(F.when(liked, F.col("store_code"))).alias("liked_code"))
-    joined = salted_join(hits, first, ["word"], F.col("store_address"))
-    scored = joined.withColumn("score", sim.plain_ratio(F.col("address"), F.col("store_address")))
-    best = scored.groupBy("address").agg(
-        F.min("liked_code").alias("_liked"), F.min(F.struct((-F.col("score")).alias("neg"), "store_code")).alias("_b"))
-    best = best.select("address", F.coalesce("_liked", F.col("_b.store_code")).alias("store_code"), (-F.col("_b.neg")).alias("score"))
-    return _hit(requests.select("request_id", "address").join(best, "address"), "address_keyword", F.col("score"))
+    hits = cut_lineage(hits.groupBy("word", "store_address").agg(
+        F.min("store_code").alias("store_code"), F.min(F.when(liked, F.col("store_code"))).alias("liked_code")), "address-hits")
+    first = cut_lineage(first, "address-words")
+
+    # a preferred brand needs no score, an equal address has the highest one; then by similarity in falling steps
+    words_liked = hits.groupBy("word").agg(F.min("liked_code").alias("liked_code"), F.min("store_code").alias("any_code"))
+    done = first.join(words_liked.where("liked_code is not null"), "word").select("address", F.col("liked_code").alias("store_code"), F.lit(0.0).alias("score"))
+    open_words = first.join(words_liked.where("liked_code is null"), "word").select("address", "word", "any_code")
+    equal = open_words.join(hits.withColumnRenamed("store_address", "address"), ["word", "address"]).select(
+        "address", "store_code", F.lit(1.0).alias("score"))
+    done = done.unionByName(equal)
+    rest = cut_lineage(open_words.join(equal, "address", "left_anti"), "address-rest")
+    for floor in (0.5, 0.01):
+        if rest.isEmpty():
+            break
+        near = cut_lineage(similar_pairs(rest, hits, ["word"], "address", "store_address", floor), "address-pairs")
+        scored = sim.with_ratio(near, "address", "store_address", floor, "score").where(F.col("score") >= floor)
+        best = scored.join(hits, ["word", "store_address"]).groupBy("address").agg(
+            F.min(F.struct((-F.col("score")).alias("neg"), "store_code")).alias("_b"))
+        best = cut_lineage(best.select("address", F.col("_b.store_code").alias("store_code"), (-F.col("_b.neg")).alias("score")), "address-best")
+        done = done.unionByName(best)
+        rest = cut_lineage(rest.join(best, "address", "left_anti"), "address-rest")
+    done = done.unionByName(rest.select("address", F.col("any_code").alias("store_code"), F.lit(0.0).alias("score")))
+    return _hit(requests.select("request_id", "address").join(done, "address"), "address_keyword", F.col("score"))
 
 
 # --- crossed keywords -----------------------------------------------------------------------------
@@ -295,7 +311,8 @@ def missing_warehouse_codes(df: DataFrame, warehouses: DataFrame) -> DataFrame:
 
 
 def match_stores(requests: DataFrame, stores: DataFrame, owners: DataFrame, brand_prefixes: Sequence[str] = (),
-                 preferred: Sequence[str] = (), char_class: str = tx.CJK, with_similar: bool = False) -> DataFrame:
+                 preferred: Sequence[str] = (), char_class: str = tx.CJK, cross_class: str = tx.CJK,
+                 with_similar: bool = False) -> DataFrame:
     """The cascade. Each step sees only the requests the steps before left open.
 
     phone · address (invalid name) · contact then address (invalid name) · company · exact · contained ·
@@ -318,7 +335,7 @@ def match_stores(requests: DataFrame, stores: DataFrame, owners: DataFrame, bran
     if with_similar:
         steps.append(lambda r: similar_names(r, stores))
     steps += [
-        lambda r: by_cross_keywords(r, stores, char_class=char_class),
+        lambda r: by_cross_keywords(r, stores, char_class=cross_class),
         lambda r: by_contact_phone(r, stores),
         lambda r: by_address(r.where(has_contact & (F.col("contact_person") != F.col("store_name"))), stores, preferred, char_class),
     ]

@@ -81,7 +81,7 @@ def _(t):
 
 @query("j12_cross_keyword_join")
 def _(t):
-    return st.by_cross_keywords(t.store_requests.where("store_name like 'ZZ%'"), t.stores, char_class=LETTERS)
+    return st.by_cross_keywords(t.store_requests, t.stores, char_class="0-9")
 
 
 @query("j13_brand_and_warehouse", """WITH n AS (SELECT DISTINCT concat(brand, lpad(cast(c_nationkey AS varchar), 4, 'N'), '仓') AS store_name, concat(lpad(cast(c_nationkey AS varchar), 4, 'N'), '仓') AS warehouse, brand
@@ -209,4 +209,4 @@ def _(t):
 
 @query("w01_store_cascade")
 def _(t):
-    return st.match_stores(t.store_requests, t.stores, t.owners, char_class=LETTERS).select("request_id", "store_code", "match_type", F.round("similarity", 6).alias("similarity"), "need_confirm", "n_candidates")
+    return st.match_stores(t.store_requests, t.stores, t.owners, char_class=LETTERS, cross_class="0-9").select("request_id", "store_code", "match_type", F.round("similarity", 6).alias("similarity"), "need_confirm", "n_candidates")
