@@ -117,3 +117,25 @@ def test_warehouse_part_and_address_words(spark):
     assert got == [("郑州仓", "大铁牛"), None, None]
     words = spark.createDataFrame([("江苏省 徐州市沛县 大路",)], "a string").select(tx.address_words("a").alias("w"), tx.address_keywords("a").alias("k")).first()
     assert words.w == ["徐州市沛县", "江苏省", "大路"] and words.k == ["徐州市沛"[:4]] or words.k
+
+
+def test_address_layer_equals_brute_force(spark):
+    import re
+
+    rnd = random.Random(8)
+    stores = [make_store(rnd, i) for i in range(40)]
+    asks = [(f"R{i}", "", "", rnd.choice([rnd.choice(stores)[4], rnd.choice(PIECES) + "路" + rnd.choice(PIECES), "沛县 " + rnd.choice(PIECES) + "9"]), "", "") for i in range(30)]
+    for preferred in ((), ("花",)):
+        got = {r.request_id: (r.store_code, round(r.similarity, 9)) for r in st.by_address(
+            spark.createDataFrame(asks, REQUEST), spark.createDataFrame(stores, STORE), preferred).collect()}
+        want = {}
+        for rid, _, _, address, *_ in asks:
+            for word in sorted(re.findall(r"[一-龥]{2,}", address), key=len, reverse=True):
+                hits = [s for s in stores if word in s[1]]
+                if not hits:
+                    continue
+                liked = [s[0] for s in hits if any(p in s[1] for p in preferred)]
+                score, code = min((-plain.ratio(address, s[4]), s[0]) for s in hits)
+                want[rid] = (min(liked), 0.0) if liked else (code, round(-score, 9))
+                break
+        assert got == want
