@@ -37,18 +37,20 @@ def parse_items(lines: DataFrame, line: str = "line", units: Sequence[str] = fv.
     # last numeric token, never the first token
     d = d.withColumn("_at", F.array_max(F.filter(
         F.transform("_p", lambda t, i: F.when((i > 0) & t.rlike(number), i)), lambda i: i.isNotNull())))
-    d = d.withColumn("quantity", F.floor(F.get("_p", F.col("_at")).try_cast("double")).cast("bigint")).where("quantity > 0")
+    d = d.withColumn("quantity", F.floor(F.get("_p", F.col("_at")).try_cast("double")).cast("bigint"))
     d = d.withColumn("_code", F.get("_p", F.lit(1)).rlike(r"^[A-Za-z][A-Za-z0-9]{2,}$"))
     d = d.withColumn("_from", F.when(F.col("_code"), 2).otherwise(1))
     d = d.withColumn("_m", F.when(F.col("_at") > F.col("_from"), F.slice("_p", F.col("_from") + 1, F.col("_at") - F.col("_from"))).otherwise(none))
     d = d.withColumn("_cut", F.coalesce(F.array_min(F.filter(
         F.transform("_m", lambda t, i: F.when(t.rlike(spec_markers), i)), lambda i: i.isNotNull())), F.size("_m")))
-    d = d.withColumn("product_name", F.array_join(F.slice("_m", F.lit(1), F.col("_cut")), "")).where("product_name <> ''")
+    d = d.withColumn("product_name", F.array_join(F.slice("_m", F.lit(1), F.col("_cut")), ""))
     after = F.get("_p", F.col("_at") + 1)
-    return d.select(
-        *keep, F.when(F.col("_code"), F.get("_p", F.lit(1))).otherwise("").alias("product_code"), "product_name",
+    # the result leaves through a generator, so the last filter is not pushed into the steps and repeated there
+    item = F.struct(
+        F.when(F.col("_code"), F.get("_p", F.lit(1))).otherwise("").alias("product_code"), "product_name",
         F.array_join(F.slice("_m", F.col("_cut") + 1, F.size("_m") - F.col("_cut")), " ").alias("spec"), "quantity",
         F.when(after.isin(*units), after).otherwise(fv.DEFAULT_UNIT).alias("unit"))
+    return d.select(*keep, F.inline(F.array(item))).where("quantity > 0 and product_name <> ''")
 
 
 def explode_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -73,7 +75,9 @@ def item_lines(df: DataFrame, key: str, text_col: str = "text",
                labels: Mapping[str, Sequence[str]] = fv.LINE_LABELS) -> DataFrame:
     """Item lines of each document; labelled lines are never items."""
     lines = explode_lines(df.select(key, text_col), text_col)
-    return parse_items(lines.where(label_of(F.col("line"), labels).isNull())).drop("line")
+    # an item starts with its number, which a cheap test sees before the label and token work
+    numbered = lines.where(F.col("line").rlike(r"^[\s\p{Z}]*\d"))
+    return parse_items(numbered.where(label_of(F.col("line"), labels).isNull())).drop("line")
 
 
 # --- structured payloads -----------------------------------------------------------
