@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import secrets, url_rules
+from . import decontaminate, packing, quality, secrets, simhash, toxicity, url_rules
 
 # The rules of the url query.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -24,7 +25,29 @@ def op2_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge_urls(read(spark, folder, "pages"), URL_RULES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_url_rules)}
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, folder, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_report(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+def op9_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.resample(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_secrets, op2_url_rules, op5_simhash, op6_toxicity, op8_decontamination, op9_importance_resampling, op10_packing)}
 
 ORACLES = {
     "op2_url_rules": """
