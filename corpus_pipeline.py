@@ -1,21 +1,48 @@
-"""A corpus pipeline over `documents`: each stage is written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline over `documents`: each stage is written as Parquet and read again as the next one's documents.
+
+Toxic documents go, one document of each near-duplicate group stays, documents that hold a benchmark item or a secret go,
+and what is left is packed into sequences. Documents without any of that are kept as they are.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import secrets
+from orderloom.llm import decontaminate, packing, secrets, simhash, toxicity
 from orderloom.llm.common import cut_lineage
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the threshold of their language."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near-duplicates."""
+    return simhash.one_of_each(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item was found."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no secret was found."""
     return secrets.without_secrets(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("secrets", drop_secrets)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic), ("simhash near-dedup", keep_one_of_each), ("benchmark decontamination", drop_benchmark),
+    ("secret scans", drop_secrets), ("best-fit packing", pack_sequences)]
 
 #: The trained score and the retrieval of the stages cannot be said in SQL; tests compare with brute force.
 ORACLE_SQL = None
@@ -25,5 +52,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the last stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = cut_lineage(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs

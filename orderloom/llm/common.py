@@ -28,6 +28,15 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z < 0, tail).otherwise(1 - tail)
 
 
+def sift(df: DataFrame, wanted: DataFrame, key: str, buckets: int = 1 << 16) -> DataFrame:
+    """Rows of df whose key may be among wanted's: all that are, and few others while wanted's keys are fewer than buckets.
+
+    Hash buckets of the keys are broadcast, `buckets` numbers at most, so that a join after it need not shuffle all of df.
+    """
+    bucket = lambda: F.pmod(F.xxhash64(key), F.lit(buckets)).alias("__bucket")
+    return df.join(F.broadcast(wanted.select(bucket()).distinct()), bucket() == F.col("__bucket"), "left_semi")
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of edges (a, b), both long: (node, root), root being the smallest node that is reachable.
 

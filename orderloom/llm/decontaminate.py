@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut_lineage, texts
+from .common import cut_lineage, sift, texts
 
 WINDOW = 32
 STRIDE = 16
@@ -40,11 +40,6 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().translate(BLANK).split()
 
 
-def _places(n_words: int) -> range:
-    """Numbers of a text's passages; the last one reaches the end."""
-    return range(max(1, -(-(n_words - WINDOW) // STRIDE) + 1))
-
-
 class Terms:
     """Word pairs of a block of items, found in a text by whole-array steps."""
 
@@ -67,15 +62,19 @@ class Terms:
         return at[hit].astype(np.int32), term[hit].astype(np.int32)
 
 
-def passages(places: np.ndarray, terms: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passage, term, count) of a text's terms, each passage's terms once."""
-    last = _places(n_words)[-1]
-    low = np.maximum(-(-(places.astype(np.int64) + 2 - WINDOW) // STRIDE), 0)
-    high = np.minimum(places // STRIDE, last)
+def passages(row: np.ndarray, places: np.ndarray, terms: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, term, count) of many texts' terms, each passage's terms once, and the first passage of each text.
+
+    row: the text of each place. Passages are numbered through all texts, in order.
+    """
+    last = np.maximum(-(-(n_words - WINDOW) // STRIDE), 0)
+    base = np.concatenate(([0], np.cumsum(last + 1)))
+    low = np.maximum(-(-(places + 2 - WINDOW) // STRIDE), 0)
+    high = np.minimum(places // STRIDE, last[row])
     many = np.maximum(high - low + 1, 0)
-    passage = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    passage = np.repeat(base[row] + low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     key, count = np.unique(passage * (1 << 31) + np.repeat(terms, many), return_counts=True)
-    return key >> 31, key & ((1 << 31) - 1), count
+    return key >> 31, key & ((1 << 31) - 1), count, base
 
 
 def _hits(docs: DataFrame, terms: Terms) -> DataFrame:
@@ -93,18 +92,19 @@ def _hits(docs: DataFrame, terms: Terms) -> DataFrame:
     return texts(docs).where("doc_id IS NOT NULL").mapInPandas(run, "doc_id bigint, n_words bigint, at binary, term binary")
 
 
-def _each_passage(batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    for doc_id, n, at, term in zip(batch["doc_id"], batch["n_words"], batch["at"], batch["term"]):
-        if len(at):
-            yield doc_id, *passages(np.frombuffer(at, np.int32), np.frombuffer(term, np.int32), n)
+def _passages_of(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    at = [np.frombuffer(a, np.int32) for a in batch["at"]]
+    row = np.repeat(np.arange(len(at)), [len(a) for a in at])
+    terms = np.concatenate([np.frombuffer(t, np.int32) for t in batch["term"]])
+    return passages(row, np.concatenate(at).astype(np.int64), terms, batch["n_words"].to_numpy())
 
 
 def _document_frequencies(hits: DataFrame, n_terms: int) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(n_terms, np.int64)
         for batch in batches:
-            for _, _, term, _ in _each_passage(batch):
-                np.add.at(total, term, 1)
+            if len(batch):
+                total += np.bincount(_passages_of(batch)[1], minlength=n_terms)
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"term": seen, "n": total[seen]})
 
@@ -119,8 +119,11 @@ def _weighted(term: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarra
     return (1 + np.log(count)) * idf[term]
 
 
-def _gram(hits: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(i, row): row i of the terms' Gram matrix over all passages, as (j, w) pairs; passages have unit length."""
+def _gram(hits: DataFrame, idf: np.ndarray, unseen: float) -> DataFrame:
+    """(i, row): row i of the terms' Gram matrix over all passages, as (j, w) pairs.
+
+    Passages have unit length, their pairs that no item has included; unseen is the weight of such a pair.
+    """
     sent = hits.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,11 +135,13 @@ def _gram(hits: DataFrame, idf: np.ndarray) -> DataFrame:
 
         keys, values, held = [], [], 0
         for batch in batches:
-            for _, passage, term, count in _each_passage(batch):
+            if len(batch):
+                passage, term, count, _ = _passages_of(batch)
                 weight = _weighted(term, count, sent.value)
                 edges = np.append(np.flatnonzero(np.diff(passage, prepend=-1)), len(passage))
                 sizes = np.diff(edges)
-                weight = weight / np.sqrt(np.repeat(np.add.reduceat(weight ** 2, edges[:-1]), sizes))
+                others = np.maximum(WINDOW - 1 - np.add.reduceat(count, edges[:-1]), 0) * unseen ** 2
+                weight = weight / np.sqrt(np.repeat(np.add.reduceat(weight ** 2, edges[:-1]) + others, sizes))
                 many = np.repeat(sizes, sizes)  # every term of a passage meets all of its terms
                 left = np.repeat(np.arange(len(term)), many)
                 right = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(np.repeat(edges[:-1], sizes), many)
@@ -178,10 +183,13 @@ def _times(gram: DataFrame, right: np.ndarray) -> np.ndarray:
 def latent_basis(gram: DataFrame, own: np.ndarray, rank: int, seed: int = 11) -> np.ndarray:
     """Orthonormal (terms x rank) right singular vectors of the passages, by a randomised range finder on their Gram matrix.
 
-    own: the items' passages, which join the corpus's as rows, so that an item the corpus hardly holds keeps a direction.
+    own: the items' passages. They join the corpus's as rows, with a weight above that of any direction of the corpus, so
+    that the items' span is kept whole, however rare they are; what rank is left goes to the corpus's main directions.
     """
     terms = own.shape[1]
     rank = min(rank, terms)
+    heaviest = gram.agg(F.max(F.aggregate("row", F.lit(0.0), lambda a, c: a + c["w"]))).first()[0] or 0.0  # bounds all eigenvalues
+    own = own * np.sqrt(100 * (1 + heaviest))
     probe = np.random.default_rng(seed).normal(size=(terms, rank))
     for _ in range(2):
         probe = np.linalg.qr(_times(gram, probe) + own.T @ (own @ probe))[0]
@@ -233,38 +241,50 @@ def _search(docs: DataFrame, block: list[tuple[int, list[bytes], list[bytes]]],
 
     owner, rows = [], []
     for k, (_, item, _) in enumerate(block):
-        passage, term, count = passages(*terms.find(item), len(item))
+        at, term = terms.find(item)
+        passage, term, count, _ = passages(np.zeros(len(at), int), at.astype(np.int64), term, np.array([len(item)]))
         for p in np.unique(passage):
             row = np.zeros(n_terms)
             row[term[passage == p]] = _weighted(term[passage == p], count[passage == p], idf)
             owner.append(k)
             rows.append(row / np.linalg.norm(row))
     own = np.array(rows)
-    basis = latent_basis(_gram(hits, idf), own, min(len(rows) + SPARE_RANK, RANK_LIMIT))
+    basis = latent_basis(_gram(hits, idf, np.log((n + 1) / 2) + 1), own, min(len(rows) + SPARE_RANK, RANK_LIMIT))
     latent = own @ basis
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    sent = spark.sparkContext.broadcast((basis.astype(np.float32), idf, latent.astype(np.float32), np.array(owner)))
+    most = (own ** 2).max(0)  # a passage's cosine with any item is at most the root of this over its terms
+    sent = spark.sparkContext.broadcast((basis.astype(np.float32), idf, latent.astype(np.float32), np.array(owner), most))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        basis, idf, latent, owner = sent.value
+        basis, idf, latent, owner, most = sent.value
         for batch in batches:
-            out: list[tuple[int, int, int, float]] = []
-            for doc_id, passage, term, count in _each_passage(batch):
-                weight = _weighted(term, count, idf).astype(np.float32)
-                edges = np.flatnonzero(np.diff(passage, prepend=-1))
-                norm = np.sqrt(np.add.reduceat(weight ** 2, edges))
-                sizes = np.diff(np.append(edges, len(passage)))
-                for some in np.array_split(np.arange(len(edges)), -(-len(edges) // 2048)):
-                    a, b = edges[some[0]], edges[some[-1]] + sizes[some[-1]]
-                    vectors = np.add.reduceat(basis[term[a:b]] * weight[a:b, None], edges[some] - a, axis=0)
-                    alike = (vectors / norm[some][:, None]) @ latent.T
-                    for p, q in zip(*np.nonzero(alike >= cosine)):
-                        out.append((doc_id, owner[q], int(passage[edges[some[p]]]), float(alike[p, q])))
-            yield pd.DataFrame(out, columns=["doc_id", "item", "passage", "cosine"])
+            if not len(batch):
+                continue
+            passage, term, count, base = _passages_of(batch)
+            edges = np.flatnonzero(np.diff(passage, prepend=-1))
+            sizes = np.diff(np.append(edges, len(passage)))
+            able = np.add.reduceat(most[term], edges) >= (cosine - 1e-6) ** 2
+            kept = np.repeat(able, sizes)
+            passage, term, count, sizes = passage[kept], term[kept], count[kept], sizes[able]
+            edges = np.cumsum(sizes) - sizes
+            weight = _weighted(term, count, idf).astype(np.float32)
+            out = []
+            for at in range(0, len(edges), 2048):
+                some, size = edges[at:at + 2048], sizes[at:at + 2048]
+                a, b = some[0], some[-1] + size[-1]
+                vectors = np.add.reduceat(basis[term[a:b]] * weight[a:b, None], some - a, axis=0)
+                norm = np.sqrt(np.add.reduceat(weight[a:b] ** 2, some - a))
+                alike = (vectors / norm[:, None]) @ latent.T
+                p, q = np.nonzero(alike >= cosine)
+                number = passage[some[p]]
+                row = np.searchsorted(base, number, "right") - 1
+                out.append(pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[row], "item": owner[q], "passage": number - base[row], "cosine": alike[p, q].astype(float)}))
+            if out:
+                yield pd.concat(out)
 
     found = cut_lineage(hits.where("length(at) > 0").mapInPandas(near, "doc_id bigint, item int, passage bigint, cosine double")
                         .groupBy("doc_id", "item", "passage").agg(F.max("cosine").alias("cosine")), "leak-candidates")
-    wanted = found.groupBy("doc_id").agg(F.collect_list(F.struct("item", "passage", "cosine")).alias("tries"))
+    wanted = cut_lineage(found.groupBy("doc_id").agg(F.collect_list(F.struct("item", "passage", "cosine")).alias("tries")), "leak-tries")
     items = spark.sparkContext.broadcast(block)
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,7 +299,7 @@ def _search(docs: DataFrame, block: list[tuple[int, list[bytes], list[bytes]]],
                         out.append((doc_id, item_id, share, t["cosine"], at))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "share", "cosine", "word"])
 
-    checked = texts(docs).join(wanted, "doc_id").mapInPandas(check, "doc_id bigint, item_id bigint, share double, cosine double, word bigint")
+    checked = sift(texts(docs), wanted, "doc_id").join(wanted, "doc_id").mapInPandas(check, "doc_id bigint, item_id bigint, share double, cosine double, word bigint")
     return checked.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("cosine").alias("cosine"), F.max_by("word", F.struct("share", -F.col("word"))).alias("word"))
 
 

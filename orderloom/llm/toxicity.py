@@ -28,11 +28,12 @@ DIMENSIONS = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 #: At most so many labelled rows, first in the order of a hash of doc_id, and texts of at most so many characters are fitted.
-FIT_ROWS = 16_000
+FIT_ROWS = 14_000
 FIT_CHARACTERS = 60_000
 CHUNK = 1 << 16
 BLANK = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 PAD = 0
+BEGINNING = 5
 
 
 def held_out(doc_id: Column) -> Column:
@@ -41,20 +42,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Words:
-    """Buckets of a text's words, each word hashed once per process."""
+    """Numbers of a text's words, as they come, and the two buckets of each: of the word and of its beginning.
+
+    Beginnings let inflected forms share what was learned. Word 0 is the pad.
+    """
 
     def __init__(self, buckets: int):
-        self.buckets, self.known = buckets, {}
+        self.buckets, self.known, self.pairs = buckets, {}, [(PAD, PAD)]
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.encode().lower().translate(BLANK).split()
-        if len(self.known) > 1_000_000:
-            self.known.clear()
         known = self.known
         for w in set(words).difference(known):
-            known[w] = 1 + zlib.crc32(w) % (self.buckets - 1)
+            known[w] = len(self.pairs)
+            self.pairs.append((1 + zlib.crc32(w) % (self.buckets - 1), 1 + zlib.crc32(b"^" + w[:BEGINNING]) % (self.buckets - 1)))
         return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
 
+    def both(self) -> np.ndarray:
+        return np.array(self.pairs, np.int32)
+
 
 @dataclass
 class Model:
@@ -73,6 +79,11 @@ class Model:
     def tables(self) -> list[list[np.ndarray]]:
         return [[self.embedding @ part for part in f] for f in self.filters]
 
+    @staticmethod
+    def of_words(tables: list[list[np.ndarray]], pairs: np.ndarray) -> list[list[np.ndarray]]:
+        """Table rows of words from those of their buckets."""
+        return [[t[pairs[:, 0]] + t[pairs[:, 1]] for t in parts] for parts in tables]
+
     def pooled(self, words: np.ndarray, tables: list[list[np.ndarray]]) -> np.ndarray:
         """Maxima of all filters over one text; the text stands between pads, so each width has a place."""
         out = []
@@ -89,8 +100,7 @@ class Model:
             out.append(best + bias)
         return np.concatenate(out)
 
-    def logits(self, lines: list[np.ndarray]) -> np.ndarray:
-        tables = self.tables()
+    def logits(self, lines: list[np.ndarray], tables: list[list[np.ndarray]]) -> np.ndarray:
         return np.array([np.maximum(self.pooled(w, tables), 0) @ self.dense + self.bias for w in lines], float)
 
     def probability(self, logits: np.ndarray) -> np.ndarray:
@@ -110,7 +120,7 @@ class _Adam:
 
 
 def fit(lines: list[np.ndarray], labels: np.ndarray, buckets: int = BUCKETS, epochs: int = 4, batch: int = 64, rate: float = 0.02, seed: int = 7) -> Model:
-    """Train on texts given as bucket arrays. The first embedding dimension starts from the buckets' smoothed log odds."""
+    """Train on texts given as arrays of the two buckets of each word. The first embedding dimension starts from the buckets' smoothed log odds."""
     rng = np.random.default_rng(seed)
     seen = [np.zeros(buckets), np.zeros(buckets)]
     for words, label in zip(lines, labels):
@@ -136,11 +146,11 @@ def fit(lines: list[np.ndarray], labels: np.ndarray, buckets: int = BUCKETS, epo
             parts, starts, n = [], [], 0
             for i in mine:
                 starts.append(n)
-                parts += [lines[i], np.full(gap, PAD, np.int32)]
+                parts += [lines[i], np.full((gap, 2), PAD, np.int32)]
                 n += len(lines[i]) + gap
             flat, starts = np.concatenate(parts), np.array(starts)
             ends = np.append(starts[1:], n)
-            rows = model.embedding[flat]
+            rows = model.embedding[flat[:, 0]] + model.embedding[flat[:, 1]]
             pooled, places = [], []
             for f, b in zip(model.filters, model.biases):
                 w = len(f)
@@ -175,8 +185,9 @@ def fit(lines: list[np.ndarray], labels: np.ndarray, buckets: int = BUCKETS, epo
                     at_words = np.minimum(place + j, n - 1)
                     e = rows[at_words]
                     grad[j] = np.einsum("df,dfk->kf", g, e)
-                    touched.append(flat[at_words].ravel())
-                    moves.append((g[:, :, None] * f[j].T[None]).reshape(-1, DIMENSIONS))
+                    move = (g[:, :, None] * f[j].T[None]).reshape(-1, DIMENSIONS)
+                    touched += [flat[at_words, 0].ravel(), flat[at_words, 1].ravel()]
+                    moves += [move, move]
                 adam.move(f"filter{i}", f, grad)
                 adam.move(f"bias{i}", b, g.sum(0))
             ids, inverse = np.unique(np.concatenate(touched), return_inverse=True)
@@ -236,7 +247,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_char
 
     def lines(text: pd.Series) -> pd.Series:
         words = Words(buckets)
-        return pd.Series([words(t).tobytes() for t in text], dtype=object)
+        numbers = [words(t) for t in text]
+        pairs = words.both()
+        return pd.Series([pairs[n].tobytes() for n in numbers], dtype=object)
 
     hashed = F.pandas_udf(lines, "binary")
     got = rows.select("doc_id", "lang", "toxic", hashed("text").alias("words")).collect()
@@ -245,13 +258,15 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_char
     if len(set(y)) < 2:
         model = Model(np.zeros((1, DIMENSIONS), np.float32), [], [], np.zeros(0), 0.0, constant=float(y.mean()) if len(y) else 0.0)
         return model
-    x = [np.frombuffer(r["words"], np.int32) for r in got]
+    x = [np.frombuffer(r["words"], np.int32).reshape(-1, 2) for r in got]
     del_at = len(x) - len(x) // 5
     if len(set(y[:del_at])) < 2 or len(set(y[del_at:])) < 2:
         del_at = len(x)
     model = fit(x[:del_at], y[:del_at], buckets)
     test = slice(del_at, None) if del_at < len(x) else slice(None)
-    calibrate(model, model.logits(x[test]), y[test], [r["lang"] for r in got][test])
+    flat, back = np.unique(np.concatenate([np.full((1, 2), PAD, np.int32), *x[test]]), axis=0, return_inverse=True)
+    numbers = np.split(back.ravel()[1:].astype(np.int32), np.cumsum([len(w) for w in x[test]])[:-1])
+    calibrate(model, model.logits(numbers, model.of_words(model.tables(), flat)), y[test], [r["lang"] for r in got][test])
     return model
 
 
@@ -266,9 +281,12 @@ def score(docs: DataFrame, model: Model, buckets: int = BUCKETS, keep: list[str]
 
     def run(column: pd.Series) -> pd.Series:
         shared, tables = sent.value
-        words = Words(buckets)
-        logits = np.array([np.maximum(shared.pooled(words(t), tables), 0) @ shared.dense + shared.bias for t in column], float)
-        return pd.Series(shared.probability(logits))
+        out = []
+        for at in range(0, len(column), 2_000):  # bounds the word table
+            words = Words(buckets)
+            lines = [words(t) for t in column[at:at + 2_000]]
+            out.append(shared.logits(lines, shared.of_words(tables, words.both())))
+        return pd.Series(shared.probability(np.concatenate(out)) if out else [], dtype=float)
 
     return docs.select(*keep, F.pandas_udf(run, "double")(text).alias("score"))
 
