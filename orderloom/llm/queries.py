@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, packing, quality, secrets, simhash, toxicity, url_rules
+from . import decontaminate, packing, quality, repeats, secrets, simhash, toxicity, url_rules
 
 # The rules of the url query.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -34,6 +34,10 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_report(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op7_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, folder, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
@@ -47,7 +51,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_secrets, op2_url_rules, op5_simhash, op6_toxicity, op8_decontamination, op9_importance_resampling, op10_packing)}
+    op1_secrets, op2_url_rules, op5_simhash, op6_toxicity, op7_suffix_repeats, op8_decontamination, op9_importance_resampling, op10_packing)}
 
 ORACLES = {
     "op2_url_rules": """
