@@ -3,8 +3,9 @@
 Two fingerprints within the radius share a variant within half the radius of both, and all that share such a variant
 lie within the radius of each other. So a bucket of a variant is linked throughout: its smallest and largest component
 say whether it joins anything, no pairs are written and no bucket is collected. The full ball of half the radius has
-2 081 variants of 64 bits, so only fingerprints that can have a partner emit it: one half of such a pair's bits differs
-in half the radius at most, and the halves meet by the same rule on 33 variants each.
+2 081 variants of 64 bits, so only fingerprints that can have several partners emit it: one half of such a pair's bits
+differs in half the radius at most, the halves meet by the same rule on 33 variants each, and pairs that meet alone
+there are verified and done.
 
 Edge cases: null and empty texts, and texts of white space, have the fingerprint zero and are linked like any other;
 fewer words than a shingle give one shingle; very long texts are hashed whole, in chunks; repeated rows share a
@@ -62,45 +63,58 @@ def _masks(bits: int, radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
 
-def _emit(values: DataFrame, keys: Column) -> DataFrame:
-    return values.select("*", keys.alias("key"))
-
-
 def _ball(bits: int, radius: int) -> Column:
     return F.explode(F.array(*[F.lit(m) for m in _masks(bits, radius)]))
 
 
-def _with_partner(prints: DataFrame, radius: int) -> DataFrame:
-    """Fingerprints fp that can have another within the radius; all that have one are among them."""
+def _spread(values: DataFrame, rows_each: int) -> DataFrame:
+    """Over so many tasks that one emits about a million rows."""
+    return values.repartition(max(1, values.count() * rows_each // 1_000_000), "fp")
+
+
+def _meet_on_halves(prints: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of pairs that met alone, and fingerprints fp that met in company and so may have further links.
+
+    One half of the bits of a pair within the radius differs in half the radius at most, so the pair meets on a variant
+    of that half. Where just two met, their smallest and largest are the pair, and its distance is known.
+    """
     half = prints.select("fp", F.explode(F.array(F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(1 << 32)))).alias("half"))
     meet = half.select("fp", "half", _ball(32, -(-(radius // 2) // 2)).alias("m")).select("fp", F.col("half").bitwiseXOR(F.col("m")).alias("key"))
     buckets = meet.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1")
     buckets = cut_lineage(buckets.where((F.col("n") > 2) | (F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) <= radius)), "simhash-buckets")
-    two = buckets.where("n = 2").select(F.explode(F.array("low", "high")).alias("fp"))
-    more = meet.join(buckets.where("n > 2").select("key"), "key", "left_semi").select("fp")
-    return two.unionByName(more).distinct()
+    links = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).distinct()
+    return links, cut_lineage(meet.join(buckets.where("n > 2").select("key"), "key", "left_semi").select("fp").distinct(), "simhash-company")
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (fp, root) after links (a, b) between roots."""
+    merged = components(links.select("a", "b"), "simhash")
+    return cut_lineage(roots.join(merged, roots["root"] == merged["node"], "left").select("fp", F.coalesce(merged["root"], roots["root"]).alias("root")), "simhash-roots")
 
 
 def fingerprint_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, root) for distinct fingerprints fp that have another within the radius; root is the smallest fp reachable.
+    """(fp, root) for distinct fingerprints fp that may have another within the radius; root is the smallest fp reachable.
 
-    Components of close pairs (half the variants' radius) come first; then buckets of the full ball whose smallest and
-    largest component differ give links, until none is left. Buckets of two are settled by that at once.
+    Pairs that met alone on a half are linked at once. The others emit their balls, first of a quarter of the radius,
+    then of half: a bucket whose smallest and largest component differ gives a link. Where more than two met, a third
+    component may hide, so those buckets alone are looked at again until each holds one component.
     """
-    near = cut_lineage(_with_partner(prints, radius), "simhash-near")
-    roots = near.select("fp", F.col("fp").alias("root"))
-    for reach in [*range(1, radius // 2 + 1)]:
-        masks = _ball(64, reach)
+    links, company = _meet_on_halves(prints, radius)
+    ends = links.select(F.explode(F.array("a", "b")).alias("fp"))
+    roots = _joined(ends.unionByName(company).distinct().select("fp", F.col("fp").alias("root")), links)
+    company = cut_lineage(_spread(company, len(_masks(64, radius // 2))), "simhash-emitting")
+    for reach in range(1, radius // 2 + 1):
+        open_keys = None
         while True:
-            balls = (roots.select("root", "fp", masks.alias("m")).groupBy(F.col("fp").bitwiseXOR(F.col("m")).alias("key"))
-                     .agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b"))
-            links = cut_lineage(balls.groupBy("a", "b").agg(F.max("n").alias("n")), "simhash-links")
-            if links.isEmpty():
+            balls = company.join(roots, "fp").select("root", "fp", _ball(64, reach).alias("m")).select("root", F.col("fp").bitwiseXOR(F.col("m")).alias("key"))
+            if open_keys is not None:
+                balls = balls.join(open_keys, "key", "left_semi")
+            found = cut_lineage(balls.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b"), "simhash-balls")
+            if found.isEmpty():
                 break
-            merged = components(links.select("a", "b"), "simhash")
-            roots = cut_lineage(roots.join(merged, roots["root"] == merged["node"], "left")
-                                .select("fp", F.coalesce(merged["root"], roots["root"]).alias("root")), "simhash-roots")
-            if links.where("n > 2").isEmpty():
+            roots = _joined(roots, found.select("a", "b").distinct())
+            open_keys = found.where("n > 2").select("key")
+            if open_keys.isEmpty():
                 break
     return roots
 
