@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, neighbours, packing, quality, repeats, secrets, simhash, toxicity, url_rules
+from . import decontaminate, neighbours, packing, passages, quality, repeats, secrets, simhash, toxicity, url_rules
 
 # The rules of the url query.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -29,6 +29,10 @@ def op3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.passage_classes(read(spark, folder, "documents"))
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, folder, "documents"))
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
@@ -55,7 +59,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_secrets, op2_url_rules, op3_neighbours, op5_simhash, op6_toxicity, op7_suffix_repeats, op8_decontamination, op9_importance_resampling, op10_packing)}
+    op1_secrets, op2_url_rules, op3_neighbours, op4_passages, op5_simhash, op6_toxicity, op7_suffix_repeats, op8_decontamination, op9_importance_resampling, op10_packing)}
 
 ORACLES = {
     "op2_url_rules": """
