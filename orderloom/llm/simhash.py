@@ -67,11 +67,6 @@ def _ball(bits: int, radius: int) -> Column:
     return F.explode(F.array(*[F.lit(m) for m in _masks(bits, radius)]))
 
 
-def _spread(values: DataFrame, rows_each: int) -> DataFrame:
-    """Over so many tasks that one emits about a million rows."""
-    return values.repartition(max(1, values.count() * rows_each // 1_000_000), "fp")
-
-
 def _meet_on_halves(prints: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) of pairs that met alone, and fingerprints fp that met in company and so may have further links.
 
@@ -102,11 +97,12 @@ def fingerprint_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame
     links, company = _meet_on_halves(prints, radius)
     ends = links.select(F.explode(F.array("a", "b")).alias("fp"))
     roots = _joined(ends.unionByName(company).distinct().select("fp", F.col("fp").alias("root")), links)
-    company = cut_lineage(_spread(company, len(_masks(64, radius // 2))), "simhash-emitting")
+    many = company.count()
     for reach in range(1, radius // 2 + 1):
         open_keys = None
         while True:
-            balls = company.join(roots, "fp").select("root", "fp", _ball(64, reach).alias("m")).select("root", F.col("fp").bitwiseXOR(F.col("m")).alias("key"))
+            tasks = max(1, many * len(_masks(64, reach)) // 500_000)  # one emits about half a million rows
+            balls = company.join(roots, "fp").repartition(tasks, "fp").select("root", "fp", _ball(64, reach).alias("m")).select("root", F.col("fp").bitwiseXOR(F.col("m")).alias("key"))
             if open_keys is not None:
                 balls = balls.join(open_keys, "key", "left_semi")
             found = cut_lineage(balls.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b"), "simhash-balls")
