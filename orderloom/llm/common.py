@@ -14,6 +14,11 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def packed(docs: DataFrame, *columns: str) -> Column:
+    """The columns named, or all, as one struct, so that no name of theirs meets a column made here."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all other characters kept."""
     return F.translate(text, UPPER, LOWER)

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, UPPER, cut_lineage, normal_cdf, texts
+from .common import LOWER, UPPER, cut_lineage, normal_cdf, packed
 
 # The base forms, their kinds in order, and the shortest group 2 of an assignment.
 KINDS = ["assign", "access", "hex"]
@@ -119,15 +119,14 @@ def _thresholds(tokens: DataFrame, rate: float) -> dict[int, int]:
         .groupBy("band").agg(F.min("e.step").alias("step"))).collect()}
 
 
-def find_secrets(docs: DataFrame, false_discovery: float = 0.01, random_floor: float = 0.01, keep: list[str] | None = None) -> DataFrame:
-    """Columns kept, base (spans of the base forms) and spans (all of them), each sorted by start and kind.
+def find_secrets(docs: DataFrame, false_discovery: float = 0.01, random_floor: float = 0.01, kept: list[str] | None = None) -> DataFrame:
+    """row (the columns kept), base (spans of the base forms) and spans (all of them), each sorted by start and kind.
 
     A span is struct(start, kind, end): code points, end exclusive; kind counts along KINDS, 3 being a random token.
     One pass over the texts, whose findings are stored; then one small aggregation over the candidates.
     """
-    keep = keep or ["doc_id"]
-    text = F.col("__text")
-    rows = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
+    keep, text = ["row"], F.col("__text")
+    rows = docs.select(packed(docs, *(kept or ["doc_id"])), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
     rows = rows.select("*", F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0)).alias("__m0"), F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)).alias("__m1"),
                        F.regexp_extract_all(text, F.lit(HEX), F.lit(0)).alias("__m2"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("__m3"))
     long_value = F.transform("__m0", lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_VALUE)
@@ -159,10 +158,10 @@ def spans_text(spans: Column) -> Column:
 def secret_report(docs: DataFrame) -> DataFrame:
     """doc_id, numbers of base spans by kind, digest of the base spans, all spans as text."""
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    return find_secrets(docs).select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+    return find_secrets(docs).select("row.doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
                                      F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:
     """The documents, whole rows, in which no span was found."""
-    return find_secrets(docs, keep=docs.columns).where(F.size("spans") == 0).select(*docs.columns)
+    return find_secrets(docs, kept=docs.columns).where(F.size("spans") == 0).select("row.*")

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import texts
+from .common import packed
 
 BUCKETS = 1 << 17
 DIMENSIONS = 8
@@ -270,12 +270,12 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_char
     return model
 
 
-def score(docs: DataFrame, model: Model, buckets: int = BUCKETS, keep: list[str] | None = None) -> DataFrame:
-    """Columns kept and the score of every row."""
-    keep = keep or ["doc_id"]
+def score(docs: DataFrame, model: Model, buckets: int = BUCKETS, kept: list[str] | None = None) -> DataFrame:
+    """row (the columns kept) and the score of every row."""
+    row = packed(docs, *(kept or ["doc_id"]))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     if model.constant is not None:
-        return docs.select(*keep, F.lit(model.constant).alias("score"))
+        return docs.select(row, F.lit(model.constant).alias("score"))
     light = Model(np.zeros((0, DIMENSIONS), np.float32), [], model.biases, model.dense, model.bias, model.scale, model.shift)
     sent = docs.sparkSession.sparkContext.broadcast((light, model.tables()))
 
@@ -288,13 +288,13 @@ def score(docs: DataFrame, model: Model, buckets: int = BUCKETS, keep: list[str]
             out.append(shared.logits(lines, shared.of_words(tables, words.both())))
         return pd.Series(shared.probability(np.concatenate(out)) if out else [], dtype=float)
 
-    return docs.select(*keep, F.pandas_udf(run, "double")(text).alias("score"))
+    return docs.select(row, F.pandas_udf(run, "double")(text).alias("score"))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= threshold) of every document."""
     return score(docs, train(docs, labels)).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+        "row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -304,5 +304,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return docs
     common = F.lit(model.thresholds.get("", 0.5))
     own = {k: v for k, v in model.thresholds.items() if k}
-    limit = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in own.items() for x in pair]), F.col("lang")), common) if own and "lang" in docs.columns else common
-    return score(docs, model, keep=docs.columns).where(F.col("score") < limit).select(*docs.columns)
+    limit = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in own.items() for x in pair]), F.col("row.lang").cast("string")), common) if own and "lang" in docs.columns else common
+    return score(docs, model, kept=docs.columns).where(F.col("score") < limit).select("row.*")
