@@ -33,7 +33,7 @@ FIT_CHARACTERS = 60_000
 CHUNK = 1 << 16
 BLANK = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 PAD = 0
-BEGINNING = 5
+BEGINNING = 4
 
 
 def held_out(doc_id: Column) -> Column:
@@ -119,7 +119,7 @@ class _Adam:
         weights[at] -= self.rate * m[at] / (np.sqrt(v[at]) + 1e-7)
 
 
-def fit(lines: list[np.ndarray], labels: np.ndarray, buckets: int = BUCKETS, epochs: int = 4, batch: int = 64, rate: float = 0.02, seed: int = 7) -> Model:
+def fit(lines: list[np.ndarray], labels: np.ndarray, buckets: int = BUCKETS, epochs: int = 4, least_steps: int = 400, batch: int = 64, rate: float = 0.02, seed: int = 7) -> Model:
     """Train on texts given as arrays of the two buckets of each word. The first embedding dimension starts from the buckets' smoothed log odds."""
     rng = np.random.default_rng(seed)
     seen = [np.zeros(buckets), np.zeros(buckets)]
@@ -139,7 +139,7 @@ def fit(lines: list[np.ndarray], labels: np.ndarray, buckets: int = BUCKETS, epo
     model.dense[::FILTERS] = 1.0
     adam, gap = _Adam(rate), max(WIDTHS)
     bias = np.array([model.bias], np.float32)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps * batch // max(1, len(lines))))):
         order = rng.permutation(len(lines))
         for at in range(0, len(order), batch):
             mine = order[at:at + batch]
@@ -207,11 +207,14 @@ def calibrate(model: Model, logits: np.ndarray, labels: np.ndarray, languages: l
     label 1 take the threshold of all rows together, under "".
     """
     a, b = 1.0, 0.0
-    for _ in range(50):
+    ones = labels.sum()
+    target = np.where(labels > 0, (ones + 1) / (ones + 2), 1 / (len(labels) - ones + 2))  # keeps the slope finite where nothing overlaps
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * logits + b, -30, 30)))
         w = np.maximum(p * (1 - p), 1e-6)
         x = np.stack((logits, np.ones_like(logits)), 1)
-        step = np.linalg.solve((x * w[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (labels - p) - 1e-3 * np.array([a - 1, b]))
+        step = np.linalg.solve((x * w[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (target - p) - 1e-3 * np.array([a - 1, b]))
+        step *= min(1.0, 1 / np.abs(step).max()) if np.abs(step).max() else 1.0
         a, b = a + step[0], b + step[1]
         if np.abs(step).max() < 1e-6:
             break
