@@ -110,6 +110,18 @@ DECISION_LIMITS = {
     "volume_warning": 10, "volume_dead": 3, "trend": 0.05,
 }
 
+DECISION_ADVICE = {
+    ("match_rate", "critical"): "立即优化 SKU 匹配算法",
+    ("match_rate", "warning"): "计划优化 SKU 匹配算法",
+    ("low_confidence", "critical"): "优先解决低置信度商品匹配问题",
+    ("low_confidence", "warning"): "关注低置信度商品，优化匹配规则",
+    ("intervention", "critical"): "立即优化用户体验，减少手动确认",
+    ("intervention", "warning"): "优化操作流程，降低用户干预频率",
+    ("trend", "warning"): "分析下降原因，及时修复",
+    ("volume", "critical"): "评估 Skill 价值，考虑优化功能或暂时下线",
+    ("volume", "warning"): "推广 Skill 使用，增加用户活跃度",
+}
+
 # --- fixed values: analysis windows ---------------------------------------------------
 ALIAS_LOOKBACK_DAYS, ALIAS_MIN_COUNT, ALIAS_TOP = 7, 3, 20
 LAYER_MIN_ATTEMPTS = 50
@@ -119,7 +131,7 @@ DAILY_ALIAS_DAYS, DAILY_ALIAS_MIN = 1, 2
 # --- fixed values: text jobs ------------------------------------------------------------
 INDEX_STOP_WORDS = [
     "the", "and", "for", "with", "this", "that", "from", "have", "are", "was", "were", "been", "will",
-    "would", "could", "should", "def", "class", "import", "return", "self", "true", "false", "none",
+    "would", "could", "should", "def", "class", "import", "return", "self", "True", "False", "None",
     "的", "是", "在", "了", "和", "也", "都", "就", "不", "要", "有", "没", "上", "下", "用", "对", "为", "而",
     "于", "到", "这", "那",
 ]

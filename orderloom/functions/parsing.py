@@ -179,36 +179,43 @@ STEP_PATTERNS = [
 ]
 
 
-def reasoning_blocks(c: Column | str) -> Column:
-    """Marked reasoning segments (1000 characters), else lines that name reasoning (500 characters)."""
+def _shown(c: Column, keep: int | None) -> Column:
+    """The text, or as many characters as a report shows."""
+    return c if keep is None else F.left(c, F.lit(keep))
+
+
+def reasoning_blocks(c: Column | str, keep: int | None = None, keep_line: int | None = None) -> Column:
+    """Marked reasoning segments, else lines that name reasoning."""
     c = _col(c)
     marked = F.filter(F.transform(F.regexp_extract_all(c, F.lit(THINK_MARK), F.lit(1)), strip), lambda t: t != "")
     lines = F.filter(F.split(c, "\n"), lambda s: s.contains("思") & s.rlike(r"\*\*|推理|判断"))
-    return F.when(F.size(marked) > 0, F.transform(marked, lambda t: F.left(t, F.lit(1000)))).otherwise(
-        F.transform(lines, lambda t: F.left(strip(t), F.lit(500))))
+    return F.when(F.size(marked) > 0, F.transform(marked, lambda t: _shown(t, keep))).otherwise(
+        F.transform(lines, lambda t: _shown(strip(t), keep_line)))
 
 
-def reasoning_steps(c: Column | str) -> Column:
-    """Reasoning steps: marked segments longer than 5 characters, else numbered or bulleted lines; 500 characters each."""
+def reasoning_steps(c: Column | str, keep: int | None = None) -> Column:
+    """Reasoning steps: marked segments longer than 5 characters, else numbered or bulleted lines."""
     c = _col(c)
     marked = F.concat(*[F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in STEP_PATTERNS])
     marked = F.filter(F.transform(marked, strip), lambda t: F.length(t) > 5)
     lines = F.filter(F.transform(F.split(c, "\n"), strip), lambda s: s.rlike(r"^\d+[.)]\s+|^-\s+"))
     return F.transform(
         F.when(F.size(marked) > 0, marked).otherwise(F.transform(lines, lambda s: F.regexp_replace(s, r"^\d+[.)]\s+", ""))),
-        lambda t: F.left(t, F.lit(500)))
+        lambda t: _shown(t, keep))
 
 
 def args_summary(tool: Column, args: Column, store_tool: str = "_match_store", sku_tool: str = "_match_sku",
-                 output_tools: Sequence[str] = ("template_generator", "_generate_multi_store_template")) -> Column:
-    """Short reading of a tool call's JSON arguments."""
+                 output_tools: Sequence[str] = ("template_generator", "_generate_multi_store_template"),
+                 keep_keys: int | None = None, keep_command: int | None = None) -> Column:
+    """Short reading of a tool call's JSON arguments; a report may show only some keys and the beginning of a command."""
     def at(path: str, default: str) -> Column:
         return F.coalesce(F.get_json_object(args, path), F.lit(default))
 
     def count_at(path: str) -> Column:
         return F.coalesce(F.json_array_length(F.get_json_object(args, path)), F.lit(0)).cast("string")
 
-    keys = F.slice(F.coalesce(F.json_object_keys(args), F.array().cast("array<string>")), 1, 3)
+    keys = F.coalesce(F.json_object_keys(args), F.array().cast("array<string>"))
+    keys = keys if keep_keys is None else F.slice(keys, 1, keep_keys)
     command = F.coalesce(F.get_json_object(args, "$.command"), F.get_json_object(args, "$.cmd"), F.lit(""))
     return (
         F.when(tool.isin(*fv.PARSE_TOOLS), F.concat(F.lit("输入类型: "), at("$.order_type", "unknown")))
@@ -216,7 +223,7 @@ def args_summary(tool: Column, args: Column, store_tool: str = "_match_store", s
         .when(tool == sku_tool, F.concat(F.lit("SKU数量: "), count_at("$.items")))
         .when(tool.isin(*output_tools), F.concat(
             F.lit("门店数: "), count_at("$.stores"), F.lit(", SKU数: "), at("$.sku_count", "0")))
-        .when(tool.isin(*fv.COMMAND_TOOLS), F.concat(F.lit("命令: "), F.left(command, F.lit(50)), F.lit("...")))
+        .when(tool.isin(*fv.COMMAND_TOOLS), F.concat(F.lit("命令: "), _shown(command, keep_command), F.lit("" if keep_command is None else "...")))
         .otherwise(F.concat(F.lit("参数: "), F.array_join(keys, ", ")))
     )
 
@@ -231,11 +238,11 @@ def plain_text(c: Column | str) -> Column:
     return strip(out)
 
 
-def listing_title(c: Column | str, suffixes: Sequence[str] = fv.TITLE_SUFFIXES, keep: int = 40) -> Column:
+def listing_title(c: Column | str, suffixes: Sequence[str] = fv.TITLE_SUFFIXES, keep: int | None = None) -> Column:
     out = _col(c)
     for s in suffixes:
         out = F.regexp_replace(out, s, "")
-    return F.left(strip(out), F.lit(keep))
+    return _shown(strip(out), keep)
 
 
 def first_email(c: Column | str, skip_domain: str = fv.PUBLIC_MAIL_DOMAIN) -> Column:
@@ -251,7 +258,7 @@ def first_phone(c: Column | str) -> Column:
 
 def contact_name(c: Column | str, patterns: Sequence[str] = fv.CONTACT_PATTERNS) -> Column:
     c = _col(c)
-    found = [F.left(strip(F.regexp_extract(c, p, 1)), F.lit(10)) for p in patterns]
+    found = [strip(F.regexp_extract(c, p, 1)) for p in patterns]
     return F.coalesce(*[F.when(F.length(f) >= 2, f) for f in found], F.lit(""))
 
 
@@ -308,8 +315,8 @@ BULLET_RULES = [
 
 
 def log_bullets(df: DataFrame, key: str, text_col: str, rules: Sequence[tuple[str, str]] = tuple(BULLET_RULES),
-                top: int = 10, keep: int = 80) -> DataFrame:
-    """Classified bullet lines of each log, the first `top` per log (a report limit)."""
+                top: int | None = None, keep: int | None = None) -> DataFrame:
+    """Classified bullet lines of each log, all or the first `top` per log."""
     from ..operators.ranking import top_k
 
     lines = explode_lines(df.select(key, text_col), text_col).withColumn("line", strip("line"))
@@ -319,8 +326,8 @@ def log_bullets(df: DataFrame, key: str, text_col: str, rules: Sequence[tuple[st
         kind = F.when(hit, name) if kind is None else kind.when(hit, name)
     body = F.when(F.col("kind") == "done", F.regexp_replace("line", r"^- \[x\] |^✅ ?", "")).otherwise(F.col("line"))
     found = lines.withColumn("kind", kind).where("kind is not null").select(
-        key, "line_no", "kind", F.left(body, F.lit(keep)).alias("bullet"))
-    return top_k(found, [key], [F.col("line_no")], top).drop("rank")
+        key, "line_no", "kind", _shown(body, keep).alias("bullet"))
+    return found if top is None else top_k(found, [key], [F.col("line_no")], top).drop("rank")
 
 
 def index_tokens(c: Column | str, stop_words: Sequence[str] = fv.INDEX_STOP_WORDS) -> Column:

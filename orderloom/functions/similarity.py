@@ -2,8 +2,8 @@
 
 from collections.abc import Sequence
 from typing import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,18 +11,34 @@ from pyspark.sql import types as T
 
 from . import text as tx
 
-# Above this length the sequence matcher drops popular characters, so closed forms no longer hold.
-PLAIN_LENGTH = 200
 # Pairs a task remembers before it starts afresh.
 KNOWN_PAIRS = 200_000
 
 
+def matched_characters(a: str, b: str) -> int:
+    """Characters of the longest common block, the first in a and then in b, and of the blocks found alike on either side of it."""
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    total, todo = 0, [(0, len(x), 0, len(y))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        right = y[b0:b1]
+        ends = np.zeros(len(right) + 1, np.int64)  # length of the common block that ends before each place of b
+        best = end_a = end_b = 0
+        for i in range(a0, a1):
+            ends[1:] = (ends[:-1] + 1) * (right == x[i])
+            longest = int(ends.max()) if len(right) else 0
+            if longest > best:
+                best, end_a, end_b = longest, i + 1, b0 + int(ends.argmax())
+        if best:
+            total += best
+            todo += [(a0, end_a - best, b0, end_b - best), (end_a, a1, end_b, b1)]
+    return total
+
+
 @F.pandas_udf(T.DoubleType())
 def seq_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """2*M/(len a + len b), M from the longest-block recursion; not symmetric. Null in, null out."""
     known: dict[tuple[str, str], float] = {}
-    matcher = SequenceMatcher(None)
-    second = None
     for a, b in batches:
         if len(known) > KNOWN_PAIRS:
             known.clear()
@@ -32,11 +48,8 @@ def seq_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
                 continue
             ratio = known.get(pair)
             if ratio is None:
-                if pair[1] != second:
-                    second = pair[1]
-                    matcher.set_seq2(second)
-                matcher.set_seq1(pair[0])
-                ratio = known[pair] = matcher.ratio()
+                size = len(pair[0]) + len(pair[1])
+                ratio = known[pair] = 2.0 * matched_characters(*pair) / size if size else 1.0
             out[i] = ratio
         yield pd.Series(out, dtype="float64")
 
@@ -55,7 +68,7 @@ def contained_ratio(a: Column, b: Column) -> Column:
 
     The longest block is then the whole shorter text, so M is its length.
     """
-    plain = (F.length(b) < PLAIN_LENGTH) & (F.length(a) > 0) & (F.length(b) > 0)
+    plain = (F.length(a) > 0) & (F.length(b) > 0)
     return F.when(
         plain & (a.contains(b) | b.contains(a)),
         F.lit(2.0) * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b)),

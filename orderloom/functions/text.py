@@ -179,10 +179,11 @@ def strip_first_prefix(c: Column | str, prefixes: Sequence[str], trim_dash: bool
     return out.otherwise(c)
 
 
-def keywords(c: Column | str, top: int = 5, char_class: str = CJK) -> Column:
+def keywords(c: Column | str, top: int | None = None, char_class: str = CJK) -> Column:
     """Distinct 2-4 character segments in order of appearance."""
     found = F.regexp_extract_all(_col(c), F.lit(f"([{char_class}]{{2,4}})"), F.lit(1))
-    return F.slice(F.array_distinct(found), 1, top)
+    found = F.array_distinct(found)
+    return found if top is None else F.slice(found, 1, top)
 
 
 def edge_keywords(c: Column | str) -> Column:

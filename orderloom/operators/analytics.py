@@ -202,9 +202,9 @@ def inverted_index(tokens: DataFrame, key: str, token: str = "token") -> DataFra
     return tokens.select(token, key).distinct().groupBy(token).agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def document_entries(docs: DataFrame, key: str, text: str, tokens: Column, first: int = 50) -> DataFrame:
-    """Per document: its first tokens (an entry shows that many), size in bytes, content hash."""
-    return docs.select(key, F.slice(tokens, 1, first).alias("keywords"), F.octet_length(text).cast("bigint").alias("size"),
+def document_entries(docs: DataFrame, key: str, text: str, tokens: Column, first: int | None = None) -> DataFrame:
+    """Per document: its tokens (all, or as many as an entry shows), size in bytes, content hash."""
+    return docs.select(key, (tokens if first is None else F.slice(tokens, 1, first)).alias("keywords"), F.octet_length(text).cast("bigint").alias("size"),
                        F.left(F.md5(text), F.lit(8)).alias("hash"))
 
 
@@ -233,6 +233,7 @@ def keep_first(df: DataFrame, keys: Sequence[Column], order: Sequence[Column]) -
     return first_per_key(named, names, order).drop(*names)
 
 
-def name_key(c: Column, keep: int = 30) -> Column:
-    """Letters, digits and CJK of a title, cut to a fixed length."""
-    return F.left(F.regexp_replace(c, r"[^一-龥a-zA-Z0-9]", ""), F.lit(keep))
+def name_key(c: Column, keep: int | None = None) -> Column:
+    """Letters, digits and CJK of a title, whole unless a length is given."""
+    key = F.regexp_replace(c, r"[^一-龥a-zA-Z0-9]", "")
+    return key if keep is None else F.left(key, F.lit(keep))

@@ -42,21 +42,21 @@ def containment_join(needles: DataFrame, hays: DataFrame, keys: Sequence[str] =
         hays, needles = cut_lineage(hays, "hays"), cut_lineage(needles, "needles")
 
     # Grams travel as short hashes: a chance collision only adds a pair that `contains` then drops. With them the
-    # rarest gram is the smallest whole number count * 2^39 + hash, which Spark aggregates without sorting.
+    # rarest gram is the smallest (count, hash) pair.
     def hashed(grams_of: Column) -> Column:
         return F.explode(F.transform(grams_of, lambda g: F.pmod(F.xxhash64(g), F.lit(2 ** 39)))).alias("_gram")
 
     hay_grams = hays.select(*keys, hay, hashed(F.array_union(grams(hay, 2), grams(hay, 1))))
-    sizes = hay_grams.groupBy(*keys, "_gram").agg(F.least(F.count(F.lit(1)), F.lit(2 ** 23)).alias("_df"))
+    sizes = hay_grams.groupBy(*keys, "_gram").agg(F.count(F.lit(1)).alias("_df"))
     wanted = F.when(F.length(needle) == 1, F.array(F.col(needle))).otherwise(grams(needle, 2))
     needle_grams = needles.withColumn("_grams", wanted).select(*keys, needle, F.size("_grams").alias("_need"), hashed(F.col("_grams")))
     rarest = (
         needle_grams.join(sizes, [*keys, "_gram"])
         .groupBy(*keys, needle, "_need")
-        .agg(F.count(F.lit(1)).alias("_have"), F.min(F.col("_df") * (2 ** 39) + F.col("_gram")).alias("_r"))
+        .agg(F.count(F.lit(1)).alias("_have"), F.min(F.struct("_df", "_gram")).alias("_r"))
         .where("_have = _need")
-        .select(*keys, needle, F.pmod(F.col("_r"), F.lit(2 ** 39)).alias("_gram"),
-                F.ceil(F.shiftright("_r", 39) / ROWS_PER_SALT).cast("int").alias("_salts"))
+        .select(*keys, needle, F.col("_r._gram").alias("_gram"),
+                F.ceil(F.col("_r._df") / ROWS_PER_SALT).cast("int").alias("_salts"))
     )
     left = rarest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     salted = sizes.where(F.col("_df") > ROWS_PER_SALT).select(

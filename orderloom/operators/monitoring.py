@@ -199,9 +199,10 @@ def decide(reports: DataFrame, limits: Mapping[str, float] = fv.DECISION_LIMITS)
         "volume": F.when(n < limits["volume_dead"], "critical").when(n < limits["volume_warning"], "warning"),
     }
     m, c, h = checks["match_rate"], checks["low_confidence"], checks["intervention"]
+    # A low-confidence rate raises the severity only while no check before it did; the intervention rate raises a medium one too.
     severity = (
         F.when((m == "critical") | (checks["volume"] == "critical"), "critical")
-        .when((c == "critical") | (h == "critical"), "high")
+        .when((h == "critical") | ((c == "critical") & m.isNull()), "high")
         .when(m.isNotNull() | c.isNotNull() | h.isNotNull(), "medium").otherwise("low")
     )
     severity = F.coalesce(severity, F.lit("low"))
@@ -212,8 +213,11 @@ def decide(reports: DataFrame, limits: Mapping[str, float] = fv.DECISION_LIMITS)
     )
     priority = F.when((severity == "low") & quiet, "medium").otherwise(severity)
     reasons = F.array_compact(F.array(*[F.when(v.isNotNull(), F.concat(F.lit(f"{k}:"), v)) for k, v in checks.items()]))
+    advice = F.array_compact(F.array(*[
+        F.coalesce(*[F.when(v == state, F.lit(text)) for (name, state), text in fv.DECISION_ADVICE.items() if name == k])
+        for k, v in checks.items()]))
     return reports.withColumn("severity", severity).withColumn("decision", decision).withColumn("priority", priority).withColumn(
-        "reasons", F.array_join(reasons, ";"))
+        "reasons", F.array_join(reasons, ";")).withColumn("advice", F.array_join(advice, ";"))
 
 
 # --- traces ------------------------------------------------------------------------------------------------

@@ -165,7 +165,7 @@ def sheet_lines(cells: DataFrame, layouts=tuple(LAYOUTS), block_rows: int = 100_
     labels = spark.createDataFrame(
         [(name, field, label) for name, _, cols in layouts for field, label in cols.items()], "layout string, field string, label string")
     typed = cells.join(detect_layout(cells, layouts), "doc_id").withColumn("value", tx.strip("value"))
-    head = typed.where("row <= 6").join(labels, (typed.layout == labels.layout) & (typed.value == labels.label)).select(
+    head = typed.join(labels, (typed.layout == labels.layout) & (typed.value == labels.label)).select(
         "doc_id", "row", "col", "field")
     header_row = head.where("field = 'product'").groupBy("doc_id").agg(F.min("row").alias("header_row"))
     columns = head.join(header_row, "doc_id").where("row = header_row").select("doc_id", "col", "field", "header_row")
@@ -179,9 +179,9 @@ def sheet_lines(cells: DataFrame, layouts=tuple(LAYOUTS), block_rows: int = 100_
         tx.scrub("unit").alias("unit"), tx.scrub("spec").alias("spec"))
 
 
-def header_row(cells: DataFrame, rules: DataFrame, first_rows: int = 7) -> DataFrame:
-    """Of the first rows of each sheet the one with most known field names (the upper one among equals), as (doc_id, row, col, standard)."""
-    known = standard_field(cells.where(F.col("row") <= first_rows).withColumn("rule_set", F.lit("default")), rules, "value").where(
+def header_row(cells: DataFrame, rules: DataFrame, first_rows: int | None = None) -> DataFrame:
+    """Of all or the first rows of each sheet the one with most known field names (the upper one among equals), as (doc_id, row, col, standard)."""
+    known = standard_field((cells if first_rows is None else cells.where(F.col("row") <= first_rows)).withColumn("rule_set", F.lit("default")), rules, "value").where(
         "standard is not null")
     counts = known.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy("doc_id").agg(F.max_by("row", F.struct("n", (-F.col("row")).alias("up"))).alias("row"))

@@ -214,11 +214,11 @@ def candidate_pairs(names: DataFrame, sku_names: DataFrame, forms: Sequence[str]
     own = ["owner_code"]
     contained = both_ways(names.select(*own, F.col("clean").alias("t")), skus.select(*own, F.col("sku_name").alias("t")), own).select(
         "owner_code", F.col("at").alias("clean"), F.col("bt").alias("sku_name"))
-    if not (names.where("core <> clean").isEmpty() and skus.where("core <> sku_name").isEmpty()):
-        cores = both_ways(names.select(*own, F.col("core").alias("t")), skus.select(*own, F.col("core").alias("t")), own)
-        contained = contained.unionByName(
-            cores.join(names.withColumnRenamed("core", "at"), [*own, "at"]).join(skus.withColumnRenamed("core", "bt"), [*own, "bt"])
-            .select("owner_code", "clean", "sku_name"))
+    # A pair of cores that are the names themselves is already there, so one of the two has to differ from its name.
+    cores = both_ways(names.select(*own, F.col("core").alias("t")), skus.select(*own, F.col("core").alias("t")), own)
+    contained = contained.unionByName(
+        cores.join(names.withColumnRenamed("core", "at"), [*own, "at"]).join(skus.withColumnRenamed("core", "bt"), [*own, "bt"])
+        .where("at <> clean OR bt <> sku_name").select("owner_code", "clean", "sku_name"))
 
     empty = F.col("core") == ""
     left = names.withColumn("gate", F.explode(F.concat(
@@ -229,8 +229,6 @@ def candidate_pairs(names: DataFrame, sku_names: DataFrame, forms: Sequence[str]
         F.when(empty, F.array(F.lit(ANY_GROUP))).otherwise(F.array().cast("array<string>")))))
     keys = ["owner_code", "gate"]
     left = cut_lineage(left.join(right.select(*keys).distinct(), keys, "left_semi"), "gates")
-    if left.isEmpty():  # no shared form word and no empty core anywhere: containment is all there is
-        return contained.distinct()
     right = right.join(left.select(*keys).distinct(), keys, "left_semi")
     similar = similar_pairs(left, right, keys, "clean", "sku_name", floor).select("owner_code", "clean", "sku_name")
     edge_left = left.select(*keys, "clean", F.explode(F.array_distinct(F.array(

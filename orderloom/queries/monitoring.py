@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fv
 from ..functions import parsing as ps
 from ..operators import monitoring as mo
 from . import query
@@ -133,12 +134,13 @@ def _(t):
 @query("q06_decisions", REPORTS + """, ch AS (SELECT *, floor((match_rate - lag(match_rate) OVER (PARTITION BY skill_name ORDER BY period_start)) * 1000000 + 0.5 + 1e-9) / 1000000 AS change FROM rep),
   c AS (SELECT *, CASE WHEN match_rate < 0.7 THEN 'critical' WHEN match_rate < 0.85 THEN 'warning' END AS m, CASE WHEN low_confidence_rate > 0.2 THEN 'critical' WHEN low_confidence_rate > 0.1 THEN 'warning' END AS l,
     CASE WHEN intervention_rate > 0.3 THEN 'critical' WHEN intervention_rate > 0.15 THEN 'warning' END AS h, CASE WHEN change < -0.05 THEN 'warning' END AS tr, CASE WHEN total_orders < 3 THEN 'critical' WHEN total_orders < 10 THEN 'warning' END AS v FROM ch),
-  s AS (SELECT *, CASE WHEN m = 'critical' OR v = 'critical' THEN 'critical' WHEN l = 'critical' OR h = 'critical' THEN 'high' WHEN m IS NOT NULL OR l IS NOT NULL OR h IS NOT NULL THEN 'medium' ELSE 'low' END AS severity FROM c)
+  s AS (SELECT *, CASE WHEN m = 'critical' OR v = 'critical' THEN 'critical' WHEN h = 'critical' OR (l = 'critical' AND m IS NULL) THEN 'high' WHEN m IS NOT NULL OR l IS NOT NULL OR h IS NOT NULL THEN 'medium' ELSE 'low' END AS severity FROM c)
   SELECT skill_name, period_start, severity, CASE severity WHEN 'critical' THEN 'upgrade_now' WHEN 'high' THEN 'plan_upgrade' WHEN 'medium' THEN 'plan_upgrade_mid_term' ELSE CASE WHEN total_orders < 10 THEN 'consider_tuning' ELSE 'keep_watching' END END AS decision,
     CASE WHEN severity = 'low' AND total_orders < 10 THEN 'medium' ELSE severity END AS priority,
-    array_to_string(list_filter(['match_rate:' || m, 'low_confidence:' || l, 'intervention:' || h, 'trend:' || tr, 'volume:' || v], lambda x: x IS NOT NULL), ';') AS reasons FROM s""", LOG)
+    array_to_string(list_filter(['match_rate:' || m, 'low_confidence:' || l, 'intervention:' || h, 'trend:' || tr, 'volume:' || v], lambda x: x IS NOT NULL), ';') AS reasons,
+    array_to_string(list_filter([""" + ", ".join(f"CASE {c}{''.join(f" WHEN '{s}' THEN '{a}'" for (k, s), a in fv.DECISION_ADVICE.items() if k == n)} END" for c, n in (("m", "match_rate"), ("l", "low_confidence"), ("h", "intervention"), ("tr", "trend"), ("v", "volume"))) + """], lambda x: x IS NOT NULL), ';') AS advice FROM s""", LOG)
 def _(t):
-    return mo.decide(mo.rate_change(mo.period_report(t.operation_log, "month"))).select("skill_name", "period_start", "severity", "decision", "priority", "reasons")
+    return mo.decide(mo.rate_change(mo.period_report(t.operation_log, "month"))).select("skill_name", "period_start", "severity", "decision", "priority", "reasons", "advice")
 
 
 ALERTS = METRICS + """, r AS (SELECT *, CASE WHEN sku_count > 0 THEN matched_sku_count::DOUBLE / sku_count ELSE 1.0e0 END AS rate FROM om)

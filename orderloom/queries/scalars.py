@@ -260,7 +260,7 @@ def _(t):
 @query("p26_reasoning_steps", r"""WITH m AS (SELECT session_id, turn, content, regexp_extract_all(content, '(?s)\*\*(?:思|思考|推理|分析|判断)[^*]*?\*\*(.*)$', 1) AS marked FROM messages),
  s AS (SELECT session_id, turn, CASE WHEN len(list_filter(marked, lambda x: length(trim(x)) > 5)) > 0 THEN list_filter(marked, lambda x: length(trim(x)) > 5)
    ELSE list_transform(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '^\d+[.)]\s+|^-\s+')), lambda x: regexp_replace(x, '^\d+[.)]\s+', '')) END AS steps FROM m)
- SELECT session_id, turn, cast(len(steps) AS bigint) AS n_steps, cast(coalesce(list_sum(list_transform(steps, lambda x: least(length(regexp_replace(x, '^\s+|\s+$', '', 'g')), 500))), 0) AS bigint) AS total_chars FROM s""", ("messages",))
+ SELECT session_id, turn, cast(len(steps) AS bigint) AS n_steps, cast(coalesce(list_sum(list_transform(steps, lambda x: length(regexp_replace(x, '^\s+|\s+$', '', 'g')))), 0) AS bigint) AS total_chars FROM s""", ("messages",))
 def _(t):
     steps = ps.reasoning_steps("content")
     return t.messages.select("session_id", "turn", F.size(steps).cast("bigint").alias("n_steps"),
@@ -275,7 +275,7 @@ def _(t):
     args = (F.when(k == 0, F.to_json(F.struct(F.concat(F.lit("run "), "props").alias("command"))))
             .when(k == 1, F.to_json(F.struct(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("store_name"))))
             .when(k == 2, F.lit('{"items": [1, 2]}')).otherwise(F.col("props")))
-    return t.events.select("event_id", ps.args_summary(tool, args).alias("summary"))
+    return t.events.select("event_id", ps.args_summary(tool, args, keep_keys=3, keep_command=50).alias("summary"))
 
 
 @query("p30_version_key", "SELECT skill_version, regexp_replace(trim(skill_version), '^[vV]', '') AS version_key, count(*) AS n FROM order_metrics GROUP BY ALL", ("order_metrics",))

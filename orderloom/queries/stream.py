@@ -28,15 +28,25 @@ def _(t):
     return sessions.sessions_batch(t.order_events)
 
 
-@query("t02_layer_statistics", """SELECT CASE WHEN starts_with(event_type, 'store') THEN 'store' ELSE 'sku' END AS entity_type, concat('layer_', cast(cast(json_extract_string(props, '$.k') AS bigint) % 5 AS varchar)) AS layer_name, count(*) AS total_attempts,
-  count(CASE WHEN event_type = 'store_confirmed' THEN 1 END) AS success_count, count(CASE WHEN event_type <> 'store_confirmed' THEN 1 END) AS user_corrected_count, sum(floor(value))::BIGINT AS score_sum FROM order_events WHERE event_type IN ('store_confirmed', 'sku_corrected') GROUP BY ALL""", EV)
+
+
+def own_layer():
+    """The given events' layer and score."""
+    return F.concat(F.lit("layer_"), (F.get_json_object("props", "$.k").cast("bigint") % 5).cast("string")), F.col("value") / 20
+
+
+LAYERS = ("""SELECT CASE WHEN starts_with(event_type, 'store') THEN 'store' ELSE 'sku' END AS entity_type, concat('layer_', cast(cast(json_extract_string(props, '$.k') AS bigint) % 5 AS varchar)) AS layer_name, count(*) AS total_attempts,
+  count(CASE WHEN event_type = 'store_confirmed' THEN 1 END) AS success_count, count(CASE WHEN event_type <> 'store_confirmed' THEN 1 END) AS user_corrected_count, sum(cast(value / 20 AS decimal(18,6)))::DOUBLE AS score_sum FROM order_events WHERE event_type IN ('store_confirmed', 'sku_corrected') GROUP BY ALL""", EV)
+
+
+@query("t02_layer_statistics", *LAYERS)
 def _(t):
-    return jobs.layer_statistics(t.order_events)
+    return jobs.layer_statistics(t.order_events, *own_layer())
 
 
-@query("t02_layer_statistics_stream")
+@query("t02_layer_statistics_stream", *LAYERS)
 def _(t):
-    return drain(t, lambda e: jobs.layer_statistics(e), "complete")
+    return drain(t, lambda e: jobs.layer_statistics(e, *own_layer()), "complete")
 
 
 def drain(t, build, mode):
@@ -46,7 +56,7 @@ def drain(t, build, mode):
     t.order_events.withColumn("ts", F.col("ts").cast("timestamp")).repartition(4).write.parquet(path)
 
     def keep(batch, epoch):
-        batch.write.mode("overwrite").parquet(f"{out}/result")
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/result")
 
     stream = build(jobs.event_source(spark, path))
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start()
@@ -60,11 +70,22 @@ def _(t):
     return jobs.rejection_stream(acts)
 
 
-@query("t04_stalled_sessions", """WITH g AS (SELECT session_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS brk FROM order_events WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)),
-  s AS (SELECT session_id, ts, sum(brk) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS seg FROM g) SELECT session_id, max(ts) AS last_ts, max(ts) + INTERVAL 30 MINUTE AS stalled_at, count(*) AS n_events FROM s GROUP BY session_id, seg""", EV)
+STALLED = """WITH g AS (SELECT session_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS brk FROM order_events WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)),
+  s AS (SELECT session_id, ts, sum(brk) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS seg FROM g) SELECT session_id, max(ts) AS last_ts, max(ts) + INTERVAL 30 MINUTE AS stalled_at, count(*) AS n_events FROM s GROUP BY session_id, seg"""
+
+
+@query("t04_stalled_sessions", STALLED, EV)
+def _(t):
+    return as_given(jobs.stalled_sessions(t.order_events.withColumn("ts", F.col("ts").cast("timestamp"))))
+
+
+@query("t04_stalled_sessions_stream", STALLED, EV)
 def _(t):
-    out = jobs.stalled_sessions(t.order_events.withColumn("ts", F.col("ts").cast("timestamp")))
-    return out.select("session_id", F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), F.col("stalled_at").cast("timestamp_ntz").alias("stalled_at"), "n_events")
+    return as_given(drain(t, jobs.stalled_sessions, "complete"))
+
+
+def as_given(stalled):
+    return stalled.select("session_id", F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), F.col("stalled_at").cast("timestamp_ntz").alias("stalled_at"), "n_events")
 
 
 @query("t05_active_sessions", "SELECT session_id, max(ts) AS last_ts, count(*) AS n_events FROM order_events GROUP BY session_id HAVING max(ts) >= TIMESTAMP '2024-01-30 22:00:00' - INTERVAL 60 MINUTE", EV)
@@ -72,14 +93,22 @@ def _(t):
     return mo.active_sessions(t.order_events, "2024-01-30 22:00:00", 60)
 
 
-@query("t06_daily_metrics", "SELECT cast(ts AS date) AS day, event_type, count(*) AS n, sum(floor(value * 100))::BIGINT AS value_cents FROM order_events GROUP BY ALL", EV)
+DAILY = "SELECT cast(ts AS date) AS day, event_type, count(*) AS n, sum(floor(value * 100))::BIGINT AS value_cents FROM order_events GROUP BY ALL"
+
+
+@query("t06_daily_metrics_stream", DAILY, EV)
+def _(t):
+    return drain(t, jobs.daily_metrics, "complete")
+
+
+@query("t06_daily_metrics", DAILY, EV)
 def _(t):
     return jobs.daily_metrics(t.order_events.withColumn("ts", F.col("ts").cast("timestamp")))
 
 
 @query("x01_event_handlers", f"SELECT event_type, count(*) AS n FROM order_events WHERE event_type IN ('order_complete', 'order_cancelled') GROUP BY ALL", EV)
 def _(t):
-    path = work_path(t.spark, "handlers")
+    path, failed = work_path(t.spark, "handlers"), []
 
     def keep(rows, epoch):
         rows.select("event_id", "event_type").write.mode("append").parquet(path)
@@ -87,7 +116,7 @@ def _(t):
     def broken(rows, epoch):
         raise ValueError("a failing handler")
 
-    jobs.dispatch({"order_complete": [broken, keep], "order_cancelled": [keep]})(t.order_events, 0)
+    jobs.dispatch({"order_complete": [broken, keep], "order_cancelled": [keep]}, lambda event, error: failed.append(event))(t.order_events, 0)
     return t.spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 

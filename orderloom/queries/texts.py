@@ -13,7 +13,7 @@ PLAIN = r"regexp_replace(replace(replace(replace(regexp_replace({0}, '<[^>]+>',
 @query("p28_plain_text", f"SELECT page_id, md5({PLAIN.format('html')}) AS text_hash, length({PLAIN.format('html')}) AS n_chars, left({PLAIN.format('html')}, 40) AS title FROM pages")
 def _(t):
     text = ps.plain_text("html")
-    return t.pages.select("page_id", text.alias("x")).select("page_id", F.md5("x").alias("text_hash"), F.length("x").cast("bigint").alias("n_chars"), ps.listing_title("x").alias("title"))
+    return t.pages.select("page_id", text.alias("x")).select("page_id", F.md5("x").alias("text_hash"), F.length("x").cast("bigint").alias("n_chars"), ps.listing_title("x", keep=40).alias("title"))
 
 
 EMAIL_RE = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
@@ -61,7 +61,7 @@ def _(t):
   k AS (SELECT *, CASE WHEN regexp_matches(line, '^- \[x\]|^✅') THEN 'done' WHEN regexp_matches(line, '^\*\*.*决定') THEN 'decision' WHEN regexp_matches(line, '学到的教训|关键学习') THEN 'lesson' WHEN regexp_matches(line, '(?i)bug.*修复|修复.*bug') THEN 'bug' END AS kind FROM l)
   SELECT doc_id, line_no, kind, left(CASE WHEN kind = 'done' THEN regexp_replace(line, '^- \[x\] |^✅ ?', '') ELSE line END, 80) AS bullet FROM k WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no) <= 10""", ("records",))
 def _(t):
-    return ps.log_bullets(t.records, "doc_id", "text").withColumn("line_no", F.col("line_no").cast("bigint"))
+    return ps.log_bullets(t.records, "doc_id", "text", top=10, keep=80).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 @query("p33_log_headline", "SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN concat('Title ', cast(doc_id AS varchar)) END AS title FROM records WHERE doc_id % 5 = 3 OR NOT regexp_matches(text, '(?m)^#[ \\t]+\\S')", ("records",))
@@ -94,7 +94,7 @@ def _(t):
 
 
 @query("u02_keep_first", r"""WITH a AS (SELECT page_id, url, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages), b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY regexp_replace(url, '[?#].*$', '') ORDER BY page_id) = 1)
-  SELECT page_id, url, left(regexp_replace(title, '[^一-龥a-zA-Z0-9]', '', 'g'), 30) AS name_key FROM b QUALIFY row_number() OVER (PARTITION BY left(regexp_replace(title, '[^一-龥a-zA-Z0-9]', '', 'g'), 30) ORDER BY page_id) = 1""")
+  SELECT page_id, url, regexp_replace(title, '[^一-龥a-zA-Z0-9]', '', 'g') AS name_key FROM b QUALIFY row_number() OVER (PARTITION BY regexp_replace(title, '[^一-龥a-zA-Z0-9]', '', 'g') ORDER BY page_id) = 1""")
 def _(t):
     pages = t.pages.select("page_id", "url", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"))
     by_url = an.keep_first(pages, [F.regexp_replace("url", r"[?#].*$", "")], [F.col("page_id")])

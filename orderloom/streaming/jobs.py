@@ -29,19 +29,21 @@ def known_events(events: DataFrame) -> DataFrame:
     return events.where(F.col("event_type").isin(*fv.EVENT_TYPES))
 
 
-def outcomes(events: DataFrame) -> DataFrame:
-    """Layer outcomes of confirm and correct events: (entity_type, layer_name, match_score, confirmed)."""
+def outcomes(events: DataFrame, layer: Column, score: Column) -> DataFrame:
+    """Layer outcomes of confirm and correct events: (entity_type, layer_name, match_score, confirmed).
+
+    layer and score are the event's own; scores are summed as decimals of six places, so that sums do not depend on order.
+    """
     kind = F.col("event_type")
     rows = events.where(kind.isin("store_confirmed", "store_corrected", "sku_confirmed", "sku_corrected"))
     return rows.select(
         F.when(kind.startswith("store"), "store").otherwise("sku").alias("entity_type"),
-        F.concat(F.lit("layer_"), F.coalesce(F.get_json_object("props", "$.k").cast("bigint") % 5, F.lit(0)).cast("string")).alias("layer_name"),
-        F.floor(F.col("value")).alias("match_score"), kind.endswith("confirmed").alias("confirmed"))
+        F.coalesce(layer, F.lit("")).alias("layer_name"), F.coalesce(score, F.lit(0.0)).cast("decimal(18,6)").alias("match_score"), kind.endswith("confirmed").alias("confirmed"))
 
 
-def layer_statistics(events: DataFrame) -> DataFrame:
+def layer_statistics(events: DataFrame, layer: Column, score: Column) -> DataFrame:
     """Running layer statistics; in update mode every trigger emits the layers that changed."""
-    return layer_counts(outcomes(events))
+    return layer_counts(outcomes(events, layer, score)).withColumn("score_sum", F.col("score_sum").cast("double"))
 
 
 def alert_stream(metrics: DataFrame) -> DataFrame:
@@ -69,7 +71,7 @@ def daily_metrics(events: DataFrame, period: str = "1 day") -> DataFrame:
 
 
 def dispatch(handlers: Mapping[str, list[Callable[[DataFrame, int], None]]],
-             on_error: Callable[[str, Exception], None] = lambda event, exc: None) -> Callable[[DataFrame, int], None]:
+             on_error: Callable[[str, Exception], None]) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: every handler gets the rows of its event type; a failing handler does not stop the others."""
 
     def run(batch: DataFrame, epoch: int) -> None:

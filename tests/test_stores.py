@@ -116,7 +116,7 @@ def test_warehouse_part_and_address_words(spark):
     got = [r.p and tuple(r.p) for r in df.select(st.warehouse_part(F.col("n"), reach=2).alias("p")).collect()]
     assert got == [("郑州仓", "大铁牛"), None, None]
     words = spark.createDataFrame([("江苏省 徐州市沛县 大路",)], "a string").select(tx.address_words("a").alias("w"), tx.address_keywords("a").alias("k")).first()
-    assert words.w == ["徐州市沛县", "江苏省", "大路"] and words.k == ["徐州市沛"[:4]] or words.k
+    assert words.w == ["徐州市沛县", "江苏省", "大路"] and words.k == ["徐州市沛"]
 
 
 def test_address_layer_equals_brute_force(spark):

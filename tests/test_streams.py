@@ -39,20 +39,21 @@ def test_session_records_equal_batch(spark, tmp_path):
 
 
 def test_layer_statistics_equal_batch(spark, tmp_path):
+    layer, score = F.concat(F.lit("layer_"), F.get_json_object("props", "$.k")), F.col("value") / 8
     batch = events(spark, tmp_path)
     source = jobs.event_source(spark, str(tmp_path / "in"), maxFilesPerTrigger="1")
-    got = drain(spark, jobs.layer_statistics(source), "complete", tmp_path, "layers").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, jobs.layer_statistics(batch).collect()))
+    got = drain(spark, jobs.layer_statistics(source, layer, score), "complete", tmp_path, "layers").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, jobs.layer_statistics(batch, layer, score).collect()))
 
 
 def test_windows_run_on_a_stream(spark, tmp_path):
     batch = events(spark, tmp_path)
     source = jobs.event_source(spark, str(tmp_path / "in")).withWatermark("ts", "1 hour")
-    days = drain(spark, jobs.daily_metrics(source), "append", tmp_path, "days").collect()
-    assert set(map(tuple, days)) <= set(map(tuple, jobs.daily_metrics(batch).collect()))
+    days = drain(spark, jobs.daily_metrics(source), "complete", tmp_path, "days").collect()
+    assert sorted(map(tuple, days)) == sorted(map(tuple, jobs.daily_metrics(batch).collect())) and days
     source = jobs.event_source(spark, str(tmp_path / "in")).withWatermark("ts", "1 hour")
-    stalled = drain(spark, jobs.stalled_sessions(source, "10 minutes"), "append", tmp_path, "stalled").collect()
-    assert set(map(tuple, stalled)) <= set(map(tuple, jobs.stalled_sessions(batch, "10 minutes").collect())) and stalled
+    stalled = drain(spark, jobs.stalled_sessions(source, "10 minutes"), "complete", tmp_path, "stalled").collect()
+    assert sorted(map(tuple, stalled)) == sorted(map(tuple, jobs.stalled_sessions(batch, "10 minutes").collect())) and stalled
 
 
 def test_failing_handler_does_not_stop_others(spark, tmp_path):
