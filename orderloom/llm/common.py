@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
@@ -33,6 +35,15 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z < 0, tail).otherwise(1 - tail)
 
 
+def bounded_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """At most `rows` rows, those of least hash of their keys: a repeatable sample. Tasks only send what the hash lets through."""
+    total = df.count()
+    mixed = F.xxhash64(*keys, F.lit("sample"))
+    if total > rows:
+        df = df.where(F.pmod(mixed, F.lit(total)) < 2 * rows)
+    return df.orderBy(F.pmod(mixed, F.lit(max(total, 1))), *keys).limit(rows)
+
+
 def sift(df: DataFrame, wanted: DataFrame, key: str, buckets: int = 1 << 16) -> DataFrame:
     """Rows of df whose key may be among wanted's: all that are, and few others while wanted's keys are fewer than buckets.
 
@@ -42,6 +53,39 @@ def sift(df: DataFrame, wanted: DataFrame, key: str, buckets: int = 1 << 16) ->
     return df.join(F.broadcast(wanted.select(bucket()).distinct()), bucket() == F.col("__bucket"), "left_semi")
 
 
+def bitmap(values: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
+    """Bits of the hash buckets that a long column's values fall into: a mebibyte by default, however many values there are."""
+    at = F.pmod(F.xxhash64(column), F.lit(bits))
+    words = (values.select(at.alias("at")).selectExpr("shiftright(at, 6) AS word", "shiftleft(1L, cast(at % 64 AS int)) AS bit")
+             .groupBy("word").agg(F.bit_or("bit").alias("bit")).collect())
+    out = np.zeros(bits // 64, np.int64)
+    for r in words:
+        out[r["word"]] = r["bit"]
+    return out
+
+
+def may_be_among(df: DataFrame, values: DataFrame, column: str, bits: int = 1 << 23) -> Column:
+    """Condition on a long column of df: true where it is among the values', seldom elsewhere while those are fewer than the bits."""
+    sent = df.sparkSession.sparkContext.broadcast(bitmap(values, column, bits))
+
+    def run(at: pd.Series) -> pd.Series:
+        place = at.to_numpy()
+        return pd.Series((sent.value[place >> 6] >> (place & 63)) & 1 == 1)
+
+    return F.pandas_udf(run, "boolean")(F.pmod(F.xxhash64(column), F.lit(bits)))
+
+
+
+
+def leave_out(df: DataFrame, values: DataFrame, key: str, buckets: int = 1 << 18) -> DataFrame:
+    """Rows of df whose key is not among the values'. Only rows in a hash bucket with one of the values are shuffled; buckets bounds the broadcast."""
+    bucket = lambda: F.pmod(F.xxhash64(key), F.lit(buckets)).alias("__bucket")
+    taken = F.broadcast(values.select(bucket()).distinct())
+    sure = df.join(taken, bucket() == F.col("__bucket"), "left_anti")
+    maybe = df.join(taken, bucket() == F.col("__bucket"), "left_semi")
+    return sure.unionByName(maybe.join(values.select(key), key, "left_anti").select(*df.columns))
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of edges (a, b), both long: (node, root), root being the smallest node that is reachable.
 

@@ -19,10 +19,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut_lineage, texts
+from .common import bounded_sample, cut_lineage, texts
 
 BUCKETS = 1 << 15
 SMOOTHING = 1.0
+#: Good documents that the target model counts at most; the other model counts all documents.
+FIT_ROWS = 20_000
+#: Words whose hashes a task remembers.
+KNOWN = 150_000
 #: Words up to which evidence adds up; beyond, a text counts as so many words.
 EVIDENCE = 200
 
@@ -35,7 +39,7 @@ class Grams:
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.encode().lower().split()
-        if len(self.known) > 1_000_000:
+        if len(self.known) > KNOWN:
             self.known.clear()
         known = self.known
         for w in set(words).difference(known):
@@ -46,9 +50,13 @@ class Grams:
         return (np.concatenate((single, pair)) >> np.uint64(40)).astype(np.int64) % self.buckets
 
 
-def bucket_counts(docs: DataFrame, good: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of every bucket over the documents whose doc_id is in good, and over all. Each task sends one row a bucket at most."""
-    marked = texts(docs).join(good.select("doc_id", F.lit(True).alias("good")).distinct(), "doc_id", "left")
+def bucket_counts(docs: DataFrame, good: DataFrame, buckets: int = BUCKETS, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of every bucket over good documents, and over all. Each task sends one row a bucket at most.
+
+    The good ones are the fit_rows doc_ids of good that are first in the order of a hash; fit_rows bounds their broadcast.
+    """
+    taken = bounded_sample(good.select("doc_id").distinct(), fit_rows, "doc_id")
+    marked = texts(docs).join(F.broadcast(taken.withColumn("good", F.lit(True))), "doc_id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams, total = Grams(buckets), np.zeros((2, buckets), np.int64)
