@@ -120,10 +120,14 @@ def outbound_table(lines: DataFrame, columns: Sequence[str] = fv.OUTBOUND_COLUMN
         (F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit(defaults.get(c, ""))).alias(c) for c in columns])
 
 
-def write_outbound(lines: DataFrame, path: str, order_key: str = "order_id", fmt: str = "csv") -> None:
-    """All stores of an order in one folder of the output; a table is never gathered in one task."""
-    table = outbound_table(lines).withColumn(order_key, F.col("third_order_no"))
-    writer = table.write.mode("overwrite").partitionBy(order_key)
+def write_outbound(table: DataFrame, path: str, order_key: str = "third_order_no", fmt: str = "csv", files: int | None = None) -> None:
+    """An outbound table as files of ranges of orders: all rows of an order stand together in one file, in their sequence.
+
+    files: how many, by default as many as Spark shuffles into; a table is never gathered in one task.
+    """
+    keys = [F.col(order_key)]
+    dealt = table.repartitionByRange(files, *keys) if files else table.repartitionByRange(*keys)
+    writer = dealt.sortWithinPartitions(order_key, "store_code", F.col("seq_no").try_cast("bigint")).write.mode("overwrite")
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 

@@ -11,6 +11,7 @@ from ..operators import review as rv
 from ..operators import sku_match as sm
 from ..operators.blocking import containment_join
 from ..operators.ordered import number_rows
+from ..session import work_path
 from . import query
 from .scalars import CLEAN, RATIO, SCRUB, SPEC
 
@@ -199,7 +200,7 @@ def _(t):
 
 def numbered(lines):
     order = [F.col(c) for c in ("line_no", "true_sku", "supplier_id", "quantity", "amount")]
-    return number_rows(lines, ["order_id"], order, F.col("line_no"), "seq")
+    return number_rows(lines, ["order_id"], order, F.floor(F.col("line_no") / 1000), "seq")
 
 
 @query("w12_threshold_matches", """SELECT p_brand, p_partkey, round(score, 6) AS score FROM (SELECT p_brand, p_partkey, p_retailprice / 1000 AS score FROM part) x WHERE score >= 0.905
@@ -313,7 +314,9 @@ def _(t):
 
 @query("s10_read_outbound", EQUAL_LINES + " SELECT cast(order_id AS varchar) AS order_no, cast(1 AS bigint) AS seq, owner_code AS store_code, sku_code, coalesce(unit_type, '') AS unit_type, quantity FROM lines WHERE matched", BASIC)
 def _(t):
-    return rv.read_outbound(outbound(t))
+    path = work_path(t.spark, "outbound")
+    rv.write_outbound(outbound(t), path, fmt="parquet")
+    return rv.read_outbound(t.spark.read.parquet(path))
 
 
 @query("q08_linked_fields", "SELECT o_orderkey, unnest(CASE o_orderkey % 4 WHEN 0 THEN ['vehicle_type'] WHEN 1 THEN ['advance_pay', 'pay_method'] WHEN 2 THEN ['consumer_courier'] ELSE [] END) AS missing_field FROM orders")
