@@ -39,6 +39,9 @@ REGION_PREFIXES = ["河北-", "天津-", "沧州-"]
 PLACE_SUFFIXES = ["省", "市", "区", "县", "镇", "乡", "村", "街", "路", "店", "仓", "口"]
 WAREHOUSE_SUFFIXES = ["仓", "仓店", "仓储"]
 
+# Names under which an answer may carry the key of the store it confirms, the first non-empty one wins.
+CONFIRMATION_KEYS = ["_store_key", "store_key", "store_name_submitted", "store_name"]
+
 # --- fixed values: labels of text orders, first label that fits wins --------------
 LINE_LABELS = {
     "order_no": ["订单编号", "订单号", "单号"],

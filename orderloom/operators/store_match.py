@@ -355,6 +355,19 @@ def auto_confirmed(match_type: Column, need_confirm: Column, n_candidates: Colum
     return F.coalesce((match_type == "exact") & ~need_confirm & (n_candidates <= 1), F.lit(False))
 
 
+def merge_confirmations(answers: DataFrame, keys: Sequence[str] = fv.CONFIRMATION_KEYS) -> DataFrame:
+    """(order_id, confirm_key, confirmed_code): the latest confirmation of each store key of an order.
+
+    answers: order_id, seq, confirmed_stores (map of store key to code, a batch), store_code and the key columns (a single
+    confirmation, which counts if it has a code or a name, and wins over the batch of the same answer).
+    """
+    batch = answers.select("order_id", "seq", F.lit(0).alias("single"), F.explode("confirmed_stores").alias("confirm_key", "confirmed_code"))
+    single = answers.where("coalesce(store_code, '') <> '' OR coalesce(store_name, '') <> ''").select(
+        "order_id", "seq", F.lit(1).alias("single"), tx.first_non_empty(*keys).alias("confirm_key"), F.col("store_code").alias("confirmed_code"))
+    return batch.unionByName(single.where("coalesce(confirm_key, '') <> ''")).groupBy("order_id", "confirm_key").agg(
+        F.max_by("confirmed_code", F.struct("seq", "single")).alias("confirmed_code"))
+
+
 def with_confirmations(matches: DataFrame, confirmations: DataFrame) -> DataFrame:
     """Earlier confirmations win over the match: by store key, then by key = submitted name, then by the name submitted
     with the confirmation. A confirmation of another store never applies.

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fv
 from ..functions import text as tx
 from ..operators import evaluation as ev
 from ..operators import store_match as st
@@ -152,14 +153,14 @@ def _(t):
     return st.store_corrections(confirmed(t)).select("order_id", "store_code", "confirmed_code")
 
 
-@query("n02_merge_confirmations", "SELECT user_id AS order_id, concat('S', cast(event_id % 5 AS varchar)) AS confirm_key, arg_max(concat('ST', cast(event_id AS varchar)), event_id) AS confirmed_code FROM events WHERE event_type = 'click' GROUP BY ALL")
+@query("n02_merge_confirmations", "SELECT user_id AS order_id, concat('S', cast(event_id % 7 AS varchar)) AS confirm_key, arg_max(concat('ST', cast(event_id AS varchar)), event_id) AS confirmed_code FROM events WHERE event_type = 'click' GROUP BY ALL")
 def _(t):
-    e = t.events.where("event_type = 'click'")
-    one = e.where("event_id % 2 = 0").select(F.col("user_id").alias("order_id"), F.create_map(F.concat(F.lit("S"), (F.col("event_id") % 5).cast("string")), F.concat(F.lit("ST"), F.col("event_id").cast("string"))).alias("m"), "event_id")
-    keyed = e.where("event_id % 2 = 1").select(F.col("user_id").alias("order_id"), F.lit(None).cast("string").alias("_store_key"), F.concat(F.lit("S"), (F.col("event_id") % 5).cast("string")).alias("store_key"), F.concat(F.lit("ST"), F.col("event_id").cast("string")).alias("code"), "event_id")
-    batched = one.select("order_id", "event_id", F.explode("m").alias("confirm_key", "code"))
-    single = keyed.select("order_id", "event_id", tx.first_non_empty("_store_key", "store_key").alias("confirm_key"), "code")
-    return batched.unionByName(single).groupBy("order_id", "confirm_key").agg(F.max_by("code", "event_id").alias("confirmed_code"))
+    kind, key, code = F.col("event_id") % 5, F.concat(F.lit("S"), (F.col("event_id") % 7).cast("string")), F.concat(F.lit("ST"), F.col("event_id").cast("string"))
+    named = [F.when(kind == i + 1, key).alias(name) for i, name in enumerate(fv.CONFIRMATION_KEYS)]
+    answers = t.events.where("event_type = 'click'").select(
+        F.col("user_id").alias("order_id"), F.col("event_id").alias("seq"), F.when(kind == 0, F.create_map(key, code)).alias("confirmed_stores"),
+        F.when(kind != 0, code).alias("store_code"), *named)
+    return st.merge_confirmations(answers)
 
 
 @query("q07_auto_confirmed", """SELECT request_id, CASE WHEN n = 1 THEN 'auto_confirmed' WHEN n > 1 THEN 'pending' ELSE 'failed' END AS status FROM (SELECT request_id, (SELECT count(*) FROM stores s WHERE s.store_name = r.store_name) AS n FROM store_requests r) x""", STO)
