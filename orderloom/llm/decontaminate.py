@@ -171,12 +171,13 @@ def _times(gram: DataFrame, right: np.ndarray) -> np.ndarray:
             out = []
             for row in batch["row"]:
                 j = np.array([c["j"] for c in row])
-                out.append((np.array([c["w"] for c in row]) @ sent.value[j]).astype("<f8").tobytes())
+                out.append((np.array([c["w"] for c in row]) @ sent.value[j]).astype("<f4").tobytes())
             yield pd.DataFrame({"i": batch["i"], "y": out})
 
-    product = np.zeros(right.shape)
+    product = np.zeros(right.shape, np.float32)
     for r in gram.mapInPandas(run, "i bigint, y binary").toLocalIterator():
-        product[r["i"]] = np.frombuffer(r["y"], "<f8")
+        product[r["i"]] = np.frombuffer(r["y"], "<f4")
+    sent.unpersist()
     return product
 
 
@@ -189,13 +190,19 @@ def latent_basis(gram: DataFrame, own: np.ndarray, rank: int, seed: int = 11) ->
     terms = own.shape[1]
     rank = min(rank, terms)
     heaviest = gram.agg(F.max(F.aggregate("row", F.lit(0.0), lambda a, c: a + c["w"]))).first()[0] or 0.0  # bounds all eigenvalues
-    own = own * np.sqrt(100 * (1 + heaviest))
-    probe = np.random.default_rng(seed).normal(size=(terms, rank))
+    weight = np.float32(100 * (1 + heaviest))
+
+    def applied(right: np.ndarray) -> np.ndarray:
+        product = _times(gram, right)
+        product += own.T @ (weight * (own @ right))
+        return product
+
+    probe = np.random.default_rng(seed).standard_normal((terms, rank), np.float32)
     for _ in range(2):
-        probe = np.linalg.qr(_times(gram, probe) + own.T @ (own @ probe))[0]
-    small = probe.T @ (_times(gram, probe) + own.T @ (own @ probe))
-    value, vector = np.linalg.eigh((small + small.T) / 2)
-    return probe @ vector[:, value > 1e-9 * max(value.max(), 1e-30)]
+        probe = np.linalg.qr(applied(probe))[0]
+    small = probe.T @ applied(probe)
+    value, vector = np.linalg.eigh((small + small.T).astype(float) / 2)
+    return probe @ vector[:, value > 1e-6 * max(value.max(), 1e-30)].astype(np.float32)
 
 
 def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
@@ -244,7 +251,7 @@ def _search(docs: DataFrame, block: list[tuple[int, list[bytes], list[bytes]]],
         at, term = terms.find(item)
         passage, term, count, _ = passages(np.zeros(len(at), int), at.astype(np.int64), term, np.array([len(item)]))
         for p in np.unique(passage):
-            row = np.zeros(n_terms)
+            row = np.zeros(n_terms, np.float32)
             row[term[passage == p]] = _weighted(term[passage == p], count[passage == p], idf)
             owner.append(k)
             rows.append(row / np.linalg.norm(row))
@@ -253,7 +260,7 @@ def _search(docs: DataFrame, block: list[tuple[int, list[bytes], list[bytes]]],
     latent = own @ basis
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     most = (own ** 2).max(0)  # a passage's cosine with any item is at most the root of this over its terms
-    sent = spark.sparkContext.broadcast((basis.astype(np.float32), idf, latent.astype(np.float32), np.array(owner), most))
+    sent = spark.sparkContext.broadcast((basis, idf, latent, np.array(owner), most))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         basis, idf, latent, owner, most = sent.value

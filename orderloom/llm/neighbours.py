@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import cut_lineage
+from .common import bounded_sample, cut_lineage
 
 DIMENSIONS = 12
 #: Chance that a true neighbour has come before the search stops.
@@ -158,7 +158,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, dimensions: int = DI
 
     padded = F.concat("vector", F.array_repeat(F.lit(0.0), F.lit(size) - F.size("vector")))
     rows = rows.select("vec_id", padded.alias("vector"), F.pandas_udf(project, "array<double>")("vector").alias("projected"))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("projected").limit(SAMPLE).collect()
+    sample = bounded_sample(rows, SAMPLE, "vec_id").select("projected").collect()
     cells = min(CELLS, max(1, n // CELL))
     fitted = np.array([r[0] for r in sample]).reshape(-1, dimensions)
     top = Tree(fitted, max(1, -(-len(fitted) // cells)), bounded=False)

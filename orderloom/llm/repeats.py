@@ -31,7 +31,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut_lineage
+from .common import bounded_sample, cut_lineage
 
 LENGTH, GRAM = 200, 64
 #: Grams worked at a time (their places share a number with the hash), distinct runs of a gram that one task merges at most, lines in a range, lines sampled for its borders.
@@ -97,23 +97,26 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _all_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    def table(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("id", "h", "first", "starts", "anchor", "g", "t"), map(np.concatenate, zip(*parts)))))
+
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: list[pd.DataFrame] = []
+            out: list[tuple[np.ndarray, ...]] = []
             held = 0
-            for doc_id, h, data in zip(batch["id"], batch["h"], batch["data"]):
+            for doc_id, h, data in zip(batch["id"].tolist(), batch["h"].tolist(), batch["data"]):
                 first, starts, anchor, g = runs_of(data, length, gram)
                 if not len(first):
                     continue
                 ends = (first + starts + (length - 1)).tolist()
                 t = np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), ends)], np.uint64).view(np.int64)
-                out.append(pd.DataFrame({"id": doc_id, "h": h, "first": first, "starts": starts, "anchor": anchor, "g": g, "t": t}))
+                out.append((np.full(len(first), doc_id), np.full(len(first), h), first, starts, anchor, g, t))
                 held += len(first)
                 if held > 200_000:
-                    yield pd.concat(out)
+                    yield table(out)
                     out, held = [], 0
             if out:
-                yield pd.concat(out)
+                yield table(out)
 
     long = rows.where(F.length("data") >= length).select("id", "h", "data")
     return long.mapInPandas(find, "id bigint, h bigint, first bigint, starts int, anchor int, g bigint, t bigint")
@@ -250,7 +253,7 @@ def _repeats_of_group(group: list[tuple[int, bytes, bytes, int, int]], length: i
 def _merged(lines: DataFrame, length: int, gram: int) -> DataFrame:
     """(g, t, offset, n): starts that repeat, of lines (g, t, before, text), by the distributed merge sort."""
     n = lines.count()
-    sample = sorted({bytes(r["p"]) for r in lines.select(F.col("text").substr(1, gram).alias("p"), "g", "t").orderBy(F.xxhash64("g", "t"), "g", "t").limit(SAMPLE).collect()})
+    sample = sorted({bytes(r["p"]) for r in bounded_sample(lines.select(F.col("text").substr(1, gram).alias("p"), "g", "t"), SAMPLE, "g", "t").select("p").collect()})
     parts = max(1, n // LINES)
     borders = [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else []
 

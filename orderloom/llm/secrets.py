@@ -64,43 +64,54 @@ def _chi_tail(x: Column, df: Column) -> Column:
     return F.greatest(normal_cdf((1 - spread - F.pow(x / df, F.lit(1 / 3))) / F.sqrt(spread)), F.lit(1e-300))
 
 
-def battery(token: Column, prose_two: float = 0.066, prose_three: float = 0.0062) -> Column:
-    """struct(n, p_random, p_prose) of a token. prose_two, prose_three: chance that two or three letters of prose are the same."""
-    body = F.rtrim(token, F.lit("="))
-    hexa = body.rlike("^([0-9a-f]+|[0-9A-F]+)$")
-    b32 = body.rlike("^[A-Z2-7]+$")
+def battery(tokens: Column, prose_two: float = 0.066, prose_three: float = 0.0062) -> Column:
+    """Array of struct(s, n, p_random, p_prose) from one of struct(s, t), t being the token.
+
+    prose_two, prose_three: chance that two or three letters of prose are the same. Each step binds what the next one
+    reads more than once, so that no expression is written out, planned or computed twice.
+    """
     digits = "0123456789"
-    a16, a32, a64 = digits + "abcdef", UPPER + "234567", UPPER + LOWER + digits + "+/"
-    alphabet = F.when(hexa, F.lit(a16)).when(b32, F.lit(a32)).otherwise(F.lit(a64))
-    k = F.length(alphabet).cast("double")
-    same = F.when(hexa, F.lower(body)).otherwise(F.translate(body, "-_", "+/"))
-    halves = F.when(hexa, F.translate(same, a16, "0" * 8 + "1" * 8)).when(b32, F.translate(same, a32, "0" * 16 + "1" * 16)).otherwise(
-        F.translate(same, a64, "0" * 32 + "1" * 32))
-    n = F.length(body).cast("double")
-    squares = F.aggregate(F.transform(F.sequence(F.lit(1), F.length(alphabet)), lambda i: F.pow(
-        (F.length(same) - F.length(F.replace(same, F.substring(alphabet, i, F.lit(1)), F.lit("")))).cast("double"), F.lit(2.0))),
-        F.lit(0.0), lambda a, x: a + x)
-    chi = k / n * squares - n
-    p_chi = _chi_tail(chi, k - 1)
-
-    ones = F.length(F.replace(halves, F.lit("0"), F.lit(""))).cast("double")
-    zeros = n - ones
-    turns = sum((F.length(halves) - F.length(F.replace(halves, F.lit(t), F.lit("")))) / 2 for t in ("01", "10"))
-    twice = 2 * ones * zeros
-    p_runs = F.when(ones * zeros == 0, F.lit(1e-300)).otherwise(_two_sided(
-        (1 + turns - twice / n - 1) / F.sqrt(F.greatest(twice * (twice - n) / (n * n * (n - 1)), F.lit(1e-9)))))
-
-    symbols = F.transform(F.filter(F.split(same, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c).cast("double"))
-    mean = F.aggregate(symbols, F.lit(0.0), lambda a, x: a + x) / n
-    power = F.aggregate(symbols, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    steps = F.aggregate(F.zip_with(F.slice(symbols, F.lit(1), F.size(symbols) - 1), F.slice(symbols, F.lit(2), F.size(symbols) - 1),
-                                   lambda x, y: (x - mean) * (y - mean)), F.lit(0.0), lambda a, x: a + x)
-    p_serial = F.when(power == 0, F.lit(1e-300)).otherwise(_two_sided(steps / power * F.sqrt(n)))
-
-    y = -(F.log(p_chi) + F.log(p_runs) + F.log(p_serial))
-    expected = k * ((1 - prose_two) + n * prose_two) - n
-    spread = k / n * F.sqrt(4 * n * n * n * (prose_three - prose_two ** 2) + 2 * n * n * (prose_two + prose_two ** 2 - 2 * prose_three))
-    return F.struct(n.alias("n"), (F.exp(-y) * (1 + y + y * y / 2)).alias("p_random"), normal_cdf((chi - expected) / spread).alias("p_prose"))
+    alphabets = [digits + "abcdef", UPPER + "234567", UPPER + LOWER + digits + "+/"]
+    sized = F.array(*[F.lit(a) for a in alphabets])
+
+    def step(rows: Column, **made) -> Column:
+        return F.transform(rows, lambda c: F.struct(*[f(c).alias(name) for name, f in made.items()]))
+
+    def same(*names: str) -> dict:
+        return {name: (lambda c, name=name: c[name]) for name in names}
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda x, y: x + y)
+
+    rows = step(tokens, **same("s"), body=lambda c: F.rtrim(c["t"], F.lit("=")))
+    rows = step(rows, **same("s", "body"), kind=lambda c: F.when(c["body"].rlike("^([0-9a-f]+|[0-9A-F]+)$"), 1).when(c["body"].rlike("^[A-Z2-7]+$"), 2).otherwise(3))
+    rows = step(rows, **same("s", "kind"), alphabet=lambda c: F.element_at(sized, c["kind"]), n=lambda c: F.length(c["body"]).cast("double"),
+                text=lambda c: F.when(c["kind"] == 1, F.lower(c["body"])).otherwise(F.translate(c["body"], "-_", "+/")))
+    rows = step(rows, **same("s", "n", "text", "alphabet"), k=lambda c: F.length(c["alphabet"]).cast("double"), halves=lambda c: F.coalesce(*[
+        F.when(c["kind"] == i + 1, F.translate(c["text"], a, "0" * (len(a) // 2) + "1" * (len(a) // 2))) for i, a in enumerate(alphabets)]))
+    rows = step(
+        rows, **same("s", "n", "k"), ones=lambda c: F.length(F.replace(c["halves"], F.lit("0"), F.lit(""))).cast("double"),
+        turns=lambda c: sum((F.length(c["halves"]) - F.length(F.replace(c["halves"], F.lit(t), F.lit("")))) / 2 for t in ("01", "10")),
+        squares=lambda c: total(F.transform(F.sequence(F.lit(1), F.length(c["alphabet"])), lambda i: F.pow(
+            (F.length(c["text"]) - F.length(F.replace(c["text"], F.substring(c["alphabet"], i, F.lit(1)), F.lit("")))).cast("double"), F.lit(2.0)))),
+        symbols=lambda c: F.transform(F.filter(F.split(c["text"], ""), lambda x: x != ""), lambda x: F.instr(c["alphabet"], x).cast("double")))
+    rows = step(rows, **same("s", "n", "k", "ones", "turns", "symbols"), chi=lambda c: c["k"] / c["n"] * c["squares"] - c["n"],
+                mean=lambda c: total(c["symbols"]) / c["n"], twice=lambda c: 2 * c["ones"] * (c["n"] - c["ones"]))
+    rows = step(
+        rows, **same("s", "n", "k", "chi"), twice=lambda c: c["twice"],
+        runs=lambda c: (c["turns"] - c["twice"] / c["n"]) / F.sqrt(F.greatest(c["twice"] * (c["twice"] - c["n"]) / (c["n"] * c["n"] * (c["n"] - 1)), F.lit(1e-9))),
+        power=lambda c: total(F.transform(c["symbols"], lambda x: (x - c["mean"]) * (x - c["mean"]))),
+        lagged=lambda c: total(F.zip_with(F.slice(c["symbols"], F.lit(1), F.size(c["symbols"]) - 1), F.slice(c["symbols"], F.lit(2), F.size(c["symbols"]) - 1),
+                                          lambda x, y: (x - c["mean"]) * (y - c["mean"]))))
+    rows = step(
+        rows, **same("s", "n", "k", "chi"), p_chi=lambda c: _chi_tail(c["chi"], c["k"] - 1),
+        p_runs=lambda c: F.when(c["twice"] == 0, F.lit(1e-300)).otherwise(_two_sided(c["runs"])),
+        p_serial=lambda c: F.when(c["power"] == 0, F.lit(1e-300)).otherwise(_two_sided(c["lagged"] / c["power"] * F.sqrt(c["n"]))))
+    rows = step(
+        rows, **same("s", "n"), y=lambda c: -(F.log(c["p_chi"]) + F.log(c["p_runs"]) + F.log(c["p_serial"])),
+        z=lambda c: (c["chi"] - (c["k"] * ((1 - prose_two) + c["n"] * prose_two) - c["n"])) / (c["k"] / c["n"] * F.sqrt(
+            4 * c["n"] * c["n"] * c["n"] * (prose_three - prose_two ** 2) + 2 * c["n"] * c["n"] * (prose_two + prose_two ** 2 - 2 * prose_three))))
+    return step(rows, **same("s", "n"), p_random=lambda c: F.exp(-c["y"]) * (1 + c["y"] + c["y"] * c["y"] / 2), p_prose=lambda c: normal_cdf(c["z"]))
 
 
 def _thresholds(tokens: DataFrame, rate: float) -> dict[int, int]:
@@ -135,10 +146,9 @@ def find_secrets(docs: DataFrame, false_discovery: float = 0.01, random_floor: f
         _placed(text, HEX, 2, F.col("__m2"), None))).alias("base"),
         F.zip_with(_placed(text, TOKEN, 3, F.col("__m3"), None), "__m3", lambda s, t: F.struct(s.alias("s"), t.alias("t"))).alias("__tokens"))
     rows = rows.select(*keep, "base", F.filter("__tokens", lambda c: ~F.exists("base", lambda b: (b["start"] < c["s"]["end"]) & (c["s"]["start"] < b["end"]))).alias("__tokens"))
-    rows = rows.select(*keep, "base", F.transform("__tokens", lambda c: F.struct(c["s"].alias("s"), battery(c["t"]).alias("b"))).alias("__tested"))
-    rows = rows.select(*keep, "base", F.transform("__tested", lambda c: F.struct(
-        c["s"].alias("s"), c["b"]["p_random"].alias("p_random"), F.floor(2 * F.log2(c["b"]["n"])).cast("int").alias("band"),
-        F.least(F.floor(-10 * F.log(F.greatest(c["b"]["p_prose"], F.lit(1e-300)))), F.lit(400)).cast("int").alias("step"))).alias("__tested"))
+    rows = rows.select(*keep, "base", F.transform(battery(F.col("__tokens")), lambda c: F.struct(
+        c["s"].alias("s"), c["p_random"].alias("p_random"), F.floor(2 * F.log2(c["n"])).cast("int").alias("band"),
+        F.least(F.floor(-10 * F.log(F.greatest(c["p_prose"], F.lit(1e-300)))), F.lit(400)).cast("int").alias("step"))).alias("__tested"))
     found = cut_lineage(rows, "secrets")
     limits = _thresholds(found.select(F.explode("__tested").alias("t")).select("t.band", "t.step"), false_discovery)
     if not limits:

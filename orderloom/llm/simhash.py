@@ -21,7 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, cut_lineage, texts
+from .common import components, cut_lineage, sift, texts
 
 WORDS, SEED, RADIUS = 4, 42, 4
 CHUNK = 1 << 16
@@ -78,7 +78,9 @@ def _meet_on_halves(prints: DataFrame, radius: int) -> tuple[DataFrame, DataFram
     buckets = meet.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1")
     buckets = cut_lineage(buckets.where((F.col("n") > 2) | (F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) <= radius)), "simhash-buckets")
     links = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).distinct()
-    return links, cut_lineage(meet.join(buckets.where("n > 2").select("key"), "key", "left_semi").select("fp").distinct(), "simhash-company")
+    more = buckets.where("n > 2").select("key")
+    return links, cut_lineage(
+        sift(meet, more, "key", 1 << 18).join(more, "key", "left_semi").select("fp").distinct(), "simhash-company")
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -104,7 +106,7 @@ def fingerprint_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame
             tasks = max(1, many * len(_masks(64, reach)) // 500_000)  # one emits about half a million rows
             balls = company.join(roots, "fp").repartition(tasks, "fp").select("root", "fp", _ball(64, reach).alias("m")).select("root", F.col("fp").bitwiseXOR(F.col("m")).alias("key"))
             if open_keys is not None:
-                balls = balls.join(open_keys, "key", "left_semi")
+                balls = sift(balls, open_keys, "key", 1 << 18).join(open_keys, "key", "left_semi")
             found = cut_lineage(balls.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b"), "simhash-balls")
             if found.isEmpty():
                 break

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import packed
+from .common import bounded_sample, packed
 
 BUCKETS = 1 << 17
 DIMENSIONS = 8
@@ -243,7 +243,7 @@ def calibrate(model: Model, logits: np.ndarray, labels: np.ndarray, languages: l
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_characters: int = FIT_CHARACTERS, buckets: int = BUCKETS) -> Model:
     """Fit and calibrate on labelled rows that are not held out: fit_rows at most, a fifth of them for calibration."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    sample = bounded_sample(known, fit_rows, "doc_id")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit("")
     rows = (docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(lang, F.lit("")).alias("lang"))
             .where(F.length("text") <= fit_characters).join(F.broadcast(sample), "doc_id"))  # fit_rows bounds the broadcast
@@ -267,8 +267,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_char
         del_at = len(x)
     model = fit(x[:del_at], y[:del_at], buckets)
     test = slice(del_at, None) if del_at < len(x) else slice(None)
-    flat, back = np.unique(np.concatenate([np.full((1, 2), PAD, np.int32), *x[test]]), axis=0, return_inverse=True)
-    numbers = np.split(back.ravel()[1:].astype(np.int32), np.cumsum([len(w) for w in x[test]])[:-1])
+    flat, back = np.unique(np.concatenate([np.zeros(1, np.int64), *[w[:, 0].astype(np.int64) << 32 | w[:, 1] for w in x[test]]]), return_inverse=True)
+    flat = np.stack((flat >> 32, flat & 0xFFFFFFFF), 1)
+    numbers = np.split(back[1:].astype(np.int32), np.cumsum([len(w) for w in x[test]])[:-1])
     calibrate(model, model.logits(numbers, model.of_words(model.tables(), flat)), y[test], [r["lang"] for r in got][test])
     return model
 
