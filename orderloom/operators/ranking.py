@@ -21,30 +21,33 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return top_k(df, keys, order, 1, "_first").drop("_first")
 
 
+def tied_rows(scored: DataFrame, keys: Sequence[str], score: str, gap: float = TIE_GAP) -> DataFrame:
+    """All rows whose score lies within `gap` of the best of their key, with top_score: one row a candidate, none cut.
+
+    The best score is a maximum that tasks combine before they send it; rows then meet it by an equi-join, which Spark
+    can split where a key has many rows.
+    """
+    top = scored.groupBy(*keys).agg(F.max(score).alias("top_score"))
+    top = top.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "top_score")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & scored[k].eqNullSafe(top[f"_k{i}"])
+    near = scored.join(top, same).where(F.col("top_score") - F.col(score) < gap)
+    return near.drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def best_with_ties(scored: DataFrame, keys: Sequence[str], score: str, tie_break: str, payload: Sequence[str],
                    weight: str | None = None, gap: float = TIE_GAP) -> DataFrame:
     """Best score per key, how many rows lie within `gap` of it, and the first of these by `tie_break`.
 
-    Rows are collapsed to distinct (key, score) first, so a hot key is combined on the map side and only its few
-    distinct scores meet in one row. Columns out: keys, top_score, top (payload of the best score), n_tied,
-    tied (payload of the first tied row).
+    Columns out: keys, top_score, top (payload of the best score), n_tied, tied (payload of the first tied row).
+    The tied rows themselves come from `tied_rows`.
     """
-    weight_col = F.col(weight) if weight else F.lit(1)
-    per_score = scored.groupBy(*keys, score).agg(
-        F.sum(weight_col).cast("bigint").alias("_n"),
-        F.min(F.struct(tie_break, *payload)).alias("_row"),
-    )
-    per_key = per_score.groupBy(*keys).agg(
-        F.max(score).alias("top_score"),
-        F.collect_list(F.struct(F.col(score).alias("s"), F.col("_n").alias("n"), F.col("_row").alias("r"))).alias("_all"),
-    )
-    tied = F.filter("_all", lambda x: (F.col("top_score") - x["s"]) < gap)
-    return per_key.select(
-        *keys, "top_score",
-        F.get(F.transform(F.filter("_all", lambda x: x["s"] == F.col("top_score")), lambda x: x["r"]), F.lit(0)).alias("top"),
-        F.aggregate(tied, F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"]).alias("n_tied"),
-        F.array_min(F.transform(tied, lambda x: x["r"])).alias("tied"),
-    )
+    row = F.struct(tie_break, *payload)
+    return tied_rows(scored, keys, score, gap).groupBy(*keys, "top_score").agg(
+        F.min(F.when(F.col(score) == F.col("top_score"), row)).alias("top"),
+        F.sum(F.col(weight) if weight else F.lit(1)).cast("bigint").alias("n_tied"),
+        F.min(row).alias("tied"))
 
 
 def match_candidates(df: DataFrame, keys: Sequence[str], score: Column, threshold: float, k: int | None = None,

@@ -181,6 +181,13 @@ def _(t):
     return best.select("p_brand", "top_score", "n_tied", F.col("tied.p_partkey").alias("tied_part"))
 
 
+@query("w02_tied_rows", """WITH s AS (SELECT p_brand, p_partkey, round(p_retailprice / 100) AS score FROM part), m AS (SELECT *, max(score) OVER (PARTITION BY p_brand) AS top FROM s)
+  SELECT p_brand, p_partkey, score, top AS top_score FROM m WHERE top - score < 0.001""")
+def _(t):
+    scored = t.part.select("p_brand", "p_partkey", F.round(F.col("p_retailprice") / 100).alias("score"))
+    return rk.tied_rows(scored, ["p_brand"], "score")
+
+
 @query("w03_unit_choice", EQUAL_LINES + " SELECT layer, need_confirm, count(*) AS n, sum(n_candidates)::BIGINT AS candidates FROM equal_result GROUP BY ALL", BASIC)
 def _(t):
     r = sm.resolve_equal(sm.line_keys(t.order_lines), t.catalog)
