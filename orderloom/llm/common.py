@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -21,6 +24,14 @@ def packed(docs: DataFrame, *columns: str) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row")
 
 
+def release_memory() -> None:
+    """Give memory that the driver's Python has freed back to the system, where the C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all other characters kept."""
     return F.translate(text, UPPER, LOWER)
@@ -95,6 +106,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """
     now = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                       .where("a > b").distinct(), f"{name}-edges")
+    mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -104,10 +116,12 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         small = (large.join(lowest, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"),
                                                 F.col("m").alias("b")).where("a > b").distinct())
         after = cut_lineage(small, f"{name}-round")
-        # A fixed point is a forest of stars: every node has one parent and no parent has a parent.
-        same = (after.count() == now.count()) and after.exceptAll(now).isEmpty()
+        # A fixed point is a forest of stars: every node has one parent and no parent has a parent. Edges are distinct, so
+        # their number and two sums of their hashes tell a changed set from the same one.
+        h = F.xxhash64("a", "b")
+        last, mark = mark, after.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).first()
         now = after
-        if same:
+        if mark == last:
             break
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
