@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut_lineage, sift, texts
+from .common import cut_lineage, release_memory, sift, texts
 
 WINDOW = 32
 STRIDE = 16
@@ -257,6 +257,7 @@ def _search(docs: DataFrame, block: list[tuple[int, list[bytes], list[bytes]]],
             rows.append(row / np.linalg.norm(row))
     own = np.array(rows)
     basis = latent_basis(_gram(hits, idf, np.log((n + 1) / 2) + 1), own, min(len(rows) + SPARE_RANK, RANK_LIMIT))
+    release_memory()
     latent = own @ basis
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     most = (own ** 2).max(0)  # a passage's cosine with any item is at most the root of this over its terms

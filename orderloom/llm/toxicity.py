@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_sample, packed
+from .common import bounded_sample, packed, release_memory
 
 BUCKETS = 1 << 17
 DIMENSIONS = 8
@@ -271,6 +271,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_char
     flat = np.stack((flat >> 32, flat & 0xFFFFFFFF), 1)
     numbers = np.split(back[1:].astype(np.int32), np.cumsum([len(w) for w in x[test]])[:-1])
     calibrate(model, model.logits(numbers, model.of_words(model.tables(), flat)), y[test], [r["lang"] for r in got][test])
+    del got, x
+    release_memory()
     return model
 
 
