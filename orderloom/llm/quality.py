@@ -19,12 +19,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_sample, cut_lineage, texts
+from .common import cut_lineage, may_be_among, texts
 
 BUCKETS = 1 << 15
 SMOOTHING = 1.0
-#: Good documents that the target model counts at most; the other model counts all documents.
-FIT_ROWS = 20_000
 #: Words whose hashes a task remembers.
 KNOWN = 150_000
 #: Words up to which evidence adds up; beyond, a text counts as so many words.
@@ -50,30 +48,55 @@ class Grams:
         return (np.concatenate((single, pair)) >> np.uint64(40)).astype(np.int64) % self.buckets
 
 
-def bucket_counts(docs: DataFrame, good: DataFrame, buckets: int = BUCKETS, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
+def shortened(numbers: np.ndarray) -> bytes:
+    """Whole numbers, in order, as the bytes of their steps; 255 stands for a step that goes on."""
+    step = np.diff(np.sort(numbers), prepend=0)
+    out = np.full(int((step // 255).sum()) + len(step), 255, np.uint8)
+    out[np.cumsum(step // 255 + 1) - 1] = step % 255
+    return out.tobytes()
+
+
+def restored(steps: bytes) -> np.ndarray:
+    """The numbers that `shortened` took, in order."""
+    step = np.frombuffer(steps, np.uint8)
+    return np.cumsum(step, dtype=np.int64)[step < 255]
+
+
+def bucket_counts(docs: DataFrame, good: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Counts of every bucket over good documents, and over all. Each task sends one row a bucket at most.
 
-    The good ones are the fit_rows doc_ids of good that are first in the order of a hash; fit_rows bounds their broadcast.
+    No text is shuffled: documents that may be good, by a bitmap of fixed size, meet the good ids as their buckets, about
+    a byte each.
     """
-    taken = bounded_sample(good.select("doc_id").distinct(), fit_rows, "doc_id")
-    marked = texts(docs).join(F.broadcast(taken.withColumn("good", F.lit(True))), "doc_id", "left")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, total = Grams(buckets), np.zeros((2, buckets), np.int64)
+    def summed(batches: Iterator[Iterator[np.ndarray]]) -> pd.DataFrame:
+        total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for text, flag in zip(batch["text"], batch["good"]):
-                c = np.bincount(grams(text), minlength=buckets)
-                total[1] += c
-                if flag is True or flag == 1:
-                    total[0] += c
-        at = np.flatnonzero(total[1])
-        yield pd.DataFrame({"bucket": at, "good": total[0][at], "all": total[1][at]})
-
-    rows = (marked.select("text", "good").mapInPandas(run, "bucket bigint, good bigint, all bigint").groupBy("bucket")
-            .agg(F.sum("good").alias("good"), F.sum("all").alias("all")).collect())  # buckets rows at most
+            for numbers in batch:
+                total += np.bincount(numbers, minlength=buckets)
+        at = np.flatnonzero(total)
+        return pd.DataFrame({"bucket": at, "n": total[at]})
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grams = Grams(buckets)
+        yield summed(map(grams, batch["text"]) for batch in batches)
+
+    def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grams = Grams(buckets)
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "steps": [shortened(grams(text)) for text in batch["text"]]})
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield summed(map(restored, batch["steps"]) for batch in batches)
+
+    ids = good.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+    rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    likely = rows.where(may_be_among(rows, ids, "doc_id")).mapInPandas(sent, "doc_id bigint, steps binary")
     out = np.zeros((2, buckets))
-    for r in rows:
-        out[:, r["bucket"]] = r["good"], r["all"]
+    for k, counts in enumerate((likely.join(ids, "doc_id", "left_semi").select("steps").mapInPandas(met, "bucket bigint, n bigint"),
+                                rows.select("text").mapInPandas(whole, "bucket bigint, n bigint"))):
+        for r in counts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # buckets rows at most
+            out[k, r["bucket"]] = r["n"]
     return out[0], out[1]
 
 

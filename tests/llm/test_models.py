@@ -137,6 +137,18 @@ def test_quality_counts_weights_and_sample(spark):
     assert {r["doc_id"] for r in rows if r["selected"]} == {r["doc_id"] for r in order[:k]}
 
 
+def test_quality_counts_all_good_documents(spark):
+    n = 20_500
+    docs = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.concat(F.lit("common w"), F.col("id")).alias("text"))
+    good, everything = quality.bucket_counts(docs, spark.range(n).select(F.col("id").alias("doc_id")))
+    grams = quality.Grams(quality.BUCKETS)
+    want = np.bincount(np.concatenate([grams(f"common w{i}") for i in range(n)]), minlength=quality.BUCKETS)
+    assert good.sum() == 3 * n and everything.sum() == 6 * n and (good == want).all()
+    rng = np.random.default_rng(6)
+    for numbers in (np.zeros(0, np.int64), np.array([0, 0, 254, 255, 510, 32_767]), rng.integers(0, 1 << 15, 500)):
+        assert (quality.restored(quality.shortened(numbers)) == np.sort(numbers)).all()
+
+
 def test_quality_edges(spark):
     docs = [(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (4, "z " * 100_000), (None, "a")]
     labels = spark.createDataFrame([(3, 1, 0), (3, 0, 0), (4, 0, 1), (None, 1, 1), (5, None, 1)], "doc_id bigint, quality int, toxic int")
