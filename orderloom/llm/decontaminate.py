@@ -7,7 +7,7 @@ probes going out and projected rows coming back. Passages and items are compared
 vectors; what is near enough is aligned word by word by the longest common subsequence, and items whose words were
 partly replaced must also hold the answer.
 
-The benchmark is searched in blocks of items, which bound vocabulary, probes and latent vectors; documents and passages
+The benchmark is searched in blocks of items, by their number and that of their passages, which bound vocabulary, probes and latent vectors; documents and passages
 are not bounded. Edge cases: null and empty texts and items have no passages; an item of fewer than `least` words is
 not searched; very long texts are read whole; a document that holds an item several times gives one row for it; repeated
 rows of a document count as one; empty tables give an empty result.
@@ -27,7 +27,8 @@ WINDOW = 32
 STRIDE = 16
 LEAST = 6
 BLOCK_ITEMS = 250
-#: Latent dimensions: as many as the block has passages and so many more, up to the limit.
+#: Latent dimensions: as many as the block has passages and so many more. A block ends before they pass the limit; one item
+#: that is longer by itself is a block with as many as it needs.
 SPARE_RANK, RANK_LIMIT = 32, 640
 COSINE = 0.45
 #: Share of an item's words in the common subsequence that is a leak by itself, or together with its answer.
@@ -246,7 +247,7 @@ def _search(docs: DataFrame, block: list[tuple[int, list[bytes], list[bytes]]],
     df = _document_frequencies(hits, n_terms)
     idf = np.log((n + 1) / (df + 1)) + 1
 
-    owner, rows = [], []
+    owner, rows, lengths = [], [], []
     for k, (_, item, _) in enumerate(block):
         at, term = terms.find(item)
         passage, term, count, _ = passages(np.zeros(len(at), int), at.astype(np.int64), term, np.array([len(item)]))
@@ -254,17 +255,18 @@ def _search(docs: DataFrame, block: list[tuple[int, list[bytes], list[bytes]]],
             row = np.zeros(n_terms, np.float32)
             row[term[passage == p]] = _weighted(term[passage == p], count[passage == p], idf)
             owner.append(k)
-            rows.append(row / np.linalg.norm(row))
+            lengths.append(np.linalg.norm(row))
+            rows.append(row / lengths[-1])
     own = np.array(rows)
-    basis = latent_basis(_gram(hits, idf, np.log((n + 1) / 2) + 1), own, min(len(rows) + SPARE_RANK, RANK_LIMIT))
+    basis = latent_basis(_gram(hits, idf, np.log((n + 1) / 2) + 1), own, len(rows) + SPARE_RANK)
     release_memory()
     latent = own @ basis
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     most = (own ** 2).max(0)  # a passage's cosine with any item is at most the root of this over its terms
-    sent = spark.sparkContext.broadcast((basis, idf, latent, np.array(owner), most))
+    sent = spark.sparkContext.broadcast((basis, idf, latent, np.array(owner), most, np.array(lengths, np.float32)))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        basis, idf, latent, owner, most = sent.value
+        basis, idf, latent, owner, most, lengths = sent.value
         for batch in batches:
             if not len(batch):
                 continue
@@ -283,7 +285,8 @@ def _search(docs: DataFrame, block: list[tuple[int, list[bytes], list[bytes]]],
                 vectors = np.add.reduceat(basis[term[a:b]] * weight[a:b, None], some - a, axis=0)
                 norm = np.sqrt(np.add.reduceat(weight[a:b] ** 2, some - a))
                 alike = (vectors / norm[:, None]) @ latent.T
-                p, q = np.nonzero(alike >= cosine)
+                # What other items put into the passage counts no more than the item's own terms, as in lists of short items.
+                p, q = np.nonzero(alike * np.maximum(norm[:, None] / lengths, 1) >= cosine)
                 number = passage[some[p]]
                 row = np.searchsorted(base, number, "right") - 1
                 out.append(pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[row], "item": owner[q], "passage": number - base[row], "cosine": alike[p, q].astype(float)}))
@@ -324,13 +327,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, block_
     def searched() -> DataFrame:
         return found.unionByName(_search(docs, block, cosine))
 
+    held = 0
     for r in rows.orderBy("item_id", "text").toLocalIterator():
         item = words_of(r["text"])
         if len(item) < least:
             continue
+        many = max(-(-(len(item) - WINDOW) // STRIDE), 0) + 1
+        if block and held + many > RANK_LIMIT - SPARE_RANK:
+            found, block, held = searched(), [], 0
+        held += many
         block.append((r["item_id"], item, words_of(r["answer"]) or item[-max(1, len(item) // 3):]))
         if len(block) == block_items:
-            found, block = searched(), []
+            found, block, held = searched(), [], 0
     if block:
         found = searched()
     return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("cosine").alias("cosine"), F.min("word").alias("word"))

@@ -101,6 +101,19 @@ def test_decontamination_edges(spark, block):
     assert decontaminate.find_leaks(frame(spark, docs).limit(0), bench).count() == 0
 
 
+def test_decontamination_of_long_items_and_lists(spark, monkeypatch):
+    rng = random.Random(7)
+    bench = lambda items: spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id bigint, text string")
+    short = [prose(rng, 6) for _ in range(40)]
+    listed = frame(spark, [(0, " ".join(w for item in short for w in item)), (1, " ".join(prose(rng, 300)))])
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(listed, bench(short)).collect()} == {(0, k) for k in range(40)}
+    monkeypatch.setattr(decontaminate, "RANK_LIMIT", 72)
+    monkeypatch.setattr(decontaminate, "SPARE_RANK", 8)
+    long = [prose(rng, 500) for _ in range(14)]  # 31 passages each: two items a block
+    docs = frame(spark, [(k, " ".join(prose(rng, 20) + item + prose(rng, 30))) for k, item in enumerate(long)] + [(100, " ".join(prose(rng, 900)))])
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench(long)).collect()} == {(k, k) for k in range(14)}
+
+
 def test_common_subsequence():
     rng = random.Random(5)
     for _ in range(200):
