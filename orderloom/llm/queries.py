@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, neighbours, packing, passages, quality, repeats, secrets, simhash, toxicity, url_rules
+from . import alignment, decontaminate, minhash, neighbours, packing, passages, quality, repeats, secrets, simhash, spelling, toxicity, url_rules
 
 # The rules of the url query.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -58,8 +58,22 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.fingerprint_report(read(spark, folder, "documents"))
+
+
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_secrets, op2_url_rules, op3_neighbours, op4_passages, op5_simhash, op6_toxicity, op7_suffix_repeats, op8_decontamination, op9_importance_resampling, op10_packing)}
+    op1_secrets, op2_url_rules, op3_neighbours, op4_passages, op5_simhash, op6_toxicity, op7_suffix_repeats, op8_decontamination, op9_importance_resampling, op10_packing,
+    op11_minhash, op12_alignment, op13_spelling)}
 
 ORACLES = {
     "op2_url_rules": """
