@@ -15,24 +15,37 @@ ROWS_PER_SALT = 50_000
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: Column,
-                rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """Equi-join whose hot keys on the left are spread by measured size; the right side is copied to each salt.
+                rows_per_salt: int = ROWS_PER_SALT, right_id: Column | None = None) -> DataFrame:
+    """Equi-join whose hot keys are dealt on a grid by the measured size of both sides.
 
-    The number of salts of a key follows from its count, so usual keys get one and nothing is copied for them.
+    A key's left rows fall into as many rows of the grid as their count needs, its right rows into as many columns; each
+    is copied along the other side only. Usual keys have one cell, and nothing is copied for them.
     """
-    sizes = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows_per_salt).cast("int").alias("_salts"))
-    l = left.join(sizes, list(keys)).withColumn("_salt", F.pmod(F.xxhash64(left_id), F.col("_salts")).cast("int")).drop("_salts")
-    r = right.join(sizes, list(keys)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
-    return l.join(r, [*keys, "_salt"]).drop("_salt")
+    keys = list(keys)
+
+    def sizes(df: DataFrame, out: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows_per_salt).cast("int").alias(out))
+
+    def salt(df: DataFrame, which: Column, n: str, out: str) -> DataFrame:
+        return df.withColumn(out, F.pmod(F.xxhash64(which), F.col(n)).cast("int"))
+
+    def copies(df: DataFrame, n: str, out: str) -> DataFrame:
+        return df.withColumn(out, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+
+    grid = sizes(left, "_rows").join(sizes(right, "_cols"), keys)
+    l = copies(salt(left.join(grid, keys), left_id, "_rows", "_row"), "_cols", "_col").drop("_rows", "_cols")
+    other = right_id if right_id is not None else F.struct(*right.columns)
+    r = copies(salt(right.join(grid, keys), other, "_cols", "_col"), "_rows", "_row").drop("_rows", "_cols")
+    return l.join(r, [*keys, "_row", "_col"]).drop("_row", "_col")
 
 
 def containment_join(needles: DataFrame, hays: DataFrame, keys: Sequence[str] = (), needle: str = "needle",
-                     hay: str = "hay", stored: bool = False) -> DataFrame:
+                     hay: str = "hay", stored: bool = False, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """All (needle, hay) with the needle inside the hay, within equal keys.
 
     A contained needle has all its 2-grams in the hay, so meeting on one of them, the rarest among the hays, finds
     every pair. A gram that no hay has ends the search for its needle. Needles of one character meet on that
-    character; empty needles match nothing. The hay side of a gram is salted by its measured size.
+    character; empty needles match nothing. Both sides of a gram are dealt by their measured sizes.
     Both sides are read more than once, so they are stored first, unless they are `stored` tables already.
     """
     keys = list(keys)
@@ -56,22 +69,30 @@ def containment_join(needles: DataFrame, hays: DataFrame, keys: Sequence[str] =
         .agg(F.count(F.lit(1)).alias("_have"), F.min(F.struct("_df", "_gram")).alias("_r"))
         .where("_have = _need")
         .select(*keys, needle, F.col("_r._gram").alias("_gram"),
-                F.ceil(F.col("_r._df") / ROWS_PER_SALT).cast("int").alias("_salts"))
+                F.ceil(F.col("_r._df") / rows_per_salt).cast("int").alias("_salts"))
     )
-    left = rarest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
-    salted = sizes.where(F.col("_df") > ROWS_PER_SALT).select(
-        *keys, "_gram", F.ceil(F.col("_df") / ROWS_PER_SALT).cast("int").alias("_salts"))
-    right = hay_grams.join(salted, [*keys, "_gram"], "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(hay), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    # A hot gram is a grid: its hays are dealt to rows and its needles to columns, each copied along the other side.
+    rarest = cut_lineage(rarest, "rarest")
+    asked = rarest.groupBy(*keys, "_gram").agg(F.ceil(F.count(F.lit(1)) / rows_per_salt).cast("int").alias("_cols"), F.max("_salts").alias("_rows"))
+    hot = asked.where("_cols > 1 OR _rows > 1")
+    one = F.lit(1)
+
+    def dealt(df: DataFrame, own: str, which: Column, other: str) -> DataFrame:
+        out = df.join(hot, [*keys, "_gram"], "left").withColumn(own, F.pmod(F.xxhash64(which), F.coalesce(f"{own}s", one)).cast("int"))
+        return out.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(f"{other}s", one) - 1))).drop("_rows", "_cols")
+
+    left = dealt(rarest.drop("_salts"), "_col", F.col(needle), "_row")
+    right = dealt(hay_grams.join(asked.select(*keys, "_gram"), [*keys, "_gram"], "left_semi"), "_row", F.col(hay), "_col")
     return (
-        left.join(right, [*keys, "_gram", "_salt"])
+        left.join(right, [*keys, "_gram", "_row", "_col"])
         .where(F.col(hay).contains(F.col(needle)))
         .select(*keys, needle, hay)
         .distinct()
     )
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str, floor: float) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str, floor: float,
+                  rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Pairs within equal keys whose sequence ratio may reach `floor`; no pair that reaches it is lost.
 
     The ratio is at most 2*overlap/(len a + len b) with overlap counted on single characters as a multiset. Both
@@ -94,5 +115,28 @@ def similar_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str
         keep = F.greatest(n - least + 1, F.lit(1)).cast("int")
         return ranked.select(*keys, c, F.explode(F.slice("_s", F.lit(1), keep)["t"]).alias("_t"))
 
-    joined = salted_join(prefix(right, b), prefix(left, a), [*keys, "_t"], F.col(b))
+    joined = salted_join(prefix(right, b), prefix(left, a), [*keys, "_t"], F.col(b), rows_per_salt, F.col(a))
     return joined.where(length_bound(F.col(a), F.col(b)) >= floor).select(*keys, a, b).distinct()
+
+
+def nearest_by_ratio(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str,
+                     floors: Sequence[float] = (0.5, 0.25, 0.125, 0.0625)) -> DataFrame:
+    """(keys, a, b, score): for every left text the right texts of equal keys with its highest ratio, if that is above 0.
+
+    The bound falls step by step. At each step all pairs that reach it are found, so a text with a pair there is done, and
+    only the others go on to the next, which has longer prefixes; the last step takes any shared character.
+    """
+    from ..functions.similarity import with_ratio
+
+    keys = list(keys)
+    right = cut_lineage(right.select(*keys, b).distinct(), "nearest-right")
+    rest = cut_lineage(left.select(*keys, a).distinct(), "nearest-left")
+    found = None
+    for floor in (*floors, 1e-6):
+        near = cut_lineage(similar_pairs(rest, right, keys, a, b, floor), "nearest-pairs")
+        scored = cut_lineage(with_ratio(near, a, b, floor, "score").where(F.col("score") >= floor), "nearest-scored")
+        top = scored.groupBy(*keys, a).agg(F.max("score").alias("_top"))
+        best = cut_lineage(scored.join(top, [*keys, a]).where("score = _top").select(*keys, a, b, "score"), "nearest-best")
+        found = best if found is None else found.unionByName(best)
+        rest = cut_lineage(rest.join(best.select(*keys, a), [*keys, a], "left_anti"), "nearest-rest")
+    return found

@@ -134,22 +134,22 @@ def rule_inventory(rules: DataFrame, sets: DataFrame) -> DataFrame:
 
 # --- sheets as cells (doc_id, row, col, value) -------------------------------------------------------
 
-# Layouts: header cells that must be present, and the column label of each field.
+# Layouts: header cells that must be present, each with the last column it may stand in (None: any), and the column label of each field.
 LAYOUTS = [
-    ("standard", ["序号", "门店名称", "商品名称"], {"store": "门店名称", "product": "商品名称", "quantity": "数量", "unit": "单位", "spec": "规格"}),
-    ("outbound", ["序号", "门店名称", "产品名称"], {"store": "门店名称", "product": "产品名称", "spec": "规格"}),
-    ("ordering", ["序号", "客户名称*", "商品名称*"], {"store": "客户名称*", "product": "商品名称*", "quantity": "出库数量*", "unit": "单位"}),
-    ("delivery", ["配送明细表"], {"store": "门店", "product": "品名", "quantity": "配送数量", "unit": "单位", "spec": "规格"}),
-    ("dated", ["单据日期"], {"store": "往来单位名称", "product": "商品名称", "quantity": "数量", "spec": "规格"}),
+    ("standard", [("序号", 0), ("门店名称", None), ("商品名称", None)], {"store": "门店名称", "product": "商品名称", "quantity": "数量", "unit": "单位", "spec": "规格"}),
+    ("outbound", [("序号", 0), ("门店名称", None), ("产品名称", None)], {"store": "门店名称", "product": "产品名称", "spec": "规格"}),
+    ("ordering", [("序号", 0), ("客户名称*", None), ("商品名称*", None)], {"store": "客户名称*", "product": "商品名称*", "quantity": "出库数量*", "unit": "单位"}),
+    ("delivery", [("配送明细表", 1)], {"store": "门店", "product": "品名", "quantity": "配送数量", "unit": "单位", "spec": "规格"}),
+    ("dated", [("单据日期", 0)], {"store": "往来单位名称", "product": "商品名称", "quantity": "数量", "spec": "规格"}),
 ]
 
 
 def detect_layout(cells: DataFrame, layouts=tuple(LAYOUTS)) -> DataFrame:
-    """Layout of each sheet from the cells of its first row; 'unknown' where none fits."""
+    """Layout of each sheet from the cells of its first row; 'unknown' where none fits. A mark alone may be part of its cell's text."""
     top = cells.where("row = 1")
     marks = [top.groupBy("doc_id").agg(*[
-        F.max(F.when(tx.strip("value").contains(m) if len(need) == 1 else tx.strip("value") == m, 1).otherwise(0)).alias(f"m{j}")
-        for j, m in enumerate(need)]).select("doc_id", F.lit(i).alias("i"), F.lit(name).alias("layout"), sum(
+        F.max(F.when((tx.strip("value").contains(m) if len(need) == 1 else tx.strip("value") == m) & (F.lit(True) if last is None else F.col("col") <= last), 1).otherwise(0)).alias(f"m{j}")
+        for j, (m, last) in enumerate(need)]).select("doc_id", F.lit(i).alias("i"), F.lit(name).alias("layout"), sum(
             (F.col(f"m{j}") for j in range(len(need))), F.lit(0)).alias("have"), F.lit(len(need)).alias("need"))
         for i, (name, need, _) in enumerate(layouts)]
     found = marks[0]

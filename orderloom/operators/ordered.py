@@ -71,3 +71,18 @@ def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[Column], b
     if before_row:
         inside = inside - F.col("_flag")
     return _join_blocks(blocked, offsets, keys, ["_offset"]).withColumn(out, inside.cast("bigint")).drop("_block", "_flag", "_offset")
+
+
+def number_groups(df: DataFrame, keys: Sequence[str], group: str, order: Column, block: Column, out: str) -> DataFrame:
+    """1, 2, 3, … per key for each value of `group`, by its first occurrence: all rows of a value share its number.
+
+    Rows are first reduced to the first place of each value (combined before the shuffle); only these are numbered.
+    """
+    placed = df.withColumn("_at", order).withColumn("_blk", block)
+    firsts = placed.groupBy(*keys, group).agg(F.min("_at").alias("_at"), F.min("_blk").alias("_blk"))
+    numbered = number_rows(firsts, keys, [F.col("_at"), F.col(group)], F.col("_blk"), out)
+    right = numbered.select(*[F.col(k).alias(f"_g_{k}") for k in [*keys, group]], out)
+    same = F.lit(True)
+    for k in [*keys, group]:
+        same = same & df[k].eqNullSafe(right[f"_g_{k}"])
+    return df.join(right, same).drop(*[f"_g_{k}" for k in [*keys, group]])

@@ -22,6 +22,7 @@ from .ranking import best_with_ties
 
 KEY = ["owner_code", "name", "order_unit"]
 SKU_FIELDS = ["sku_code", "sku_name", "unit", "unit_type", "conversion_ratio", "product_spec"]
+GATE = ["owner_code", "gate"]
 NO_GROUP = "*none*"
 ANY_GROUP = "*any*"
 
@@ -36,6 +37,18 @@ def active_catalog(catalog: DataFrame, owner: str | None = None, status: str = "
     return out.select("owner_code", *SKU_FIELDS, "customer_code")
 
 
+def mapping_scan(catalog: DataFrame, owner: str | None = None, keyword: str | None = None, code: str | None = None) -> DataFrame:
+    """Active rows by owner, by a word in the name, by exact SKU or customer code; name_length orders them."""
+    out = catalog.where("status = 'ACTIVE'")
+    if owner is not None:
+        out = out.where(F.col("owner_code") == owner)
+    if keyword is not None:
+        out = out.where(F.col("sku_name").contains(keyword))
+    if code is not None:
+        out = out.where((F.col("sku_code") == code) | (F.col("customer_code") == code))
+    return out.select("owner_code", "sku_code", "sku_name", F.length("sku_name").cast("bigint").alias("name_length"))
+
+
 def raw_keys(lines: DataFrame) -> DataFrame:
     """Distinct (owner, name, unit) as written, with the scrubbed key. Text work runs on these, never on the lines."""
     raw = lines.select("owner_code", "product_name", "unit").distinct()
@@ -193,16 +206,14 @@ def _gate_groups(core: Column, forms: Sequence[str], seasonings: Sequence[str])
     return F.when(plain, found).otherwise(F.array().cast("array<string>"))
 
 
-def candidate_pairs(names: DataFrame, sku_names: DataFrame, forms: Sequence[str] = fv.PRODUCT_FORMS,
-                    seasonings: Sequence[str] = fv.SEASONING_WORDS, floor: float = 0.5) -> DataFrame:
-    """All (owner_code, clean, sku_name) that pass the core-word gate and can be accepted by a later layer.
+def _sides(names: DataFrame, sku_names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct (owner_code, clean, core) and (owner_code, sku_name, core), stored."""
+    return (cut_lineage(names.select("owner_code", "clean").distinct().withColumn("core", tx.name_core("clean")), "names"),
+            cut_lineage(sku_names.select("owner_code", "sku_name").distinct().withColumn("core", tx.name_core("sku_name")), "sku-names"))
 
-    The gate is turned into equi-keys: containment of the names or of their cores (gram blocking), a shared
-    product-form word, or an empty core. The last two kinds also need a ratio that can reach `floor` (prefix
-    filter) or a shared name edge (equi-join on the edge 2-gram). No pair that any layer could accept is lost.
-    """
-    names = cut_lineage(names.select("owner_code", "clean").distinct().withColumn("core", tx.name_core("clean")), "names")
-    skus = cut_lineage(sku_names.select("owner_code", "sku_name").distinct().withColumn("core", tx.name_core("sku_name")), "sku-names")
+
+def _contained_pairs(names: DataFrame, skus: DataFrame) -> DataFrame:
+    """(owner_code, clean, sku_name) where one name, or one core, contains the other."""
 
     def both_ways(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
         """(keys, at, bt) where one text contains the other."""
@@ -216,26 +227,46 @@ def candidate_pairs(names: DataFrame, sku_names: DataFrame, forms: Sequence[str]
         "owner_code", F.col("at").alias("clean"), F.col("bt").alias("sku_name"))
     # A pair of cores that are the names themselves is already there, so one of the two has to differ from its name.
     cores = both_ways(names.select(*own, F.col("core").alias("t")), skus.select(*own, F.col("core").alias("t")), own)
-    contained = contained.unionByName(
+    return contained.unionByName(
         cores.join(names.withColumnRenamed("core", "at"), [*own, "at"]).join(skus.withColumnRenamed("core", "bt"), [*own, "bt"])
         .where("at <> clean OR bt <> sku_name").select("owner_code", "clean", "sku_name"))
 
+
+def _gated(names: DataFrame, skus: DataFrame, forms: Sequence[str], seasonings: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the gates they may meet in beside containment: a shared product-form word, or an empty core."""
     empty = F.col("core") == ""
+    none = F.array().cast("array<string>")
     left = names.withColumn("gate", F.explode(F.concat(
-        _gate_groups(F.col("core"), forms, seasonings), F.array(F.lit(ANY_GROUP)),
-        F.when(empty, F.array(F.lit(NO_GROUP))).otherwise(F.array().cast("array<string>")))))
+        _gate_groups(F.col("core"), forms, seasonings), F.array(F.lit(ANY_GROUP)), F.when(empty, F.array(F.lit(NO_GROUP))).otherwise(none))))
     right = skus.withColumn("gate", F.explode(F.concat(
-        _gate_groups(F.col("core"), forms, seasonings), F.array(F.lit(NO_GROUP)),
-        F.when(empty, F.array(F.lit(ANY_GROUP))).otherwise(F.array().cast("array<string>")))))
-    keys = ["owner_code", "gate"]
-    left = cut_lineage(left.join(right.select(*keys).distinct(), keys, "left_semi"), "gates")
-    right = right.join(left.select(*keys).distinct(), keys, "left_semi")
-    similar = similar_pairs(left, right, keys, "clean", "sku_name", floor).select("owner_code", "clean", "sku_name")
-    edge_left = left.select(*keys, "clean", F.explode(F.array_distinct(F.array(
-        F.left("clean", F.lit(2)), F.right("clean", F.lit(2))))).alias("edge")).where(F.length("edge") == 2)
-    edge_right = right.select(*keys, "sku_name", F.explode(tx.grams("sku_name", 2)).alias("edge"))
-    edges = salted_join(edge_right, edge_left, [*keys, "edge"], F.col("sku_name")).select("owner_code", "clean", "sku_name")
-    return contained.unionByName(similar).unionByName(edges).distinct()
+        _gate_groups(F.col("core"), forms, seasonings), F.array(F.lit(NO_GROUP)), F.when(empty, F.array(F.lit(ANY_GROUP))).otherwise(none))))
+    left = cut_lineage(left.join(right.select(*GATE).distinct(), GATE, "left_semi"), "gates")
+    return left, cut_lineage(right.join(left.select(*GATE).distinct(), GATE, "left_semi"), "sku-gates")
+
+
+def _edge_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(owner_code, clean, sku_name) with equal keys where the SKU name holds the first or last two characters of the other."""
+    asked = left.select(*keys, "clean", F.explode(F.array_distinct(F.array(
+        F.left("clean", F.lit(2)), F.right("clean", F.lit(2))))).alias("edge")).where(F.length("edge") == 2).distinct()
+    known = right.select(*keys, "sku_name", F.explode(tx.grams("sku_name", 2)).alias("edge")).distinct()
+    return salted_join(known, asked, [*keys, "edge"], F.col("sku_name"), right_id=F.col("clean")).select("owner_code", "clean", "sku_name").distinct()
+
+
+def candidate_pairs(names: DataFrame, sku_names: DataFrame, forms: Sequence[str] = fv.PRODUCT_FORMS,
+                    seasonings: Sequence[str] = fv.SEASONING_WORDS, floor: float = 0.5, edges: bool = True) -> DataFrame:
+    """All (owner_code, clean, sku_name) that pass the core-word gate and have a ratio of `floor` or, with edges, a shared name edge.
+
+    The gate is turned into equi-keys: containment of the names or of their cores (gram blocking), a shared
+    product-form word, or an empty core. The last two kinds also need a ratio that can reach `floor` (prefix
+    filter) or a shared name edge (equi-join on the edge 2-gram). With edges the result is every pair of a gate that
+    shares one; the cascade takes only those that can decide a line (`resolve_similar`).
+    """
+    names, skus = _sides(names, sku_names)
+    left, right = _gated(names, skus, forms, seasonings)
+    out = _contained_pairs(names, skus).unionByName(similar_pairs(left, right, GATE, "clean", "sku_name", floor).select("owner_code", "clean", "sku_name"))
+    if edges:
+        out = out.unionByName(_edge_pairs(left, right, GATE))
+    return out.distinct()
 
 
 def shares_edge(clean: Column, sku_name: Column) -> Column:
@@ -289,17 +320,91 @@ def accept_similar(best: DataFrame) -> DataFrame:
         F.least(cap, tx.round_half_up(s, 2)))
     return best.where(F.when(tie, tie_ok).otherwise(unique_ok)).select(
         *KEY, "layer", F.when(tie, F.col("tied.sku")).otherwise(F.col("top.sku")).alias("sku"),
-        F.col("n_tied").alias("n_candidates"), (tie | (s < 0.8)).alias("need_confirm"), confidence.alias("confidence"))
+        F.col("n_tied").alias("n_candidates"), (tie | (s < 0.8)).alias("need_confirm"), confidence.alias("confidence"), "top_score")
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    return accept_similar(best_with_ties(rows, [*KEY, "layer"], "score", "sku_code", ["name_score", "sku"], weight="n"))
+
+
+def _edge_rows(pairs: DataFrame, floor: float, keys: DataFrame, catalog: DataFrame, forms: Sequence[str], seasonings: Sequence[str]) -> DataFrame:
+    """Rows of L3 of the keys for name pairs, which share an edge and are checked by the gate here."""
+    a, b = F.col("clean"), F.col("sku_name")
+    passed = pairs.where(shares_edge(a, b) & tx.core_word_gate(a, b, forms, seasonings)).withColumn("edge", F.lit(True))
+    scored = sim.with_ratio(passed, "clean", "sku_name", floor, "name_score")
+    return score_layers(keys, scored, catalog).where("layer = 'L3'")
+
+
+def _equal_terms_pairs(keys: DataFrame, groups: DataFrame, left: DataFrame, right: DataFrame, limit: float) -> DataFrame:
+    """Name pairs below the floor of the similarity join that can still reach the limit of L3.
+
+    Only an equal unit together with a specification lifts such a pair that far. So the unit is an equi-key, in the lower
+    stratum the specification as well, and what they add to the score leaves a ratio that the names must have: a prefix filter.
+    """
+    w = fv.MATCH_WEIGHTS["L3"]
+    asked = keys.where("order_unit <> '' and order_spec <> ''").join(left.select(*GATE, "clean"), ["owner_code", "clean"])
+    known = groups.where("sku_unit <> '' and sku_spec <> ''").join(right.select(*GATE, "sku_name"), ["owner_code", "sku_name"])
+    out = None
+    for form, bonus in ((lambda c: c, fv.SPEC_BONUS), (lambda c: F.lit(""), 0.0)):
+        floor = (limit - fv.UNIT_BONUS - w["spec"] - bonus) / w["name"] - 1e-6
+        terms = [*GATE, "unit", "spec"]
+        found = similar_pairs(asked.select(*GATE, F.col("order_unit").alias("unit"), form(F.col("order_spec")).alias("spec"), "clean"),
+                              known.select(*GATE, F.col("sku_unit").alias("unit"), form(F.col("sku_spec")).alias("spec"), "sku_name"), terms, "clean", "sku_name", floor)
+        found = found.select("owner_code", "clean", "sku_name")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
+def _rival_pairs(won: DataFrame, groups: DataFrame, left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
+    """Name pairs whose ratio is below `floor` and that could still pass, or tie with, the best row of a key (KEY, clean, order_spec, top_score).
+
+    A row gets at most what unit and specification add and the floor's share for its name. Where that is not enough
+    without an equal unit, the unit is an equi-key; where it never is, the key meets nothing.
+    """
+    w = fv.MATCH_WEIGHTS["L3"]
+    spec_most = F.when(F.col("order_spec") != "", w["spec"] + fv.SPEC_BONUS).otherwise(w["spec"] / 2)
+    unit_most = F.when(F.col("order_unit") != "", fv.UNIT_BONUS).otherwise(0.0)
+    least = F.col("top_score") - fv.TIE_GAP - 1e-9
+    other_unit, same_unit = floor * w["name"] + spec_most, floor * w["name"] + spec_most + unit_most
+    open_keys = won.where(same_unit > least).withColumn("wide", other_unit > least)
+    asked = open_keys.join(left.select(*GATE, "clean"), ["owner_code", "clean"])
+    known = groups.join(right.select(*GATE, "sku_name"), ["owner_code", "sku_name"])
+    wide = _edge_pairs(asked.where("wide"), right, GATE)
+    narrow = _edge_pairs(asked.where("not wide").withColumn("unit", F.col("order_unit")), known.withColumn("unit", F.col("sku_unit")), [*GATE, "unit"])
+    return wide.unionByName(narrow).distinct()
 
 
 def resolve_similar(keys: DataFrame, catalog: DataFrame, forms: Sequence[str] = fv.PRODUCT_FORMS,
-                    seasonings: Sequence[str] = fv.SEASONING_WORDS) -> DataFrame:
-    """Layers L2 (containment), L2.5 (similarity) and L3 (edge keywords) in one pass over the candidate pairs."""
-    usable = keys.where("clean <> ''")
-    pairs = cut_lineage(candidate_pairs(usable, active_catalog(catalog), forms, seasonings), "pairs")
-    scored = score_layers(usable, name_scores(pairs, forms, seasonings), catalog)
-    best = best_with_ties(scored, [*KEY, "layer"], "score", "sku_code", ["name_score", "sku"], weight="n")
-    return first_layer(accept_similar(best))
+                    seasonings: Sequence[str] = fv.SEASONING_WORDS, floor: float = 0.5, limit: float = 0.6) -> DataFrame:
+    """Layers L2 (containment), L2.5 (similarity) and L3 (edge keywords), best first.
+
+    Pairs that contain each other or have a ratio of `floor` decide L2 and L2.5. Keys these leave open go on to L3: its
+    pairs below the floor are only looked for where unit and specification can lift them to the limit, and then, for keys
+    whose best row would be accepted at a low score, where they could pass or tie with that row.
+    """
+    usable = cut_lineage(keys.where("clean <> ''"), "usable")
+    active = active_catalog(catalog)
+    names, skus = _sides(usable, active)
+    left, right = _gated(names, skus, forms, seasonings)
+    pairs = cut_lineage(_contained_pairs(names, skus).unionByName(
+        similar_pairs(left, right, GATE, "clean", "sku_name", floor).select("owner_code", "clean", "sku_name")).distinct(), "pairs")
+    rows = cut_lineage(score_layers(usable, name_scores(pairs, forms, seasonings, floor), catalog, floor), "pair-layers")
+    early = cut_lineage(first_layer(_judged(rows.where("layer <> 'L3'"))), "early")
+    rest = cut_lineage(usable.join(early.select(*KEY), KEY, "left_anti"), "edge-keys")
+    groups = catalog_groups(active).withColumnRenamed("hit_name", "sku_name").select("owner_code", "sku_name", "sku_unit", "sku_spec")
+    name_pair = ["owner_code", "clean", "sku_name"]
+    lifted = cut_lineage(_equal_terms_pairs(rest, groups, left, right, limit).join(pairs, name_pair, "left_anti"), "lifted-pairs")
+    w = fv.MATCH_WEIGHTS["L3"]
+    lowest = (limit - fv.UNIT_BONUS - w["spec"] - fv.SPEC_BONUS) / w["name"] - 1e-6
+    edge = cut_lineage(rows.where("layer = 'L3'").join(rest.select(*KEY), KEY, "left_semi").unionByName(
+        _edge_rows(lifted, lowest, rest, catalog, forms, seasonings)), "edge-rows")
+    won = cut_lineage(_judged(edge), "edge-won")
+    low = rest.join(won.where(F.col("top_score") < limit + fv.TIE_GAP).select(*KEY, "top_score"), KEY)
+    rivals = _rival_pairs(low, groups, left, right, floor).join(pairs, name_pair, "left_anti").join(lifted, name_pair, "left_anti")
+    more = _edge_rows(rivals, 0.0, low.drop("top_score"), catalog, forms, seasonings)
+    again = edge.join(low.select(*KEY), KEY, "left_semi").unionByName(more)
+    late = won.where(F.col("top_score") >= limit + fv.TIE_GAP).unionByName(_judged(again))
+    return early.unionByName(late)
 
 
 RESULT = ["layer", "confidence", "need_confirm", "n_candidates", "sku"]

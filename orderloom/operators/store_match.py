@@ -18,7 +18,7 @@ from .. import fixed_values as fv
 from ..functions import similarity as sim
 from ..functions import text as tx
 from ..session import cut_lineage
-from .blocking import containment_join, salted_join, similar_pairs
+from .blocking import containment_join, nearest_by_ratio, salted_join, similar_pairs
 from .ranking import top_k
 
 HIT = ["request_id", "store_code", "match_type", "similarity", "need_confirm", "n_candidates"]
@@ -39,6 +39,34 @@ def _best(scored: DataFrame, score: str = "score") -> DataFrame:
     return top.select("request_id", (-F.col("_b.neg")).alias(score), F.col("_b.store_code").alias("store_code"))
 
 
+def store_scan(stores: DataFrame, code: str | None = None, owner: str | None = None, phone: str | None = None, name: str | None = None,
+               name_part: str | None = None) -> DataFrame:
+    """Stores by code, owner, phone, whole name or a part of it; what is not given does not filter."""
+    out = stores
+    for column, value in (("store_code", code), ("owner_code", owner), ("phone", phone), ("store_name", name)):
+        if value is not None:
+            out = out.where(F.col(column) == value)
+    if name_part is not None:
+        out = out.where(F.col("store_name").contains(name_part))
+    return out.select("store_code", "store_name", "owner_code", "phone", "warehouse")
+
+
+def owner_scan(owners: DataFrame, name_part: str | None = None, customer_id: str | None = None) -> DataFrame:
+    """Active owners by id or a part of the name."""
+    out = owners.where("status = 'ACTIVE'")
+    if customer_id is not None:
+        out = out.where(F.col("customer_id") == customer_id)
+    if name_part is not None:
+        out = out.where(F.col("customer_name").contains(name_part))
+    return out.select("customer_id", "customer_name")
+
+
+def warehouse_scan(warehouses: DataFrame, name: str | None = None) -> DataFrame:
+    """Warehouses that have a code, all or the one of a name."""
+    out = warehouses.where("warehouse_code <> ''")
+    return (out if name is None else out.where(F.col("warehouse_name") == name)).select("warehouse_name", "warehouse_code")
+
+
 # --- phone ------------------------------------------------------------------------------
 
 def phone_candidates(requests: DataFrame, stores: DataFrame, brand_prefixes: Sequence[str] = (), floor: float = 0.5) -> DataFrame:
@@ -104,15 +132,22 @@ def by_contained_name(requests: DataFrame, stores: DataFrame) -> DataFrame:
     return _hit(requests.join(codes.withColumnRenamed("needle", "store_name"), "store_name"), "fuzzy_contains")
 
 
-def similar_names(requests: DataFrame, stores: DataFrame, accept: float = 0.75, suggest: float = 0.5, k: int = 5) -> DataFrame:
-    """Extension, off by default: best similar name (>= accept), else up to k candidates (>= suggest) to choose from."""
-    pairs = similar_pairs(requests.select(F.col("store_name").alias("a")), stores.select(F.col("store_name").alias("b")), [], "a", "b", suggest)
-    pairs = cut_lineage(pairs, "similar-pairs")
-    scored = sim.with_ratio(pairs, "a", "b", suggest, "score").where(F.col("score") >= suggest)
-    rows = requests.select("request_id", F.col("store_name").alias("a")).join(scored, "a").join(
-        stores.select(F.col("store_name").alias("b"), "store_code"), "b")
-    top = top_k(rows, ["request_id"], [F.col("score").desc(), F.col("store_code")], k)
-    per = top.groupBy("request_id").agg(F.max("score").alias("score"), F.min_by("store_code", "rank").alias("store_code"), F.count(F.lit(1)).alias("n"))
+def similar_candidates(requests: DataFrame, stores: DataFrame, suggest: float = 0.5) -> DataFrame:
+    """(request_id, store_code, store_name, score): every store whose name is at least `suggest` like the submitted one."""
+    pairs = similar_pairs(requests.where("store_name <> ''").select(F.col("store_name").alias("a")), stores.select(F.col("store_name").alias("b")), [], "a", "b", suggest)
+    scored = sim.with_ratio(cut_lineage(pairs, "similar-pairs"), "a", "b", suggest, "score").where(F.col("score") >= suggest)
+    return requests.select("request_id", F.col("store_name").alias("a")).join(scored, "a").join(
+        stores.select(F.col("store_name").alias("b"), "store_code"), "b").select("request_id", "store_code", F.col("b").alias("store_name"), "score")
+
+
+def similar_names(requests: DataFrame, stores: DataFrame, accept: float = 0.75, suggest: float = 0.5, k: int | None = None) -> DataFrame:
+    """Extension, off by default: best similar name (>= accept), else its candidates (>= suggest) to choose from.
+
+    The candidates themselves come from `similar_candidates`; k bounds how many are counted, as a report of k would show.
+    """
+    rows = cut_lineage(similar_candidates(requests, stores, suggest), "similar-candidates")
+    n = F.count(F.lit(1)) if k is None else F.least(F.count(F.lit(1)), F.lit(k))
+    per = _best(rows).join(rows.groupBy("request_id").agg(n.alias("n")), "request_id")
     strong = F.col("score") >= accept
     return _hit(per, F.when(strong, "fuzzy_similar").otherwise("fuzzy"), F.col("score"), ~strong, F.when(strong, 1).otherwise(F.col("n")))
 
@@ -171,17 +206,10 @@ def by_address(requests: DataFrame, stores: DataFrame, preferred: Sequence[str]
         "address", "store_code", F.lit(1.0).alias("score"))
     done = done.unionByName(equal)
     rest = cut_lineage(open_words.join(equal, "address", "left_anti"), "address-rest")
-    for floor in (0.5, 0.01):
-        if rest.isEmpty():
-            break
-        near = cut_lineage(similar_pairs(rest, hits, ["word"], "address", "store_address", floor), "address-pairs")
-        scored = sim.with_ratio(near, "address", "store_address", floor, "score").where(F.col("score") >= floor)
-        best = scored.join(hits, ["word", "store_address"]).groupBy("address").agg(
-            F.min(F.struct((-F.col("score")).alias("neg"), "store_code")).alias("_b"))
-        best = cut_lineage(best.select("address", F.col("_b.store_code").alias("store_code"), (-F.col("_b.neg")).alias("score")), "address-best")
-        done = done.unionByName(best)
-        rest = cut_lineage(rest.join(best, "address", "left_anti"), "address-rest")
-    done = done.unionByName(rest.select("address", F.col("any_code").alias("store_code"), F.lit(0.0).alias("score")))
+    near = nearest_by_ratio(rest.select("word", "address"), hits.select("word", "store_address"), ["word"], "address", "store_address")
+    best = near.join(hits, ["word", "store_address"]).groupBy("address").agg(F.min("store_code").alias("store_code"), F.max("score").alias("score"))
+    best = rest.join(best, "address", "left").select("address", F.coalesce("store_code", "any_code").alias("store_code"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    done = done.unionByName(best)
     return _hit(requests.select("request_id", "address").join(done, "address"), "address_keyword", F.col("score"))
 
 
@@ -233,7 +261,7 @@ def by_cross_keywords(requests: DataFrame, stores: DataFrame, brand_words: Seque
     return _hit(requests.select("request_id", "store_name").join(best, "store_name"), "keyword_cross", F.col("score"))
 
 
-def by_contact_phone(requests: DataFrame, stores: DataFrame) -> DataFrame:
+def by_contact_phone(requests: DataFrame, stores: DataFrame, suggest: float = 0.5) -> DataFrame:
     """Fallback with a contact name: the phone's only store, or its most similar one (to confirm below .8)."""
     asked = requests.where("length(contact_person) >= 2 and contact_person <> store_name and phone <> ''")
     known = stores.where("phone <> ''").groupBy("phone").agg(F.count(F.lit(1)).alias("n_phone"), F.min("store_code").alias("only"))
@@ -241,12 +269,14 @@ def by_contact_phone(requests: DataFrame, stores: DataFrame) -> DataFrame:
     single = _hit(base.where("n_phone = 1").withColumnRenamed("only", "store_code"), "phone_exact")
     many = base.where("n_phone > 1").select("request_id", "phone", F.col("store_name").alias("a"), "n_phone", "only")
     b = stores.select("phone", F.col("store_name").alias("b"), "store_code")
-    # any shared character can win; names that share none score 0 and leave the smallest code
-    pairs = cut_lineage(similar_pairs(many.where("a <> ''"), b, ["phone"], "a", "b", 0.01), "fallback-pairs")
-    scored = many.join(sim.with_ratio(pairs, "a", "b", 0.01, "score"), ["phone", "a"]).join(
-        b, ["phone", "b"]).select("request_id", "store_code", F.coalesce("score", F.lit(0.0)).alias("score"))
-    near = scored.groupBy("request_id").agg(F.count_if(F.col("score") >= 0.5).alias("n"))
-    best = many.select("request_id", "only").join(_best(scored), "request_id", "left").join(near, "request_id", "left").select(
+    asked = many.where("a <> ''")
+    near = cut_lineage(sim.with_ratio(similar_pairs(asked, b, ["phone"], "a", "b", suggest), "a", "b", suggest, "score").where(F.col("score") >= suggest), "fallback-pairs")
+    # names with no candidate take the nearest name of the phone; those that share no character leave the smallest code
+    others = asked.join(near.select("phone", "a").distinct(), ["phone", "a"], "left_anti")
+    far = nearest_by_ratio(others, b, ["phone"], "a", "b", (0.25, 0.125, 0.0625))
+    scored = many.join(near.select("phone", "a", "b", "score").unionByName(far), ["phone", "a"]).join(b, ["phone", "b"]).select("request_id", "store_code", "score")
+    near_count = scored.groupBy("request_id").agg(F.count_if(F.col("score") >= suggest).alias("n"))
+    best = many.select("request_id", "only").join(_best(scored), "request_id", "left").join(near_count, "request_id", "left").select(
         "request_id", F.coalesce("store_code", "only").alias("store_code"), F.coalesce("score", F.lit(0.0)).alias("s"), "n")
     strong = F.col("s") >= 0.8
     multi = _hit(best, F.when(strong, "phone_exact_high_conf").otherwise("phone_exact_multi"), F.col("s"), ~strong,
@@ -290,12 +320,23 @@ def by_brand_and_warehouse(requests: DataFrame, stores: DataFrame, owners: DataF
 
 # --- hints, warehouse codes, cascade ----------------------------------------------------------------------
 
-def owner_hints(requests: DataFrame, owners: DataFrame, k: int = 10) -> DataFrame:
-    """Active owners whose name contains the submitted store name, the first k by name (a report limit)."""
+def owner_hints(requests: DataFrame, owners: DataFrame, k: int | None = None) -> DataFrame:
+    """Active owners whose name contains the submitted store name, by name; k is the size of a report, None gives all."""
     found = owners_containing(requests.select(F.col("store_name").alias("text")).distinct(), owners)
-    top = top_k(found, ["text"], [F.col("customer_name"), F.col("customer_id")], k)
-    return requests.select("request_id", F.col("store_name").alias("text")).join(top, "text").select(
-        "request_id", "customer_id", "customer_name", "rank")
+    if k is not None:
+        found = top_k(found, ["text"], [F.col("customer_name"), F.col("customer_id")], k)
+    return requests.select("request_id", F.col("store_name").alias("text")).join(found, "text").select(
+        "request_id", "customer_id", "customer_name")
+
+
+def similar_owners(requests: DataFrame, owners: DataFrame, floor: float = 0.7) -> DataFrame:
+    """(request_id, customer_id, customer_name, similarity): active owners whose name is at least `floor` like the submitted store name."""
+    active = owners.where("status = 'ACTIVE'")
+    asked = requests.where("store_name <> ''").select("request_id", F.col("store_name").alias("a"))
+    pairs = similar_pairs(asked.select("a"), active.select(F.col("customer_name").alias("b")), [], "a", "b", floor)
+    scored = sim.with_ratio(cut_lineage(pairs, "owner-pairs"), "a", "b", floor, "similarity").where(F.col("similarity") >= floor)
+    return asked.join(scored, "a").join(active.select("customer_id", "customer_name", F.col("customer_name").alias("b")), "b").select(
+        "request_id", "customer_id", "customer_name", "similarity")
 
 
 def add_warehouse_code(df: DataFrame, warehouses: DataFrame) -> DataFrame:
@@ -316,7 +357,8 @@ def match_stores(requests: DataFrame, stores: DataFrame, owners: DataFrame, bran
     """The cascade. Each step sees only the requests the steps before left open.
 
     phone · address (invalid name) · contact then address (invalid name) · company · exact · contained ·
-    [similar] · crossed keywords · contact fallback (phone, address). Requests nobody matches do not appear.
+    [similar] · crossed keywords · contact fallback (phone, address). Requests that nobody matches come last, with
+    match_type 'unmatched', no store, and as candidates the owners whose name contains the submitted name (`owner_hints`).
     """
     facts = ["store_name", "phone", "address", "contact_person", "company"]
     distinct = requests.select(*facts).distinct().withColumn("request_id", F.sha2(F.concat_ws("\u0001", *facts), 256))
@@ -346,6 +388,9 @@ def match_stores(requests: DataFrame, stores: DataFrame, owners: DataFrame, bran
         work = cut_lineage(work.join(hits.select("request_id"), "request_id", "left_anti"), f"open{i}")
         if work.isEmpty():
             break
+    hints = owner_hints(work, owners).groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
+    none = work.join(hints, "request_id", "left").withColumn("store_code", F.lit(None).cast("string"))
+    done = done.unionByName(_hit(none, "unmatched", 0.0, True, F.coalesce("n", F.lit(0))))
     keyed = requests.withColumn("_key", F.sha2(F.concat_ws("\u0001", *facts), 256)).select(*requests.columns, "_key")
     return keyed.join(done.withColumnRenamed("request_id", "_key"), "_key").drop("_key")
 

@@ -9,8 +9,9 @@ from ..operators import evaluation as ev
 from ..operators import ranking as rk
 from ..operators import review as rv
 from ..operators import sku_match as sm
+from ..operators import store_match as st
 from ..operators.blocking import containment_join
-from ..operators.ordered import number_rows
+from ..operators.ordered import number_groups, number_rows
 from ..session import work_path
 from . import query
 from .scalars import CLEAN, RATIO, SCRUB, SPEC
@@ -35,13 +36,22 @@ HITS = """hits AS (SELECT k.*, 0 AS lr, a.sku_code, a.unit AS sku_unit, coalesce
   UNION ALL SELECT k.*, 2, c.sku_code, c.unit, coalesce(c.product_spec, '') FROM keys k JOIN active c ON c.owner_code = k.owner_code AND c.sku_name = k.clean WHERE k.clean <> k.name AND k.clean <> ''
   UNION ALL SELECT k.*, 2, c.sku_code, c.unit, coalesce(c.product_spec, '') FROM keys k JOIN active c ON c.owner_code = k.owner_code AND c.customer_code = k.clean AND c.sku_name <> k.clean WHERE k.clean <> k.name AND k.clean <> '')"""
 
-PAIRS = """pairs AS (SELECT k.owner_code, k.name, k.order_unit, k.clean, k.order_spec, c.sku_code, c.sku_name, c.unit AS sku_unit, coalesce(c.product_spec, '') AS sku_spec,
-    2.0e0 * least(length(k.clean), length(c.sku_name)) / (length(k.clean) + length(c.sku_name)) AS ns
-  FROM keys k JOIN active c ON c.owner_code = k.owner_code AND (contains(c.sku_name, k.clean) OR contains(k.clean, c.sku_name))
+# product-form words of the given names, and the core-word gate with them
+FORMS = ("bolt", "gear", "ring")
+CORE = "trim(regexp_replace({}, '^[0-9]+[a-zA-Z]*', ''))"
+CONTAINED = "(contains(c.sku_name, k.clean) OR contains(k.clean, c.sku_name))"
+GATE = f"({CONTAINED} OR contains({CORE.format('c.sku_name')}, {CORE.format('k.clean')}) OR contains({CORE.format('k.clean')}, {CORE.format('c.sku_name')})" + "".join(
+    f" OR (contains({CORE.format('k.clean')}, '{w}') AND contains({CORE.format('c.sku_name')}, '{w}'))" for w in FORMS) + ")"
+
+PAIRS0 = f"""pairs0 AS (SELECT k.owner_code, k.name, k.order_unit, k.clean, k.order_spec, c.sku_code, c.sku_name, c.unit AS sku_unit, coalesce(c.product_spec, '') AS sku_spec, {CONTAINED} AS inside
+  FROM keys k JOIN active c ON c.owner_code = k.owner_code AND {GATE}
   WHERE k.clean <> '' AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.owner_code = k.owner_code AND h.name = k.name AND h.order_unit = k.order_unit))"""
+PAIRS = """pairs AS (SELECT p.*, CASE WHEN inside THEN 2.0e0 * least(length(clean), length(sku_name)) / (length(clean) + length(sku_name)) ELSE r.ratio END AS ns
+  FROM pairs0 p LEFT JOIN ratios r ON r.a = p.clean AND r.b = p.sku_name)"""
 
-SPEC_RATIO_PAIRS = """SELECT DISTINCT lower(order_spec) AS a, lower(sku_spec) AS b FROM (SELECT order_spec, sku_spec FROM hits WHERE lr = 2 UNION ALL SELECT order_spec, sku_spec FROM pairs) u
+SPEC_RATIO_PAIRS = """SELECT DISTINCT lower(order_spec) AS a, lower(sku_spec) AS b FROM (SELECT order_spec, sku_spec FROM hits WHERE lr = 2 UNION ALL SELECT order_spec, sku_spec FROM pairs0) u
   WHERE order_spec <> '' AND sku_spec <> ''"""
+NAME_RATIO_PAIRS = "SELECT DISTINCT clean AS a, sku_name AS b FROM pairs0 WHERE NOT inside"
 
 POINTS = r"""points AS (SELECT a, b, CASE WHEN a = b THEN 1.0e0 WHEN au[1] <> bu[1] THEN 0.3e0 WHEN len(an) > 0 AND an = bn AND au = bu THEN 1.0e0
     WHEN len(an) > 0 AND len(bn) > 0 AND list_sort(list_distinct(an)) = list_sort(list_distinct(bn)) THEN 0.8e0 ELSE ratio END AS points
@@ -56,7 +66,7 @@ equal_first AS (SELECT * FROM chosen QUALIFY row_number() OVER (PARTITION BY own
 equal_result AS (SELECT owner_code, name, order_unit, ['L0', 'L1', 'L1b'][lr + 1] AS layer, [0.98e0, 0.95e0, 0.93e0][lr + 1] AS confidence,
   CASE WHEN n > 1 AND u > 0 THEN bu ELSE b END AS sku_code, CASE WHEN n > 1 AND u > 0 THEN u ELSE n END AS n_candidates, CASE WHEN n > 1 AND u > 0 THEN u ELSE n END > 1 AS need_confirm FROM equal_first)"""
 
-SIMILAR = """sc AS (SELECT pairs.*, CASE WHEN order_spec = '' THEN 0.5e0 ELSE coalesce(p.points, 0.5e0) END AS ss, CASE WHEN contains(sku_name, clean) THEN 0.25e0 ELSE 0.1e0 END AS boost,
+SIMILAR = """sc AS (SELECT pairs.*, CASE WHEN order_spec = '' THEN 0.5e0 ELSE coalesce(p.points, 0.5e0) END AS ss, CASE WHEN contains(sku_name, clean) THEN 0.25e0 WHEN contains(clean, sku_name) THEN 0.1e0 ELSE 0.0e0 END AS boost,
     CASE WHEN sku_unit = order_unit AND order_unit <> '' THEN 0.2e0 ELSE 0.0e0 END AS ub, CASE WHEN order_spec <> '' AND order_spec = sku_spec THEN 0.1e0 ELSE 0.0e0 END AS sb
   FROM pairs LEFT JOIN points p ON p.a = lower(order_spec) AND p.b = lower(sku_spec)),
 layered AS (SELECT owner_code, name, order_unit, sku_code, ns, 3 AS lr, least(ns * 0.5e0 + ss * 0.2e0 + 0.0e0 + ub + sb, 1.0e0) AS s FROM sc WHERE contains(sku_name, clean)
@@ -74,7 +84,7 @@ similar_result AS (SELECT owner_code, name, order_unit, ['L2', 'L2.5', 'L3'][lr
   CASE WHEN tie THEN tied_code ELSE top_code END AS sku_code, n_tied AS n_candidates, tie OR top < 0.8 AS need_confirm
   FROM accepted QUALIFY row_number() OVER (PARTITION BY owner_code, name, order_unit ORDER BY lr) = 1)"""
 
-CASCADE = "WITH RECURSIVE " + ",\n".join([ALIASES, KEYS, HITS, PAIRS, RATIO.format(pairs=SPEC_RATIO_PAIRS)[len("WITH RECURSIVE "):], POINTS, EQUAL, SIMILAR,
+CASCADE = "WITH RECURSIVE " + ",\n".join([ALIASES, KEYS, HITS, PAIRS0, RATIO.format(pairs=f"{SPEC_RATIO_PAIRS} UNION {NAME_RATIO_PAIRS}")[len("WITH RECURSIVE "):], PAIRS, POINTS, EQUAL, SIMILAR,
     "results AS (SELECT * FROM equal_result UNION ALL SELECT * FROM similar_result)"])
 
 LINES = CASCADE + f""",
@@ -96,7 +106,7 @@ def aliases(t):
 
 
 def resolved(t):
-    return sm.resolve_lines(t.order_lines, t.catalog, aliases(t))
+    return sm.resolve_lines(t.order_lines, t.catalog, aliases(t), FORMS)
 
 
 def equal_lines(t):
@@ -110,8 +120,17 @@ def _(t):
 
 @query("s03_mapping_scan", "SELECT owner_code, sku_code, sku_name, length(sku_name) AS name_length FROM catalog WHERE status = 'ACTIVE' AND contains(sku_name, 'gear')", ("catalog",))
 def _(t):
-    return t.catalog.where((F.col("status") == "ACTIVE") & F.col("sku_name").contains("gear")).select(
-        "owner_code", "sku_code", "sku_name", F.length("sku_name").cast("bigint").alias("name_length")).orderBy("name_length", "sku_code")
+    return sm.mapping_scan(t.catalog, keyword="gear").orderBy("name_length", "sku_code")
+
+
+@query("s03_mapping_by_code", "SELECT owner_code, sku_code, sku_name, length(sku_name) AS name_length FROM catalog WHERE status = 'ACTIVE' AND customer_code = 'C77'", ("catalog",))
+def _(t):
+    return sm.mapping_scan(t.catalog, code="C77")
+
+
+@query("s03_mapping_of_owner", "SELECT owner_code, sku_code, sku_name, length(sku_name) AS name_length FROM catalog WHERE status = 'ACTIVE' AND owner_code = 'Brand#12'", ("catalog",))
+def _(t):
+    return sm.mapping_scan(t.catalog, owner="Brand#12")
 
 
 @query("s04_alias_source", "WITH " + ALIASES + " SELECT owner_code, name, sku_code, sku_name FROM aliases", ("catalog", "table_aliases", "file_aliases"))
@@ -138,21 +157,29 @@ def _(t):
     return containment_join(needles, sm.active_catalog(t.catalog), ["owner_code"], "clean", "sku_name")
 
 
-GATED = "WITH " + ",\n".join([ALIASES.split(",\nta AS")[0], KEYS]) + """,
-pairs AS (SELECT DISTINCT k.owner_code, k.clean, c.sku_name FROM keys k JOIN active c ON c.owner_code = k.owner_code AND (contains(c.sku_name, k.clean) OR contains(k.clean, c.sku_name)) WHERE k.clean <> '')"""
+GATED = "WITH RECURSIVE " + ",\n".join([ALIASES.split(",\nta AS")[0], KEYS, f"""pairs0 AS (SELECT DISTINCT k.owner_code, k.clean, c.sku_name, {CONTAINED} AS inside FROM keys k JOIN active c ON c.owner_code = k.owner_code AND {GATE} WHERE k.clean <> '')"""])
 
 
-@query("j04_similarity_join", GATED + " SELECT owner_code, clean, sku_name, round(2.0 * least(length(clean), length(sku_name)) / (length(clean) + length(sku_name)), 6) AS name_score FROM pairs WHERE 2.0 * least(length(clean), length(sku_name)) / (length(clean) + length(sku_name)) >= 0.5", BASIC)
+@query("j04_similarity_join", GATED + ",\n" + RATIO.format(pairs=NAME_RATIO_PAIRS)[len("WITH RECURSIVE "):] + ",\n" + PAIRS + " SELECT owner_code, clean, sku_name, round(ns, 6) AS name_score FROM pairs WHERE ns >= 0.5", BASIC)
 def _(t):
     keys = sm.line_keys(t.order_lines).where("clean <> ''")
-    scored = sm.name_scores(sm.candidate_pairs(keys, sm.active_catalog(t.catalog)))
+    scored = sm.name_scores(sm.candidate_pairs(keys, sm.active_catalog(t.catalog), FORMS, edges=False), FORMS)
     return scored.where("name_score >= 0.5").select("owner_code", "clean", "sku_name", F.round("name_score", 6).alias("name_score"))
 
 
-@query("j05_keyword_join", GATED + " SELECT owner_code, clean, sku_name FROM pairs WHERE length(clean) >= 2 AND (contains(sku_name, left(clean, 2)) OR contains(sku_name, right(clean, 2)))", BASIC)
+@query("j05_keyword_join", GATED + " SELECT owner_code, clean, sku_name FROM pairs0 WHERE length(clean) >= 2 AND (contains(sku_name, left(clean, 2)) OR contains(sku_name, right(clean, 2)))", BASIC)
 def _(t):
     keys = sm.line_keys(t.order_lines).where("clean <> ''")
-    return sm.name_scores(sm.candidate_pairs(keys, sm.active_catalog(t.catalog))).where("edge").select("owner_code", "clean", "sku_name")
+    return sm.name_scores(sm.candidate_pairs(keys, sm.active_catalog(t.catalog), FORMS), FORMS).where("edge").select("owner_code", "clean", "sku_name")
+
+
+@query("w01_layers_of_unlike_names", CASCADE + """ SELECT layer, count(*) AS n, count(DISTINCT r.sku_code) AS n_codes FROM results r JOIN catalog c ON c.sku_code = r.sku_code
+  JOIN keys k ON k.owner_code = r.owner_code AND k.name = r.name AND k.order_unit = r.order_unit WHERE layer IN ('L2.5', 'L3') AND NOT (contains(c.sku_name, k.clean) OR contains(k.clean, c.sku_name)) GROUP BY layer""", ALL)
+def _(t):
+    keys = sm.line_keys(t.order_lines)
+    r = sm.resolve_keys(keys, t.catalog, aliases(t), FORMS).where("layer IN ('L2.5', 'L3')").join(keys, sm.KEY)
+    unlike = r.where(~(F.col("sku.sku_name").contains(F.col("clean")) | F.col("clean").contains(F.col("sku.sku_name"))))
+    return unlike.groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sku.sku_code").alias("n_codes"))
 
 
 @query("j06_match_ladder", r"""WITH names AS (SELECT DISTINCT owner_code, product_name, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(product_name,
@@ -169,7 +196,7 @@ def _(t):
 
 @query("w01_cascade", CASCADE + " SELECT owner_code, name, order_unit, layer, confidence, need_confirm, n_candidates, sku_code FROM results", ALL)
 def _(t):
-    r = sm.resolve_keys(sm.line_keys(t.order_lines), t.catalog, aliases(t))
+    r = sm.resolve_keys(sm.line_keys(t.order_lines), t.catalog, aliases(t), FORMS)
     return r.select("owner_code", "name", "order_unit", "layer", "confidence", "need_confirm", "n_candidates", "sku.sku_code")
 
 
@@ -302,30 +329,46 @@ def _(t):
 
 
 def outbound(t):
-    lines = equal_lines(t).where("matched").select(
-        F.lit(1).alias("seq_no"), F.col("owner_code").alias("store_code"), F.lit("W1").alias("warehouse_code"), "sku_code", "unit_type", "quantity",
-        F.col("order_id").cast("string").alias("third_order_no"), F.concat(F.lit("line "), F.col("line_no").cast("string")).alias("remark"))
-    return rv.outbound_table(lines)
-
-
-OUTBOUND = "SELECT " + ", ".join(
-    {"seq_no": "'1' AS seq_no", "store_code": "owner_code AS store_code", "warehouse_code": "'W1' AS warehouse_code", "sku_code": "sku_code", "unit_type": "coalesce(unit_type, '') AS unit_type",
+    """Matched lines; a line's store is its owner, whose warehouse is the one of the owner's first store."""
+    lines = equal_lines(t).where("matched")
+    home = t.stores.groupBy("owner_code").agg(F.min_by("warehouse", "store_code").alias("warehouse"))
+    coded = st.add_warehouse_code(lines.join(home, "owner_code", "left"), t.warehouses)
+    stores = number_groups(coded, ["order_id"], "owner_code", F.col("line_no"), F.floor(F.col("line_no") / 1000), "seq_no")
+    return rv.outbound_table(stores.select(
+        "seq_no", F.col("owner_code").alias("store_code"), "warehouse_code", "sku_code", "unit_type", "quantity",
+        F.col("order_id").cast("string").alias("third_order_no"), F.concat(F.lit("line "), F.col("line_no").cast("string")).alias("remark")))
+
+
+OUT = ("order_lines", "catalog", "stores", "warehouses")
+OUTBOUND_LINES = """,
+home AS (SELECT owner_code, arg_min(warehouse, store_code) AS warehouse FROM stores GROUP BY owner_code),
+firsts AS (SELECT order_id, owner_code, row_number() OVER (PARTITION BY order_id ORDER BY min(line_no), owner_code) AS seq_no FROM lines WHERE matched GROUP BY order_id, owner_code),
+sent AS (SELECT l.*, seq_no, coalesce(warehouse_code, '') AS warehouse_code FROM lines l JOIN firsts f ON f.order_id = l.order_id AND f.owner_code = l.owner_code
+  LEFT JOIN home h ON h.owner_code = l.owner_code LEFT JOIN warehouses ON warehouse_name = h.warehouse WHERE matched)"""
+OUTBOUND = OUTBOUND_LINES + "SELECT " + ", ".join(
+    {"seq_no": "cast(seq_no AS varchar) AS seq_no", "store_code": "owner_code AS store_code", "warehouse_code": "warehouse_code", "sku_code": "sku_code", "unit_type": "coalesce(unit_type, '') AS unit_type",
      "quantity": "cast(quantity AS varchar) AS quantity", "third_order_no": "cast(order_id AS varchar) AS third_order_no", "remark": "concat('line ', cast(line_no AS varchar)) AS remark"}.get(
-        c, f"'{fv.OUTBOUND_DEFAULTS.get(c, '')}' AS {c}") for c in fv.OUTBOUND_COLUMNS) + " FROM lines WHERE matched"
+        c, f"'{fv.OUTBOUND_DEFAULTS.get(c, '')}' AS {c}") for c in fv.OUTBOUND_COLUMNS) + " FROM sent"
 
 
-@query("s09_outbound_table", EQUAL_LINES + OUTBOUND, BASIC)
+@query("s09_outbound_table", EQUAL_LINES + OUTBOUND, OUT)
 def _(t):
     return outbound(t)
 
 
-@query("s10_read_outbound", EQUAL_LINES + " SELECT cast(order_id AS varchar) AS order_no, cast(1 AS bigint) AS seq, owner_code AS store_code, sku_code, coalesce(unit_type, '') AS unit_type, quantity FROM lines WHERE matched", BASIC)
+@query("s10_read_outbound", EQUAL_LINES + OUTBOUND_LINES + " SELECT cast(order_id AS varchar) AS order_no, seq_no AS seq, owner_code AS store_code, sku_code, coalesce(unit_type, '') AS unit_type, quantity FROM sent", OUT)
 def _(t):
     path = work_path(t.spark, "outbound")
     rv.write_outbound(outbound(t), path, fmt="parquet")
     return rv.read_outbound(t.spark.read.parquet(path))
 
 
+@query("w06_store_numbers", "SELECT order_id, supplier_id, dense_rank() OVER (PARTITION BY order_id ORDER BY first, supplier_id) AS store_no, count(*) AS n FROM (SELECT *, min(line_no) OVER (PARTITION BY order_id, supplier_id) AS first FROM order_lines) x GROUP BY order_id, supplier_id, first", ("order_lines",))
+def _(t):
+    numbered_stores = number_groups(t.order_lines, ["order_id"], "supplier_id", F.col("line_no"), F.floor(F.col("line_no") / 1000), "store_no")
+    return numbered_stores.groupBy("order_id", "supplier_id", "store_no").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("q08_linked_fields", "SELECT o_orderkey, unnest(CASE o_orderkey % 4 WHEN 0 THEN ['vehicle_type'] WHEN 1 THEN ['advance_pay', 'pay_method'] WHEN 2 THEN ['consumer_courier'] ELSE [] END) AS missing_field FROM orders")
 def _(t):
     k = F.col("o_orderkey") % 4

@@ -20,12 +20,22 @@ def ratio_cte(pairs, *before):
 
 @query("s02_store_scan", "SELECT store_code, store_name, owner_code, phone, warehouse FROM stores WHERE owner_code = 'Brand#3' AND contains(store_name, 'BUILDING')", ("stores",))
 def _(t):
-    return t.stores.where((F.col("owner_code") == "Brand#3") & F.col("store_name").contains("BUILDING")).select("store_code", "store_name", "owner_code", "phone", "warehouse")
+    return st.store_scan(t.stores, owner="Brand#3", name_part="BUILDING")
+
+
+@query("s02_store_by_phone", "SELECT store_code, store_name, owner_code, phone, warehouse FROM stores WHERE phone = '13900000011' OR store_code = 'ST00000005'", ("stores",))
+def _(t):
+    return st.store_scan(t.stores, phone="13900000011").unionByName(st.store_scan(t.stores, code="ST00000005"))
+
+
+@query("s02_warehouse_scan", "SELECT warehouse_name, warehouse_code FROM warehouses WHERE warehouse_name = 'NATION_3' AND warehouse_code <> ''", ("warehouses",))
+def _(t):
+    return st.warehouse_scan(t.warehouses, "NATION_3")
 
 
 @query("s02_owner_scan", "SELECT customer_id, customer_name FROM owners WHERE status = 'ACTIVE' AND contains(customer_name, 'NATION_1')", ("owners",))
 def _(t):
-    return t.owners.where((F.col("status") == "ACTIVE") & F.col("customer_name").contains("NATION_1")).select("customer_id", "customer_name").orderBy("customer_name")
+    return st.owner_scan(t.owners, name_part="NATION_1").orderBy("customer_name")
 
 
 PHONE_PAIRS = "pp AS (SELECT r.request_id, r.store_name AS a, s.store_name AS b, s.store_code, count(*) OVER (PARTITION BY r.request_id) AS n_phone FROM store_requests r JOIN stores s ON s.phone = r.phone WHERE r.phone <> '' AND r.store_name <> '')"
@@ -34,7 +44,7 @@ PHONE_PAIRS = "pp AS (SELECT r.request_id, r.store_name AS a, s.store_name AS b,
 @query("j07_phone_join", ratio_cte("SELECT DISTINCT a, b FROM pp", PHONE_PAIRS) + """, sc AS (SELECT request_id, store_code, n_phone, ratio FROM pp JOIN ratios r ON r.a = pp.a AND r.b = pp.b WHERE ratio >= 0.5),
   be AS (SELECT *, count(*) OVER (PARTITION BY request_id) AS n FROM sc QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY ratio DESC, store_code) = 1)
   SELECT request_id, store_code, CASE WHEN ratio >= 0.8 THEN 'phone_exact_high_conf' WHEN n_phone > 1 THEN 'phone_exact_multi' ELSE 'phone_exact' END AS match_type, round(ratio, 6) AS similarity, ratio < 0.8 AS need_confirm,
-    CASE WHEN ratio < 0.8 AND n_phone > 1 THEN n ELSE 1 END AS n_candidates FROM be WHERE ratio >= 0.6""", STO)
+    CASE WHEN ratio < 0.8 AND n_phone > 1 THEN n ELSE 1 END AS n_candidates FROM be WHERE ratio >= 0.75""", STO)
 def _(t):
     return st.by_phone(t.store_requests, t.stores).withColumn("similarity", F.round("similarity", 6))
 
@@ -69,6 +79,75 @@ def _(t):
     return st.by_address(t.store_requests, t.stores, char_class=LETTERS).select("request_id", "store_code")
 
 
+# addresses that no store has: a segment word, which stands in store names, and a lane
+LANES = """SELECT request_id, CASE WHEN seg <> '' THEN concat(seg, ' lane ', cast(request_id % 4 AS varchar(9)), ' of NATION_', cast(request_id % 3 AS varchar(9))) ELSE '' END AS address FROM (SELECT request_id, regexp_extract(store_name, '([A-Z][A-Z][A-Z][A-Z][A-Z]+)', 1) AS seg FROM store_requests) x"""
+
+
+@query("j10_nearest_address", ratio_cte("SELECT address AS a, store_address AS b FROM hs", f"rq AS ({LANES})", """wd AS (SELECT address, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM (SELECT DISTINCT address, regexp_extract_all(address, '[A-Z]{2,}') AS w FROM rq WHERE address <> '') x)""",
+    "ok AS (SELECT address, word FROM wd WHERE EXISTS (SELECT 1 FROM stores s WHERE contains(s.store_name, wd.word)) QUALIFY row_number() OVER (PARTITION BY address ORDER BY length(word) DESC, pos) = 1)",
+    "hs AS (SELECT o.address, o.word, s.address AS store_address, min(s.store_code) AS store_code FROM ok o JOIN stores s ON contains(s.store_name, o.word) GROUP BY ALL)") + """,
+  best AS (SELECT hs.address, store_code, ratio FROM hs JOIN ratios r ON r.a = hs.address AND r.b = hs.store_address QUALIFY row_number() OVER (PARTITION BY hs.address ORDER BY ratio DESC, store_code) = 1)
+  SELECT request_id, store_code, round(ratio, 6) AS similarity FROM rq JOIN best ON best.address = rq.address""", STO)
+def _(t):
+    lanes = t.spark.sql(LANES.replace("FROM store_requests", "FROM {r}"), r=t.store_requests)
+    return st.by_address(lanes, t.stores, char_class=LETTERS).select("request_id", "store_code", F.round("similarity", 6).alias("similarity"))
+
+
+@query("j11_contact_phone", ratio_cte("SELECT DISTINCT a, b FROM pp", """ask AS (SELECT * FROM store_requests WHERE length(contact_person) >= 2 AND contact_person <> store_name AND phone <> '')""",
+    "pp AS (SELECT r.request_id, r.store_name AS a, s.store_name AS b, s.store_code, count(*) OVER (PARTITION BY r.request_id) AS n_phone FROM ask r JOIN stores s ON s.phone = r.phone)") + """,
+  be AS (SELECT request_id, store_code, n_phone, ratio, count(CASE WHEN ratio >= 0.5 THEN 1 END) OVER (PARTITION BY request_id) AS n FROM pp JOIN ratios r ON r.a = pp.a AND r.b = pp.b QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY ratio DESC, store_code) = 1)
+  SELECT request_id, store_code, CASE WHEN n_phone = 1 THEN 'phone_exact' WHEN ratio >= 0.8 THEN 'phone_exact_high_conf' ELSE 'phone_exact_multi' END AS match_type, round(CASE WHEN n_phone = 1 THEN 1.0e0 ELSE ratio END, 6) AS similarity,
+    n_phone > 1 AND ratio < 0.8 AS need_confirm, CASE WHEN n_phone = 1 OR ratio >= 0.8 THEN 1 ELSE n END AS n_candidates FROM be""", STO)
+def _(t):
+    return st.by_contact_phone(t.store_requests, t.stores).withColumn("similarity", F.round("similarity", 6))
+
+
+# names of many kinds: the first words of each document, for requests with a letter left out or words turned
+NAMED = r"""SELECT doc_id, array_to_string(string_split(regexp_replace(text, '[\t\n\v\f\r ]+', ' ', 'g'), ' ')[1:3], ' ') AS name FROM documents"""
+ASKED = "SELECT doc_id AS request_id, CASE doc_id % 3 WHEN 0 THEN concat(substring(name, 1, 4), substring(name, 6)) WHEN 1 THEN concat(name, ' x') ELSE concat(substring(name, 5), ' ', substring(name, 1, 3)) END AS store_name FROM named"
+
+
+def named(t):
+    words = F.slice(F.split(F.regexp_replace("text", r"[\t\n\v\f\r ]+", " "), " "), 1, 3)
+    return t.documents.select("doc_id", F.array_join(words, " ").alias("name"))
+
+
+def asked(t):
+    name, k = F.col("name"), F.col("doc_id") % 3
+    return named(t).select(F.col("doc_id").alias("request_id"), F.when(k == 0, F.concat(F.substr(name, F.lit(1), F.lit(4)), F.substr(name, F.lit(6)))).when(
+        k == 1, F.concat(name, F.lit(" x"))).otherwise(F.concat(F.substr(name, F.lit(5)), F.lit(" "), F.substr(name, F.lit(1), F.lit(3)))).alias("store_name"))
+
+
+# blocks found alike are a common subsequence, so a ratio of r allows (1 - r) of both lengths as edits: that bounds what the
+# twin scores (every character becomes one byte first, which brings no two texts further apart)
+PLAIN = "regexp_replace(strip_accents({}), '[^ -~]', '?', 'g')"
+
+
+def _like(floor):
+    return ratio_cte("SELECT DISTINCT a, b FROM near", f"named AS ({NAMED})", f"ask AS ({ASKED})",
+                     f"near AS (SELECT a.store_name AS a, n.name AS b FROM (SELECT DISTINCT store_name FROM ask WHERE store_name <> '') a, (SELECT DISTINCT name FROM named WHERE name <> '') n WHERE levenshtein({PLAIN.format('a.store_name')}, {PLAIN.format('n.name')}) <= {1 - floor} * (length(a.store_name) + length(n.name)) + 1e-9)")
+
+
+@query("j08_similar_candidates", _like(0.75) + """ SELECT request_id, concat('ST', cast(doc_id AS varchar)) AS store_code, round(ratio, 6) AS score FROM ratios r JOIN ask ON ask.store_name = r.a JOIN named ON named.name = r.b WHERE ratio >= 0.75""")
+def _(t):
+    stores = named(t).select(F.concat(F.lit("ST"), F.col("doc_id").cast("string")).alias("store_code"), F.col("name").alias("store_name"))
+    return st.similar_candidates(asked(t), stores, 0.75).select("request_id", "store_code", F.round("score", 6).alias("score"))
+
+
+@query("j08_similar_store_name", _like(0.75) + """, c AS (SELECT request_id, concat('ST', cast(doc_id AS varchar)) AS store_code, ratio FROM ratios r JOIN ask ON ask.store_name = r.a JOIN named ON named.name = r.b WHERE ratio >= 0.75),
+  b AS (SELECT *, count(*) OVER (PARTITION BY request_id) AS n FROM c QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY ratio DESC, store_code) = 1)
+  SELECT request_id, store_code, CASE WHEN ratio >= 0.9 THEN 'fuzzy_similar' ELSE 'fuzzy' END AS match_type, round(ratio, 6) AS similarity, ratio < 0.9 AS need_confirm, CASE WHEN ratio >= 0.9 THEN 1 ELSE n END AS n_candidates FROM b""")
+def _(t):
+    stores = named(t).select(F.concat(F.lit("ST"), F.col("doc_id").cast("string")).alias("store_code"), F.col("name").alias("store_name"))
+    return st.similar_names(asked(t), stores, 0.9, 0.75).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("j15_similar_owners", _like(0.7) + """ SELECT request_id, concat('O', cast(doc_id AS varchar)) AS customer_id, name AS customer_name, round(ratio, 6) AS similarity FROM ratios r JOIN ask ON ask.store_name = r.a JOIN named ON named.name = r.b WHERE ratio >= 0.7 AND doc_id % 5 <> 0""")
+def _(t):
+    owners = named(t).select(F.concat(F.lit("O"), F.col("doc_id").cast("string")).alias("customer_id"), F.col("name").alias("customer_name"), F.when(F.col("doc_id") % 5 == 0, "INACTIVE").otherwise("ACTIVE").alias("status"))
+    return st.similar_owners(asked(t), owners).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("j11_contact_join", """SELECT request_id, store_code, round(2.0 * length(contact_person) / (length(contact_person) + length(store)), 6) AS similarity FROM (SELECT r.request_id, r.contact_person, s.store_name AS store, s.store_code FROM store_requests r JOIN stores s ON contains(s.store_name, r.contact_person)
   WHERE r.contact_person <> '' AND 2.0 * length(r.contact_person) / (length(r.contact_person) + length(s.store_name)) >= 0.5) x QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY length(store), store_code) = 1""", STO)
 def _(t):
@@ -112,7 +191,7 @@ def _(t):
   QUALIFY dense_rank() OVER (PARTITION BY r.company ORDER BY o.customer_name, o.customer_id) <= 10) h JOIN store_requests r ON r.company = h.text""", ("store_requests", "owners"))
 def _(t):
     asked = t.store_requests.select("request_id", F.col("company").alias("store_name"))
-    return st.owner_hints(asked, t.owners).select("request_id", "customer_id", "customer_name")
+    return st.owner_hints(asked, t.owners, 10)
 
 
 @query("j16_owner_of_name", """WITH n AS (SELECT DISTINCT store_name AS name FROM store_requests), o AS (SELECT store_name, min(owner_code) AS owner_code FROM stores GROUP BY ALL),

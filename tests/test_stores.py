@@ -92,7 +92,7 @@ def test_cascade_cases(spark):
     assert got["company"] == ("S5", "customer_company", False)
     assert got["cross"][1] == "keyword_cross"
     assert got["fallback"] == ("S2", "phone_exact", False)
-    assert "none" not in got and got.get("wrong phone", ("", "", ""))[0] != "S2"
+    assert got["none"] == (None, "unmatched", True) and got["wrong phone"][0] != "S2"
 
 
 def test_confirmations_never_leak(spark):
@@ -139,3 +139,31 @@ def test_address_layer_equals_brute_force(spark):
                 want[rid] = (min(liked), 0.0) if liked else (code, round(-score, 9))
                 break
         assert got == want
+
+
+def test_similar_names_meet_without_a_key(spark):
+    """Every name starts with the same character, which both whole sides hold: it is dealt on a grid."""
+    from orderloom.operators.blocking import containment_join, nearest_by_ratio, salted_join, similar_pairs
+
+    rnd = random.Random(12)
+    names = sorted({"店" + "".join(rnd.choice(PIECES) for _ in range(rnd.randint(1, 4))) for _ in range(90)})
+    left, right = spark.createDataFrame([(n,) for n in names[::2]], "a string"), spark.createDataFrame([(n,) for n in names[1::2]], "b string")
+    every = {(a, b): plain.ratio(a, b) for a in names[::2] for b in names[1::2]}
+    got = {tuple(r) for r in similar_pairs(left, right, [], "a", "b", 0.6, rows_per_salt=4).collect()}
+    assert got >= {p for p, s in every.items() if s >= 0.6}
+    near = {(r.a, r.b): round(r.score, 9) for r in nearest_by_ratio(left, right, [], "a", "b").collect()}
+    best = {a: max(s for (x, _), s in every.items() if x == a) for a in names[::2]}
+    assert near == {(a, b): round(s, 9) for (a, b), s in every.items() if s == best[a]}
+    inside = containment_join(spark.createDataFrame([("店",), ("花",), ("小店",)], "needle string"), right.withColumnRenamed("b", "hay"), rows_per_salt=3)
+    assert {tuple(r) for r in inside.collect()} == {(n, h) for n in ("店", "花", "小店") for h in names[1::2] if n in h}
+    hot = spark.range(400).select(F.lit("k").alias("k"), F.col("id").alias("v"))
+    other = spark.range(300).select(F.lit("k").alias("k"), F.col("id").alias("w"))
+    met = salted_join(hot, other, ["k"], F.col("v"), 50, F.col("w"))
+    assert met.count() == met.distinct().count() == 400 * 300
+
+
+def test_owners_by_similar_name(spark):
+    owners = spark.createDataFrame([("O1", "南方食品公司", "ACTIVE"), ("O2", "南方食品有限公司", "ACTIVE"), ("O3", "南方食品公司", "INACTIVE"), ("O4", "云山", "ACTIVE")], OWNER)
+    asks = spark.createDataFrame([("a", "南方食品厂", "", "", "", ""), ("b", "", "", "", "", "")], REQUEST)
+    got = {(r.request_id, r.customer_id): round(r.similarity, 6) for r in st.similar_owners(asks, owners, 0.6).collect()}
+    assert got == {("a", o): round(plain.ratio("南方食品厂", n), 6) for o, n in (("O1", "南方食品公司"), ("O2", "南方食品有限公司")) if plain.ratio("南方食品厂", n) >= 0.6}
