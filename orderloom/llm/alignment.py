@@ -1,9 +1,9 @@
 """Two tokenizers aligned: which tokens of the one cover the bytes of which tokens of the other, and how usual that is.
 
 The ends of the tokens, counted in bytes, go into a dictionary from end to index for each tokenizer; ends that both
-dictionaries have cut the two lists into groups, and inside a group every token is linked to those it overlaps. A blank
-between two characters that are no white space starts a new token for either tokenizer, so a text is the sum of such
-stretches; each task aligns a stretch once and keeps the last ones it met, and a document adds up its stretches.
+dictionaries have, sorted, cut the two lists into groups, and inside a group every token is linked to those it overlaps.
+A blank between two characters that are no white space starts a new piece whatever stands before it, so the piece
+tokenizer, which is the slower one, encodes such stretches and each task keeps those it met last.
 
 How often two ids are linked in the whole corpus is a Spark aggregate over the documents' distinct pairs. The documents
 get these counts back in two ways: the most frequent pairs, a bounded number, are broadcast; all others are joined.
@@ -18,10 +18,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections import Counter
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -29,22 +28,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import cut_lineage, texts
 
-#: Stretches that a task keeps aligned, code points of the longest one that is kept, pairs that are broadcast at most.
-KEPT, KEPT_LENGTH = 100_000, 40
+#: Stretches whose ids a task keeps, code points of the longest one that is kept, pairs that are broadcast at most.
+KEPT, KEPT_LENGTH = 400_000, 40
 HEAD = 1 << 18
 #: Finer steps in which the least count of a broadcast pair is looked for: 8 to each doubling.
 STEPS = 8
 _CUT = re.compile(r" (?=\S)(?<=\S )")
 
 
-class Aligned(NamedTuple):
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: bytes
-    links: list[tuple[int, int]]
-
-
 def _byte_of_sign() -> dict[str, int]:
     """Byte-level vocabularies write printable bytes as themselves and the others, in order, as signs from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -53,8 +44,12 @@ def _byte_of_sign() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def _byte_level(vocabulary: str, ranks: str | None) -> tuple[Callable[[str], list[int]], list[bytes]]:
-    """Encoder without special tokens and the bytes of every id. The ranks file holds the same vocabulary for a faster encoder."""
+def _byte_level(vocabulary: str, ranks: str | None) -> tuple[Callable[[str], list[int] | np.ndarray], list[bytes], bool]:
+    """Encoder without special tokens, the bytes of every id, and whether these always join to the text again.
+
+    The ranks file holds the same vocabulary for a faster encoder. Its pattern takes every character of a text, so with all
+    256 bytes among the ranks nothing is lost; where that is not known the bytes are joined and compared.
+    """
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(vocabulary)
@@ -64,7 +59,7 @@ def _byte_level(vocabulary: str, ranks: str | None) -> tuple[Callable[[str], lis
     for token, number in exact.get_vocab().items():
         spelled[number] = bytes(signs[c] for c in token) if all(c in signs for c in token) else token.encode()
     if ranks is None:
-        return lambda text: exact.encode(text, add_special_tokens=False).ids, spelled
+        return lambda text: exact.encode(text, add_special_tokens=False).ids, spelled, False
     import public_tokenizers
     import tiktoken
 
@@ -72,109 +67,95 @@ def _byte_level(vocabulary: str, ranks: str | None) -> tuple[Callable[[str], lis
         table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     fast = tiktoken.Encoding("aligned", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
-    def encode(text: str) -> list[int]:
+    def encode(text: str) -> list[int] | np.ndarray:
         try:
-            return fast.encode_ordinary(text)
+            return fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
         except ValueError:  # its pattern matcher gives up on endless runs of blanks
             return exact.encode(text, add_special_tokens=False).ids
 
-    return encode, spelled
+    return encode, spelled, all(bytes([i]) in table for i in range(256))
 
 
 @lru_cache(maxsize=2)
-def _pieces(model: str) -> tuple[Callable[[str], list[int]], list[bytes], bool]:
-    """Encoder, the bytes of every id, and whether no piece goes on after a blank, so that stretches can be encoded alone."""
+def _pieces(model: str) -> tuple[Callable[[list[str]], list[list[int]]], list[bytes], bool]:
+    """Encoder of many texts, the bytes of every id, and whether no piece goes on after a blank, so that stretches can be encoded alone."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
     spelled = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
     alone = not any(re.search("[^▁]▁", p) for p in names)
-    return lambda text: sp.encode(text, num_threads=1), spelled, alone
-
-
-def token_groups(a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]) -> Iterator[tuple[list[int], list[int], list[tuple[int, int]]]]:
-    """Ids of a and of b and their links, group by group."""
-    ends: list[dict[int, int]] = []
-    for ids, spelled in ((a, bytes_a), (b, bytes_b)):
-        at, index = 0, {}
-        for k, i in enumerate(ids):
-            at += len(spelled[i])
-            index[at] = k + 1
-        ends.append(index)
-    ends_a, ends_b = ends
-    i = j = 0
-    for end in sorted(ends_a.keys() & ends_b.keys()):
-        to_i, to_j = ends_a[end], ends_b[end]
-        mine, other = a[i:to_i], b[j:to_j]
-        if len(mine) == 1:
-            links = [(mine[0], y) for y in other]
-        elif len(other) == 1:
-            links = [(x, other[0]) for x in mine]
-        else:  # no end is shared inside the group: the token that ends first gives way to its next
-            links, x, y = [], 0, 0
-            reach_a, reach_b = len(bytes_a[mine[0]]), len(bytes_b[other[0]])
-            while True:
-                links.append((mine[x], other[y]))
-                if reach_a == reach_b:
-                    break
-                if reach_a < reach_b:
-                    x += 1
-                    reach_a += len(bytes_a[mine[x]])
-                else:
-                    y += 1
-                    reach_b += len(bytes_b[other[y]])
-        yield mine, other, links
-        i, j = to_i, to_j
+    return lambda parts: sp.encode(parts, num_threads=1), spelled, alone
 
 
 class Aligner:
-    """Aligns texts, stretch by stretch."""
+    """Aligns texts. Ids of b are encoded stretch by stretch, and the last stretches met are kept."""
 
     def __init__(self, vocabulary: str, ranks: str | None, model: str):
-        self.encode_a, self.bytes_a = _byte_level(vocabulary, ranks)
-        self.encode_b, self.bytes_b, self.alone = _pieces(model)
+        self.encode_a, self.bytes_a, self.whole = _byte_level(vocabulary, ranks)
+        self.encode_pieces, self.bytes_b, self.alone = _pieces(model)
+        self.length_a, self.length_b = (np.array([len(t) for t in spelled], np.int64) for spelled in (self.bytes_a, self.bytes_b))
         self.size_b = len(self.bytes_b)
-        self.stretch = lru_cache(maxsize=KEPT)(self._stretch)
+        # an id as it is written inside a list and at its end, ids of b after those of a
+        self.written = [b"%d%s" % (i, sign) for n, signs in ((len(self.bytes_a), (b",", b"|")), (self.size_b, (b",", b";"))) for i in range(n) for sign in signs]
+        self.kept: dict[str, bytes | None] = {}
 
-    def _stretch(self, text: str) -> Aligned | None:
-        a, b = self.encode_a(" " + text), self.encode_b(text)
-        whole = (" " + text).encode()
-        if b"".join([self.bytes_a[i] for i in a]) != whole or b"".join([self.bytes_b[i] for i in b]) != whole:
+    def encode_b(self, text: str) -> np.ndarray | None:
+        """Ids of b, None where they do not spell the text."""
+        parts = _CUT.split(text) if self.alone else [text]
+        new = list(set(parts).difference(self.kept))
+        for part, ids in zip(new, self.encode_pieces(new)):
+            spelled = b"".join([self.bytes_b[i] for i in ids])
+            self.kept[part] = array("i", ids).tobytes() if spelled == (" " + part).encode() else None
+        found = [self.kept[p] for p in parts]
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        for part in new:
+            if len(part) > KEPT_LENGTH:
+                self.kept.pop(part, None)
+        try:
+            return np.frombuffer(b"".join(found), "i4").astype(np.int64)
+        except TypeError:  # a part that was not spelled
             return None
-        groups, links = [], []
-        for mine, other, linked in token_groups(a, b, self.bytes_a, self.bytes_b):
-            groups.append(f"{','.join(map(str, mine))}|{','.join(map(str, other))}")
-            links += linked
-        return Aligned(len(a), len(b), len(groups), ";".join(groups).encode(), links)
+
+    def groups(self, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the shared ends cut the lists of a and of b: for each group the index after its last token."""
+        index_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1)))
+        index_b = dict(zip(ends_b.tolist(), range(1, len(ends_b) + 1)))
+        shared = sorted(index_a.keys() & index_b.keys())
+        return np.array([index_a[e] for e in shared]), np.array([index_b[e] for e in shared])
+
+    def digest(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> str:
+        """Hash of the groups written out: each group's slice of a, then its slice of b."""
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[cut_a - 1] = last_b[cut_b - 1] = 1
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.concatenate(([0], cut_b))[group_a]] = 2 * a + last_a
+        order[np.arange(len(b)) + cut_a[group_b]] = 2 * (len(self.bytes_a) + b) + last_b
+        return hashlib.sha256(b"".join(map(self.written.__getitem__, order.tolist()))[:-1]).hexdigest()
 
     def text(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """n_a, n_b, n_groups, n_links, hash of the groups, distinct linked pairs (a * size_b + b) and how often each."""
         nothing = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
         if not text:
             return nothing
-        parts = _CUT.split(text) if self.alone else [text]
-        tally = Counter(parts)
-        known = {}
-        for part in tally:
-            found = known[part] = self.stretch(part) if len(part) <= KEPT_LENGTH else self._stretch(part)
-            if found is None:
-                return nothing
-        digest = hashlib.sha256(b";".join([known[part].groups for part in parts])).hexdigest()
-        n_a = n_b = n_groups = 0
-        pairs: list[tuple[int, int]] = []
-        times: list[int] = []
-        for part, n in tally.items():
-            found = known[part]
-            n_a += n * found.n_a
-            n_b += n * found.n_b
-            n_groups += n * found.n_groups
-            pairs += found.links
-            times += [n] * len(found.links)
-        linked = np.array(pairs, np.int64).reshape(-1, 2)
-        codes, place = np.unique(linked[:, 0] * self.size_b + linked[:, 1], return_inverse=True)
-        counts = np.bincount(place, weights=times, minlength=len(codes)).astype(np.int64)
-        return n_a, n_b, n_groups, int(counts.sum()), digest, codes, counts
+        a, b = np.asarray(self.encode_a(" " + text), np.int64), self.encode_b(text)
+        if b is None or not self.whole and b"".join(map(self.bytes_a.__getitem__, a.tolist())) != (" " + text).encode():
+            return nothing
+        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        cut_a, cut_b = self.groups(ends_a, ends_b)
+        # within a slice, the bytes between two neighbouring ends of either list belong to one token of each: a link
+        ends = np.union1d(ends_a, ends_b)
+        links = a[np.searchsorted(ends_a, ends)] * self.size_b + b[np.searchsorted(ends_b, ends)]
+        pairs, times = np.unique(links, return_counts=True)
+        return len(a), len(b), len(cut_a), len(links), self.digest(a, b, cut_a, cut_b), pairs, times
+
+
+@lru_cache(maxsize=1)
+def _aligner(vocabulary: str, ranks: str | None, model: str) -> Aligner:
+    """One for a worker process, which goes on to its next task."""
+    return Aligner(vocabulary, ranks, model)
 
 
 def linked_pairs(docs: DataFrame, vocabulary: str, model: str, ranks: str | None = None) -> DataFrame:
@@ -184,7 +165,7 @@ def linked_pairs(docs: DataFrame, vocabulary: str, model: str, ranks: str | None
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        aligner = Aligner(vocabulary, ranks, model)
+        aligner = _aligner(vocabulary, ranks, model)
         for batch in batches:
             out, held = [], 0
             for row, text in zip(batch["row"], batch["text"]):
