@@ -21,7 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, cut_lineage, sift, texts
+from .common import components, cut_lineage, packed, sift, texts
 
 WORDS, SEED, RADIUS = 4, 42, 4
 CHUNK = 1 << 16
@@ -47,13 +47,17 @@ def fingerprint_of(text: str, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > len(ends), bitorder="little").view("<i8")[0])
 
 
+def _tie(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp of every row."""
+    """doc_id, tie (a hash of the text) and fp of every row."""
 
     def run(text: pd.Series) -> pd.Series:
         return pd.Series([fingerprint_of(t) for t in text], dtype="int64")
 
-    return texts(docs).select("doc_id", F.pandas_udf(run, "bigint")("text").alias("fp"))
+    return texts(docs).select("doc_id", _tie(F.col("text")).alias("tie"), F.pandas_udf(run, "bigint")("text").alias("fp"))
 
 
 def _masks(bits: int, radius: int) -> list[int]:
@@ -67,20 +71,41 @@ def _ball(bits: int, radius: int) -> Column:
     return F.explode(F.array(*[F.lit(m) for m in _masks(bits, radius)]))
 
 
-def _meet_on_halves(prints: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of pairs that met alone, and fingerprints fp that met in company and so may have further links.
+def _halves() -> Column:
+    return F.explode(F.array(F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(1 << 32)))).alias("half")
+
+
+def _near(a: str, b: str, radius: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
+
+
+def _link_to_ends(prints: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) of fingerprints to the smallest and largest that have the same half, where those are within the radius.
+
+    Two rows a fingerprint: a dense group falls into few components before anything emits variants.
+    """
+    half = prints.select("fp", _halves())
+    ends = half.groupBy("half").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
+    met = half.join(ends, "half").select("fp", F.explode(F.array("low", "high")).alias("b"))
+    return met.where((F.col("fp") != F.col("b")) & _near("fp", "b", radius)).select(F.col("fp").alias("a"), "b")
+
+
+def _meet_on_halves(roots: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of roots of pairs that met alone, and fingerprints fp that met in company of other roots and so may have further links.
 
     One half of the bits of a pair within the radius differs in half the radius at most, so the pair meets on a variant
-    of that half. Where just two met, their smallest and largest are the pair, and its distance is known.
+    of that half. Where just two met, their smallest and largest are the pair, and its distance is known. Where all that
+    met have one root, nothing is left to link.
     """
-    half = prints.select("fp", F.explode(F.array(F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(1 << 32)))).alias("half"))
-    meet = half.select("fp", "half", _ball(32, -(-(radius // 2) // 2)).alias("m")).select("fp", F.col("half").bitwiseXOR(F.col("m")).alias("key"))
-    buckets = meet.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1")
-    buckets = cut_lineage(buckets.where((F.col("n") > 2) | (F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) <= radius)), "simhash-buckets")
-    links = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).distinct()
+    meet = roots.select("fp", "root", _halves()).select("fp", "root", "half", _ball(32, -(-(radius // 2) // 2)).alias("m")).select(
+        "fp", "root", F.col("half").bitwiseXOR(F.col("m")).alias("key"))
+    buckets = meet.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"),
+                                      F.min("root").alias("a"), F.max("root").alias("b")).where("n > 1 AND a < b")
+    buckets = cut_lineage(buckets.where((F.col("n") > 2) | _near("low", "high", radius)), "simhash-buckets")
+    links = buckets.where("n = 2").select("a", "b").distinct()
     more = buckets.where("n > 2").select("key")
     return links, cut_lineage(
-        sift(meet, more, "key", 1 << 18).join(more, "key", "left_semi").select("fp").distinct(), "simhash-company")
+        sift(meet.select("fp", "key"), more, "key", 1 << 18).join(more, "key", "left_semi").select("fp").distinct(), "simhash-company")
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -90,15 +115,16 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def fingerprint_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, root) for distinct fingerprints fp that may have another within the radius; root is the smallest fp reachable.
+    """(fp, root) for distinct fingerprints fp; root is the smallest fp reachable.
 
-    Pairs that met alone on a half are linked at once. The others emit their balls, first of a quarter of the radius,
-    then of half: a bucket whose smallest and largest component differ gives a link. Where more than two met, a third
-    component may hide, so those buckets alone are looked at again until each holds one component.
+    Fingerprints are first linked to the ends of those that share a half, then pairs that met alone on a variant of a half.
+    The others emit their balls, first of a quarter of the radius, then of half: a bucket whose smallest and largest
+    component differ gives a link. Where more than two met, a third component may hide, so those buckets alone are looked
+    at again until each holds one component.
     """
-    links, company = _meet_on_halves(prints, radius)
-    ends = links.select(F.explode(F.array("a", "b")).alias("fp"))
-    roots = _joined(ends.unionByName(company).distinct().select("fp", F.col("fp").alias("root")), links)
+    roots = _joined(prints.select("fp", F.col("fp").alias("root")), _link_to_ends(prints, radius))
+    links, company = _meet_on_halves(roots, radius)
+    roots = _joined(roots, links)
     many = company.count()
     for reach in range(1, radius // 2 + 1):
         open_keys = None
@@ -117,12 +143,17 @@ def fingerprint_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame
     return roots
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id that links of at most radius bits reach."""
+def _rooted(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, tie (a hash of the text) and fp of every row; and the root of every fp with the smallest doc_id that has it."""
     marked = cut_lineage(fingerprints(docs), "simhash-prints")
     prints = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = fingerprint_components(prints.select("fp"), radius)
-    known = cut_lineage(prints.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-known")
+    return marked, prints.join(fingerprint_components(prints.select("fp"), radius), "fp")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp and component_id, the smallest doc_id that links of at most radius bits reach."""
+    marked, known = _rooted(docs, radius)
+    known = cut_lineage(known, "simhash-known")
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = known.join(least, "root").select("fp", "component_id")
     return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
@@ -133,6 +164,13 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Whole rows of the documents that are the first of their component; of repeated rows of it one stays."""
-    firsts = near_duplicates(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    """Whole rows, one of each component: the one of smallest doc_id, a null one last, then of smallest hash of its text.
+
+    Rows without doc_id and different texts that share one take part by their own fingerprints; of repeated rows one stays.
+    """
+    marked, known = _rooted(docs, radius)
+    firsts = marked.join(known.select("fp", "root"), "fp").groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")).select("first.doc_id", "first.tie")
+    rows = docs.select(packed(docs), F.col("doc_id").alias("__id"), _tie(F.col("text")).alias("__tie"))
+    stay = rows.join(firsts, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__tie") == F.col("tie")), "left_semi")
+    return stay.dropDuplicates(["__id", "__tie"]).select("row.*")

@@ -58,6 +58,32 @@ def test_simhash_query_equals_brute_force(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_dense_groups_equal_brute_force(spark):
+    rnd = np.random.default_rng(4)
+    flip = lambda f, n: f ^ sum(1 << int(b) for b in rnd.choice(64, n, replace=False))
+    prints = {int(rnd.integers(1 << 63)) for _ in range(300)}
+    for centre in [int(rnd.integers(1 << 63)) for _ in range(3)]:
+        prints |= {flip(centre, int(rnd.integers(0, 4))) for _ in range(250)}
+        for _ in range(40):  # a chain that leaves the group
+            centre = flip(centre, int(rnd.integers(3, 6)))
+            prints.add(centre)
+    prints = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    got = simhash.fingerprint_components(spark.createDataFrame([(f,) for f in signed], "fp bigint")).collect()
+    want = plain_components(list(zip(signed, prints)))
+    assert {r["fp"]: r["root"] for r in got} == want and len(set(want.values())) > 300
+
+
+def test_one_of_each_keeps_other_texts(spark):
+    rows = [(None, "first text without an id"), (None, "another one that has no id either"), (7, "seven is the number"), (7, "of two texts with this id"),
+            (9, "nine"), (9, "nine"), (8, "nine"), (None, "nine"), (None, "lonely words here"), (None, "lonely words here")]
+    frame = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id bigint, text string, tie int, root int")
+    kept = simhash.one_of_each(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted(
+        [(0, rows[0][1]), (0, rows[1][1]), (7, rows[2][1]), (7, rows[3][1]), (8, "nine"), (0, "lonely words here")])
+
+
 def test_simhash_edges(spark):
     long = " ".join(f"w{i % 977}" for i in range(70_000))
     texts = [None, "", " \t\n", "One", "one", "one two three four", "ONE two\tthree  four", "Été K", long, long, "one two three"]
