@@ -1,7 +1,7 @@
 """Toxicity: a convolutional text classifier in numpy over hashed word embeddings.
 
 Filters of several widths slide over the words' embeddings, each filter's maximum over the whole text goes through a
-rectifier, and a dense layer gives the logit. A bounded sample of labelled rows is fitted on the driver; a part of it
+rectifier, and a dense layer gives the logit. A bounded sample of labelled rows is fitted in one task; a part of it
 that takes no part in the fit turns logits to probabilities and finds a threshold for each language. All texts are then
 scored whole on the executors: the product of embeddings and filters is one table of the model, so a filter's value at
 a place is a sum of its table rows.
@@ -14,7 +14,9 @@ label 1, 0 if there is none; repeated rows score alike; an empty table gives an
 
 from __future__ import annotations
 
+import pickle
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,9 +29,8 @@ BUCKETS = 1 << 17
 DIMENSIONS = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-#: At most so many labelled rows, first in the order of a hash of doc_id, and texts of at most so many characters are fitted.
+#: At most so many labelled rows, first in the order of a hash of doc_id, are fitted.
 FIT_ROWS = 14_000
-FIT_CHARACTERS = 60_000
 CHUNK = 1 << 16
 BLANK = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 PAD = 0
@@ -240,13 +241,32 @@ def calibrate(model: Model, logits: np.ndarray, labels: np.ndarray, languages: l
             model.thresholds[kind] = best(mine)
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_characters: int = FIT_CHARACTERS, buckets: int = BUCKETS) -> Model:
-    """Fit and calibrate on labelled rows that are not held out: fit_rows at most, a fifth of them for calibration."""
+def _fitted(rows: list[dict], buckets: int) -> Model:
+    """Fit and calibrate on rows of doc_id, lang, toxic and words (the buckets' bytes), a fifth of them for calibration."""
+    rows = sorted({r["doc_id"]: r for r in sorted(rows, key=lambda r: r["words"])}.values(), key=lambda r: zlib.crc32(b"fit%d" % r["doc_id"]))
+    y = np.array([min(1, max(0, int(r["toxic"]))) for r in rows], float)
+    if len(set(y)) < 2:
+        return Model(np.zeros((1, DIMENSIONS), np.float32), [], [], np.zeros(0), 0.0, constant=float(y.mean()) if len(y) else 0.0)
+    x = [np.frombuffer(r["words"], np.int32).reshape(-1, 2) for r in rows]
+    split = len(x) - len(x) // 5
+    if len(set(y[:split])) < 2 or len(set(y[split:])) < 2:
+        split = len(x)
+    model = fit(x[:split], y[:split], buckets)
+    test = slice(split, None) if split < len(x) else slice(None)
+    flat, back = np.unique(np.concatenate([np.zeros(1, np.int64), *[w[:, 0].astype(np.int64) << 32 | w[:, 1] for w in x[test]]]), return_inverse=True)
+    flat = np.stack((flat >> 32, flat & 0xFFFFFFFF), 1)
+    numbers = np.split(back[1:].astype(np.int32), np.cumsum([len(w) for w in x[test]])[:-1])
+    calibrate(model, model.logits(numbers, model.of_words(model.tables(), flat)), y[test], [r["lang"] for r in rows][test])
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, buckets: int = BUCKETS) -> Model:
+    """Fit and calibrate on labelled rows that are not held out, fit_rows at most, in one task; only the model is sent back."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     sample = bounded_sample(known, fit_rows, "doc_id")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit("")
     rows = (docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(lang, F.lit("")).alias("lang"))
-            .where(F.length("text") <= fit_characters).join(F.broadcast(sample), "doc_id"))  # fit_rows bounds the broadcast
+            .join(F.broadcast(sample), "doc_id"))  # fit_rows bounds the broadcast
 
     def lines(text: pd.Series) -> pd.Series:
         words = Words(buckets)
@@ -254,26 +274,14 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_char
         pairs = words.both()
         return pd.Series([pairs[n].tobytes() for n in numbers], dtype=object)
 
-    hashed = F.pandas_udf(lines, "binary")
-    got = rows.select("doc_id", "lang", "toxic", hashed("text").alias("words")).collect()
-    got = sorted({r["doc_id"]: r for r in sorted(got, key=lambda r: r["words"])}.values(), key=lambda r: zlib.crc32(b"fit%d" % r["doc_id"]))
-    y = np.array([min(1, max(0, int(r["toxic"]))) for r in got], float)
-    if len(set(y)) < 2:
-        model = Model(np.zeros((1, DIMENSIONS), np.float32), [], [], np.zeros(0), 0.0, constant=float(y.mean()) if len(y) else 0.0)
-        return model
-    x = [np.frombuffer(r["words"], np.int32).reshape(-1, 2) for r in got]
-    del_at = len(x) - len(x) // 5
-    if len(set(y[:del_at])) < 2 or len(set(y[del_at:])) < 2:
-        del_at = len(x)
-    model = fit(x[:del_at], y[:del_at], buckets)
-    test = slice(del_at, None) if del_at < len(x) else slice(None)
-    flat, back = np.unique(np.concatenate([np.zeros(1, np.int64), *[w[:, 0].astype(np.int64) << 32 | w[:, 1] for w in x[test]]]), return_inverse=True)
-    flat = np.stack((flat >> 32, flat & 0xFFFFFFFF), 1)
-    numbers = np.split(back[1:].astype(np.int32), np.cumsum([len(w) for w in x[test]])[:-1])
-    calibrate(model, model.logits(numbers, model.of_words(model.tables(), flat)), y[test], [r["lang"] for r in got][test])
-    del got, x
-    release_memory()
-    return model
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = _fitted([r for batch in batches for r in batch.to_dict("records")], buckets)
+        yield pd.DataFrame({"model": [pickle.dumps(model)]})
+        release_memory()
+
+    hashed = rows.select("doc_id", "lang", "toxic", F.pandas_udf(lines, "binary")("text").alias("words"))
+    got = hashed.repartition(1).mapInPandas(learn, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else _fitted([], buckets)
 
 
 def score(docs: DataFrame, model: Model, buckets: int = BUCKETS, kept: list[str] | None = None) -> DataFrame:
