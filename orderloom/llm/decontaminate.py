@@ -31,7 +31,7 @@ BLOCK_ITEMS = 250
 #: that is longer by itself is a block with as many as it needs.
 SPARE_RANK, RANK_LIMIT = 32, 640
 COSINE = 0.45
-#: Share of an item's words in the common subsequence that is a leak by itself, or together with its answer.
+#: Share of an item's words in the common subsequence that is a leak by itself, or together with its answer if it has one.
 SURE, LIKELY, ANSWER = 0.8, 0.6, 0.8
 
 BLANK = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
@@ -221,7 +221,8 @@ def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
 def aligned(item: list[bytes], answer: list[bytes], words: list[bytes], passage: int) -> tuple[float, int]:
     """Best share of the item in the text near a passage, and the place; 0 if it isn't a leak.
 
-    Stretches as long as the item, a quarter of it longer, are tried at steps of an eighth of it.
+    Stretches as long as the item, a quarter of it longer, are tried at steps of an eighth of it. Where the share alone is
+    not sure and the item has an answer, the answer has to stand in the stretch or soon after it.
     """
     m = len(item)
     first, last = max(0, passage * STRIDE - m), min(len(words), passage * STRIDE + WINDOW + m)
@@ -229,13 +230,10 @@ def aligned(item: list[bytes], answer: list[bytes], words: list[bytes], passage:
     best, at = 0.0, first
     for start in range(first, max(first, last - m) + 1, step):
         share = common_subsequence(item, words[start:start + long]) / m
-        if share > best:
+        if share > best and share >= LIKELY and (share >= SURE or not answer or common_subsequence(
+                answer, words[start:start + long + step + 2 * len(answer)]) >= ANSWER * len(answer)):
             best, at = share, start
-    if best >= SURE:
-        return best, at
-    if best >= LIKELY and common_subsequence(answer, words[at:at + long + step]) >= ANSWER * len(answer):
-        return best, at
-    return 0.0, at
+    return best, at
 
 
 def _search(docs: DataFrame, block: list[tuple[int, list[bytes], list[bytes]]], cosine: float) -> DataFrame:
@@ -317,7 +315,7 @@ def _search(docs: DataFrame, block: list[tuple[int, list[bytes], list[bytes]]],
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, block_items: int = BLOCK_ITEMS, cosine: float = COSINE) -> DataFrame:
     """doc_id, item_id, share (of the item's words that align), cosine, word (where it begins) of every leak.
 
-    benchmark: item_id, text and, if it has one, answer; else the last third of an item stands for its answer.
+    benchmark: item_id, text and, if it has one, answer; items without an answer are judged by their alignment alone.
     """
     answer = F.coalesce(F.col("answer").cast("string"), F.lit("")) if "answer" in benchmark.columns else F.lit("")
     rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", F.col("text").cast("string").alias("text"), answer.alias("answer"))
@@ -336,7 +334,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, block_
         if block and held + many > RANK_LIMIT - SPARE_RANK:
             found, block, held = searched(), [], 0
         held += many
-        block.append((r["item_id"], item, words_of(r["answer"]) or item[-max(1, len(item) // 3):]))
+        block.append((r["item_id"], item, words_of(r["answer"])))
         if len(block) == block_items:
             found, block, held = searched(), [], 0
     if block:

@@ -63,7 +63,7 @@ def plain_leaks(docs, items):
             words = decontaminate.words_of(body or "")
             if doc_id is None or sum(w in have for w in words) < 0.6 * len(item):
                 continue
-            if any(decontaminate.aligned(item, item[-max(1, len(item) // 3):], words, p)[0] for p in range(0, max(1, len(words) // decontaminate.STRIDE + 1))):
+            if any(decontaminate.aligned(item, [], words, p)[0] for p in range(0, max(1, len(words) // decontaminate.STRIDE + 1))):
                 out.add((doc_id, item_id))
     return out
 
@@ -114,6 +114,44 @@ def test_decontamination_of_long_items_and_lists(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench(long)).collect()} == {(k, k) for k in range(14)}
 
 
+def plain_share(item, words):
+    """Largest share of the item in common with any stretch of the text, by the textbook table."""
+    best = 0
+    for start in range(max(1, len(words) - len(item) + 1)):
+        row = [0] * (len(item) + 1)
+        for w in words[start:start + len(item) + len(item) // 4]:
+            row = [0] + [max(row[i + 1], 0) if w != item[i] else row[i] + 1 for i in range(len(item))]
+            for i in range(len(item)):
+                row[i + 1] = max(row[i + 1], row[i])
+        best = max(best, row[-1])
+    return best / len(item)
+
+
+def test_decontamination_of_evenly_replaced_words(spark):
+    rnd = np.random.default_rng(8)
+    word = lambda: f"w{rnd.integers(4_000)}"
+    items = [(i, " ".join(word() for _ in range(40)), "yes indeed so it is" if i % 10 == 0 else None) for i in range(60)]
+    docs, planted = [], {}
+    for i, text, answer in items:
+        for rate in (0.2, 0.26, 0.3, 0.7):
+            body = [w if k * rate % 1 + rate < 1 else "new" + word() for k, w in enumerate(text.split())]
+            filler = [word() for _ in range(100)]
+            said = answer.split() if answer and rate == 0.26 else []
+            planted[len(docs)] = (i, rate, bool(said) or not answer)
+            docs.append((len(docs), " ".join(filler[:50] + body + said + filler[50:])))
+        docs.append((len(docs), " ".join(text.split()[:28] + [word() for _ in range(60)])))
+        planted[len(docs) - 1] = (i, "beginning", not answer)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string, answer string")).collect()}
+    words = {d: decontaminate.words_of(t) for d, t in docs}
+    for d, i in got:
+        assert planted[d][0] == i and plain_share(decontaminate.words_of(items[i][1]), words[d]) >= 0.6
+    for rate in (0.2, 0.26, 0.3, "beginning"):
+        mine = [(d, p[0]) for d, p in planted.items() if p[1] == rate and p[2]]
+        assert len(mine) >= 54 and len(got & set(mine)) >= 0.9 * len(mine), rate
+    assert not any(planted[d][1] == 0.7 or not planted[d][2] and planted[d][1] in (0.3, "beginning") for d, _ in got)
+
+
 def test_common_subsequence():
     rng = random.Random(5)
     for _ in range(200):
