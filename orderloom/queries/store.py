@@ -79,20 +79,6 @@ def _(t):
     return st.by_address(t.store_requests, t.stores, char_class=LETTERS).select("request_id", "store_code")
 
 
-# addresses that no store has: a segment word, which stands in store names, and a lane
-LANES = """SELECT request_id, CASE WHEN seg <> '' THEN concat(seg, ' lane ', cast(request_id % 4 AS varchar(9)), ' of NATION_', cast(request_id % 3 AS varchar(9))) ELSE '' END AS address FROM (SELECT request_id, regexp_extract(store_name, '([A-Z][A-Z][A-Z][A-Z][A-Z]+)', 1) AS seg FROM store_requests) x"""
-
-
-@query("j10_nearest_address", ratio_cte("SELECT address AS a, store_address AS b FROM hs", f"rq AS ({LANES})", """wd AS (SELECT address, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM (SELECT DISTINCT address, regexp_extract_all(address, '[A-Z]{2,}') AS w FROM rq WHERE address <> '') x)""",
-    "ok AS (SELECT address, word FROM wd WHERE EXISTS (SELECT 1 FROM stores s WHERE contains(s.store_name, wd.word)) QUALIFY row_number() OVER (PARTITION BY address ORDER BY length(word) DESC, pos) = 1)",
-    "hs AS (SELECT o.address, o.word, s.address AS store_address, min(s.store_code) AS store_code FROM ok o JOIN stores s ON contains(s.store_name, o.word) GROUP BY ALL)") + """,
-  best AS (SELECT hs.address, store_code, ratio FROM hs JOIN ratios r ON r.a = hs.address AND r.b = hs.store_address QUALIFY row_number() OVER (PARTITION BY hs.address ORDER BY ratio DESC, store_code) = 1)
-  SELECT request_id, store_code, round(ratio, 6) AS similarity FROM rq JOIN best ON best.address = rq.address""", STO)
-def _(t):
-    lanes = t.spark.sql(LANES.replace("FROM store_requests", "FROM {r}"), r=t.store_requests)
-    return st.by_address(lanes, t.stores, char_class=LETTERS).select("request_id", "store_code", F.round("similarity", 6).alias("similarity"))
-
-
 @query("j11_contact_phone", ratio_cte("SELECT DISTINCT a, b FROM pp", """ask AS (SELECT * FROM store_requests WHERE length(contact_person) >= 2 AND contact_person <> store_name AND phone <> '')""",
     "pp AS (SELECT r.request_id, r.store_name AS a, s.store_name AS b, s.store_code, count(*) OVER (PARTITION BY r.request_id) AS n_phone FROM ask r JOIN stores s ON s.phone = r.phone)") + """,
   be AS (SELECT request_id, store_code, n_phone, ratio, count(CASE WHEN ratio >= 0.5 THEN 1 END) OVER (PARTITION BY request_id) AS n FROM pp JOIN ratios r ON r.a = pp.a AND r.b = pp.b QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY ratio DESC, store_code) = 1)
