@@ -2,8 +2,9 @@
 
 The ends of the tokens, counted in bytes, go into a dictionary from end to index for each tokenizer; ends that both
 dictionaries have, sorted, cut the two lists into groups, and inside a group every token is linked to those it overlaps.
-A blank between two characters that are no white space starts a new piece whatever stands before it, so the piece
-tokenizer, which is the slower one, encodes such stretches and each task keeps those it met last.
+A blank between two characters that are no white space starts a new token of either tokenizer whatever stands before
+it, so its stretch is aligned alone, once for each time a worker process meets it anew, and a text is put together from
+its stretches. Where a vocabulary does not cut that way, a text is one stretch.
 
 How often two ids are linked in the whole corpus is a Spark aggregate over the documents' distinct pairs. The documents
 get these counts back in two ways: the most frequent pairs, a bounded number, are broadcast; all others are joined.
@@ -17,8 +18,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -76,6 +77,14 @@ def _byte_level(vocabulary: str, ranks: str | None) -> tuple[Callable[[str], lis
     return encode, spelled, all(bytes([i]) in table for i in range(256))
 
 
+def _words_alone(vocabulary: str) -> bool:
+    """Whether the vocabulary file cuts a text into words before it merges, so that a blank before a word begins a token."""
+    with open(vocabulary, encoding="utf-8") as file:
+        settings = json.load(file)
+    cut = settings.get("pre_tokenizer") or {}
+    return settings.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True)
+
+
 @lru_cache(maxsize=2)
 def _pieces(model: str) -> tuple[Callable[[list[str]], list[list[int]]], list[bytes], bool]:
     """Encoder of many texts, the bytes of every id, and whether no piece goes on after a blank, so that stretches can be encoded alone."""
@@ -89,34 +98,21 @@ def _pieces(model: str) -> tuple[Callable[[list[str]], list[list[int]]], list[by
 
 
 class Aligner:
-    """Aligns texts. Ids of b are encoded stretch by stretch, and the last stretches met are kept."""
+    """Aligns texts stretch by stretch; the last stretches met are kept with all that a text needs of them.
+
+    Both tokenizers start anew at a stretch, so its end is an end of both, its groups are whole groups of the text and no
+    link leaves it. A record holds n_a, n_b, n_groups, n_links, the groups written out, and the links as 64-bit numbers.
+    """
 
     def __init__(self, vocabulary: str, ranks: str | None, model: str):
         self.encode_a, self.bytes_a, self.whole = _byte_level(vocabulary, ranks)
-        self.encode_pieces, self.bytes_b, self.alone = _pieces(model)
+        self.encode_pieces, self.bytes_b, alone = _pieces(model)
+        self.alone = alone and _words_alone(vocabulary)
         self.length_a, self.length_b = (np.array([len(t) for t in spelled], np.int64) for spelled in (self.bytes_a, self.bytes_b))
         self.size_b = len(self.bytes_b)
         # an id as it is written inside a list and at its end, ids of b after those of a
         self.written = [b"%d%s" % (i, sign) for n, signs in ((len(self.bytes_a), (b",", b"|")), (self.size_b, (b",", b";"))) for i in range(n) for sign in signs]
-        self.kept: dict[str, bytes | None] = {}
-
-    def encode_b(self, text: str) -> np.ndarray | None:
-        """Ids of b, None where they do not spell the text."""
-        parts = _CUT.split(text) if self.alone else [text]
-        new = list(set(parts).difference(self.kept))
-        for part, ids in zip(new, self.encode_pieces(new)):
-            spelled = b"".join([self.bytes_b[i] for i in ids])
-            self.kept[part] = array("i", ids).tobytes() if spelled == (" " + part).encode() else None
-        found = [self.kept[p] for p in parts]
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        for part in new:
-            if len(part) > KEPT_LENGTH:
-                self.kept.pop(part, None)
-        try:
-            return np.frombuffer(b"".join(found), "i4").astype(np.int64)
-        except TypeError:  # a part that was not spelled
-            return None
+        self.kept: dict[str, tuple] = {}
 
     def groups(self, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the shared ends cut the lists of a and of b: for each group the index after its last token."""
@@ -125,31 +121,68 @@ class Aligner:
         shared = sorted(index_a.keys() & index_b.keys())
         return np.array([index_a[e] for e in shared]), np.array([index_b[e] for e in shared])
 
-    def digest(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> str:
-        """Hash of the groups written out: each group's slice of a, then its slice of b."""
+    def in_order(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> list[bytes]:
+        """The groups written out, id by id: each group's slice of a, then its slice of b."""
         last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         last_a[cut_a - 1] = last_b[cut_b - 1] = 1
         group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
         order = np.empty(len(a) + len(b), np.int64)
         order[np.arange(len(a)) + np.concatenate(([0], cut_b))[group_a]] = 2 * a + last_a
         order[np.arange(len(b)) + cut_a[group_b]] = 2 * (len(self.bytes_a) + b) + last_b
-        return hashlib.sha256(b"".join(map(self.written.__getitem__, order.tolist()))[:-1]).hexdigest()
+        return [self.written[i] for i in order.tolist()]
+
+    def learn(self, parts: list[str]) -> None:
+        """Keep the records of new stretches, aligned as one text; an empty one where a tokenizer does not spell a stretch."""
+        joined = " " + " ".join(parts)
+        data = joined.encode()
+        a, b = np.asarray(self.encode_a(joined), np.int64), self.encode_pieces([joined[1:]])[0]
+        if b"".join([self.bytes_b[i] for i in b]) != data or not self.whole and b"".join([self.bytes_a[i] for i in a.tolist()]) != data:
+            half = len(parts) // 2
+            if half:
+                self.learn(parts[:half])
+                self.learn(parts[half:])
+            else:
+                self.kept[parts[0]] = ()
+            return
+        b = np.array(b, np.int64)
+        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        cut_a, cut_b = self.groups(ends_a, ends_b)
+        # within a slice, the bytes between two neighbouring ends of either list belong to one token of each: a link
+        ends = np.union1d(ends_a, ends_b)
+        links = (a[np.searchsorted(ends_a, ends)] * self.size_b + b[np.searchsorted(ends_b, ends)]).tobytes()
+        ids = self.in_order(a, b, cut_a, cut_b)
+        stops = np.cumsum([len(p.encode()) + 1 for p in parts]) if len(parts) > 1 else np.array([len(data)])
+        until = np.array([np.searchsorted(e, stops, "right") for e in (ends_a, ends_b, ends_a[cut_a - 1], ends)])
+        counts = np.diff(until, prepend=0, axis=1).tolist()
+        i = j = 0
+        for p, at, link, *n in zip(parts, (until[0] + until[1]).tolist(), (8 * until[3]).tolist(), *counts):
+            self.kept[p] = (*n, b"".join(ids[i:at])[:-1], links[j:link])
+            i, j = at, link
 
     def text(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """n_a, n_b, n_groups, n_links, hash of the groups, distinct linked pairs (a * size_b + b) and how often each."""
         nothing = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
         if not text:
             return nothing
-        a, b = np.asarray(self.encode_a(" " + text), np.int64), self.encode_b(text)
-        if b is None or not self.whole and b"".join(map(self.bytes_a.__getitem__, a.tolist())) != (" " + text).encode():
+        parts = _CUT.split(text) if self.alone else [text]
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        new = set(parts).difference(self.kept)
+        # the first and the last stretch of a text may begin or end with white space, then they do not stand beside others
+        alone = new.intersection(p for p in (parts[0], parts[-1]) if not p or p[0].isspace() or p[-1].isspace() or not self.alone)
+        for p in alone:
+            self.learn([p])
+        if len(new) > len(alone):
+            self.learn(list(new - alone))
+        found = [self.kept[p] for p in parts]
+        for p in new:
+            if len(p) > KEPT_LENGTH:
+                del self.kept[p]
+        if not all(found):
             return nothing
-        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
-        cut_a, cut_b = self.groups(ends_a, ends_b)
-        # within a slice, the bytes between two neighbouring ends of either list belong to one token of each: a link
-        ends = np.union1d(ends_a, ends_b)
-        links = a[np.searchsorted(ends_a, ends)] * self.size_b + b[np.searchsorted(ends_b, ends)]
-        pairs, times = np.unique(links, return_counts=True)
-        return len(a), len(b), len(cut_a), len(links), self.digest(a, b, cut_a, cut_b), pairs, times
+        n_a, n_b, n_groups, n_links, written, links = zip(*found)
+        pairs, times = np.unique(np.frombuffer(b"".join(links), np.int64), return_counts=True)
+        return sum(n_a), sum(n_b), sum(n_groups), sum(n_links), hashlib.sha256(b";".join(written)).hexdigest(), pairs, times
 
 
 @lru_cache(maxsize=1)
