@@ -30,6 +30,25 @@ def _(t):
 
 
 
+PASSED = "(SELECT * FROM order_events WHERE ts <= (SELECT max(ts) FROM order_events) - INTERVAL 1 HOUR)"
+WITHIN = "had_start AND completed_at - started_at <= INTERVAL 24 HOUR"
+ORDERED = SESSIONS.replace("FROM order_events)", f"FROM {PASSED})").replace("SELECT session_id, seg, ", "SELECT session_id, seg, max(CASE WHEN st THEN ts END) AS started_at, ")
+
+
+@query("t01_ordered_sessions_stream", ORDERED.split(" SELECT session_id, completed_at")[0] + f""" SELECT session_id, completed_at, event_id, coalesce({WITHIN}, FALSE) AS had_start, coalesce({WITHIN} AND ok, FALSE) AS store_confirmed,
+  CASE WHEN {WITHIN} THEN c ELSE 0 END AS n_corrections, coalesce({WITHIN} AND m, FALSE) AS user_modified, value FROM g WHERE completed_at IS NOT NULL""", EV)
+def _(t):
+    return drain(t, sessions.ordered_sessions_stream, "append").where("kind = 'record'").select(
+        "session_id", "completed_at", "event_id", "had_start", "store_confirmed", "n_corrections", "user_modified", "value")
+
+
+@query("a18_session_corrections_stream", ORDERED.split(" SELECT session_id, completed_at")[0] + f""" SELECT s.session_id, g.event_id AS order_event_id, s.event_id, s.ts AS at, s.event_type, s.value FROM s JOIN g ON s.session_id = g.session_id AND s.seg = g.seg
+  WHERE s.event_type IN ('sku_corrected', 'store_corrected') AND {WITHIN.replace("had_start", "g.had_start").replace("completed_at", "g.completed_at").replace("started_at", "g.started_at")}""", EV)
+def _(t):
+    return drain(t, sessions.ordered_sessions_stream, "append").where("kind = 'correction'").select(
+        "session_id", "order_event_id", "event_id", "at", "event_type", "value")
+
+
 def own_layer():
     """The given events' layer and score."""
     return F.concat(F.lit("layer_"), (F.get_json_object("props", "$.k").cast("bigint") % 5).cast("string")), F.col("value") / 20

@@ -56,6 +56,16 @@ def rejection_stream(actions: DataFrame, watermark: str = "1 hour") -> DataFrame
     return reject_alerts(actions.withWatermark("ts", watermark))
 
 
+def rejections_until_quiet(actions: DataFrame, gap: str = "1 hour", watermark: str = "1 hour", limit: int = fv.MAX_REJECTS) -> DataFrame:
+    """Repeated rejections within a stretch of activity (ts, session_id, action).
+
+    A stretch ends after `gap` without an action; its row is emitted and its state goes when the watermark passes that end.
+    """
+    stretch = actions.withWatermark("ts", watermark).groupBy("session_id", F.session_window("ts", gap).alias("w"))
+    return stretch.agg(F.count_if(F.col("action") == "reject").alias("reject_count")).where(F.col("reject_count") >= limit).select(
+        "session_id", F.col("w.end").alias("quiet_at"), "reject_count", F.lit("high").alias("severity"))
+
+
 def stalled_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """Stretches of activity closed by `gap` without an event: the session stalled at the end of the stretch."""
     w = F.session_window("ts", gap)

@@ -64,3 +64,49 @@ def test_failing_handler_does_not_stop_others(spark, tmp_path):
 
     jobs.dispatch({"order_complete": [bad, lambda rows, epoch: seen.append(rows.count())]}, lambda e, x: errors.append(e))(events(spark, tmp_path), 0)
     assert errors == ["order_complete"] and seen[0] > 0
+
+
+def late_events(spark, tmp_path):
+    """Files whose events are shuffled by up to an hour, an order open for over a day, and one event that ends all waiting."""
+    rnd = random.Random(9)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(minutes=3 * i), i % 7, rnd.choice(KINDS), float(i % 11), None) for i in range(400)]
+    rows += [(1000, start, 50, "store_confirm_needed", 1.0, None), (1001, start + dt.timedelta(hours=1), 50, "sku_corrected", 2.0, None),
+             (1002, start + dt.timedelta(hours=30), 50, "order_complete", 3.0, None)]
+    rows.sort(key=lambda r: r[1] + dt.timedelta(minutes=rnd.randint(0, 55)))
+    last = (2000, start + dt.timedelta(days=9), 99, "store_confirm_needed", 0.0, None)
+    for part in range(0, len(rows), 50):
+        spark.createDataFrame(rows[part:part + 50], jobs.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([last], jobs.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    return spark.createDataFrame(rows, jobs.EVENT_SCHEMA)
+
+
+def test_late_events_are_put_in_order(spark, tmp_path):
+    from orderloom.session import SETTINGS
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, SETTINGS[key])
+    batch = late_events(spark, tmp_path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    source = jobs.event_source(spark, str(tmp_path / "in"), maxFilesPerTrigger="1")
+    got = drain(spark, sessions.ordered_sessions_stream(source), "append", tmp_path, "ordered")
+    want = sessions.sessions_batch(batch, "24 hours")
+    records = got.where("kind = 'record'").select(want.columns).collect()
+    assert sorted(map(tuple, records)) == sorted(map(tuple, want.collect())) and len(records) > 20
+    assert [r.had_start for r in records if r.session_id == 50] == [False]
+    want = sessions.corrections_batch(batch, "24 hours")
+    assert sorted(map(tuple, got.where("kind = 'correction'").select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert want.count() > 5
+
+
+def test_rejections_end(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    minutes = {1: [0, 10, 20], 2: [0, 200], 3: [5, 15, 300, 310]}
+    rows = [(i, start + dt.timedelta(minutes=m), s, "order_complete", 0.0, None) for s, all_of in minutes.items() for i, m in enumerate(all_of)]
+    for at, part in ((0, rows), (1, [(9, start + dt.timedelta(days=2), 4, "order_complete", 0.0, None)])):
+        spark.createDataFrame(part, jobs.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = jobs.event_source(spark, str(tmp_path / "in"), maxFilesPerTrigger="1").withColumn("action", F.lit("reject"))
+    q = jobs.rejections_until_quiet(source).writeStream.outputMode("append").format("memory").queryName("ended").option(
+        "checkpointLocation", str(tmp_path / "ended")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.session_id, r.reject_count) for r in spark.table("ended").collect()) == [(1, 3), (3, 2), (3, 2)]
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # only the last action, which is still open
