@@ -89,6 +89,15 @@ def _(t):
     return jobs.rejection_stream(acts)
 
 
+@query("t03_rejections_until_quiet_stream", """WITH g AS (SELECT session_id, ts, event_id, event_type, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 60 MINUTE THEN 1 ELSE 0 END AS brk FROM order_events WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)),
+  s AS (SELECT *, sum(brk) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS seg FROM g)
+  SELECT session_id, max(ts) + INTERVAL 60 MINUTE AS quiet_at, count(CASE WHEN event_type = 'order_cancelled' THEN 1 END) AS reject_count, 'high' AS severity FROM s GROUP BY session_id, seg
+  HAVING reject_count >= 2 AND quiet_at <= (SELECT max(ts) FROM order_events) - INTERVAL 60 MINUTE""", EV)
+def _(t):
+    acts = drain(t, lambda e: jobs.rejections_until_quiet(e.withColumn("action", F.when(F.col("event_type") == "order_cancelled", "reject"))), "append")
+    return acts.withColumn("quiet_at", F.col("quiet_at").cast("timestamp_ntz"))
+
+
 STALLED = """WITH g AS (SELECT session_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS brk FROM order_events WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)),
   s AS (SELECT session_id, ts, sum(brk) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS seg FROM g) SELECT session_id, max(ts) AS last_ts, max(ts) + INTERVAL 30 MINUTE AS stalled_at, count(*) AS n_events FROM s GROUP BY session_id, seg"""
 
