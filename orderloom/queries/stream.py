@@ -68,6 +68,27 @@ def _(t):
     return drain(t, lambda e: jobs.layer_statistics(e, *own_layer()), "complete")
 
 
+OPEN = ORDERED.split(",\n g AS")[0] + f""", o AS (SELECT session_id, seg, max(ts) AS started_at FROM s WHERE st GROUP BY ALL)
+ SELECT 'store' AS entity_type, '' AS layer_name, 0::BIGINT AS total_attempts, 0::BIGINT AS success_count, 0::BIGINT AS user_corrected_count, 0::DOUBLE AS score_sum WHERE FALSE UNION ALL
+ SELECT CASE WHEN starts_with(event_type, 'store') THEN 'store' ELSE 'sku' END, concat('layer_', cast(cast(json_extract_string(props, '$.k') AS bigint) % 5 AS varchar)), count(*),
+  count(CASE WHEN event_type = 'store_confirmed' THEN 1 END), count(CASE WHEN event_type <> 'store_confirmed' THEN 1 END), sum(cast(value / 20 AS decimal(18,6)))::DOUBLE
+  FROM s JOIN o USING (session_id, seg) WHERE event_type IN ('store_confirmed', 'sku_corrected') AND ts - started_at <= INTERVAL 24 HOUR GROUP BY ALL"""
+
+
+@query("t02_open_layer_statistics", OPEN.replace(PASSED, "order_events"), EV)
+def _(t):
+    return jobs.layer_statistics(sessions.open_outcomes_batch(t.order_events, "24 hours"), *own_layer())
+
+
+@query("t02_open_layer_statistics_stream", OPEN, EV)
+def _(t):
+    def inside(events):
+        layer, score = own_layer()
+        return sessions.ordered_sessions_stream(events.withColumns({"layer_name": layer, "match_score": score})).where("kind = 'outcome'")
+
+    return jobs.layer_statistics(drain(t, inside, "append"), F.col("layer_name"), F.col("match_score"))
+
+
 def drain(t, build, mode):
     """Write the events as files below the shared folder and run the stream over them until they are used up."""
     spark = t.spark

@@ -59,6 +59,14 @@ def corrections_batch(events: DataFrame, limit: str) -> DataFrame:
         "session_id", "order_event_id", "event_id", F.col("ts").alias("at"), "event_type", "value")
 
 
+def open_outcomes_batch(events: DataFrame, limit: str) -> DataFrame:
+    """Outcomes of layers inside an order that was open and not older than `limit`: events without a start do not count."""
+    seg = segments(events)
+    starts = seg.where(F.col("event_type") == START).select("session_id", "_seg", F.col("ts").alias("_start"))
+    inside = seg.where(F.col("event_type").isin(*OUTCOMES)).join(starts, ["session_id", "_seg"])
+    return inside.where(F.col("ts") - F.col("_start") <= F.expr(f"INTERVAL {limit}")).drop("_seg", "_n", "_start")
+
+
 class OrderSessions(StatefulProcessor):
     """State of one session: the open order, or nothing. Orders without an end are dropped after `idle_ms` of event time."""
 
@@ -108,8 +116,9 @@ def sessions_stream(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
         statefulProcessor=OrderSessions(), outputStructType=RECORD, outputMode="Append", timeMode="EventTime")
 
 
-EVENT = "ts timestamp, event_id bigint, event_type string, value double"
-OUTPUT = f"kind string, {RECORD}, order_event_id bigint, at timestamp_ntz, event_type string"
+OUTCOMES = ("store_confirmed", "store_corrected", "sku_confirmed", "sku_corrected")
+EVENT = "ts timestamp, event_id bigint, event_type string, value double, layer_name string, match_score double"
+OUTPUT = f"kind string, {RECORD}, order_event_id bigint, at timestamp_ntz, event_type string, layer_name string, match_score double"
 
 
 class OrderedSessions(StatefulProcessor):
@@ -118,7 +127,8 @@ class OrderedSessions(StatefulProcessor):
     Events wait in a list until the watermark has passed them. A timer then releases them in order of (ts, event_id), so
     memory is bounded by what one session sends within the watermark's delay. Corrections of the open order are a list
     of their own. An order is given up `limit_ms` after its start. Completion emits a row of kind `record` and, where
-    the order was open, one of kind `correction` for each of its corrections.
+    the order was open, one of kind `correction` for each of its corrections. A layer's outcome inside an open order gives
+    a row of kind `outcome` at once.
     """
 
     def __init__(self, limit_ms: int):
@@ -131,7 +141,7 @@ class OrderedSessions(StatefulProcessor):
         self.corrections = handle.getListState("corrections", EVENT)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = [(e.ts, e.event_id, e.event_type, e.value) for e in rows]
+        new = [(e.ts, e.event_id, e.event_type, e.value, e.layer_name, e.match_score) for e in rows]
         self.waiting.appendList(new)
         self._wake(min(_ms(e[0]) for e in new))
         return iter(())
@@ -143,7 +153,7 @@ class OrderedSessions(StatefulProcessor):
         rest = waiting[len(ready):]
         order = tuple(self.order.get()) if self.order.exists() else None
         corrections = [tuple(c) for c in self.corrections.get()] if order else []
-        for at, event_id, kind, value in ready:
+        for at, event_id, kind, value, layer, score in ready:
             if order and _ms(at) - _ms(order[0]) > self.limit_ms:
                 order = None
             if kind == START:
@@ -155,8 +165,12 @@ class OrderedSessions(StatefulProcessor):
                 order = None
             elif order:
                 opened, ok, n, modified = order
+                if kind in OUTCOMES:
+                    yield Row(kind="outcome", session_id=key[0], completed_at=None, event_id=event_id, had_start=True, store_confirmed=None,
+                              n_corrections=None, user_modified=None, value=value, order_event_id=None, at=at.replace(tzinfo=None),
+                              event_type=kind, layer_name=layer, match_score=score)
                 if kind in CORRECTIONS:
-                    corrections.append((at, event_id, kind, value))
+                    corrections.append((at, event_id, kind, value, layer, score))
                 order = (opened, ok or kind == "store_confirmed", n + (kind in CORRECTIONS), modified or kind == "user_modified")
         if order and _ms(order[0]) + self.limit_ms < passed:
             order = None
@@ -191,13 +205,17 @@ def _emitted(session, at, event_id, value, order, corrections) -> Iterator[Row]:
     _, ok, n, modified = order or (None, False, 0, False)
     base = dict(session_id=session, completed_at=at.replace(tzinfo=None))
     yield Row(kind="record", **base, event_id=event_id, had_start=order is not None, store_confirmed=ok, n_corrections=n,
-              user_modified=modified, value=value, order_event_id=event_id, at=at.replace(tzinfo=None), event_type="order_complete")
-    for when, number, kind, own in corrections if order else ():
+              user_modified=modified, value=value, order_event_id=event_id, at=at.replace(tzinfo=None), event_type="order_complete",
+              layer_name=None, match_score=None)
+    for when, number, kind, own, layer, score in corrections if order else ():
         yield Row(kind="correction", **base, event_id=number, had_start=True, store_confirmed=ok, n_corrections=n,
-                  user_modified=modified, value=own, order_event_id=event_id, at=when.replace(tzinfo=None), event_type=kind)
+                  user_modified=modified, value=own, order_event_id=event_id, at=when.replace(tzinfo=None), event_type=kind,
+                  layer_name=layer, match_score=score)
 
 
 def ordered_sessions_stream(events: DataFrame, watermark: str = "1 hour", limit_hours: float = 24) -> DataFrame:
     """Records and corrections (column `kind`) of a stream with an event-time column `ts`, late and shuffled events put in order."""
+    own = {"layer_name": F.lit(None).cast("string"), "match_score": F.lit(None).cast("double")}
+    events = events.withColumns({name: column for name, column in own.items() if name not in events.columns})
     return events.withWatermark("ts", watermark).groupBy("session_id").transformWithState(
         statefulProcessor=OrderedSessions(round(limit_hours * 3_600_000)), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")

@@ -96,6 +96,10 @@ def test_late_events_are_put_in_order(spark, tmp_path):
     want = sessions.corrections_batch(batch, "24 hours")
     assert sorted(map(tuple, got.where("kind = 'correction'").select(want.columns).collect())) == sorted(map(tuple, want.collect()))
     assert want.count() > 5
+    inside = [r.event_id for r in got.where("kind = 'outcome'").collect()]
+    assert sorted(inside) == sorted(r.event_id for r in sessions.open_outcomes_batch(batch, "24 hours").collect())
+    outcomes = batch.where(F.col("event_type").isin("store_confirmed", "sku_corrected")).count()
+    assert 1001 in inside and 20 < len(inside) < outcomes  # those without a start do not count
 
 
 def test_rejections_end(spark, tmp_path):
