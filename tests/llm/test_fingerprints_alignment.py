@@ -182,6 +182,23 @@ def test_alignment_equals_plain(spark, head):
     assert sorted(map(tuple, got.collect())) == plain_alignment(rows)
 
 
+def test_stretches_kept_or_not_give_the_same(monkeypatch):
+    path = public_tokenizers.path
+    paths = path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), path("piece_bpe_32k.model")
+    written = [" a b", "b a ", "a\n b", "", " ", "word " * 30 + "w" * 90, "\u2581x y", "\u212b \u4e2d\u6587 a", "a  b", "don't we'll", "x\x1c y\x85 z", "a b a b"]
+    keeping, forgetting, whole = (alignment.Aligner(*paths) for _ in range(3))
+    whole.alone = False
+    for text in written * 2:
+        monkeypatch.setattr(alignment, "KEPT", 400_000)
+        want = whole.text(text)
+        got = [keeping.text(text)]
+        monkeypatch.setattr(alignment, "KEPT", 2)
+        got.append(forgetting.text(text))
+        for one in got:
+            assert one[:5] == want[:5] and one[5].tolist() == want[5].tolist() and one[6].tolist() == want[6].tolist(), text
+    assert all(len(p) <= alignment.KEPT_LENGTH for p in keeping.kept) and len(forgetting.kept) < len(keeping.kept)
+
+
 def test_alignment_query_equals_plain(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     assert sorted(map(tuple, queries.op12_alignment(spark, FOLDER).collect())) == plain_alignment(rows)
