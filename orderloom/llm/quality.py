@@ -1,8 +1,8 @@
 """Quality by importance resampling: hashed n-gram models of good text and of all text, sampled by Gumbel top-k.
 
 Words and neighbouring word pairs fall into a fixed number of buckets. One model counts the buckets over documents that
-are labelled good, the other over all documents; a document's weight is the mean log ratio of its buckets times a
-length that grows slowly, so that neither very short nor very long texts rule the sample. The k documents with the largest weight plus a
+are labelled good, the other over all documents; a document's weight is the ratio of the two models, the sum of its
+buckets' log ratios. The k documents with the largest weight plus a
 Gumbel variable, drawn from a hash of doc_id and seed, are a sample without replacement in proportion to the weights.
 
 Edge cases: null and empty texts have weight 0; very long texts are counted whole; a document labelled more than once is
@@ -25,8 +25,6 @@ BUCKETS = 1 << 15
 SMOOTHING = 1.0
 #: Words whose hashes a task remembers.
 KNOWN = 150_000
-#: Words up to which evidence adds up; beyond, a text counts as so many words.
-EVIDENCE = 200
 
 
 class Grams:
@@ -107,15 +105,20 @@ def log_ratios(good: np.ndarray, everything: np.ndarray, smoothing: float = SMOO
     return p[0] - p[1]
 
 
-def weights(docs: DataFrame, ratios: np.ndarray, evidence: int = EVIDENCE) -> DataFrame:
-    """doc_id, n_grams and log_weight of every row."""
+def weights(docs: DataFrame, ratios: np.ndarray, temper: float | None = None) -> DataFrame:
+    """doc_id, n_grams and log_weight of every row.
+
+    temper: number of n-grams up to which evidence adds up, a longer text counting as one of so many; None, the default,
+    takes the full ratio.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(text: pd.Series) -> pd.DataFrame:
         grams, out = Grams(len(sent.value)), []
         for t in text:
             g = grams(t)
-            out.append((len(g), float(sent.value[g].mean() * min(len(g), 2 * evidence)) if len(g) else 0.0))
+            share = 1.0 if temper is None else min(1.0, temper / max(len(g), 1))
+            out.append((len(g), float(sent.value[g].sum() * share)))
         return pd.DataFrame(out, columns=["n_grams", "log_weight"])
 
     scored = F.pandas_udf(run, "n_grams bigint, log_weight double")

@@ -4,8 +4,10 @@ Base forms are the leftmost non-overlapping matches of three patterns. Other lon
 alphabet that a token keeps to its encoding is inferred (hexadecimal, base 32, base 64), and three tests ask whether
 its symbols look like uniform draws: chi-squared over the alphabet, Wald-Wolfowitz runs about the middle of the
 alphabet, and lag-one serial correlation. Fisher's method joins them; a token that fails stays out. For the rest the
-chance that prose would look as even is the tail of the chi-squared statistic under the letter concentration of prose,
-which shrinks with length; Benjamini and Hochberg's rule is applied to these chances within bands of length.
+chance that words would look as random joins two tails that shrink with length: the chi-squared statistic under the
+letter concentration of prose, and the number of odd neighbours (a small letter before a capital, a letter beside a
+digit) under their share in identifiers made of words. Benjamini and Hochberg's rule is applied to these chances within
+bands of length.
 
 Edge cases: null and empty texts have no spans; very long texts are scanned whole, in time in proportion to their
 length; rows are never joined or grouped, so repeated rows each give their own result; an empty table gives none.
@@ -27,6 +29,8 @@ ASSIGN_VALUE = 6
 #: Candidates of the battery.
 TOKEN = r"[A-Za-z0-9+/_-]{24,}={0,2}"
 BLOCK = 256
+#: Neighbours that words seldom make, by class of character: a small letter, A capital, 0 digit.
+ODD = ["aA", "a0", "A0", "0a", "0A"]
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
@@ -64,10 +68,11 @@ def _chi_tail(x: Column, df: Column) -> Column:
     return F.greatest(normal_cdf((1 - spread - F.pow(x / df, F.lit(1 / 3))) / F.sqrt(spread)), F.lit(1e-300))
 
 
-def battery(tokens: Column, prose_two: float = 0.066, prose_three: float = 0.0062) -> Column:
+def battery(tokens: Column, prose_two: float = 0.066, prose_three: float = 0.0062, odd_share: float = 0.15) -> Column:
     """Array of struct(s, n, p_random, p_prose) from one of struct(s, t), t being the token.
 
-    prose_two, prose_three: chance that two or three letters of prose are the same. Each step binds what the next one
+    prose_two, prose_three: chance that two or three letters of prose are the same. odd_share: share of odd neighbours in
+    tokens made of words, one word in camel case being six letters or so. Each step binds what the next one
     reads more than once, so that no expression is written out, planned or computed twice.
     """
     digits = "0123456789"
@@ -84,34 +89,35 @@ def battery(tokens: Column, prose_two: float = 0.066, prose_three: float = 0.006
         return F.aggregate(values, F.lit(0.0), lambda x, y: x + y)
 
     rows = step(tokens, **same("s"), body=lambda c: F.rtrim(c["t"], F.lit("=")))
-    rows = step(rows, **same("s", "body"), kind=lambda c: F.when(c["body"].rlike("^([0-9a-f]+|[0-9A-F]+)$"), 1).when(c["body"].rlike("^[A-Z2-7]+$"), 2).otherwise(3))
-    rows = step(rows, **same("s", "kind"), alphabet=lambda c: F.element_at(sized, c["kind"]), n=lambda c: F.length(c["body"]).cast("double"),
+    classes = LOWER + UPPER + digits, "a" * 26 + "A" * 26 + "0" * 10
+    rows = step(rows, **same("s", "body"), shape=lambda c: F.translate(c["body"], *classes), kind=lambda c: F.when(c["body"].rlike("^([0-9a-f]+|[0-9A-F]+)$"), 1).when(c["body"].rlike("^[A-Z2-7]+$"), 2).otherwise(3))
+    rows = step(rows, **same("s", "kind"), odd=lambda c: sum((F.length(c["shape"]) - F.length(F.replace(c["shape"], F.lit(t), F.lit("")))) / 2 for t in ODD), alphabet=lambda c: F.element_at(sized, c["kind"]), n=lambda c: F.length(c["body"]).cast("double"),
                 text=lambda c: F.when(c["kind"] == 1, F.lower(c["body"])).otherwise(F.translate(c["body"], "-_", "+/")))
-    rows = step(rows, **same("s", "n", "text", "alphabet"), k=lambda c: F.length(c["alphabet"]).cast("double"), halves=lambda c: F.coalesce(*[
+    rows = step(rows, **same("s", "n", "odd", "text", "alphabet"), k=lambda c: F.length(c["alphabet"]).cast("double"), halves=lambda c: F.coalesce(*[
         F.when(c["kind"] == i + 1, F.translate(c["text"], a, "0" * (len(a) // 2) + "1" * (len(a) // 2))) for i, a in enumerate(alphabets)]))
     rows = step(
-        rows, **same("s", "n", "k"), ones=lambda c: F.length(F.replace(c["halves"], F.lit("0"), F.lit(""))).cast("double"),
+        rows, **same("s", "n", "k", "odd"), ones=lambda c: F.length(F.replace(c["halves"], F.lit("0"), F.lit(""))).cast("double"),
         turns=lambda c: sum((F.length(c["halves"]) - F.length(F.replace(c["halves"], F.lit(t), F.lit("")))) / 2 for t in ("01", "10")),
         squares=lambda c: total(F.transform(F.sequence(F.lit(1), F.length(c["alphabet"])), lambda i: F.pow(
             (F.length(c["text"]) - F.length(F.replace(c["text"], F.substring(c["alphabet"], i, F.lit(1)), F.lit("")))).cast("double"), F.lit(2.0)))),
         symbols=lambda c: F.transform(F.filter(F.split(c["text"], ""), lambda x: x != ""), lambda x: F.instr(c["alphabet"], x).cast("double")))
-    rows = step(rows, **same("s", "n", "k", "ones", "turns", "symbols"), chi=lambda c: c["k"] / c["n"] * c["squares"] - c["n"],
+    rows = step(rows, **same("s", "n", "k", "odd", "ones", "turns", "symbols"), chi=lambda c: c["k"] / c["n"] * c["squares"] - c["n"],
                 mean=lambda c: total(c["symbols"]) / c["n"], twice=lambda c: 2 * c["ones"] * (c["n"] - c["ones"]))
     rows = step(
-        rows, **same("s", "n", "k", "chi"), twice=lambda c: c["twice"],
+        rows, **same("s", "n", "k", "odd", "chi"), twice=lambda c: c["twice"],
         runs=lambda c: (c["turns"] - c["twice"] / c["n"]) / F.sqrt(F.greatest(c["twice"] * (c["twice"] - c["n"]) / (c["n"] * c["n"] * (c["n"] - 1)), F.lit(1e-9))),
         power=lambda c: total(F.transform(c["symbols"], lambda x: (x - c["mean"]) * (x - c["mean"]))),
         lagged=lambda c: total(F.zip_with(F.slice(c["symbols"], F.lit(1), F.size(c["symbols"]) - 1), F.slice(c["symbols"], F.lit(2), F.size(c["symbols"]) - 1),
                                           lambda x, y: (x - c["mean"]) * (y - c["mean"]))))
     rows = step(
-        rows, **same("s", "n", "k", "chi"), p_chi=lambda c: _chi_tail(c["chi"], c["k"] - 1),
+        rows, **same("s", "n", "k", "odd", "chi"), p_chi=lambda c: _chi_tail(c["chi"], c["k"] - 1),
         p_runs=lambda c: F.when(c["twice"] == 0, F.lit(1e-300)).otherwise(_two_sided(c["runs"])),
         p_serial=lambda c: F.when(c["power"] == 0, F.lit(1e-300)).otherwise(_two_sided(c["lagged"] / c["power"] * F.sqrt(c["n"]))))
     rows = step(
-        rows, **same("s", "n"), y=lambda c: -(F.log(c["p_chi"]) + F.log(c["p_runs"]) + F.log(c["p_serial"])),
+        rows, **same("s", "n"), w=lambda c: (odd_share * (c["n"] - 1) - c["odd"]) / F.sqrt(odd_share * (1 - odd_share) * (c["n"] - 1)), y=lambda c: -(F.log(c["p_chi"]) + F.log(c["p_runs"]) + F.log(c["p_serial"])),
         z=lambda c: (c["chi"] - (c["k"] * ((1 - prose_two) + c["n"] * prose_two) - c["n"])) / (c["k"] / c["n"] * F.sqrt(
             4 * c["n"] * c["n"] * c["n"] * (prose_three - prose_two ** 2) + 2 * c["n"] * c["n"] * (prose_two + prose_two ** 2 - 2 * prose_three))))
-    return step(rows, **same("s", "n"), p_random=lambda c: F.exp(-c["y"]) * (1 + c["y"] + c["y"] * c["y"] / 2), p_prose=lambda c: normal_cdf(c["z"]))
+    return step(rows, **same("s", "n"), p_random=lambda c: F.exp(-c["y"]) * (1 + c["y"] + c["y"] * c["y"] / 2), p_prose=lambda c: normal_cdf((c["z"] + c["w"]) / 2 ** 0.5))
 
 
 def _thresholds(tokens: DataFrame, rate: float) -> dict[int, int]:

@@ -182,7 +182,7 @@ def test_quality_counts_weights_and_sample(spark):
     assert len(rows) == len(docs)
     for r in rows:
         g = grams(docs[r["doc_id"]] or "")
-        assert abs(r["log_weight"] - (ratios[g].mean() * min(len(g), 2 * quality.EVIDENCE) if len(g) else 0)) < 1e-6
+        assert abs(r["log_weight"] - sum(ratios[b] for b in g.tolist())) < 1e-6
     k = round(len(docs) * sum(q for _, q in labels) / len(labels))
     order = sorted(rows, key=lambda r: -r["gumbel_key"])
     assert {r["doc_id"] for r in rows if r["selected"]} == {r["doc_id"] for r in order[:k]}
@@ -210,6 +210,9 @@ def test_quality_edges(spark):
     assert sum(r["selected"] for r in quality.resample(frame(spark, docs), labels, k=0).collect()) == 0
     assert all(r["log_weight"] == 0 for r in quality.resample(frame(spark, docs), labels.limit(0), k=2).collect())
     assert quality.resample(frame(spark, docs).limit(0), labels).count() == 0
+    ratios = np.full(quality.BUCKETS, 0.5)
+    for temper, want in ((None, 99_999.5), (400, 200.0), (1e9, 99_999.5)):
+        assert {r["log_weight"] for r in quality.weights(frame(spark, [(4, "z " * 100_000)]), ratios, temper).collect()} == {want}
 
 
 @pytest.mark.parametrize("k", [1, 500, 1999, 2000])

@@ -60,6 +60,28 @@ def test_battery_finds_random_tokens_only(spark):
     assert all("random" not in got[i] for i in range(len(keys), len(docs)))
 
 
+def test_lone_keys_among_many_names(spark):
+    rng = random.Random(20)
+    b64, b32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    keys = ["".join(rng.choices(b64, k=n)) for n in (32, 34, 36, 38, 40) for _ in range(8)]
+    stems = "order match store report window stream daily alert session name product quantity unit region branch ledger partner the of and new".split()
+
+    def slug():
+        words = rng.choices(stems, k=8)
+        if rng.random() < 0.3:
+            words.insert(rng.randrange(8), str(rng.randint(1, 2030)))
+        return rng.choice(["-".join(words), "_".join(words), "/".join(words), "".join(w.title() for w in words), "_".join(words).upper(),
+                           words[0] + "".join(w.title() for w in words[1:]), "-".join(w.title() for w in words)])
+
+    uuids = ["-".join("".join(rng.choices("0123456789abcdef", k=k)) for k in (8, 4, 4, 4, 12)) for _ in range(40)]
+    names = [slug() for _ in range(2000)] + uuids + ["".join(rng.choices("0123456789", k=30)) for _ in range(20)]
+    docs = [(i, f"text {k} end") for i, k in enumerate(keys + names + ["".join(rng.choices(b32, k=40)) for _ in range(10)])]
+    got = {r["doc_id"]: r["spans"] for r in secrets.secret_report(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    found = [i for i, k in enumerate(keys) if got[i] == f"random:5:{5 + len(k)}"]
+    assert len(found) >= 0.9 * len(keys)
+    assert [docs[i][1] for i in range(len(keys), len(keys) + len(names)) if "random" in got[i]] == []
+
+
 def test_url_query_equals_its_sql(spark):
     base = duckdb.connect()
     base.execute(f"CREATE VIEW pages AS SELECT * FROM '{FOLDER}/pages.parquet'")
