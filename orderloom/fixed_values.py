@@ -77,6 +77,13 @@ CONFIRM_WORDS = ["没问题", "确认", "通过", "生成吧", "可以", "好的
 CANCEL_WORDS = ["取消", "算了", "不要了"]
 EDIT_ROW = r"第(\d+)行"
 EDIT_VALUE = r"(?:应该是|改成|是)([^(|\n]+)"
+# Words for fields, each with the field it edits; then the words that may stand in an edit of all rows.
+EDIT_FIELDS = [
+    ("SKU", "sku_code"), ("系统SKU", "系统SKU"), ("出库单位", "outbound_unit"), ("单位类型", "unit_type"),
+    ("商品名称", "商品名称"), ("数量", "quantity"), ("规格", "customer_spec"),
+]
+ALL_FIELDS = [("出库单位", "outbound_unit"), ("单位类型", "unit_type"), ("SKU", "sku_code"), ("数量", "quantity")]
+EDIT_ALL = "所有({})(?:都)?改成(.+)"
 
 # --- fixed values: user actions, first rule that fits wins ---------------------------
 # (action, words looked up in the lower-cased text, words looked up in the text)
@@ -152,6 +159,9 @@ CONTACT_PATTERNS = [r"联系人[：:\s]*([^\s,，。\n]{2,10})", r"经理[：:\s
 # --- fixed values: tool names of the argument summary ------------------------------------
 PARSE_TOOLS = ["tools_parse", "order_parser"]
 COMMAND_TOOLS = ["execute", "exec"]
+STORE_TOOL = "_match_store"
+SKU_TOOL = "_match_sku"
+OUTPUT_TOOLS = ["template_generator", "_generate_multi_store_template"]
 
 # --- fixed values: events ----------------------------------------------------------------
 EVENT_TYPES = [

@@ -117,19 +117,12 @@ def user_action(c: Column | str, rules: Sequence[tuple] = fv.USER_ACTIONS) -> Co
     return out
 
 
-EDIT_FIELDS = [
-    ("系统SKU", "系统SKU"), ("SKU", "sku_code"), ("出库单位", "outbound_unit"), ("单位类型", "unit_type"),
-    ("商品名称", "商品名称"), ("数量", "quantity"), ("规格", "customer_spec"),
-]
-ALL_FIELDS = [("出库单位", "outbound_unit"), ("单位类型", "unit_type"), ("SKU", "sku_code"), ("数量", "quantity")]
-
-
 def edit_instruction(
     c: Column | str,
     confirm: Sequence[str] = fv.CONFIRM_WORDS, cancel: Sequence[str] = fv.CANCEL_WORDS,
     row_pattern: str = fv.EDIT_ROW, value_pattern: str = fv.EDIT_VALUE,
-    fields: Sequence[tuple[str, str]] = tuple(EDIT_FIELDS), all_fields: Sequence[tuple[str, str]] = tuple(ALL_FIELDS),
-    all_pattern: str = "所有({})(?:都)?改成(.+)",
+    fields: Sequence[tuple[str, str]] = tuple(fv.EDIT_FIELDS), all_fields: Sequence[tuple[str, str]] = tuple(fv.ALL_FIELDS),
+    all_pattern: str = fv.EDIT_ALL,
 ) -> Column:
     """struct(action, edits): confirm, cancel, modify with an array of (row, field, new_value), or ask.
 
@@ -204,8 +197,8 @@ def reasoning_steps(c: Column | str, keep: int | None = None) -> Column:
         lambda t: _shown(t, keep))
 
 
-def args_summary(tool: Column, args: Column, store_tool: str = "_match_store", sku_tool: str = "_match_sku",
-                 output_tools: Sequence[str] = ("template_generator", "_generate_multi_store_template"),
+def args_summary(tool: Column, args: Column, store_tool: str = fv.STORE_TOOL, sku_tool: str = fv.SKU_TOOL,
+                 output_tools: Sequence[str] = tuple(fv.OUTPUT_TOOLS),
                  keep_keys: int | None = None, keep_command: int | None = None) -> Column:
     """Short reading of a tool call's JSON arguments; a report may show only some keys and the beginning of a command."""
     def at(path: str, default: str) -> Column:

@@ -35,8 +35,9 @@ def test_golden(spark, fn, cases):
 
 
 def test_edit_instructions(spark):
-    got = values(spark, ["确认生成", "算了", "第2行和第5行数量改成7", "所有单位类型都改成large", "hello"], ps.edit_instruction)
-    assert [g.action for g in got] == ["confirm", "cancel", "modify", "modify", "ask"]
+    got = values(spark, ["确认生成", "算了", "第2行和第5行数量改成7", "所有单位类型都改成large", "hello", "第1行系统SKU改成A7", "第1行SKU改成A7"], ps.edit_instruction)
+    assert [g.action for g in got] == ["confirm", "cancel", "modify", "modify", "ask", "modify", "modify"]
+    assert [(e.row, e.field, e.new_value) for g in got[5:] for e in g.edits] == [(1, "系统SKU", "A7"), (1, "sku_code", "A7")]
     assert [(e.row, e.field, e.new_value) for e in got[2].edits] == [(2, "quantity", "7"), (5, "quantity", "7")]
     assert [(e.row, e.field, e.new_value) for e in got[3].edits] == [(0, "unit_type", "large")]
 
