@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import monitoring as mo
-from ..session import work_path
+from ..session import state_store, work_path
 from ..streaming import jobs, sessions
 from . import query
 
@@ -99,7 +99,8 @@ def drain(t, build, mode):
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/result")
 
     stream = build(jobs.event_source(spark, path))
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start()
+    with state_store(spark):
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
     return spark.read.parquet(f"{out}/result")
 

@@ -5,8 +5,10 @@ with running counts. Rules: a new start discards an open order; cancel discards
 count for nothing, but a completion always emits a record.
 """
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -20,6 +22,10 @@ RECORD = (
 CORRECTIONS = ("sku_corrected", "store_corrected")
 STATE = "opened_at timestamp, store_confirmed boolean, n_corrections bigint, user_modified boolean"
 
+# Spark also unpickles a processor in a process of its own beside the driver, which need not find this package:
+# neither added files nor the driver's sys.path reach it. So the processors travel whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def segments(events: DataFrame) -> DataFrame:
     """Events with `_seg`, the number of their order in the session: a start begins the next one, an end is its last event."""

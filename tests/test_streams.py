@@ -114,3 +114,32 @@ def test_rejections_end(spark, tmp_path):
     q.awaitTermination()
     assert sorted((r.session_id, r.reject_count) for r in spark.table("ended").collect()) == [(1, 3), (3, 2), (3, 2)]
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # only the last action, which is still open
+
+
+ELSEWHERE = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config(
+    "spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", {work!r}).getOrCreate()
+import __spark_entry__ as entry
+key = "spark.sql.streaming.stateStore.providerClass"
+before = spark.conf.get(key)
+for name in ("t01_ordered_sessions_stream", "a18_session_corrections_stream", "t02_open_layer_statistics_stream"):
+    print("rows", entry.queries()[name](spark, {folder!r}).count())
+assert spark.conf.get(key) == before
+"""
+
+
+def test_ordered_streams_run_in_a_session_of_another_place(tmp_path):
+    """Another folder, no PYTHONPATH, and a session that names no state store: the driver's helper process does not find the package."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = ELSEWHERE.format(repo=repo, work=str(tmp_path / "work"), folder="/root/testdata/sf0.001")
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    counts = [int(line.split()[1]) for line in done.stdout.splitlines() if line.startswith("rows")]
+    assert done.returncode == 0 and len(counts) == 3 and min(counts) > 0, done.stderr[-3000:]
