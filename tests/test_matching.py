@@ -123,3 +123,21 @@ def test_file_aliases_rank_below_table_and_last_one_wins(spark):
     files = spark.createDataFrame([(1, None, "a", "乙"), (1, None, "b", "乙"), (2, "O", "b", "丙"), (3, "P", "c", "丙"), (4, "O", "d", "甲"), (5, None, "d", "乙")], "seq bigint, owner_code string, order_name string, system_name string")
     got = sorted((r.name, r.sku_name) for r in sm.resolve_aliases(table, files, cat).collect())
     assert got == [("a", "甲"), ("b", "丙"), ("d", "乙")]
+
+
+def test_only_near_texts_become_pairs(spark):
+    """All names share their letters' kinds and lengths: pairs are compared in cells, and only those that can reach the floor become rows."""
+    from orderloom.functions.similarity import may_reach
+
+    rnd = random.Random(13)
+    names = sorted({"".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(12, 20))) for _ in range(300)})
+    left, right = names[::2], names[1::2] + [n[:-1] for n in names[:40:2]]
+    want = {(x, y) for x in left for y in right if plain.ratio(x, y) >= 0.75}
+    i, j = may_reach(left, right, 0.75)
+    assert {(left[p], right[q]) for p, q in zip(i, j)} >= want and len(want) >= 20
+    pairs = similar_pairs(spark.createDataFrame([(x,) for x in left], "a string"), spark.createDataFrame([(y,) for y in right], "b string"), [], "a", "b", 0.75, rows_per_salt=50)
+    rows = [tuple(r) for r in pairs.collect()]
+    assert set(rows) >= want and len(rows) == len(set(rows)) < len(left) * len(right) / 5
+    long = ["x" * 70 + "".join(rnd.choice("ab") for _ in range(8)) for _ in range(12)]
+    i, j = may_reach(long, long, 0.98)
+    assert {(p, q) for p in range(12) for q in range(12) if plain.ratio(long[p], long[q]) >= 0.98} <= set(zip(i.tolist(), j.tolist()))
