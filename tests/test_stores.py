@@ -167,3 +167,33 @@ def test_owners_by_similar_name(spark):
     asks = spark.createDataFrame([("a", "南方食品厂", "", "", "", ""), ("b", "", "", "", "", "")], REQUEST)
     got = {(r.request_id, r.customer_id): round(r.similarity, 6) for r in st.similar_owners(asks, owners, 0.6).collect()}
     assert got == {("a", o): round(plain.ratio("南方食品厂", n), 6) for o, n in (("O1", "南方食品公司"), ("O2", "南方食品有限公司")) if plain.ratio("南方食品厂", n) >= 0.6}
+
+
+def test_crossed_names_of_one_word_do_not_all_pair(spark, monkeypatch):
+    """All names share one place word and most have a store nearly like them: best first, few pairs are scored."""
+    rnd = random.Random(14)
+    tails = sorted({"".join(rnd.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(80)})
+    stores = [(f"S{i:03d}", f"云山{t}{rnd.choice(PIECES)}", "O", "", "", "", "W") for i, t in enumerate(tails)]
+    asks = [(f"R{i:03d}", s[1] + "x" if i % 9 else f"云山{i}", "", "", "", "") for i, s in enumerate(stores)]
+    scored, store = [], st.cut_lineage
+
+    def counted(df, name):
+        out = store(df, name)
+        if name == "cross-pairs":
+            scored.append(out.count())
+        return out
+
+    monkeypatch.setattr(st, "cut_lineage", counted)
+    got = {r.request_id: (r.store_code, round(r.similarity, 9)) for r in st.by_cross_keywords(
+        spark.createDataFrame(asks, REQUEST), spark.createDataFrame(stores, STORE)).collect()}
+    want = {}
+    for rid, name, *_ in asks:
+        best = []
+        for s in stores:
+            q, o = ({x[i:i + 2] for i in range(len(x) - 1)} for x in ("".join(c for c in y if "一" <= c <= "龥") for y in (name, s[1])))
+            best.append((-(0.5 * len(q & o) / len(q) + 0.5 * plain.ratio(name, s[1])), s[0]))
+        score, code = min(best)
+        if -score >= 0.35:
+            want[rid] = (code, round(-score, 9))
+    assert got == want and len(got) > 60
+    assert sum(scored) < len(asks) * len(stores) / 4
