@@ -141,3 +141,25 @@ def test_only_near_texts_become_pairs(spark):
     long = ["x" * 70 + "".join(rnd.choice("ab") for _ in range(8)) for _ in range(12)]
     i, j = may_reach(long, long, 0.98)
     assert {(p, q) for p in range(12) for q in range(12) if plain.ratio(long[p], long[q]) >= 0.98} <= set(zip(i.tolist(), j.tolist()))
+
+
+def test_long_needles_meet_few_hays(spark, monkeypatch):
+    """Names that share all their 2-grams with many others: needles meet on long grams, so few hays are looked at."""
+    from orderloom.operators import blocking
+
+    rnd = random.Random(15)
+    hays = sorted({"北门-" + "".join(rnd.choice("0123") for _ in range(rnd.randint(10, 16))) for _ in range(200)})
+    needles = [h[rnd.randint(0, 3):len(h) - rnd.randint(0, 3)] for h in hays] + ["1", "32", "012", "门-1", "0123012", "3" * 14]
+    met, store = [], blocking.cut_lineage
+
+    def counted(df, name):
+        out = store(df, name)
+        if name == "rarest":
+            met.append(out.agg(F.sum("_salts")).first()[0])
+        return out
+
+    monkeypatch.setattr(blocking, "cut_lineage", counted)
+    got = containment_join(spark.createDataFrame([(n,) for n in needles], "needle string"), spark.createDataFrame([(h,) for h in hays], "hay string"), rows_per_salt=1)
+    want = sorted({(n, h) for n in needles for h in hays if n in h})
+    assert sorted(map(tuple, got.collect())) == want
+    assert met[0] < 3 * len(want)
