@@ -163,3 +163,23 @@ def test_long_needles_meet_few_hays(spark, monkeypatch):
     want = sorted({(n, h) for n in needles for h in hays if n in h})
     assert sorted(map(tuple, got.collect())) == want
     assert met[0] < 3 * len(want)
+
+
+def test_few_texts_of_a_key_are_joined_as_rows(spark, monkeypatch):
+    """A key with two or three names needs no characters and no cells; a key with many does."""
+    from orderloom.operators import blocking
+
+    cells, store = [], blocking.cut_lineage
+
+    def kept(df, name):
+        out = store(df, name)
+        if name == "cells":
+            cells.append(out)
+        return out
+
+    monkeypatch.setattr(blocking, "cut_lineage", kept)
+    rows = [(f"k{i}", f"name {i} {j}") for i in range(60) for j in range(2)] + [("hot", f"shop {i:03d}") for i in range(150)]
+    left, right = spark.createDataFrame(rows, "k string, a string"), spark.createDataFrame(rows, "k string, b string")
+    got = {tuple(r) for r in similar_pairs(left, right, ["k"], "a", "b", 0.9).collect()}
+    assert got >= {(k, a, b) for k, a in rows for k2, b in rows if k == k2 and plain.ratio(a, b) >= 0.9}
+    assert {r.k for r in cells[0].where("_many").select("k").collect()} == {"hot"} and cells[0].where("not _many").count() >= 60
