@@ -18,59 +18,57 @@ def _before(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _inside(keys: Sequence[str], order: Sequence[Column]):
-    return Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _blocked(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
+    """Rows with their block, and key and block as one struct, which equals itself where a key is null."""
+    return df.withColumn("_block", block).withColumn("_key", F.struct(*keys, "_block"))
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in [*keys, "_block"]:
-        cond = cond & left[k].eqNullSafe(right["_r_" + k])
-    return cond
+def _inside(order: Sequence[Column]):
+    return Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def _join_blocks(df: DataFrame, summary: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    right = summary.select(*[F.col(k).alias("_r_" + k) for k in [*keys, "_block"]], *values)
-    return df.join(right, _same(df, right, keys)).drop(*["_r_" + k for k in [*keys, "_block"]])
+    """Rows with the values of their block, dealt by `_key`, as the windows inside a block need them: one shuffle serves both."""
+    return df.join(summary.select(F.struct(*keys, "_block").alias("_key"), *values), "_key")
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], block: Column, out: str = "row_no") -> DataFrame:
     """1, 2, 3, … per key. `block` must rise with the order, e.g. the leading order column or a coarse form of it."""
-    blocked = df.withColumn("_block", block)
+    blocked = _blocked(df, keys, block)
     counts = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)))
     return (
         _join_blocks(blocked, offsets, keys, ["_offset"])
-        .withColumn(out, (F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order)) + F.col("_offset")).cast("bigint"))
-        .drop("_block", "_offset")
+        .withColumn(out, (F.row_number().over(Window.partitionBy("_key").orderBy(*order)) + F.col("_offset")).cast("bigint"))
+        .drop("_key", "_block", "_offset")
     )
 
 
 def fill_forward(df: DataFrame, keys: Sequence[str], order_col: str, value: str, out: str,
                  block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Last non-null value at or above the row, by a whole-numbered order column."""
-    blocked = df.withColumn("_block", F.floor(F.col(order_col) / block_rows))
+    blocked = _blocked(df, keys, F.floor(F.col(order_col) / block_rows))
     last = blocked.groupBy(*keys, "_block").agg(
         F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order_col))).alias("_last"))
     carried = last.withColumn("_carry", F.last("_last", ignorenulls=True).over(_before(keys)))
     return (
         _join_blocks(blocked, carried, keys, ["_carry"])
         .withColumn(out, F.coalesce(
-            F.last(value, ignorenulls=True).over(_inside(keys, [F.col(order_col)])), F.col("_carry")))
-        .drop("_block", "_carry")
+            F.last(value, ignorenulls=True).over(_inside([F.col(order_col)])), F.col("_carry")))
+        .drop("_key", "_block", "_carry")
     )
 
 
 def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[Column], block: Column, flag: Column, out: str,
                   before_row: bool = False) -> DataFrame:
     """Number of flagged rows up to the row (or strictly before it) within the key."""
-    blocked = df.withColumn("_block", block).withColumn("_flag", F.when(flag, 1).otherwise(0))
+    blocked = _blocked(df, keys, block).withColumn("_flag", F.when(flag, 1).otherwise(0))
     counts = blocked.groupBy(*keys, "_block").agg(F.sum("_flag").alias("_n"))
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)))
-    inside = F.sum("_flag").over(_inside(keys, order)) + F.col("_offset")
+    inside = F.sum("_flag").over(_inside(order)) + F.col("_offset")
     if before_row:
         inside = inside - F.col("_flag")
-    return _join_blocks(blocked, offsets, keys, ["_offset"]).withColumn(out, inside.cast("bigint")).drop("_block", "_flag", "_offset")
+    return _join_blocks(blocked, offsets, keys, ["_offset"]).withColumn(out, inside.cast("bigint")).drop("_key", "_block", "_flag", "_offset")
 
 
 def number_groups(df: DataFrame, keys: Sequence[str], group: str, order: Column, block: Column, out: str) -> DataFrame:

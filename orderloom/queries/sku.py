@@ -12,7 +12,7 @@ from ..operators import sku_match as sm
 from ..operators import store_match as st
 from ..operators.blocking import containment_join
 from ..operators.ordered import number_groups, number_rows
-from ..session import work_path
+from ..session import cut_lineage, work_path
 from . import query
 from .scalars import CLEAN, RATIO, SCRUB, SPEC
 
@@ -233,6 +233,8 @@ def _(t):
 
 
 def numbered(lines):
+    """Lines with their number in the order. They are stored: numbering reads its rows twice, and matching is costly."""
+    lines = cut_lineage(lines, "lines")
     order = [F.col(c) for c in ("line_no", "true_sku", "supplier_id", "quantity", "amount")]
     return number_rows(lines, ["order_id"], order, F.floor(F.col("line_no") / 1000), "seq")
 
@@ -280,7 +282,8 @@ def _(t):
 
 @query("u01_review_table", EQUAL_LINES + " SELECT order_id, line_no, product_name, sku_code, confidence, matched FROM lines", BASIC)
 def _(t):
-    r = equal_lines(t).select("order_id", "line_no", "product_name", "sku_code", "confidence", "matched")
+    # stored, as the table takes the matched and the other rows, and the sort samples both
+    r = cut_lineage(equal_lines(t).select("order_id", "line_no", "product_name", "sku_code", "confidence", "matched"), "review")
     table = rv.review_table(r.where("matched").drop("matched"), r.where("not matched").select("order_id", "line_no", "product_name", "confidence"))
     return table.select("order_id", "line_no", "product_name", "sku_code", "confidence", "matched").orderBy("order_id", "line_no")
 
@@ -330,7 +333,7 @@ def _(t):
 
 def outbound(t):
     """Matched lines; a line's store is its owner, whose warehouse is the one of the owner's first store."""
-    lines = equal_lines(t).where("matched")
+    lines = cut_lineage(equal_lines(t).where("matched").select("order_id", "line_no", "owner_code", "sku_code", "unit_type", "quantity"), "lines")
     home = t.stores.groupBy("owner_code").agg(F.min_by("warehouse", "store_code").alias("warehouse"))
     coded = st.add_warehouse_code(lines.join(home, "owner_code", "left"), t.warehouses)
     stores = number_groups(coded, ["order_id"], "owner_code", F.col("line_no"), F.floor(F.col("line_no") / 1000), "seq_no")
@@ -415,7 +418,8 @@ def _(t):
 
 
 def replay(t):
-    new = numbered(equal_lines(t)).where("matched").select("order_id", "seq", "sku_code", "unit_type", "quantity")
+    lines = equal_lines(t).select("order_id", "line_no", "true_sku", "supplier_id", "quantity", "amount", "matched", "sku_code", "unit_type")
+    new = cut_lineage(numbered(lines).where("matched").select("order_id", "seq", "sku_code", "unit_type", "quantity"), "replayed")
     k = F.col("order_id")
     old = new.where(k % 10 != 0).withColumn("sku_code", F.when(k % 7 == 0, F.concat("sku_code", F.lit("x"))).otherwise(F.col("sku_code")))
     return old, new.where(k % 11 != 0)

@@ -114,3 +114,24 @@ def test_sheet_layouts(spark):
     df = spark.createDataFrame(cells, "doc_id long, row long, col long, value string")
     got = [(r.doc_id, r.layout, r.store_name, r.product_name, r.quantity) for r in nm.sheet_lines(df).orderBy("doc_id", "row").collect()]
     assert got == [(1, "standard", "甲店", "红茶", 3), (1, "standard", "甲店", "绿茶", 2), (2, "delivery", "乙店", "椰果", 5), (3, "dated", "丙店", "糖", 0)]
+
+
+def test_numbering_shuffles_rows_once(spark):
+    """Rows lie by key and block for the block's offset and for the window inside it; null keys count like others."""
+    from orderloom.operators.ordered import number_rows, running_count
+
+    rows = [(k, n, f"v{n}") for k in ("a", "b", None) for n in range(40)]
+    df = spark.createDataFrame(rows, "k string, n int, v string")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for c, value in zip(old, ("false", "-1")):
+            spark.conf.set(c, value)
+        numbered = number_rows(df, ["k"], [F.col("n")], F.floor(F.col("n") / 7), "i")
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, numbered.collect()), key=str) == sorted([(*r, r[1] + 1) for r in rows], key=str)
+        counted = running_count(df, ["k"], [F.col("n")], F.floor(F.col("n") / 7), F.col("n") % 2 == 0, "c")
+        assert sorted(map(tuple, counted.collect()), key=str) == sorted([(*r, r[1] // 2 + 1) for r in rows], key=str)
+    finally:
+        for c, value in old.items():
+            spark.conf.set(c, value)
+    assert plan.count("Exchange hashpartitioning(") == 4  # the rows once, the counts, the offsets and their key

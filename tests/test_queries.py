@@ -51,3 +51,13 @@ def test_plans_push_filters_and_prune_columns(spark):
     physical = entry.queries()["a02_weekly_trend"](spark, FOLDER)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert "PushedFilters: [IsNotNull" in physical
     assert "CartesianProduct" not in physical and "BroadcastNestedLoopJoin" not in physical
+
+
+@pytest.mark.parametrize("name", ["j22_replay_diff", "u01_review_table"])
+def test_matched_lines_are_stored_where_they_are_read_twice(spark, name):
+    """What is compared or sorted comes from the stored lines, so no order line is matched again."""
+    from orderloom import queries as registry
+
+    registry.load()
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "l_orderkey" not in plan
