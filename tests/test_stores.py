@@ -197,3 +197,25 @@ def test_crossed_names_of_one_word_do_not_all_pair(spark, monkeypatch):
             want[rid] = (code, round(-score, 9))
     assert got == want and len(got) > 60
     assert sum(scored) < len(asks) * len(stores) / 4
+
+
+def test_requests_without_a_store_do_not_meet_in_one_task(spark):
+    """The store's facts are looked up by the rows that have a store; the others never get to that join."""
+    from orderloom.operators import evaluation as ev
+
+    stores = spark.createDataFrame([("S1", "O1", "W1"), ("S2", "O1", "W2")], "store_code string, owner_code string, warehouse string")
+    houses = spark.createDataFrame([("W1", "1")], "warehouse_name string, warehouse_code string")
+    truth = spark.createDataFrame([(i, "S1") for i in range(200)], "request_id bigint, true_store string")
+    results = spark.createDataFrame([(0, "S1"), (1, "S2"), (2, None)], "request_id bigint, store_code string")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for c, value in zip(old, ("false", "-1")):
+            spark.conf.set(c, value)
+        out = ev.store_truth(results, truth, stores, houses)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        got = {r.request_id: tuple(r)[1:] for r in out.collect()}
+    finally:
+        for c, value in old.items():
+            spark.conf.set(c, value)
+    assert got == {i: {0: (True, True, True, True), 1: (False, True, True, False)}.get(i, (False, False, True, False)) for i in range(200)}
+    assert plan.split("Join LeftOuter, (")[1].startswith("true_store")  # the requests' last join; it was the one by store_code
