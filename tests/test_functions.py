@@ -1,5 +1,7 @@
 """Golden values of scalar functions, sheets and documents."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +137,14 @@ def test_numbering_shuffles_rows_once(spark):
         for c, value in old.items():
             spark.conf.set(c, value)
     assert plan.count("Exchange hashpartitioning(") == 4  # the rows once, the counts, the offsets and their key
+
+
+def test_pair_bound_loses_no_pair(spark):
+    rnd = random.Random(9)
+    draw = lambda: "".join(rnd.choice("ab一c") for _ in range(rnd.choice([0, 1, 4, 12, 63, 64, 65, 80])))
+    x, y = [draw() for _ in range(400)], [draw() for _ in range(400)]
+    for floor in (0.3, 0.6, 0.9):
+        for cells in (50, 1 << 21):
+            kept = sim.pairs_may_reach(x, y, floor, cells)
+            assert all(k for a, b, k in zip(x, y, kept) if a and b and 2 * sim.matched_characters(a, b) / (len(a) + len(b)) >= floor)
+            assert not kept.all()

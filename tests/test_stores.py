@@ -49,6 +49,40 @@ def test_phone_layer_equals_brute_force(spark):
         assert got == want
 
 
+def hot_phone(n):
+    """Stores of one phone with names much alike, and requests: their names, names near them, and others."""
+    stores = [(f"S{i:03d}", f"{PIECES[i % 9]}大道小店{i:03d}", "O1", "1390001", "", "", "W1") for i in range(n)]
+    asks = [(f"R{i}", name, "1390001", "", "张三", "") for i, name in enumerate(
+        [s[1] for s in stores] + [s[1] + "x" for s in stores] + ["大道小", "大道小店1", "沛县大道小店00", "qq", "云山茶语花00", ""])]
+    return stores, asks
+
+
+def compared(monkeypatch):
+    """Numbers of pairs whose ratio is asked for from now on."""
+    seen, real = [], st.sim.with_ratio
+    monkeypatch.setattr(st.sim, "with_ratio", lambda pairs, *rest, **more: seen.append(pairs.count()) or real(pairs, *rest, **more))
+    return seen
+
+
+def test_names_with_a_near_store_are_not_compared_with_all_of_a_phone(spark, monkeypatch):
+    stores, asks = hot_phone(60)
+    seen = compared(monkeypatch)
+    got = {r.request_id: (r.store_code, r.match_type, r.n_candidates) for r in st.by_phone(
+        spark.createDataFrame(asks, REQUEST), spark.createDataFrame(stores, STORE)).collect()}
+    back = {r.request_id: (r.store_code, r.match_type, r.n_candidates) for r in st.by_contact_phone(
+        spark.createDataFrame(asks, REQUEST), spark.createDataFrame(stores, STORE)).collect()}
+    want, want_back = {}, {}
+    for rid, name, *_ in asks:
+        scored = sorted((-plain.ratio(name, s[1]), s[0]) for s in stores)
+        best, code = -scored[0][0], scored[0][1]
+        n = sum(-x >= 0.5 for x, _ in scored)
+        want_back[rid] = (code, "phone_exact_high_conf", 1) if best >= 0.8 else (code, "phone_exact_multi", n)
+        if name and best >= 0.6:
+            want[rid] = (code, "phone_exact_high_conf", 1) if best >= 0.8 else (code, "phone_exact_multi", n)
+    assert got == want and back == want_back
+    assert sum(seen) < 9_000  # 125 names and 60 stores: all pairs of both steps are 15 000
+
+
 def test_cross_keywords_equal_brute_force(spark):
     rnd = random.Random(2)
     stores = [make_store(rnd, i) for i in range(60)]
