@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import TIE_GAP
+from ..session import cut_lineage
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
@@ -64,7 +65,8 @@ def pages(df: DataFrame, keys: Sequence[str], item: Column, per_page: int = 1000
 
     Columns out: keys, page, items (sorted).
     """
-    counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / per_page).alias("_pages"))
-    rows = df.withColumn("_item", item).join(counts, list(keys))
+    rows = cut_lineage(df.select(*keys, item.alias("_item")), "page-items")  # read twice
+    counts = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / per_page).alias("_pages"))
+    rows = rows.join(counts, list(keys))
     paged = rows.withColumn("page", F.pmod(F.xxhash64("_item"), F.col("_pages")).cast("bigint"))
     return paged.groupBy(*keys, "page").agg(F.sort_array(F.collect_list("_item")).alias("items"))

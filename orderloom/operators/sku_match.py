@@ -63,7 +63,8 @@ def keys_of(raw: DataFrame) -> DataFrame:
 
 
 def line_keys(lines: DataFrame) -> DataFrame:
-    return keys_of(raw_keys(lines))
+    """The keys of the lines, stored: filters on a cleaned name would otherwise be moved in front of `distinct`, to all lines."""
+    return cut_lineage(keys_of(cut_lineage(raw_keys(lines), "raw")), "line-keys")
 
 
 def _sku(df: DataFrame) -> Column:
@@ -443,7 +444,7 @@ def resolve_lines(lines: DataFrame, catalog: DataFrame, aliases: DataFrame | Non
 def resolve_lines_equal(lines: DataFrame, catalog: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """The cascade up to the cleaned name."""
     raw = cut_lineage(raw_keys(lines), "raw")
-    return attach(lines, raw, resolve_equal(keys_of(raw), catalog, aliases).select(*KEY, *RESULT))
+    return attach(lines, raw, resolve_equal(cut_lineage(keys_of(raw), "keys"), catalog, aliases).select(*KEY, *RESULT))
 
 
 def equal_candidates(keys: DataFrame, catalog: DataFrame, aliases: DataFrame | None, results: DataFrame) -> DataFrame:

@@ -183,3 +183,11 @@ def test_few_texts_of_a_key_are_joined_as_rows(spark, monkeypatch):
     got = {tuple(r) for r in similar_pairs(left, right, ["k"], "a", "b", 0.9).collect()}
     assert got >= {(k, a, b) for k, a in rows for k2, b in rows if k == k2 and plain.ratio(a, b) >= 0.9}
     assert {r.k for r in cells[0].where("_many").select("k").collect()} == {"hot"} and cells[0].where("not _many").count() >= 60
+
+
+def test_a_filter_on_the_cleaned_name_stays_behind_the_distinct_keys(spark):
+    lines = spark.createDataFrame([("o", f"gear{i % 3}-", "箱") for i in range(30)], "owner_code string, product_name string, unit string")
+    keys = sm.line_keys(lines).where("clean <> ''")
+    plan = keys._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "regexp" not in plan
+    assert sorted((r.name, r.clean) for r in keys.collect()) == [(f"gear{i}-", f"gear{i}") for i in range(3)]
