@@ -25,6 +25,8 @@ from .common import components, cut_lineage, packed, sift, texts
 
 WORDS, SEED, RADIUS = 4, 42, 4
 CHUNK = 1 << 16
+#: Up to this many crowded buckets are sent to the tasks, as so many bits; more are joined.
+CROWDED, BITS = 1 << 17, 1 << 25
 
 
 def fingerprint_of(text: str, words: int = WORDS, seed: int = SEED) -> int:
@@ -103,11 +105,38 @@ def _meet_on_halves(roots: DataFrame, radius: int) -> tuple[DataFrame, DataFrame
                                       F.min("root").alias("a"), F.max("root").alias("b")).where("n > 1 AND a < b")
     buckets = cut_lineage(buckets.where((F.col("n") > 2) | _near("low", "high", radius)), "simhash-buckets")
     links = buckets.where("n = 2").select("a", "b").distinct()
-    more = buckets.where("n > 2").select("key")
+    more = cut_lineage(buckets.where("n > 2").select("key"), "simhash-crowded")
+    if more.count() <= CROWDED:
+        return links, cut_lineage(roots.where(_may_meet(more, radius, roots["fp"])).select("fp"), "simhash-company")
     return links, cut_lineage(
         sift(meet.select("fp", "key"), more, "key", 1 << 18).join(more, "key", "left_semi").select("fp").distinct(), "simhash-company")
 
 
+def _fold(key: Column) -> Column:
+    return key.bitwiseXOR(F.shiftrightunsigned(key, 17)).bitwiseAND(F.lit(BITS - 1))
+
+
+def _may_meet(keys: DataFrame, radius: int, fp: Column) -> Column:
+    """Condition on a fingerprint: a variant of one of its halves is among the keys, seldom else. One row a fingerprint, no variant becomes a row."""
+    bits = np.zeros(BITS // 8, np.uint8)
+    at = np.array([r[0] for r in keys.select(_fold(F.col("key"))).distinct().collect()], np.int64)
+    np.bitwise_or.at(bits, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
+    sent = keys.sparkSession.sparkContext.broadcast(bits)
+    masks = _masks(32, -(-(radius // 2) // 2))
+
+    def run(prints: pd.Series) -> pd.Series:
+        whole = prints.to_numpy(np.int64).view(np.uint64)
+        out = np.zeros(len(whole), bool)
+        for half in (whole >> np.uint64(32), whole & np.uint64(0xFFFFFFFF) | np.uint64(1 << 32)):
+            for m in masks:
+                key = half ^ np.uint64(m)
+                place = ((key ^ key >> np.uint64(17)) & np.uint64(BITS - 1)).astype(np.int64)
+                out |= sent.value[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "boolean")(fp)
+
+
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """roots (fp, root) after links (a, b) between roots."""
     merged = components(links.select("a", "b"), "simhash")

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -189,3 +190,20 @@ def test_packing_edges(spark):
     check_packing(packing.pack(twice, *names).collect(), list(enumerate(texts)) * 2)
     ids = packing.pack(docs, *names, with_ids=True).where(F.size("ids") != F.col("length"))
     assert ids.count() == 0
+
+
+def test_crowded_buckets_as_bits_lose_no_fingerprint(spark, monkeypatch):
+    from orderloom.llm import simhash
+
+    rnd = random.Random(4)
+    centres = [rnd.getrandbits(64) for _ in range(12)]
+    prints = {c ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 4))) for c in centres for _ in range(25)}
+    roots = spark.createDataFrame([((p ^ 1 << 63) - (1 << 63),) for p in prints], "fp long").selectExpr("fp", "fp AS root")
+    asked = []
+    real = simhash._may_meet
+    monkeypatch.setattr(simhash, "_may_meet", lambda *a: asked.append(1) or real(*a))
+    _, by_bits = simhash._meet_on_halves(roots, 4)
+    monkeypatch.setattr(simhash, "CROWDED", -1)
+    _, by_join = simhash._meet_on_halves(roots, 4)
+    wanted = {r.fp for r in by_join.collect()}
+    assert len(asked) == 1 and wanted and wanted <= {r.fp for r in by_bits.collect()}
