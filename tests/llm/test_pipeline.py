@@ -40,3 +40,13 @@ def test_stages_take_empty_tables_nulls_and_more_columns(spark):
             out = fn(spark, docs, FOLDER)
             ids = {r["doc_id"] for r in out.select("doc_id").collect()}
             assert ids == ({1, 3} if "simhash" in name else {1, 2, 3} if docs.count() else set()) if docs.count() else not ids, name
+
+
+def test_driver_lets_go_after_every_stage(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as pipeline
+
+    spark.range(3).selectExpr("id AS doc_id", "'a' AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    freed = []
+    monkeypatch.setattr(pipeline, "release_driver", lambda s: freed.append(s))
+    monkeypatch.setattr(pipeline, "STAGES", [("one", lambda s, d, f: d), ("two", lambda s, d, f: d.where("doc_id > 0"))])
+    assert pipeline.run(spark, str(tmp_path)).count() == 2 and len(freed) == 2
