@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from itertools import count
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import cut_lineage
+from .. import session
+
+#: Stored tables after which the driver lets go of what finished work left: its heap grows with the number of jobs, not with the data.
+LET_GO = 4
+_stored = count(1)
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,6 +43,14 @@ def release_driver(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def cut_lineage(df: DataFrame, name: str) -> DataFrame:
+    """session.cut_lineage; now and then the driver lets go, as jobs of many rounds fill its heap long before their stage ends."""
+    out = session.cut_lineage(df, name)
+    if next(_stored) % LET_GO == 0:
+        release_driver(df.sparkSession)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all other characters kept."""
     return F.translate(text, UPPER, LOWER)

@@ -176,12 +176,23 @@ def _times(gram: DataFrame, right: np.ndarray) -> np.ndarray:
             yield pd.DataFrame({"i": batch["i"], "y": out})
 
     product = np.zeros(right.shape, np.float32)
-    for r in gram.mapInPandas(run, "i bigint, y binary").toLocalIterator():
+    # each partition that comes back is a job of the driver, so there are no more of them than cores, however many files the rows lie in
+    for r in gram.coalesce(gram.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "i bigint, y binary").toLocalIterator():
         product[r["i"]] = np.frombuffer(r["y"], "<f4")
     sent.unpersist()
     return product
 
 
+def orthonormal(columns: np.ndarray, some: int = 64) -> np.ndarray:
+    """The columns made orthonormal in place, some at a time and each time twice, so that only those are held in double precision."""
+    for at in range(0, columns.shape[1], some):
+        done, block = columns[:, :at], columns[:, at:at + some]
+        for _ in range(2):
+            block -= done @ (done.T @ block)
+            block[:] = np.linalg.qr(block)[0]
+    return columns
+
+
 def latent_basis(gram: DataFrame, own: np.ndarray, rank: int, seed: int = 11) -> np.ndarray:
     """Orthonormal (terms x rank) right singular vectors of the passages, by a randomised range finder on their Gram matrix.
 
@@ -195,12 +206,14 @@ def latent_basis(gram: DataFrame, own: np.ndarray, rank: int, seed: int = 11) ->
 
     def applied(right: np.ndarray) -> np.ndarray:
         product = _times(gram, right)
-        product += own.T @ (weight * (own @ right))
+        inner = weight * (own @ right)
+        for at in range(0, terms, 1024):
+            product[at:at + 1024] += own[:, at:at + 1024].T @ inner
         return product
 
     probe = np.random.default_rng(seed).standard_normal((terms, rank), np.float32)
     for _ in range(2):
-        probe = np.linalg.qr(applied(probe))[0]
+        probe = orthonormal(applied(probe))
     small = probe.T @ applied(probe)
     value, vector = np.linalg.eigh((small + small.T).astype(float) / 2)
     return probe @ vector[:, value > 1e-6 * max(value.max(), 1e-30)].astype(np.float32)

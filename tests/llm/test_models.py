@@ -222,3 +222,30 @@ def test_gumbel_top_is_exact(spark, k):
     order = sorted((r["gumbel_key"] for r in rows), reverse=True)
     assert sum(r["selected"] for r in rows) == k and min(r["gumbel_key"] for r in rows if r["selected"]) == order[k - 1]
     assert np.isfinite(order).all()
+
+
+def test_columns_are_made_orthonormal_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    columns = rng.standard_normal((6_000, 400), np.float32)
+    columns[:, :30] *= np.float32(1e4)  # as the items' passages weigh more than the corpus
+    columns = columns @ rng.standard_normal((400, 400), np.float32)
+    before = columns.copy()
+    tracemalloc.start()
+    out = decontaminate.orthonormal(columns)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * before.nbytes
+    assert np.abs(out.T @ out - np.eye(400)).max() < 1e-4
+    assert np.abs(before - out @ (out.T @ before)).max() < 1e-3 * np.abs(before).max()
+
+
+def test_product_of_a_gram_matrix_in_many_files_is_few_jobs(spark):
+    rows = spark.range(300, numPartitions=120).selectExpr("id AS i", "array(named_struct('j', id, 'w', 2D), named_struct('j', (id + 1) % 300, 'w', 1D)) AS row")
+    right = np.random.default_rng(3).standard_normal((300, 4), np.float32)
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    got = decontaminate._times(rows, right)
+    assert np.allclose(got, 2 * right + np.roll(right, -1, 0), atol=1e-5)
+    assert len(tracker.getJobIdsForGroup(None)) - before <= spark.sparkContext.defaultParallelism

@@ -50,3 +50,13 @@ def test_driver_lets_go_after_every_stage(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(pipeline, "release_driver", lambda s: freed.append(s))
     monkeypatch.setattr(pipeline, "STAGES", [("one", lambda s, d, f: d), ("two", lambda s, d, f: d.where("doc_id > 0"))])
     assert pipeline.run(spark, str(tmp_path)).count() == 2 and len(freed) == 2
+
+
+def test_driver_lets_go_within_a_stage(spark, monkeypatch):
+    from orderloom.llm import common, simhash
+
+    freed = []
+    monkeypatch.setattr(common, "release_driver", lambda s: freed.append(s))
+    for n in range(2 * common.LET_GO):
+        assert simhash.cut_lineage(spark.range(3), "let-go").count() == 3
+    assert len(freed) == 2
