@@ -148,3 +148,30 @@ def test_pair_bound_loses_no_pair(spark):
             kept = sim.pairs_may_reach(x, y, floor, cells)
             assert all(k for a, b, k in zip(x, y, kept) if a and b and 2 * sim.matched_characters(a, b) / (len(a) + len(b)) >= floor)
             assert not kept.all()
+
+
+def test_near_tiles_keep_every_near_pair_and_stay_small(monkeypatch):
+    """Long and short texts of one cell: a tile has bounded rows and characters, and tiles of too unequal lengths are left out."""
+    import plain
+
+    rnd = random.Random(21)
+    texts = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.choice((1, 3, 9, 12, 14, 90)))) for _ in range(150)]
+    x, y = texts[:80], texts[80:] + [t[1:] for t in texts[:30] if len(t) > 1]
+    met, whole = [], sim.may_reach
+
+    def seen(some, others, floor):
+        met.append((some, others))
+        return whole(some, others, floor)
+
+    monkeypatch.setattr(sim, "may_reach", seen)
+    got = {(int(p), int(q)) for i, j in sim.near_tiles(x, y, 0.7, rows=20, characters=200) for p, q in zip(i, j)}
+    assert got >= {(p, q) for p in range(len(x)) for q in range(len(y)) if plain.ratio(x[p], y[q]) >= 0.7}
+    assert all(len(side) <= 20 and (len(side) == 1 or sum(map(len, side)) <= 200) for pair in met for side in pair)
+    assert sum(len(a) * len(b) for a, b in met) < len(x) * len(y) * 0.8
+
+
+def test_one_worker_judges_and_scores_a_pair(spark):
+    pairs = spark.createDataFrame([("abcd", "abce"), ("abcd", "wxyz"), ("abc", "abcd"), (None, "a"), ("", "a"), ("abcdefgh", "hgfedcba")], "a string, b string")
+    scored = sim.with_ratio(pairs, "a", "b", 0.5, "r")
+    assert {(r.a, r.b): r.r for r in scored.collect()} == {("abcd", "abce"): 0.75, ("abc", "abcd"): 6 / 7}
+    assert scored._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1

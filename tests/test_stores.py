@@ -253,3 +253,25 @@ def test_requests_without_a_store_do_not_meet_in_one_task(spark):
             spark.conf.set(c, value)
     assert got == {i: {0: (True, True, True, True), 1: (False, True, True, False)}.get(i, (False, False, True, False)) for i in range(200)}
     assert plan.split("Join LeftOuter, (")[1].startswith("true_store")  # the requests' last join; it was the one by store_code
+
+
+def test_requests_of_a_name_choose_among_its_stores_once(spark, monkeypatch):
+    """Many requests and many stores share a name: what is stored has a row a name, and every request its own row."""
+    stored, store = {}, st.cut_lineage
+
+    def kept(df, name):
+        stored[name] = out = store(df, name)
+        return out
+
+    monkeypatch.setattr(st, "cut_lineage", kept)
+    monkeypatch.setattr(st, "ROWS_PER_CELL", 10, raising=False)
+    stores = [(f"S{i:03d}", "云山茶语小店", "O", "", "", "", "W") for i in range(40)] + [("T1", "云山茶语花店", "O", "", "", "", "W"), (None, "南方", "O", "", "", "", "W"), ("T2", "南方", "O", "", "", "", "W")]
+    asks = [(f"R{i:03d}", "云山茶语小", "", "", "", "") for i in range(50)] + [("R000", "南方店", "", "", "", ""), (None, "南方店", "", "", "", ""), ("Q", "南方店", "", "", "", "")]
+    requests, known = spark.createDataFrame(asks, REQUEST), spark.createDataFrame(stores, STORE)
+    got = sorted(tuple(r)[:2] + (round(r.similarity, 6), r.need_confirm, r.n_candidates) for r in st.similar_names(requests, known, 0.95, 0.7).collect())
+    near = round(plain.ratio("云山茶语小", "云山茶语小店"), 6)
+    assert sorted(got, key=lambda r: r[0]) == [("Q", None, 0.8, True, 2), ("R000", "S000", near, True, 43), *((f"R{i:03d}", "S000", near, True, 41) for i in range(1, 50))]
+    assert max(df.count() for name, df in stored.items() if name != "open") <= 3
+    pairs = st.similar_candidates(requests, known, 0.7)
+    assert sorted((r.request_id or "", r.store_code or "", r.store_name, round(r.score, 6)) for r in pairs.collect()) == sorted(
+        (a[0] or "", s[0] or "", s[1], round(plain.ratio(a[1], s[1]), 6)) for a in asks for s in stores if plain.ratio(a[1], s[1]) >= 0.7)
