@@ -3,6 +3,7 @@
 import random
 
 import plain
+import pytest
 from pyspark.sql import functions as F
 
 from orderloom.functions import text as tx
@@ -275,3 +276,42 @@ def test_requests_of_a_name_choose_among_its_stores_once(spark, monkeypatch):
     pairs = st.similar_candidates(requests, known, 0.7)
     assert sorted((r.request_id or "", r.store_code or "", r.store_name, round(r.score, 6)) for r in pairs.collect()) == sorted(
         (a[0] or "", s[0] or "", s[1], round(plain.ratio(a[1], s[1]), 6)) for a in asks for s in stores if plain.ratio(a[1], s[1]) >= 0.7)
+
+
+@pytest.mark.parametrize("most", [2, 500])
+def test_crossed_names_meet_the_stores_that_have_all_their_grams(spark, monkeypatch, most):
+    """Most names have a store that no other can pass: they meet few stores, and only the others go on to be compared with all of a word."""
+    rnd = random.Random(31)
+    numbers = [f"{rnd.randint(1, 25)}-{rnd.randint(1000, 99999)}" for _ in range(150)] + ["7-77777", "7-777", "12-1212"]
+    stores = [(f"S{i:03d}", f"{rnd.choice(('BUILDING', 'SHOP', 'STORE'))}-N_{n}", "O", "", "", "", "W") for i, n in enumerate(numbers)]
+    stores += [stores[0][:1] + (None,) + stores[0][2:], (None,) + stores[5][1:], ("A", stores[7][1], "O", "", "", "", "W")]
+    names = [s[1] for s in stores if s[1]]
+    asks = [n[:-1] for n in names[:40]] + [n + "-X" for n in names[40:80]] + ["QQ" + n.split("-")[-1] for n in names[80:]] + ["ZZ 7777", "X12", "none", "", None, "QQ00", names[3], names[3]]
+    asks = [(f"R{i}", name, "", "", "", "") for i, name in enumerate(asks)]
+    stored, store = {}, st.cut_lineage
+
+    def kept(df, name):
+        stored[name] = out = store(df, name)
+        return out
+
+    monkeypatch.setattr(st, "cut_lineage", kept)
+    monkeypatch.setattr(st, "STORES_PER_KEY", most, raising=False)
+    hits = st.by_cross_keywords(spark.createDataFrame(asks, REQUEST), spark.createDataFrame(stores, STORE), char_class="0-9").collect()
+    got = {r.request_id: (r.store_code, round(r.similarity, 9)) for r in hits}
+    import re
+
+    want = {}
+    for rid, name, *_ in asks:
+        words = re.findall("[0-9]{2,4}", name or "")[:3]
+        scored = []
+        for s in stores:
+            if s[0] and s[1] and any(w in s[1] for w in words):
+                q, o = ({x[i:i + 2] for i in range(len(x) - 1)} for x in ("".join(c for c in y if c.isdigit()) for y in (name, s[1])))
+                score = 0.5 * len(q & o) / len(q) + 0.5 * plain.ratio(name, s[1])
+                if score >= 0.35:
+                    scored.append((-score, s[0]))
+        if scored:
+            score, code = min(scored)
+            want[rid] = (code, round(-score, 9))
+    assert got == want and len(got) > 100
+    assert stored["cross-rest"].select("a").distinct().count() < len({a[1] for a in asks}) / 3
